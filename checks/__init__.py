@@ -6,7 +6,7 @@ HEADLINE: list[str] = []
 
 
 def _load():
-    from checks import league, serving  # noqa: F401
+    from checks import features, league, metrics  # noqa: F401
 
 
 def queries():
