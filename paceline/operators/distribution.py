@@ -90,7 +90,8 @@ def top_combinations(probs: DataFrame, key: Sequence[str], k: int = 5, entity: s
 
     Replacing a member by a heavier entrant never lowers a trio's probability. A trio using the
     r-th heaviest entrant is therefore matched or beaten by the r - 3 trios that swap that member
-    for a lighter rank, so only the k + 2 heaviest entrants can appear and the search is exact.
+    for one of the other heavier entrants; the k + 2 heaviest are all that can appear, so the
+    search is exact.
     """
     weights = draw_weights(probs, key).select(*key, entity, "weight")
     best = top_rows(weights, key, [F.desc("weight"), F.asc(entity)], k + 2, "rank")

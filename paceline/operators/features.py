@@ -143,3 +143,18 @@ def training_columns(matrix: DataFrame) -> tuple[list[str], list[str]]:
     """Feature columns and the rest."""
     features = [c for c in C.FEATURES if c in matrix.columns]
     return features, [c for c in matrix.columns if c not in features]
+
+
+def read_cached(spark, path: str, start_year: int, end_year: int) -> DataFrame:
+    """Seasons of a feature cache partitioned by year; only their folders are read."""
+    return spark.read.parquet(path).filter(F.col("year").between(start_year, end_year))
+
+
+def write_cached(matrix: DataFrame, path: str) -> None:
+    """Write seasons to the cache; seasons not in ``matrix`` stay as they are."""
+    (
+        matrix.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year")
+        .parquet(path)
+    )
