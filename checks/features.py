@@ -188,7 +188,7 @@ def latest_team_reliability(spark, sf_dir):
 def qualifying_features(spark, sf_dir):
     league = League(spark, sf_dir)
     return features.qualifying_features(
-        history.full_roster(league.results, league.qualifying), league.qualifying
+        history.full_roster(league.results, league.qualifying), league.qualifying, league.race_count
     ).select(*rounded(features.QUALI_COLUMNS))
 
 
@@ -197,7 +197,8 @@ def qualifying_features(spark, sf_dir):
     "FROM mate m JOIN qualifying q ON q.ro = m.ro AND q.driver_id = m.driver_id"
 )
 def teammate_gap(spark, sf_dir):
-    return features.teammate_gaps(League(spark, sf_dir).qualifying).select(*rounded(["teammate_quali_gap"]))
+    league = League(spark, sf_dir)
+    return features.teammate_gaps(league.qualifying, league.race_count * league.team_count).select(*rounded(["teammate_quali_gap"]))
 
 
 @check(

@@ -1,7 +1,5 @@
 """Live features, updates, scenarios and convergence over the timing feeds."""
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
 from checks.ctes import LEAGUE, TIMING, with_ctes
@@ -108,7 +106,7 @@ def live_rows(feeds):
 
     def build():
         points = lv.checkpoints(feeds.sessions, [5, 10], [1, 0])
-        return lv.feed_features(feeds, points)
+        return lv.feed_features(feeds, points, 4)
 
     return staged(feeds.spark, ("live", feeds.sf_dir), build)
 
@@ -116,7 +114,7 @@ def live_rows(feeds):
 def updated_rows(feeds, name="last"):
     rows = live_rows(feeds)
     rows = rows if name is None else rows.filter(F.col("checkpoint") == name)
-    return up.bayesian_update(up.with_prior(rows, feeds.priors, ["driver_number"]), RACE)
+    return up.bayesian_update(up.with_prior(rows, feeds.priors, ["driver_number"]), RACE, 4 * feeds.session_count)
 
 
 def plain(df, *rounded):
@@ -135,14 +133,14 @@ DOUBLES = ["gap_to_leader", "gap_to_driver_ahead", "avg_lap_time_last5", "lap_ti
 def live_features(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
     points = lv.checkpoints(feeds.sessions, [5, 10], [1, 0])
-    return plain(lv.feed_features(feeds, points), *DOUBLES)
+    return plain(lv.feed_features(feeds, points, 4), *DOUBLES)
 
 
 @check(V + "SELECT session::VARCHAR AS session, checkpoint, active::BIGINT AS safety_car_active, n AS safety_car_count FROM regime")
 def safety_car_regime(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
     points = lv.checkpoints(feeds.sessions, [5, 10], [1, 0])
-    return plain(lv.safety_car_state(feeds.race_control, points))
+    return plain(lv.safety_car_state(feeds.race_control, points, 4 * feeds.session_count))
 
 
 @check(
@@ -190,7 +188,7 @@ def entry_list(feeds, league):
     """Prior per session and driver: entrants of this session or the one before, where a prior exists."""
     cars = feeds.timing.select("session", "driver_number").distinct()
     sessions = cars.select("session").distinct()
-    carried = cars.withColumn("session", F.date_add("session", timedelta(days=7).days)).join(sessions, "session", "left_semi")
+    carried = cars.withColumn("session", F.date_add("session", 7)).join(sessions, "session", "left_semi")
     listed = cars.union(carried).distinct().filter("driver_number % 2 = 0")
     known = listed.withColumnRenamed("driver_number", "driver_id").join(league.drivers.select("driver_id"), "driver_id")
     return known.withColumn("prior", (1 + F.col("driver_id") % 9) / F.lit(10.0))
@@ -216,8 +214,8 @@ def entry_list(feeds, league):
 )
 def live_podium(spark, sf_dir):
     feeds, league = Feeds(spark, sf_dir), League(spark, sf_dir)
-    live = lv.feed_features(feeds, lv.latest_checkpoint(feeds.sessions))
-    answer = up.live_podium(live, lv.map_cars(feeds.cars, league.drivers), entry_list(feeds, league), ["session"])
+    live = lv.feed_features(feeds, lv.latest_checkpoint(feeds.sessions), 1)
+    answer = up.live_podium(live, lv.map_cars(feeds.cars, league.drivers), entry_list(feeds, league), ["session"], feeds.session_count)
     return plain(answer.drop("confidence_level"), "probability", "confidence")
 
 
@@ -253,7 +251,7 @@ deltas AS (
 def scenario_rows(feeds):
     rows = live_rows(feeds).filter("checkpoint = 'last'")
     rows = up.apply_scenarios(up.with_prior(rows, feeds.priors, ["driver_number"]))
-    return up.scenario_deltas(up.bayesian_update(rows, ["session", "scenario"]), ["session"])
+    return up.scenario_deltas(up.bayesian_update(rows, ["session", "scenario"], len(up.SCENARIOS) * feeds.session_count), ["session"])
 
 
 @check(
@@ -300,7 +298,8 @@ projected AS (
       round(projected, 6) AS projected, round(projected - prob, 6) + 0.0 AS drift FROM projected"""
 )
 def projection_to_flag(spark, sf_dir):
-    rows = up.project_to_flag(updated_rows(Feeds(spark, sf_dir), None), RACE)
+    feeds = Feeds(spark, sf_dir)
+    rows = up.project_to_flag(updated_rows(feeds, None), RACE, 4 * feeds.session_count)
     return plain(rows.select(*RACE, "driver_number", "prob", "projected", "drift"), "prob", "projected", "drift")
 
 
@@ -310,7 +309,8 @@ def projection_to_flag(spark, sf_dir):
       (max(abs(projected - prob)) < 0.1)::INT::BIGINT AS within_tolerance FROM projected GROUP BY session, checkpoint"""
 )
 def drift_verdict(spark, sf_dir):
-    rows = up.project_to_flag(updated_rows(Feeds(spark, sf_dir), None), RACE)
+    feeds = Feeds(spark, sf_dir)
+    rows = up.project_to_flag(updated_rows(feeds, None), RACE, 4 * feeds.session_count)
     return plain(up.drift_verdict(rows, RACE), "max_drift")
 
 

@@ -80,7 +80,7 @@ def scored_of(league):
 
 
 def records_of(league):
-    return league._staged("records", lambda: backtest.race_records(scored_of(league), bound=league.field_bound))
+    return league._staged("records", lambda: backtest.race_records(scored_of(league), bound=league.field_bound, groups=league.race_count))
 
 
 def r6(*names):
@@ -97,7 +97,8 @@ def baseline_scores(spark, sf_dir):
             confidence_level FROM podium"""
 )
 def podium_by_position(spark, sf_dir):
-    return pod.podium(scored_of(League(spark, sf_dir)), ["race_id", "ro"], "predicted_place").select(
+    league = League(spark, sf_dir)
+    return pod.podium(scored_of(league), ["race_id", "ro"], "predicted_place", groups=league.race_count).select(
         "race_id", "ro", "driver_id", "predicted_position", "probability", *r6("confidence"), "confidence_level"
     )
 
@@ -112,7 +113,8 @@ def podium_by_position(spark, sf_dir):
     FROM shares QUALIFY place <= 3"""
 )
 def podium_by_probability(spark, sf_dir):
-    return pod.podium(scored_of(League(spark, sf_dir)), ["ro"]).select(
+    league = League(spark, sf_dir)
+    return pod.podium(scored_of(league), ["ro"], groups=league.race_count).select(
         "ro", "driver_id", "predicted_position", "probability", *r6("confidence")
     )
 
@@ -121,8 +123,9 @@ def podium_by_probability(spark, sf_dir):
     BP + """SELECT ro, sum(is_podium)::BIGINT AS correct FROM podium GROUP BY ro"""
 )
 def podium_hits(spark, sf_dir):
-    scored = scored_of(League(spark, sf_dir))
-    return backtest.podium_hits(pod.podium(scored, ["ro"], "predicted_place"), scored)
+    league = League(spark, sf_dir)
+    answer = pod.podium(scored_of(league), ["ro"], "predicted_place", groups=league.race_count)
+    return backtest.podium_hits(answer, scored_of(league))
 
 
 @check(
@@ -142,7 +145,8 @@ def podium_hits(spark, sf_dir):
     LEFT JOIN third t ON t.ro = w.ro AND t.driver_id = w.driver_id"""
 )
 def place_probabilities(spark, sf_dir):
-    return distribution.place_probabilities(scored_of(League(spark, sf_dir)), ["ro"]).select(
+    league = League(spark, sf_dir)
+    return distribution.place_probabilities(scored_of(league), ["ro"], groups=league.race_count).select(
         "ro", "driver_id", *[F.round(c, 4).alias(c) for c in ("p1", "p2", "p3", "podium_prob")]
     )
 
@@ -166,7 +170,8 @@ def place_probabilities(spark, sf_dir):
     FROM trios QUALIFY combo_rank <= 5"""
 )
 def top_podium_combinations(spark, sf_dir):
-    return distribution.top_combinations(scored_of(League(spark, sf_dir)), ["ro"]).select(
+    league = League(spark, sf_dir)
+    return distribution.top_combinations(scored_of(league), ["ro"], groups=league.race_count).select(
         "ro", "member_1", "member_2", "member_3", *r6("combo_prob"), "combo_rank"
     )
 

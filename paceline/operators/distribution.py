@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.operators.ordering import top_rows, with_group_totals
+from paceline.operators.ordering import sized, top_rows, with_group_totals
 
 HEAD = 10
 TERMS = 17
@@ -30,29 +30,31 @@ def _pair(a: Column, b: Column) -> Column:
     return a * b * (1 / (1 - a) + 1 / (1 - b)) / (1 - a - b)
 
 
-def draw_weights(probs: DataFrame, key: Sequence[str]) -> DataFrame:
+def draw_weights(probs: DataFrame, key: Sequence[str], groups: int | None = None) -> DataFrame:
     """Probabilities scaled to one per race; even weights where fewer than three are positive."""
     totals = with_group_totals(
-        probs, key, _total=F.sum("prob"), _positive=F.count_if(F.col("prob") > 0), _n=F.count(F.lit(1))
+        probs, key, groups, _total=F.sum("prob"), _positive=F.count_if(F.col("prob") > 0), _n=F.count(F.lit(1))
     )
     weight = F.when(F.col("_positive") >= 3, F.col("prob") / F.col("_total")).otherwise(1 / F.col("_n"))
     return totals.withColumn("weight", weight).drop("_total", "_positive").withColumnRenamed("_n", "field_size")
 
 
-def place_probabilities(probs: DataFrame, key: Sequence[str], entity: str = "driver_id") -> DataFrame:
-    """Adds p1, p2, p3 and the podium probability of every entrant."""
-    weights = draw_weights(probs, key)
+def place_probabilities(
+    probs: DataFrame, key: Sequence[str], entity: str = "driver_id", groups: int | None = None
+) -> DataFrame:
+    """Adds p1, p2, p3 and the podium probability of every entrant; ``groups`` bounds the races."""
+    weights = draw_weights(probs, key, groups)
     w = F.col("weight")
     heads = top_rows(weights.select(*key, entity, "weight"), key, [F.desc("weight"), F.asc(entity)], HEAD, "_place")
     heads = heads.groupBy(*key).agg(F.collect_list(F.struct(F.col(entity).alias("id"), "weight")).alias("_head"))
-    rows = weights.join(heads, list(key))
+    rows = weights.join(sized(heads, groups), list(key))
     in_head = F.exists("_head", lambda h: h["id"] == F.col(entity))
     tail = F.when(~in_head, w).otherwise(0.0)
     # tail sums of w^m and w^m / (1 - w), m = 1 .. TERMS, and the sum used for the second place
     sums = {f"_b{m}": F.sum(F.pow(tail, F.lit(m))) for m in range(1, TERMS + 1)}
     sums |= {f"_c{m}": F.sum(F.pow(tail, F.lit(m)) / (1 - tail)) for m in range(1, TERMS + 1)}
     odds = F.coalesce(F.try_divide(w, 1 - w), F.lit(0.0))
-    rows = with_group_totals(rows.withColumn("_tail", ~in_head), key, _odds=F.sum(odds), **sums)
+    rows = with_group_totals(rows.withColumn("_tail", ~in_head), key, groups, _odds=F.sum(odds), **sums)
 
     def series(c: str) -> Column:
         terms = F.array(*[F.col(f"{c}{m}") for m in range(1, TERMS + 1)])
@@ -67,7 +69,7 @@ def place_probabilities(probs: DataFrame, key: Sequence[str], entity: str = "dri
     )
     enough = F.col("field_size") >= 3
     rows = rows.withColumn("_r", F.when(enough, with_head + with_tail - self_term).otherwise(0.0))
-    rows = with_group_totals(rows, key, _t=F.sum("_r") / 2)
+    rows = with_group_totals(rows, key, groups, _t=F.sum("_r") / 2)
     p2 = F.when(F.col("field_size") >= 2, w * (F.col("_odds") - odds)).otherwise(0.0)
     p3 = F.when(enough, w * (F.col("_t") - F.col("_r"))).otherwise(0.0)
     return rows.select(*probs.columns, w.alias("p1"), p2.alias("p2"), p3.alias("p3"), (w + p2 + p3).alias("podium_prob"))
@@ -85,7 +87,9 @@ def _orderings(a: Column, b: Column, c: Column) -> Column:
     return with_third(a, b, c) + with_third(a, c, b) + with_third(b, c, a)
 
 
-def top_combinations(probs: DataFrame, key: Sequence[str], k: int = 5, entity: str = "driver_id") -> DataFrame:
+def top_combinations(
+    probs: DataFrame, key: Sequence[str], k: int = 5, entity: str = "driver_id", groups: int | None = None
+) -> DataFrame:
     """The k likeliest podium trios per race, best first; members are in order of weight.
 
     Replacing a member by a heavier entrant never lowers a trio's probability. A trio using the
@@ -93,7 +97,7 @@ def top_combinations(probs: DataFrame, key: Sequence[str], k: int = 5, entity: s
     for one of the other heavier entrants; the k + 2 heaviest are all that can appear, so the
     search is exact.
     """
-    weights = draw_weights(probs, key).select(*key, entity, "weight")
+    weights = draw_weights(probs, key, groups).select(*key, entity, "weight")
     best = top_rows(weights, key, [F.desc("weight"), F.asc(entity)], k + 2, "rank")
     members = F.array_sort(F.collect_list(F.struct("rank", F.col(entity).alias("id"), "weight")))
     grouped = best.groupBy(*key).agg(members.alias("m"))

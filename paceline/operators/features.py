@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paceline.functions import constants as C
 from paceline.functions import rules
 from paceline.operators.history import circuit_history, full_roster, or_default, recent_form, team_history
-from paceline.operators.ordering import top_rows
+from paceline.operators.ordering import sized, top_rows
 
 META = ["race_id", "ro", "year", "round", "driver_id", "constructor_id", "is_podium", "finish_position"]
 QUALI_COLUMNS = ["grid_position", "quali_gap_to_pole", "quali_q3_reached", "quali_consistency"]
@@ -38,10 +38,10 @@ def race_context(races: DataFrame, circuits: DataFrame) -> DataFrame:
     )
 
 
-def qualifying_features(roster: DataFrame, qualifying: DataFrame) -> DataFrame:
+def qualifying_features(roster: DataFrame, qualifying: DataFrame, n_races: int | None = None) -> DataFrame:
     """Grid place, gap to pole, final-session flag and consistency of times."""
     pole = qualifying.groupBy("ro").agg(F.min("q3_sec").alias("pole"))
-    mine = qualifying.join(pole, "ro").select(
+    mine = qualifying.join(sized(pole, n_races), "ro").select(
         "ro", "driver_id",
         F.col("position").alias("_place"),
         F.when(F.col("pole") > 0, F.col("q3_sec") - F.col("pole")).alias("quali_gap_to_pole"),
@@ -57,7 +57,7 @@ def qualifying_features(roster: DataFrame, qualifying: DataFrame) -> DataFrame:
     ).drop("_place", "_q3")
 
 
-def teammate_gaps(qualifying: DataFrame) -> DataFrame:
+def teammate_gaps(qualifying: DataFrame, n_team_races: int | None = None) -> DataFrame:
     """Own best time minus that of the best-placed other entrant of the team.
 
     The team's two best-placed entrants are enough: the second is the team-mate of the first and
@@ -73,7 +73,7 @@ def teammate_gaps(qualifying: DataFrame) -> DataFrame:
     )
     other = F.when(F.col("driver_id") == F.col("first.driver_id"), F.col("second.best")).otherwise(F.col("first.best"))
     gap = F.when(other > 0, F.col("best") - other)
-    return mine.join(pair, team).select(
+    return mine.join(sized(pair, n_team_races), team).select(
         "ro", "driver_id", or_default(gap, "teammate_quali_gap").alias("teammate_quali_gap")
     )
 
@@ -105,26 +105,30 @@ def feature_matrix(
     drivers: DataFrame,
     circuits: DataFrame,
     homes: DataFrame,
+    n_races: int | None = None,
+    n_teams: int | None = None,
 ) -> DataFrame:
     """All features for the full roster of every race.
 
     The roster is partitioned by driver once (in ``recent_form``); the driver windows and the joins
-    on (race, driver) reuse that partitioning. Team and race facts are small tables joined after.
+    on (race, driver) reuse that partitioning. ``n_races`` and ``n_teams`` are known counts: race
+    and (team, race) facts are broadcast where these prove them small.
     """
 
     def by_driver(df: DataFrame) -> DataFrame:
         return df.repartition("driver_id")
 
-    context = race_context(races, circuits)
+    n_team_races = n_races * n_teams if n_races is not None and n_teams is not None else None
+    context = sized(race_context(races, circuits), n_races)
     roster = full_roster(results, qualifying).join(context, "ro")
     teams = team_history(results, roster.select("constructor_id", "ro", "year", "circuit_id"))
-    matrix = qualifying_features(recent_form(roster), by_driver(qualifying))
+    matrix = qualifying_features(recent_form(roster), by_driver(qualifying), n_races)
     matrix = circuit_history(matrix)
     matrix = standings_features(matrix, by_driver(standings))
-    matrix = matrix.join(by_driver(teammate_gaps(qualifying)), ["ro", "driver_id"], "left")
+    matrix = matrix.join(by_driver(teammate_gaps(qualifying, n_team_races)), ["ro", "driver_id"], "left")
     matrix = matrix.withColumn("teammate_quali_gap", or_default(F.col("teammate_quali_gap"), "teammate_quali_gap"))
     matrix = home_flags(matrix, drivers, homes)
-    matrix = matrix.join(teams, ["constructor_id", "ro"], "left")
+    matrix = matrix.join(sized(teams, n_team_races), ["constructor_id", "ro"], "left")
     return matrix.select(*META, "circuit_id", *C.FEATURES)
 
 
@@ -134,7 +138,7 @@ def league_matrix(league) -> DataFrame:
         "matrix",
         lambda: feature_matrix(
             league.results, league.qualifying, league.standings, league.races, league.drivers, league.circuits,
-            league.homes,
+            league.homes, league.race_count, league.team_count,
         ),
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import constants as C
 from paceline.functions import rules
-from paceline.operators.ordering import top_rows
+from paceline.operators.ordering import sized, top_rows
 
 CAR = ["session", "driver_number", "checkpoint"]
 
@@ -79,7 +79,7 @@ def stint_state(stints: DataFrame, points: DataFrame) -> DataFrame:
     return rows.groupBy(*CAR).agg(F.max_by(stint, "lap_start").alias("stint"))
 
 
-def safety_car_state(race_control: DataFrame, points: DataFrame) -> DataFrame:
+def safety_car_state(race_control: DataFrame, points: DataFrame, n_points: int | None = None) -> DataFrame:
     """Regime and count per (session, checkpoint).
 
     Messages are read in time order up to the first one beyond the lap; the last deploy or end
@@ -98,7 +98,7 @@ def safety_car_state(race_control: DataFrame, points: DataFrame) -> DataFrame:
     beyond = F.coalesce(F.col("lap_number"), F.lit(0)) > F.col("_at")
     stops = messages.join(cut, "session").groupBy(*key, "_at")
     stops = stops.agg(F.min(F.when(beyond, F.col("seq"))).alias("stop"))
-    read = messages.join(stops, "session")
+    read = messages.join(sized(stops, n_points), "session")
     seen = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
     return read.groupBy(*key).agg(
         F.coalesce(F.max_by(F.when(seen, F.col("flag")), F.when(seen & F.col("flag").isNotNull(), F.col("seq"))), F.lit(0))
@@ -116,8 +116,13 @@ def live_features(
     stints: DataFrame,
     race_control: DataFrame,
     points: DataFrame,
+    n_points: int | None = None,
 ) -> DataFrame:
-    """The live feature rows of every car at every checkpoint."""
+    """The live feature rows of every car at every checkpoint.
+
+    ``n_points`` bounds the rows of ``points``; when small they are broadcast to the feeds.
+    """
+    points = sized(points, n_points)
     spine = cars.select("session", "driver_number").join(points, "session")
     for state in (
         interval_state(intervals, points),
@@ -126,7 +131,9 @@ def live_features(
         stint_state(stints, points),
     ):
         spine = spine.join(state, CAR, "left")
-    spine = spine.join(safety_car_state(race_control, points), ["session", "checkpoint"], "left")
+    spine = spine.join(
+        sized(safety_car_state(race_control, points, n_points), n_points), ["session", "checkpoint"], "left"
+    )
 
     def known(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default))
@@ -157,8 +164,12 @@ def live_features(
     )
 
 
-def feed_features(feeds, points: DataFrame) -> DataFrame:
-    return live_features(feeds.cars, feeds.laps, feeds.intervals, feeds.pit, feeds.stints, feeds.race_control, points)
+def feed_features(feeds, points: DataFrame, per_session: int) -> DataFrame:
+    """Live features of the timing feeds at ``per_session`` checkpoints or fewer."""
+    return live_features(
+        feeds.cars, feeds.laps, feeds.intervals, feeds.pit, feeds.stints, feeds.race_control, points,
+        feeds.session_count * per_session,
+    )
 
 
 def map_cars(cars: DataFrame, drivers: DataFrame) -> DataFrame:

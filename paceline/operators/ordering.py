@@ -12,6 +12,14 @@ from paceline.session import fixed
 # Rows one task may sort for a single window group before the work is split by key range.
 GROUP_LIMIT = 2_000_000
 
+# Rows a broadcast side may have; callers pass a bound they can prove, such as the race count.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast ``df`` if it is known to have few rows, else leave the join to the optimiser."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     """Rows in the largest group; map-side counts make this safe for hot keys."""
@@ -81,7 +89,11 @@ def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: in
     return df.withColumn(place, F.row_number().over(rows)).filter(F.col(place) <= k)
 
 
-def with_group_totals(df: DataFrame, group: Sequence[str], **totals: Column) -> DataFrame:
-    """Attach per-group aggregates by a partially aggregated join instead of a per-group window."""
+def with_group_totals(df: DataFrame, group: Sequence[str], groups: int | None = None, **totals: Column) -> DataFrame:
+    """Attach per-group aggregates by a partially aggregated join instead of a per-group window.
+
+    ``groups`` bounds the number of groups. With few groups the summary is broadcast and the rows
+    are not shuffled at all, however many of them one group holds.
+    """
     summary = df.groupBy(*group).agg(*[value.alias(name) for name, value in totals.items()])
-    return df.join(summary, list(group))
+    return df.join(sized(summary, groups), list(group))

@@ -12,15 +12,17 @@ from paceline.functions import rules
 from paceline.operators.ordering import top_rows, with_group_totals
 
 
-def ranking_scores(probs: DataFrame, key: Sequence[str], position: str | None = None) -> DataFrame:
+def ranking_scores(
+    probs: DataFrame, key: Sequence[str], position: str | None = None, groups: int | None = None
+) -> DataFrame:
     """Adds ``score``: softmax of the negative predicted position, or the share of probability."""
     if position is None:
-        summed = with_group_totals(probs, key, _total=F.sum("prob"))
+        summed = with_group_totals(probs, key, groups, _total=F.sum("prob"))
         return summed.withColumn("score", F.col("prob") / (F.col("_total") + 1e-9)).drop("_total")
     gain = -F.coalesce(F.col(position), F.lit(C.RANK_DEFAULT_POSITION))
-    shifted = with_group_totals(probs.withColumn("_gain", gain), key, _top=F.max("_gain"))
+    shifted = with_group_totals(probs.withColumn("_gain", gain), key, groups, _top=F.max("_gain"))
     weighted = shifted.withColumn("_weight", F.exp((F.col("_gain") - F.col("_top")) / C.RANK_TEMPERATURE))
-    summed = with_group_totals(weighted, key, _total=F.sum("_weight"))
+    summed = with_group_totals(weighted, key, groups, _total=F.sum("_weight"))
     return summed.withColumn("score", F.col("_weight") / F.col("_total")).drop("_gain", "_top", "_weight", "_total")
 
 
@@ -30,9 +32,13 @@ def podium(
     position: str | None = None,
     threshold: float = C.CONFIDENCE_THRESHOLD,
     entity: str = "driver_id",
+    groups: int | None = None,
 ) -> DataFrame:
-    """The three places of every race with the original probability and the margin to fourth."""
-    scored = ranking_scores(probs, key, position)
+    """The three places of every race with the original probability and the margin to fourth.
+
+    ``groups`` bounds the number of races.
+    """
+    scored = ranking_scores(probs, key, position, groups)
     first4 = top_rows(scored, key, [F.desc("score"), F.asc(entity)], 4, "predicted_position")
     race = Window.partitionBy(*key)
 

@@ -6,6 +6,8 @@ running time, gap and position; the feeds are projections of it.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,13 @@ class Feeds:
     @property
     def sessions(self) -> DataFrame:
         """Session and its longest lap count."""
-        return self.timing.groupBy("session").agg(F.max("lap_number").alias("total_laps"))
+        laps = F.max("lap_number").alias("total_laps")
+        return staged(self.spark, ("sessions", self.sf_dir), lambda: self.timing.groupBy("session").agg(laps))
+
+    @cached_property
+    def session_count(self) -> int:
+        """Weeks on the calendar (a footer-only count of the staged table)."""
+        return self.sessions.count()
 
     @property
     def cars(self) -> DataFrame:

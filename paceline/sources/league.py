@@ -36,6 +36,15 @@ class League:
         """Entrants per race cannot exceed the suppliers (a footer-only count)."""
         return self._table("supplier").count()
 
+    @cached_property
+    def race_count(self) -> int:
+        """Months on the calendar (a footer-only count of the staged table)."""
+        return self.races.count()
+
+    @cached_property
+    def team_count(self) -> int:
+        return self._table("region").count()
+
     @property
     def entry(self) -> DataFrame:
         return self._staged("entry", self._build_entry)
