@@ -6,7 +6,7 @@ HEADLINE: list[str] = []
 
 
 def _load():
-    from checks import features, landing, league, live, metrics, serving  # noqa: F401
+    from checks import features, landing, league, live, metrics, serving, streaming  # noqa: F401
 
 
 def queries():

@@ -363,7 +363,9 @@ def table_quality(spark, sf_dir):
         required = merge.REQUIRED[name]
         nulls = merge.missing_values(rows, required)
         nulls = nulls.select(sum((F.col(c) for c in required), F.lit(0)).cast("long").alias("missing"))
-        rows = n_orphans.join(nulls).withColumn("table_name", F.lit(name))
+        both = n_orphans.unionByName(nulls, allowMissingColumns=True)
+        rows = both.agg(F.sum("orphans").alias("orphans"), F.sum("missing").alias("missing"))
+        rows = rows.withColumn("table_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

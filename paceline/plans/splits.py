@@ -70,8 +70,6 @@ def exact_medians(rows: DataFrame, columns: Sequence[str], group: Sequence[str]
 
 
 def imputed(rows: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill nulls with given medians (long form, one value per column)."""
-    wide = medians.groupBy().pivot("feature", list(columns)).agg(F.first("median"))
-    fill = wide.select([F.col(c).alias(f"_m_{c}") for c in columns])
-    joined = rows.join(F.broadcast(fill))  # the right side is a single row
-    return joined.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*fill.columns)
+    """Fill nulls with given medians (long form, one value per column, read as constants)."""
+    fill = {m.feature: m.median for m in medians.collect()}
+    return rows.withColumns({c: F.coalesce(c, F.lit(fill[c])) for c in columns if c in fill})

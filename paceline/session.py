@@ -8,7 +8,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: dict[str, dict[tuple, str]] = {}
+_STAGED: dict[str, dict[tuple, tuple]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +36,19 @@ def staged(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
     The first element of ``key`` names the table. A lost executor re-reads the files instead of
     recomputing the lineage, and later queries prune columns and push filters into them.
     """
+    path, schema = staged_files(spark, key, build)
+    return spark.read.schema(schema).parquet(path)
+
+
+def staged_files(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]):
+    """Folder and schema of a staged table, written on first use."""
     tables = _STAGED.setdefault(spark.sparkContext.applicationId, {})
     if key not in tables:
         frame = build()
         path = new_path(spark, str(key[0]))
         frame.write.parquet(path)
         tables[key] = (path, frame.schema)
-    path, schema = tables[key]
-    return spark.read.schema(schema).parquet(path)
+    return tables[key]
 
 
 def forget_staged(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.operators.ordering import running, with_group_totals
-from paceline.session import staged
+from paceline.session import staged, staged_files
 from paceline.sources.tables import table
 
 # The league's tyre names by props.k mod 6
@@ -27,6 +27,19 @@ class Feeds:
     def timing(self) -> DataFrame:
         return staged(self.spark, ("timing", self.sf_dir), lambda: build_timing(self.events))
 
+    def timing_stream(self, files_per_batch: int | None = None) -> DataFrame:
+        """The timing rows as a file stream, read like landed feed files."""
+        path, schema = staged_files(self.spark, ("timing", self.sf_dir), lambda: build_timing(self.events))
+        reader = self.spark.readStream.schema(schema)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(path)
+
+    def event_stream(self) -> DataFrame:
+        """The raw events as a file stream with an event-time column for watermarks."""
+        reader = self.spark.readStream.schema(self.events.schema).option("pathGlobFilter", "events.parquet")
+        return reader.parquet(self.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
     @property
     def events(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "events")
