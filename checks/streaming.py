@@ -58,9 +58,10 @@ def stream_safety_car(spark, sf_dir):
 )
 def stream_posterior(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
-    rows = sinks.complete_stream(
-        jobs.car_state(feeds.timing_stream()), "posterior", lambda d: jobs.posterior(d, feeds.priors, feeds.session_count)
-    )
+    rows = sinks.merged_stream(
+        jobs.car_state(feeds.timing_stream()), "posterior", CAR, "session",
+        lambda state: jobs.posterior(state, feeds.priors, feeds.session_count),
+    )
     return plain(rows.select(*CAR, "prior", "posterior", "prob"), "prior", "posterior", "prob")
 
 

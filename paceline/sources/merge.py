@@ -58,13 +58,19 @@ def upsert(
     """Merge into a Parquet table, rewriting only the partitions ``new`` touches.
 
     ``partition`` must be a function of the key, so that no older version sits elsewhere.
+    Repeating an upsert changes nothing, so a retried job or micro-batch is safe.
     """
-    old = spark.read.parquet(path)
+    old = spark.read.schema(new.schema).parquet(path)
     touched = old.join(new.select(partition).distinct(), partition, "left_semi")
     merged = fixed(merge(touched, new, key, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def create_table(rows: DataFrame, path: str, partition: str) -> None:
+    """Empty table for later upserts."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.partitionBy(partition).parquet(path)
+
+
 def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 

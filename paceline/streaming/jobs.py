@@ -75,7 +75,7 @@ def safety_car(race_control: DataFrame) -> DataFrame:
 
 
 def car_state(timing: DataFrame) -> DataFrame:
-    """Everything the live update needs, one row per car (complete mode)."""
+    """Everything the live update needs, one row per car (update mode)."""
     pit = F.col("event_type") == "purchase"
     flag = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 0)
     seq = F.when(flag.isNotNull(), F.struct("ts", "event_id"))
@@ -89,7 +89,7 @@ def car_state(timing: DataFrame) -> DataFrame:
 
 
 def posterior(state: DataFrame, priors: DataFrame, n_sessions: int | None = None) -> DataFrame:
-    """Live probabilities from the car states of a micro-batch, by the batch update."""
+    """Live probabilities of whole sessions from their merged car states, by the batch update."""
     sessions = state.groupBy("session").agg(
         F.max("last_lap").alias("lap"), F.coalesce(F.max("message")["flag"], F.lit(0)).alias("safety_car_active")
     )

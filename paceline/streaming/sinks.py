@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from paceline.session import new_path
-from paceline.sources.merge import latest_by_key
+from paceline.session import fixed, new_path
+from paceline.sources.merge import create_table, latest_by_key, upsert
 
 
 def append_stream(stream: DataFrame, name: str) -> str:
@@ -51,16 +51,28 @@ def keyed_stream(stream: DataFrame, name: str, key: Sequence[str]) -> DataFrame:
     return latest_by_key(rows, key, ["batch"]).drop("batch")
 
 
-def complete_stream(stream: DataFrame, name: str, handle: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Complete-mode stream: the handled full result of the last micro-batch."""
-    path, last = new_path(stream.sparkSession, name), []
+def merged_stream(
+    stream: DataFrame, name: str, key: Sequence[str], partition: str, derive: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Update-mode stream merged into a keyed table, and a result derived from it.
+
+    Each micro-batch upserts its changed keys; the result is then derived again for the partitions
+    it touched and replaces them. Untouched partitions are neither read nor written.
+    """
+    spark = stream.sparkSession
+    state, result = new_path(spark, f"{name}-state"), new_path(spark, name)
+    create_table(stream, state, partition)
 
     def land(batch: DataFrame, number: int) -> None:
-        handle(batch).write.mode("overwrite").parquet(f"{path}/{number}")
-        last.append(number)
+        changed = fixed(batch)
+        upsert(spark, state, changed, key, partition)
+        touched = spark.read.schema(stream.schema).parquet(state)
+        touched = touched.join(changed.select(partition).distinct(), partition, "left_semi")
+        rows = derive(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy(partition).parquet(result)
 
-    batch_stream(stream, name, "complete", land)
-    return stream.sparkSession.read.parquet(f"{path}/{max(last)}")
+    batch_stream(stream, name, "update", land)
+    return spark.read.parquet(result)
 
 
 def _ddl(df: DataFrame) -> str:
