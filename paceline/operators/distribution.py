@@ -10,7 +10,11 @@ the field:
 
 The partners in the small head of largest weights are added one by one. For the others the term
 1/(1 - a - b) is expanded in powers of b/(1-a), which is at most 1/HEAD because at least HEAD
-partners weigh as much or more; per-race power sums then give the result to double precision.
+partners weigh as much or more. With E_m the race's tail sum of w^m / (1 - w) this adds up to
+
+    a/(1-a) (E_1 + sum over m of E_m / (1-a)^m)
+
+so TERMS sums per race give the result to double precision.
 """
 
 from __future__ import annotations
@@ -21,13 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators.ordering import sized, top_rows, with_group_totals
+from paceline.session import fixed
 
 HEAD = 10
-TERMS = 17
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return a * b * (1 / (1 - a) + 1 / (1 - b)) / (1 - a - b)
+TERMS = 13
 
 
 def draw_weights(probs: DataFrame, key: Sequence[str], groups: int | None = None) -> DataFrame:
@@ -43,36 +44,43 @@ def place_probabilities(
     probs: DataFrame, key: Sequence[str], entity: str = "driver_id", groups: int | None = None
 ) -> DataFrame:
     """Adds p1, p2, p3 and the podium probability of every entrant; ``groups`` bounds the races."""
-    weights = draw_weights(probs, key, groups)
-    w = F.col("weight")
-    heads = top_rows(weights.select(*key, entity, "weight"), key, [F.desc("weight"), F.asc(entity)], HEAD, "_place")
-    heads = heads.groupBy(*key).agg(F.collect_list(F.struct(F.col(entity).alias("id"), "weight")).alias("_head"))
+    weights = fixed(
+        draw_weights(probs, key, groups)
+        .withColumn("_ratio", F.expr("CASE WHEN weight < 1 THEN 1 / (1 - weight) ELSE 0D END"))
+        .withColumn("_odds", F.expr("weight * _ratio"))
+    )
+    heads = weights.select(*key, F.col(entity).alias("id"), "weight", "_odds")
+    heads = top_rows(heads, key, [F.desc("weight"), F.asc("id")], HEAD, "_place")
+    heads = heads.groupBy(*key).pivot("_place", list(range(1, HEAD + 1)))
+    heads = fixed(heads.agg(F.first("id").alias("id"), F.first("weight").alias("w"), F.first("_odds").alias("o")))
     rows = weights.join(sized(heads, groups), list(key))
-    in_head = F.exists("_head", lambda h: h["id"] == F.col(entity))
-    tail = F.when(~in_head, w).otherwise(0.0)
-    # tail sums of w^m and w^m / (1 - w), m = 1 .. TERMS, and the sum used for the second place
-    sums = {f"_b{m}": F.sum(F.pow(tail, F.lit(m))) for m in range(1, TERMS + 1)}
-    sums |= {f"_c{m}": F.sum(F.pow(tail, F.lit(m)) / (1 - tail)) for m in range(1, TERMS + 1)}
-    odds = F.coalesce(F.try_divide(w, 1 - w), F.lit(0.0))
-    rows = with_group_totals(rows.withColumn("_tail", ~in_head), key, groups, _odds=F.sum(odds), **sums)
-
-    def series(c: str) -> Column:
-        terms = F.array(*[F.col(f"{c}{m}") for m in range(1, TERMS + 1)])
-        # Horner from the highest power of 1/(1-w)
-        ratio = 1 / (1 - w)
-        return F.aggregate(F.reverse(terms), F.lit(0.0), lambda acc, t: acc * ratio + t) * ratio
-
-    with_tail = w / (1 - w) * series("_b") + w * series("_c")
-    self_term = F.when(F.col("_tail"), _pair(w, w)).otherwise(0.0)
-    with_head = F.aggregate(
-        F.filter("_head", lambda h: h["id"] != F.col(entity)), F.lit(0.0), lambda acc, h: acc + _pair(w, h["weight"])
+    member = " OR ".join(f"{entity} <=> `{h}_id`" for h in range(1, HEAD + 1))
+    rows = rows.withColumn("_tail", ~F.expr(member))
+    # sums over the tail of w^m / (1 - w), and over everybody of w / (1 - w) for the second place
+    sums = [F.expr(f"sum(CASE WHEN _tail THEN pow(weight, {m}) * _ratio ELSE 0D END) AS _e{m}") for m in range(1, TERMS + 1)]
+    summary = fixed(rows.groupBy(*key).agg(F.sum("_odds").alias("_all_odds"), *sums))
+    rows = rows.join(sized(summary, groups), list(key))
+
+    horner = "0D"
+    for m in range(TERMS, 0, -1):
+        horner = f"({horner} + _e{m}) * _ratio"
+    with_tail = f"_odds * (_e1 + {horner})"
+    self_term = "CASE WHEN _tail THEN 2 * weight * _odds / (1 - 2 * weight) ELSE 0D END"
+    with_head = " + ".join(
+        f"CASE WHEN `{h}_w` IS NULL OR {entity} = `{h}_id` THEN 0D "
+        f"ELSE (`{h}_w` * _odds + weight * `{h}_o`) / (1 - weight - `{h}_w`) END"
+        for h in range(1, HEAD + 1)
     )
-    enough = F.col("field_size") >= 3
-    rows = rows.withColumn("_r", F.when(enough, with_head + with_tail - self_term).otherwise(0.0))
+    partners = F.expr(f"CASE WHEN field_size >= 3 THEN {with_head} + {with_tail} - {self_term} ELSE 0D END AS _r")
+    rows = fixed(rows.select(*probs.columns, "weight", "field_size", "_odds", "_all_odds", partners))
     rows = with_group_totals(rows, key, groups, _t=F.sum("_r") / 2)
-    p2 = F.when(F.col("field_size") >= 2, w * (F.col("_odds") - odds)).otherwise(0.0)
-    p3 = F.when(enough, w * (F.col("_t") - F.col("_r"))).otherwise(0.0)
-    return rows.select(*probs.columns, w.alias("p1"), p2.alias("p2"), p3.alias("p3"), (w + p2 + p3).alias("podium_prob"))
+    places = {
+        "p1": F.col("weight"),
+        "p2": F.expr("CASE WHEN field_size >= 2 THEN weight * (_all_odds - _odds) ELSE 0D END"),
+        "p3": F.expr("CASE WHEN field_size >= 3 THEN weight * (_t - _r) ELSE 0D END"),
+    }
+    placed = rows.withColumns(places).withColumn("podium_prob", F.expr("p1 + p2 + p3"))
+    return placed.select(*probs.columns, *places, "podium_prob")
 
 
 def _orderings(a: Column, b: Column, c: Column) -> Column:
