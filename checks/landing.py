@@ -258,7 +258,7 @@ def landed_feed_totals(spark, sf_dir):
 
 @check(
     T + """SELECT session::VARCHAR AS session, driver_number, round(min(lap_duration), 6) AS best_lap_sec,
-      round(avg(lap_duration), 6) AS avg_lap_sec, count(lap_number) AS lap_count FROM timing GROUP BY ALL"""
+      round(avg(lap_duration), 9) AS avg_lap_sec, count(lap_number) AS lap_count FROM timing GROUP BY ALL"""
 )
 def practice_summary(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
@@ -271,7 +271,7 @@ def practice_summary(spark, sf_dir):
         spark.read.parquet(path), ["session", "driver_number", "LapNumber", "LapTime", "TyreLife"]
     )
     out = landing.practice_summary(stored, ["session", "driver_number"])
-    return out.withColumns({c: tidy(F.col(c)) for c in ("best_lap_sec", "avg_lap_sec")})
+    return out.withColumns({"best_lap_sec": tidy(F.col("best_lap_sec")), "avg_lap_sec": tidy(F.col("avg_lap_sec"), 9)})
 
 
 @check(
@@ -398,9 +398,9 @@ def feature_cache(spark, sf_dir):
 
 
 @check(
-    "SELECT user_id AS driver_number, count(*) AS n, round(avg(value), 6) AS mean_speed FROM events WHERE value >= 50 "
+    "SELECT user_id AS driver_number, count(*) AS n, round(avg(value), 9) AS mean_speed FROM events WHERE value >= 50 "
     "GROUP BY user_id"
 )
 def telemetry_threshold(spark, sf_dir):
     fast = Feeds(spark, sf_dir).telemetry.filter(F.col("speed") >= 50)
-    return fast.groupBy("driver_number").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("speed")).alias("mean_speed"))
+    return fast.groupBy("driver_number").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("speed"), 9).alias("mean_speed"))

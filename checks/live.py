@@ -186,7 +186,7 @@ entry_list AS (
 
 def entry_list(feeds, league):
     """Prior per session and driver: entrants of this session or the one before, where a prior exists."""
-    cars = feeds.timing.select("session", "driver_number").distinct()
+    cars = feeds.cars.select("session", "driver_number")
     sessions = cars.select("session").distinct()
     carried = cars.withColumn("session", F.date_add("session", 7)).join(sessions, "session", "left_semi")
     listed = cars.union(carried).distinct().filter("driver_number % 2 = 0")

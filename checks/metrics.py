@@ -228,12 +228,12 @@ def classification_report(spark, sf_dir):
     B + """, binned AS (SELECT *, (CASE WHEN prob <= 0.1 THEN 0 WHEN prob <= 0.2 THEN 1 WHEN prob <= 0.3 THEN 2
         WHEN prob <= 0.4 THEN 3 WHEN prob <= 0.5 THEN 4 WHEN prob <= 0.6 THEN 5 WHEN prob <= 0.7 THEN 6
         WHEN prob <= 0.8 THEN 7 WHEN prob <= 0.9 THEN 8 ELSE 9 END)::BIGINT AS bin FROM scored)
-    SELECT year, bin, count(*) AS n, round(avg(prob), 6) AS mean_predicted, round(avg(is_podium), 6) AS observed_rate
+    SELECT year, bin, count(*) AS n, round(avg(prob), 12) AS mean_predicted, round(avg(is_podium), 12) AS observed_rate
     FROM binned GROUP BY year, bin"""
 )
 def reliability_curve(spark, sf_dir):
     return metrics.reliability_curve(scored_of(League(spark, sf_dir)), ["year"]).select(
-        "year", "bin", "n", *r6("mean_predicted", "observed_rate")
+        "year", "bin", "n", *[F.round(c, 12).alias(c) for c in ("mean_predicted", "observed_rate")]
     )
 
 

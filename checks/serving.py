@@ -68,7 +68,7 @@ def constructor_championship(spark, sf_dir):
 )
 def latest_standings(spark, sf_dir):
     league = League(spark, sf_dir)
-    return serving.latest_standings(league.standings, league.drivers)
+    return serving.latest_standings(league.standings, league.drivers, n_races=league.race_count)
 
 
 @check(

@@ -82,7 +82,7 @@ def window_rows(spark, path):
     rows = spark.read.parquet(path)
     return rows.select(
         "driver_number", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "samples",
-        tidy(F.col("mean_speed")).alias("mean_speed"), "top_speed",
+        tidy(F.col("mean_speed"), 9).alias("mean_speed"), "top_speed",
     )
 
 
@@ -91,7 +91,7 @@ CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 @check(
     f"""SELECT user_id AS driver_number, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS samples,
-      round(avg(value), 6) AS mean_speed, max(value) AS top_speed FROM events
+      round(avg(value), 9) AS mean_speed, max(value) AS top_speed FROM events
     WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY user_id, date_trunc('day', ts)"""
 )
 def stream_speed_by_day(spark, sf_dir):
@@ -102,7 +102,7 @@ def stream_speed_by_day(spark, sf_dir):
 
 @check(
     f"""SELECT user_id AS driver_number, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS samples,
-      round(avg(value), 6) AS mean_speed, max(value) AS top_speed
+      round(avg(value), 9) AS mean_speed, max(value) AS top_speed
     FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events)
     WHERE w + INTERVAL 2 DAY <= {CLOSED} GROUP BY user_id, w"""
 )
@@ -117,7 +117,7 @@ def stream_speed_sliding(spark, sf_dir):
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     stints AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stint FROM gaps)
     SELECT user_id AS driver_number, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS samples,
-      round(avg(value), 6) AS mean_speed, max(value) AS top_speed FROM stints GROUP BY user_id, stint
+      round(avg(value), 9) AS mean_speed, max(value) AS top_speed FROM stints GROUP BY user_id, stint
     HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}"""
 )
 def stream_activity(spark, sf_dir):

@@ -42,11 +42,13 @@ def season_points(results: DataFrame, entities: DataFrame, entity: str, labels:
     return totals.join(entities.select(entity, *labels), entity).orderBy("year", F.desc("points"), entity)
 
 
-def latest_standings(standings: DataFrame, drivers: DataFrame, year: int | None = None) -> DataFrame:
+def latest_standings(
+    standings: DataFrame, drivers: DataFrame, year: int | None = None, n_races: int | None = None
+) -> DataFrame:
     """Snapshot before the last race of each season (or of one season), with names."""
     rows = standings if year is None else standings.filter(F.col("year") == year)
     last = rows.groupBy("year").agg(F.max("ro").alias("ro"))
-    latest = rows.join(F.broadcast(last), ["year", "ro"], "left_semi")  # one row per season
+    latest = rows.join(sized(last, n_races), ["year", "ro"], "left_semi")
     return latest.join(drivers.select("driver_id", "full_name", "code"), "driver_id").orderBy("year", "position")
 
 

@@ -20,6 +20,7 @@ from paceline.functions import constants as C
 from paceline.operators import metrics
 from paceline.plans import splits
 from paceline.plans.backtest import race_records
+from paceline.session import fixed
 
 # Columns that can be null in the matrix; the others have defaults
 NULLABLE = ["quali_gap_to_pole", "quali_consistency"]
@@ -169,6 +170,7 @@ def model_report(scored: DataFrame, key: Sequence[str], bound: int | None = None
         "position_mae": metrics.position_error(),
         "n": F.count(F.lit(1)),
     }
+    scored = fixed(scored.select(*key, "prob", "predicted_place", "is_podium", "finish_position"))
     report = scored.groupBy(*key).agg(*[v.alias(n) for n, v in values.items()])
     return report.join(metrics.auc(scored, key, bound=bound), list(key))
 
@@ -314,9 +316,11 @@ def rolling_backtest(
         model = fit_model(cached.filter(F.col("ro") < ro), None, classifier, regressor)
         return model.score(cached.filter(F.col("ro") == ro))
 
-    return _stacked(predict, rounds, parallel)
+    scored = fixed(_stacked(predict, rounds, parallel))
+    cached.unpersist()
+    return scored
 
 
 def season_report(model: PodiumModel, matrix: DataFrame, year: int, bound: int | None = None) -> DataFrame:
     """Race records of one season under a fitted model."""
-    return race_records(model.score(matrix.filter(F.col("year") == year)), "predicted_place", bound)
+    return race_records(fixed(model.score(matrix.filter(F.col("year") == year))), "predicted_place", bound)

@@ -98,12 +98,15 @@ class Feeds:
         """Car number and short code of a session; every tenth car has no code."""
         number = F.col("driver_number")
         code = F.when(number % 10 != 0, F.concat(F.lit("S"), number.cast("string")))
-        return self.timing.select("session", "driver_number").distinct().withColumn("name_acronym", code)
+        found = staged(
+            self.spark, ("cars", self.sf_dir), lambda: self.timing.select("session", "driver_number").distinct()
+        )
+        return found.withColumn("name_acronym", code)
 
     @property
     def priors(self) -> DataFrame:
         number = F.col("driver_number")
-        cars = self.timing.select("driver_number").distinct()
+        cars = self.cars.select("driver_number").distinct()
         return cars.filter(number % 2 == 0).withColumn("prior", (1 + number % 9) / F.lit(10.0))
 
 

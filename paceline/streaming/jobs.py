@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +34,13 @@ def _lap_stats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
     laps, best, numbers, times = state.get if state.exists else (0, None, [], [])
     recent = dict(zip(numbers, times))
     for chunk in chunks:
-        laps += len(chunk)
-        fastest = chunk["lap_duration"].min()
-        if pd.notna(fastest):
-            best = float(fastest) if best is None else min(best, float(fastest))
-        newest = chunk.nlargest(5, "lap_number")
-        recent.update({int(n): None if pd.isna(t) else float(t) for n, t in zip(newest["lap_number"], newest["lap_duration"])})
+        number, time = chunk["lap_number"].to_numpy(), chunk["lap_duration"].to_numpy(dtype=float)
+        laps += len(number)
+        known = time[~np.isnan(time)]
+        if len(known):
+            best = float(known.min()) if best is None else min(best, float(known.min()))
+        newest = np.argsort(number)[-5:]
+        recent.update({int(number[i]): None if np.isnan(time[i]) else float(time[i]) for i in newest})
         recent = dict(sorted(recent.items())[-5:])
     state.update((laps, best, list(recent), list(recent.values())))
     timed = [t for t in recent.values() if t is not None]
