@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import constants as C
 from paceline.functions import rules
-from paceline.operators.history import circuit_history, full_roster, or_default, recent_form, team_history
+from paceline.operators.history import circuit_history, form_columns, or_default, team_history
 from paceline.operators.ordering import sized, top_rows
 
 META = ["race_id", "ro", "year", "round", "driver_id", "constructor_id", "is_podium", "finish_position"]
@@ -38,23 +40,24 @@ def race_context(races: DataFrame, circuits: DataFrame) -> DataFrame:
     )
 
 
+def quali_columns(place: str, pole: str, *times: str) -> dict[str, Column]:
+    """Qualifying features from an entrant's place and times (null without a qualifying row)."""
+    last = F.col(times[-1])
+    return {
+        "grid_position": or_default(F.col(place), "grid_position"),
+        "quali_gap_to_pole": F.when(F.col(pole) > 0, last - F.col(pole)),
+        "quali_q3_reached": last.isNotNull().cast("long"),
+        "quali_consistency": spread_of_times(*times),
+    }
+
+
 def qualifying_features(roster: DataFrame, qualifying: DataFrame, n_races: int | None = None) -> DataFrame:
     """Grid place, gap to pole, final-session flag and consistency of times."""
-    pole = qualifying.groupBy("ro").agg(F.min("q3_sec").alias("pole"))
-    mine = qualifying.join(sized(pole, n_races), "ro").select(
-        "ro", "driver_id",
-        F.col("position").alias("_place"),
-        F.when(F.col("pole") > 0, F.col("q3_sec") - F.col("pole")).alias("quali_gap_to_pole"),
-        F.col("q3_sec").isNotNull().cast("long").alias("_q3"),
-        spread_of_times("q1_sec", "q2_sec", "q3_sec").alias("quali_consistency"),
-    )
-    joined = roster.join(mine, ["ro", "driver_id"], "left")
-    return joined.withColumns(
-        {
-            "grid_position": or_default(F.col("_place"), "grid_position"),
-            "quali_q3_reached": or_default(F.col("_q3"), "quali_q3_reached"),
-        }
-    ).drop("_place", "_q3")
+    pole = sized(qualifying.groupBy("ro").agg(F.min("q3_sec").alias("pole")), n_races)
+    mine = qualifying.select("ro", "driver_id", "position", "q1_sec", "q2_sec", "q3_sec")
+    joined = roster.join(mine, ["ro", "driver_id"], "left").join(pole, "ro", "left")
+    columns = quali_columns("position", "pole", "q1_sec", "q2_sec", "q3_sec")
+    return joined.withColumns(columns).drop("position", "pole", "q1_sec", "q2_sec", "q3_sec")
 
 
 def teammate_gaps(qualifying: DataFrame, n_team_races: int | None = None) -> DataFrame:
@@ -78,25 +81,56 @@ def teammate_gaps(qualifying: DataFrame, n_team_races: int | None = None) -> Dat
     )
 
 
+def standing_columns(place: str, points: str, team_place: str, team_points: str) -> dict[str, Column]:
+    values = (place, points, team_place, team_points)
+    return {name: or_default(F.col(c), name) for name, c in zip(STANDING_COLUMNS, values)}
+
+
 def standings_features(roster: DataFrame, standings: DataFrame) -> DataFrame:
-    mine = standings.select(
-        "ro", "driver_id",
-        F.col("position").alias("_pos"), F.col("points").alias("_pts"),
-        F.col("constructor_pos").alias("_cpos"), F.col("constructor_pts").alias("_cpts"),
-    )
-    joined = roster.join(mine, ["ro", "driver_id"], "left")
-    values = dict(zip(STANDING_COLUMNS, ("_pos", "_pts", "_cpos", "_cpts")))
-    return joined.withColumns({name: or_default(F.col(c), name) for name, c in values.items()}).drop(*values.values())
+    """Championship places and points before the race."""
+    values = ["position", "points", "constructor_pos", "constructor_pts"]
+    joined = roster.join(standings.select("ro", "driver_id", *values), ["ro", "driver_id"], "left")
+    return joined.withColumns(standing_columns(*values)).drop(*values)
 
 
-def home_flags(roster: DataFrame, drivers: DataFrame, homes: DataFrame) -> DataFrame:
+def home_flags(
+    roster: DataFrame, drivers: DataFrame, homes: DataFrame, n_homes: int | None = None
+) -> DataFrame:
     """1 where the circuit is one of the home circuits of the driver's nationality."""
-    home = homes.distinct().withColumn("_home", F.lit(1).cast("long"))
+    home = sized(homes.distinct(), n_homes).withColumn("_home", F.lit(1).cast("long"))
     joined = roster.join(drivers.select("driver_id", "nationality"), "driver_id", "left")
     joined = joined.join(home, ["nationality", "circuit_id"], "left")
     return joined.withColumn("home_race", or_default(F.col("_home"), "home_race")).drop("_home", "nationality")
 
 
+def entrant_rows(results: DataFrame, qualifying: DataFrame, standings: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The full roster with each entrant's own rows of all four tables, partitioned by driver.
+
+    The tables are stacked and folded per (driver, race), so every row is shuffled exactly once and
+    the result keeps the partitioning the driver windows need.
+    """
+    parts = {
+        "result": (results, ["race_id", "constructor_id", "is_podium", "position", "status"]),
+        "quali": (qualifying, ["race_id", "constructor_id", "position", "q1_sec", "q2_sec", "q3_sec"]),
+        "standing": (standings, ["position", "points", "constructor_pos", "constructor_pts"]),
+        "gap": (gaps, ["teammate_quali_gap"]),
+    }
+    stacked = [df.select("driver_id", "ro", F.struct(*columns).alias(name)) for name, (df, columns) in parts.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    folded = rows.repartition("driver_id").groupBy("driver_id", "ro")
+    folded = folded.agg(*[F.first(name, ignorenulls=True).alias(name) for name in parts])
+    raced = F.col("result").isNotNull()
+    return folded.filter(raced | F.col("quali").isNotNull()).withColumns(
+        {
+            "race_id": F.coalesce("result.race_id", "quali.race_id"),
+            "constructor_id": F.when(raced, F.col("result.constructor_id")).otherwise(F.col("quali.constructor_id")),
+            "is_podium": F.coalesce("result.is_podium", F.lit(0)),
+            "finish_position": F.col("result.position"),
+            "status": F.when(raced, F.col("result.status")).otherwise("Unknown"),
+        }
+    )
+
+
 def feature_matrix(
     results: DataFrame,
     qualifying: DataFrame,
@@ -107,29 +141,35 @@ def feature_matrix(
     homes: DataFrame,
     n_races: int | None = None,
     n_teams: int | None = None,
+    n_homes: int | None = None,
 ) -> DataFrame:
     """All features for the full roster of every race.
 
-    The roster is partitioned by driver once (in ``recent_form``); the driver windows and the joins
-    on (race, driver) reuse that partitioning. ``n_races`` and ``n_teams`` are known counts: race
-    and (team, race) facts are broadcast where these prove them small.
+    Entrant rows are shuffled once, by driver; all driver windows and the join with the drivers
+    reuse that partitioning. ``n_races``, ``n_teams`` and ``n_homes`` are known counts: race and
+    (team, race) facts are broadcast where these prove them small.
     """
-
-    def by_driver(df: DataFrame) -> DataFrame:
-        return df.repartition("driver_id")
-
     n_team_races = n_races * n_teams if n_races is not None and n_teams is not None else None
     context = sized(race_context(races, circuits), n_races)
-    roster = full_roster(results, qualifying).join(context, "ro")
-    teams = team_history(results, roster.select("constructor_id", "ro", "year", "circuit_id"))
-    matrix = qualifying_features(recent_form(roster), by_driver(qualifying), n_races)
-    matrix = circuit_history(matrix)
-    matrix = standings_features(matrix, by_driver(standings))
-    matrix = matrix.join(by_driver(teammate_gaps(qualifying, n_team_races)), ["ro", "driver_id"], "left")
-    matrix = matrix.withColumn("teammate_quali_gap", or_default(F.col("teammate_quali_gap"), "teammate_quali_gap"))
-    matrix = home_flags(matrix, drivers, homes)
-    matrix = matrix.join(sized(teams, n_team_races), ["constructor_id", "ro"], "left")
-    return matrix.select(*META, "circuit_id", *C.FEATURES)
+    pole = sized(qualifying.groupBy("ro").agg(F.min("q3_sec").alias("pole")), n_races)
+    team_races = results.select("constructor_id", "ro").unionByName(qualifying.select("constructor_id", "ro")).distinct()
+    teams = team_history(results, team_races.join(context, "ro"))
+
+    rows = entrant_rows(results, qualifying, standings, teammate_gaps(qualifying, n_team_races))
+    rows = rows.join(context, "ro").join(pole, "ro", "left")
+    rows = circuit_history(form_columns(rows))
+    rows = rows.withColumns(
+        {
+            **quali_columns("quali.position", "pole", "quali.q1_sec", "quali.q2_sec", "quali.q3_sec"),
+            **standing_columns(
+                "standing.position", "standing.points", "standing.constructor_pos", "standing.constructor_pts"
+            ),
+            "teammate_quali_gap": or_default(F.col("gap.teammate_quali_gap"), "teammate_quali_gap"),
+        }
+    )
+    rows = home_flags(rows, drivers, homes, n_homes)
+    rows = rows.join(sized(teams, n_team_races), ["constructor_id", "ro"], "left")
+    return rows.select(*META, "circuit_id", *C.FEATURES)
 
 
 def league_matrix(league) -> DataFrame:
@@ -138,7 +178,7 @@ def league_matrix(league) -> DataFrame:
         "matrix",
         lambda: feature_matrix(
             league.results, league.qualifying, league.standings, league.races, league.drivers, league.circuits,
-            league.homes, league.race_count, league.team_count,
+            league.homes, league.race_count, league.team_count, league.home_count,
         ),
     )
 

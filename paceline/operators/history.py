@@ -44,8 +44,14 @@ def recent_form(roster: DataFrame) -> DataFrame:
     """Average place, podium rate and DNF rate over the last classified races before this one.
 
     The state after each classified race is taken over classified rows only, so an unclassified
-    race takes no slot; every row then reads the latest state before it.
+    race takes no slot; every row then reads the latest state before it. Both windows share one
+    partitioning by driver.
     """
+    return form_columns(roster.repartition("driver_id"))
+
+
+def form_columns(roster: DataFrame) -> DataFrame:
+    """``recent_form`` of rows that are already partitioned by driver."""
     classified = F.col("finish_position").isNotNull()
     past = Window.partitionBy("driver_id", classified).orderBy("ro")
     last3, last5 = past.rowsBetween(-2, 0), past.rowsBetween(-4, 0)
@@ -59,7 +65,7 @@ def recent_form(roster: DataFrame) -> DataFrame:
             F.avg((~rules.finished(F.col("status"))).cast("int")).over(last5).alias("dnf"),
         ),
     )
-    seen = roster.repartition("driver_id").withColumn("_state", state)
+    seen = roster.withColumn("_state", state)
     seen = seen.withColumn("_state", _state_before(F.col("_state"), "driver_id"))
     return seen.withColumns(
         {

@@ -45,6 +45,10 @@ class League:
     def team_count(self) -> int:
         return self._table("region").count()
 
+    @cached_property
+    def home_count(self) -> int:
+        return self._table("nation").count()
+
     @property
     def entry(self) -> DataFrame:
         return self._staged("entry", self._build_entry)
