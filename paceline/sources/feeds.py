@@ -11,8 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.operators.ordering import running, with_group_totals
-from paceline.session import staged, staged_files
+from paceline.operators.ordering import running, sized
+from paceline.session import fixed, staged, staged_files
 from paceline.sources.tables import table
 
 # The league's tyre names by props.k mod 6
@@ -128,9 +128,10 @@ def build_timing(events: DataFrame) -> DataFrame:
     timed = running(rows, car, order, number="lap_number", sums={"total": F.col("amount")})
     timed = timed.withColumn("total", F.col("total").cast("decimal(18,2)")).drop("amount")
     lap = ["session", "lap_number"]
-    timed = with_group_totals(timed, lap, fastest=F.min("total"))
-    ranked = running(timed, lap, [F.asc("total"), F.asc("driver_number")], number="position")
-    ranked = fixed_gap(ranked)
+    # pinned: the leader of each lap and the car ahead are read from the same rows
+    ranked = fixed(running(timed, lap, [F.asc("total"), F.asc("driver_number")], number="position"))
+    leaders = ranked.filter("position = 1").select(*lap, F.col("total").alias("fastest"))
+    ranked = with_gap(ranked.join(sized(leaders, leaders.count()), lap))
     # the car ahead is the row one place up on the same lap: an equi-join, no window over the field
     ahead = ranked.select(*lap, (F.col("position") + 1).alias("position"), F.col("total").alias("ahead"))
     return (
@@ -143,6 +144,6 @@ def build_timing(events: DataFrame) -> DataFrame:
     )
 
 
-def fixed_gap(ranked: DataFrame) -> DataFrame:
+def with_gap(ranked: DataFrame) -> DataFrame:
     gap = (F.col("total") - F.col("fastest")).cast("decimal(18,2)").cast("string")
     return ranked.withColumn("gap_text", F.when(F.col("k") % 17 == 0, "+1 LAP").otherwise(gap))
