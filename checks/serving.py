@@ -225,6 +225,15 @@ def pre_race_answer(spark, sf_dir):
     return text_date(serving.pre_race_answer(scored_of(league), league.races, "predicted_place", league.race_count))
 
 
+@check(
+    with_ctes(BASE, PODIUM) + """SELECT race_id, driver_id, round(prob, 4) AS podium_probability, round(score, 6) AS score,
+      row_number() OVER (PARTITION BY ro ORDER BY prob DESC, driver_id) AS grid_order FROM ranked"""
+)
+def full_grid(spark, sf_dir):
+    league = League(spark, sf_dir)
+    return serving.full_grid(scored_of(league), "predicted_place", league.field_bound, league.race_count)
+
+
 @check(
     B + """SELECT race_id, driver_id, place, prob, printf('%.1f%%', prob * 100) AS label
     FROM (SELECT *, row_number() OVER (PARTITION BY ro ORDER BY prob DESC, driver_id) AS place FROM scored) WHERE place <= 10"""

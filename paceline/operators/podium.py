@@ -9,21 +9,36 @@ from pyspark.sql import functions as F
 
 from paceline.functions import constants as C
 from paceline.functions import rules
-from paceline.operators.ordering import top_rows, with_group_totals
+from paceline.operators.ordering import sized, top_rows
+
+
+def _gain(position: str | None) -> Column:
+    """What entrants are ranked by: a low predicted position, or the probability itself."""
+    return F.col("prob") if position is None else -F.coalesce(F.col(position), F.lit(C.RANK_DEFAULT_POSITION))
+
+
+def _race_totals(probs: DataFrame, key: Sequence[str], position: str | None, groups: int | None) -> DataFrame:
+    """Per race: the best gain and the total weight that scores are shares of."""
+    gain = _gain(position)
+    if position is None:
+        return probs.groupBy(*key).agg(F.max(gain).alias("_top"), (F.sum(gain) + 1e-9).alias("_total"))
+    best = sized(probs.groupBy(*key).agg(F.max(gain).alias("_top")), groups)
+    weights = probs.join(best, list(key)).groupBy(*key, "_top")
+    return weights.agg(F.sum(F.exp((gain - F.col("_top")) / C.RANK_TEMPERATURE)).alias("_total"))
+
+
+def _score(position: str | None) -> Column:
+    gain = _gain(position)
+    weight = gain if position is None else F.exp((gain - F.col("_top")) / C.RANK_TEMPERATURE)
+    return weight / F.col("_total")
 
 
 def ranking_scores(
     probs: DataFrame, key: Sequence[str], position: str | None = None, groups: int | None = None
 ) -> DataFrame:
     """Adds ``score``: softmax of the negative predicted position, or the share of probability."""
-    if position is None:
-        summed = with_group_totals(probs, key, groups, _total=F.sum("prob"))
-        return summed.withColumn("score", F.col("prob") / (F.col("_total") + 1e-9)).drop("_total")
-    gain = -F.coalesce(F.col(position), F.lit(C.RANK_DEFAULT_POSITION))
-    shifted = with_group_totals(probs.withColumn("_gain", gain), key, groups, _top=F.max("_gain"))
-    weighted = shifted.withColumn("_weight", F.exp((F.col("_gain") - F.col("_top")) / C.RANK_TEMPERATURE))
-    summed = with_group_totals(weighted, key, groups, _total=F.sum("_weight"))
-    return summed.withColumn("score", F.col("_weight") / F.col("_total")).drop("_gain", "_top", "_weight", "_total")
+    totals = sized(_race_totals(probs, key, position, groups), groups)
+    return probs.join(totals, list(key)).withColumn("score", _score(position)).drop("_top", "_total")
 
 
 def podium(
@@ -36,10 +51,12 @@ def podium(
 ) -> DataFrame:
     """The three places of every race with the original probability and the margin to fourth.
 
-    ``groups`` bounds the number of races.
+    Scores order entrants as their gain does, so four rows per race are taken first and only those
+    meet the race totals. ``groups`` bounds the number of races.
     """
-    scored = ranking_scores(probs, key, position, groups)
-    first4 = top_rows(scored, key, [F.desc("score"), F.asc(entity)], 4, "predicted_position")
+    first4 = top_rows(probs, key, [F.desc(_gain(position)), F.asc(entity)], 4, "predicted_position")
+    totals = sized(_race_totals(probs, key, position, groups), groups)
+    scored = first4.join(totals, list(key)).withColumn("score", _score(position))
     race = Window.partitionBy(*key)
 
     def score_of(place: int) -> Column:
@@ -47,7 +64,7 @@ def podium(
 
     margin = score_of(3) - score_of(4)
     return (
-        first4.withColumn("confidence", margin)
+        scored.withColumn("confidence", margin)
         .filter("predicted_position <= 3")
         .select(
             *key,

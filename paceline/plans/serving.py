@@ -10,7 +10,7 @@ from paceline.functions import rules
 from paceline.operators.distribution import place_probabilities, top_combinations
 from paceline.operators.history import latest_team_reliability
 from paceline.operators.ordering import running, sized, top_rows
-from paceline.operators.podium import actual_podium, ordered_ids, podium
+from paceline.operators.podium import actual_podium, ordered_ids, podium, ranking_scores
 
 RACE = ["race_id", "ro", "year", "round"]
 
@@ -185,6 +185,17 @@ def pre_race_answer(scored: DataFrame, races: DataFrame, position: str | None, g
     )
 
 
+def full_grid(
+    scored: DataFrame, position: str | None, bound: int | None = None, groups: int | None = None
+) -> DataFrame:
+    """Every entrant in order of probability, with its ranking score."""
+    scores = ranking_scores(scored, ["race_id"], position, groups)
+    ordered = running(scores, ["race_id"], [F.desc("prob"), F.asc("driver_id")], number="grid_order", bound=bound)
+    return ordered.select(
+        "race_id", "driver_id", F.round("prob", 4).alias("podium_probability"), F.round("score", 6).alias("score"), "grid_order"
+    ).orderBy("race_id", "grid_order")
+
+
 def leaders(probs: DataFrame, key: list[str], n: int = 10, value: str = "prob") -> DataFrame:
     """Top n per race by a probability, as text with one decimal."""
     top = top_rows(probs, key, [F.desc(value), F.asc("driver_id")], n, "place")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators import metrics
 from paceline.operators.features import league_matrix
-from paceline.plans import backtest, splits
+from paceline.plans import backtest, serving, splits
 from paceline.plans import training as tr
 from paceline.sources.league import League
 
@@ -99,3 +99,20 @@ def test_rolling_backtest_sees_only_the_past(matrix):
     want = {r.driver_id: r.prob for r in model.score(matrix.filter("ro = 199602")).collect()}
     got = {r.driver_id: r.prob for r in scored.filter("ro = 199602").collect()}
     assert got == pytest.approx(want)
+
+
+def test_stored_backtest_document(spark, tmp_path):
+    """One array per file with a probability map per race."""
+    import json
+
+    race = {"round": 1, "race_name": "X GP (R1)", "predicted": ["a", "b", "c"], "actual": ["b", "a", "d"], "correct": 2,
+            "brier_score": 0.05, "probabilities": {"a": 0.5, "b": 0.25}}
+    (tmp_path / "season.json").write_text(json.dumps([race, {**race, "round": 2, "probabilities": {}}], indent=2))
+    docs = backtest.read_backtest(spark, str(tmp_path / "season.json"), whole_file=True).withColumn(
+        "race_id", F.concat(F.lit("2025_"), "round")
+    )
+    assert docs.count() == 2
+    probs = {(r.race_id, r.driver_id): r.prob for r in backtest.probabilities_of(docs).collect()}
+    assert probs == {("2025_1", "a"): 0.5, ("2025_1", "b"): 0.25}
+    named = serving.backtest_predictions(docs, backtest.probabilities_of(docs)).orderBy("race_id", "predicted_position").collect()
+    assert [r.probability for r in named] == [0.5, 0.25, 0.5, 0.5, 0.5, 0.5] and {r.confidence for r in named} == {1.0}
