@@ -30,6 +30,7 @@ HEADLINE = [
     "projection_to_flag",
     "lap_convergence",
     "landed_results",
+    "stored_matrix",
     "merge_by_key",
     "upsert_partition",
     "duplicate_keys",
@@ -42,7 +43,7 @@ HEADLINE = [
 
 
 def _load():
-    from checks import features, landing, league, live, metrics, serving, streaming, training  # noqa: F401
+    from checks import features, landing, league, live, metrics, serving, store, streaming, training  # noqa: F401
 
 
 def queries():

@@ -53,3 +53,23 @@ LIVE_FEEDS = {
     "weather": "session_key string, air_temperature double, track_temperature double, humidity double, "
     "rainfall double, wind_speed double, date timestamp",
 }
+
+# stored tables; race tables carry the sortable race order and the year they are partitioned by
+_RACE_KEYS = "race_id string, ro bigint, year bigint"
+TABLES = {
+    "races": f"{_RACE_KEYS}, round bigint, circuit_id string, circuit_name string, country string, race_date date, "
+    "total_laps bigint",
+    "drivers": "driver_id string, code string, full_name string, nationality string, bucket bigint",
+    "constructors": "constructor_id string, name string, nationality string, bucket bigint",
+    "results": f"{_RACE_KEYS}, driver_id string, constructor_id string, grid bigint, position bigint, "
+    "position_text string, status string, points double, laps_completed bigint, fastest_lap_rank bigint, is_podium bigint",
+    "qualifying": f"{_RACE_KEYS}, driver_id string, constructor_id string, position bigint, q1_sec double, q2_sec double, "
+    "q3_sec double",
+    "practice_sessions": f"{_RACE_KEYS}, driver_id string, session_type string, best_lap_sec double, avg_lap_sec double, "
+    "laps_completed bigint",
+    "pit_stops": f"{_RACE_KEYS}, driver_id string, stop_number bigint, lap bigint, duration_sec double",
+    "weather": f"{_RACE_KEYS}, temperature double, precipitation_prob double, wind_speed double, humidity double, "
+    "condition string",
+    "standings_snapshot": f"{_RACE_KEYS}, driver_id string, points double, position bigint, constructor_id string, "
+    "constructor_pts double, constructor_pos bigint",
+}
