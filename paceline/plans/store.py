@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from paceline.functions import constants as C
 from paceline.functions import rules
 from paceline.operators.features import feature_matrix
+from paceline.session import new_path
 from paceline.sources import landing, merge, schemas
 
 BUCKETS = 32  # partitions of the two entity tables, by key hash
@@ -79,7 +80,10 @@ class Store:
         """
         report = None
         if results:
-            documents = landing.read_documents(self.spark, results, schemas.RESULTS_DOC)
+            # parsed once to columns: four tables and the report each read a few of them
+            parsed = new_path(self.spark, "parsed-results")
+            landing.read_documents(self.spark, results, schemas.RESULTS_DOC).write.parquet(parsed)
+            documents = self.spark.read.parquet(parsed)
             self.save("races", landing.races(documents))
             self.save("drivers", landing.drivers(documents))
             self.save("constructors", landing.constructors(documents))

@@ -119,3 +119,29 @@ def test_key_checks(spark):
     assert [tuple(r) for r in merge.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]
     assert merge.missing_values(df, ["v"]).first().v == 1
     assert merge.orphans(df, df.filter(F.col("k") == 1), "k").first().k == 3
+
+
+def test_store_ingests_twice_without_copies(spark, tmp_path):
+    from paceline.plans.store import Store
+
+    quali = [{"position": "1", "Q1": "1:23.456", "Driver": {"driverId": "a"}, "Constructor": {"constructorId": "t"}},
+             {"position": "2", "Q1": "1:24.000", "Driver": {"driverId": "z"}, "Constructor": {"constructorId": "t"}}]
+    paths = {
+        "results": write(tmp_path / "r", race(Results=RESULTS), '{"MRData": {"season": "2024"'),
+        "qualifying": write(tmp_path / "q", race(QualifyingResults=quali)),
+        "standings": write(tmp_path / "s", {"MRData": {"StandingsTable": {"StandingsLists": [
+            {"season": "2024", "round": "2", "DriverStandings": [{"points": "7", "position": "1", "Driver": {"driverId": "a"},
+             "Constructors": [{"constructorId": "t"}]}], "ConstructorStandings": []}]}}}),
+    }
+    store = Store(spark, str(tmp_path / "tables"))
+    for _ in range(2):
+        report = store.ingest(**paths).orderBy("ingested").collect()
+        assert sum(r.ingested for r in report) == 1 and sum(r.failed for r in report) == 1
+    assert store.table("results").count() == 2 and store.table("drivers").count() == 2
+    store.save("weather", spark.createDataFrame([("2024_3", 20.5, "dry")], "race_id string, temperature double, condition string"))
+    assert store.table("weather", 2024, 2024).first().temperature == 20.5
+    rows = {r.driver_id: r for r in store.matrix().collect()}
+    assert set(rows) == {"a", "b", "z"}
+    assert (rows["a"].driver_championship_pts, rows["a"].grid_position, rows["z"].is_podium) == (7.0, 1, 0)
+    assert (rows["b"].grid_position, rows["a"].circuit_overtake_difficulty) == (20, 0.35)
+    assert {r.duplicates for r in store.quality().collect()} == {0}
