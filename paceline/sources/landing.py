@@ -234,7 +234,8 @@ def practice_summary(laps: DataFrame, key: list[str]) -> DataFrame:
 def find_session(races: DataFrame, sessions: DataFrame, session_type: str = "Race") -> DataFrame:
     """First session of the year whose country and meeting name contain the race's search text.
 
-    The text is the race's country, or its circuit name where the country is empty.
+    The text is the race's country, or its circuit name where the country is empty. Races meet only
+    the sessions of their year, a few dozen by the calendar.
     """
     kind = sessions.filter(F.col("session_type") == session_type)
     where = F.lower(F.concat(F.coalesce("country_name", F.lit("")), F.coalesce("meeting_name", F.lit(""))))

@@ -25,6 +25,21 @@ def latest_state(timing: DataFrame) -> DataFrame:
     )
 
 
+NEWEST_LAPS = "session date, driver_number long, lap_number long, lap_duration double, best double, seen long"
+
+
+def _newest_laps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per Arrow batch and car: its five newest laps, its best time and its row count (on one row).
+
+    Runs before the shuffle, so a car with most of the rows reaches its task as a few per batch.
+    """
+    for rows in batches:
+        totals = rows.groupby(CAR)["lap_duration"].agg(best="min", seen="size").reset_index()
+        newest = rows.sort_values("lap_number").groupby(CAR).tail(5).merge(totals, on=CAR)
+        newest["seen"] = newest["seen"].where(~newest.duplicated(CAR), 0)
+        yield newest
+
+
 LAP_STATS = "session date, driver_number long, laps long, best_lap double, last5_mean double, trend double"
 LAP_STATE = "laps long, best double, numbers array<long>, times array<double>"
 
@@ -35,8 +50,8 @@ def _lap_stats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
     recent = dict(zip(numbers, times))
     for chunk in chunks:
         number, time = chunk["lap_number"].to_numpy(), chunk["lap_duration"].to_numpy(dtype=float)
-        laps += len(number)
-        known = time[~np.isnan(time)]
+        laps += int(chunk["seen"].sum())
+        known = chunk["best"].dropna().to_numpy(dtype=float)
         if len(known):
             best = float(known.min()) if best is None else min(best, float(known.min()))
         newest = np.argsort(number)[-5:]
@@ -57,7 +72,7 @@ def _lap_stats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
 
 def lap_stats(timing: DataFrame) -> DataFrame:
     """Running lap statistics per car with five laps of state (update mode)."""
-    laps = timing.select(*CAR, "lap_number", "lap_duration")
+    laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(_newest_laps, NEWEST_LAPS)
     return laps.groupBy(*CAR).applyInPandasWithState(
         _lap_stats, LAP_STATS, LAP_STATE, "update", GroupStateTimeout.NoTimeout
     )
@@ -133,7 +148,11 @@ def speed_windows(telemetry: DataFrame, size: str, delay: str, slide: str | None
 
 
 def activity_windows(telemetry: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Stints of activity per car: windows that end after a silence."""
+    """Stints of activity per car: windows that end after a silence.
+
+    For a car with most of the rows, merge sessions before the shuffle with
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``.
+    """
     window = F.session_window("ts", gap).alias("window")
     return _bounds(_speeds(telemetry.withWatermark("ts", delay).groupBy("driver_number", window)), "driver_number")
 
