@@ -49,6 +49,12 @@ def model_temporal_cv(spark, sf_dir):
     return tr.temporal_cv(league_matrix(League(spark, sf_dir)), TRAIN_END, HEAD_A, HEAD_B)
 
 
+@check()
+def model_split_report(spark, sf_dir):
+    league = League(spark, sf_dir)
+    return tr.split_report(final_model(league), league_matrix(league), TRAIN_END, TEST_YEAR, league.field_bound)
+
+
 @check()
 def model_season_report(spark, sf_dir):
     league = League(spark, sf_dir)

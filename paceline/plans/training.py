@@ -215,9 +215,13 @@ def train_final(
     matrix: DataFrame, train_end: int, classifier: Params = CLASSIFIER, regressor: Params = REGRESSOR
 ) -> PodiumModel:
     """Final model: trained before ``train_end`` and calibrated on it."""
-    return fit_model(
-        matrix.filter(F.col("year") < train_end), matrix.filter(F.col("year") == train_end), classifier, regressor
-    )
+    rows = splits.final_split(matrix, train_end, train_end + 1)
+    return fit_model(rows.filter("role = 'train'"), rows.filter("role = 'calibrate'"), classifier, regressor)
+
+
+def split_report(model: PodiumModel, matrix: DataFrame, train_end: int, test_year: int, bound: int | None = None) -> DataFrame:
+    """Metrics of the final model on its training, calibration and test rows."""
+    return model_report(model.score(splits.final_split(matrix, train_end, test_year)), ["role"], bound)
 
 
 # Search ranges of the two heads (low, high, logarithmic)

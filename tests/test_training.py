@@ -63,6 +63,8 @@ def test_model_round_trip(spark, matrix, tmp_path):
     first = model.score(rows).orderBy("ro", "driver_id").collect()
     again = tr.PodiumModel.load(model.save(str(tmp_path / "model"))).score(rows).orderBy("ro", "driver_id").collect()
     assert first == again and all(0 <= r.prob <= 1 for r in first)
+    roles = {r.role: r.n for r in tr.split_report(model, matrix, 1999, 2000).collect()}
+    assert set(roles) == {"train", "calibrate", "test"} and roles["test"] == len(first)
     top = model.importance(spark, 5).collect()
     assert len(top) == 5 and top[0].importance >= top[-1].importance
 
