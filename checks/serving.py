@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.ctes import LEAGUE, LS, L, with_ctes
+from checks.ctes import LS, L, with_ctes
 from checks.features import MATRIX
 from checks.landing import FORECAST, forecasts_of
 from checks.metrics import BASE, PODIUM, B, backtest_files, scored_of

@@ -28,53 +28,63 @@ def latest_state(timing: DataFrame) -> DataFrame:
 NEWEST_LAPS = "session date, driver_number long, lap_number long, lap_duration double, best double, seen long"
 
 
-def _newest_laps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch and car: its five newest laps, its best time and its row count (on one row).
+def newest_laps():
+    """Map-side step of ``lap_stats``; made here so that it travels to workers by value."""
 
-    Runs before the shuffle, so a car with most of the rows reaches its task as a few per batch.
-    """
-    for rows in batches:
-        totals = rows.groupby(CAR)["lap_duration"].agg(best="min", seen="size").reset_index()
-        newest = rows.sort_values("lap_number").groupby(CAR).tail(5).merge(totals, on=CAR)
-        newest["seen"] = newest["seen"].where(~newest.duplicated(CAR), 0)
-        yield newest
+    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per Arrow batch and car: its five newest laps, its best time and its row count (on one row).
+
+        Runs before the shuffle, so a car with most of the rows reaches its task as a few per batch.
+        """
+        for rows in batches:
+            totals = rows.groupby(CAR)["lap_duration"].agg(best="min", seen="size").reset_index()
+            newest = rows.sort_values("lap_number").groupby(CAR).tail(5).merge(totals, on=CAR)
+            newest["seen"] = newest["seen"].where(~newest.duplicated(CAR), 0)
+            yield newest
+
+    return reduce_batches
 
 
 LAP_STATS = "session date, driver_number long, laps long, best_lap double, last5_mean double, trend double"
 LAP_STATE = "laps long, best double, numbers array<long>, times array<double>"
 
 
-def _lap_stats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold new laps into the last five and the best; rows may come in any order."""
-    laps, best, numbers, times = state.get if state.exists else (0, None, [], [])
-    recent = dict(zip(numbers, times))
-    for chunk in chunks:
-        number, time = chunk["lap_number"].to_numpy(), chunk["lap_duration"].to_numpy(dtype=float)
-        laps += int(chunk["seen"].sum())
-        known = chunk["best"].dropna().to_numpy(dtype=float)
-        if len(known):
-            best = float(known.min()) if best is None else min(best, float(known.min()))
-        newest = np.argsort(number)[-5:]
-        recent.update({int(number[i]): None if np.isnan(time[i]) else float(time[i]) for i in newest})
-        recent = dict(sorted(recent.items())[-5:])
-    state.update((laps, best, list(recent), list(recent.values())))
-    timed = [t for t in recent.values() if t is not None]
-    mean = sum(timed) / len(timed) if timed else None
-    trend = 0.0
-    if len(timed) >= 3:
-        centre = (len(timed) - 1) / 2
-        trend = sum((i - centre) * t for i, t in enumerate(timed)) / sum((i - centre) ** 2 for i in range(len(timed)))
-    yield pd.DataFrame(
-        {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean],
-         "trend": [trend]}
-    )
+def lap_fold():
+    """State step of ``lap_stats``; made here so that it travels to workers by value."""
+
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Fold new laps into the last five and the best; rows may come in any order."""
+        laps, best, numbers, times = state.get if state.exists else (0, None, [], [])
+        recent = dict(zip(numbers, times))
+        for chunk in chunks:
+            number, time = chunk["lap_number"].to_numpy(), chunk["lap_duration"].to_numpy(dtype=float)
+            laps += int(chunk["seen"].sum())
+            known = chunk["best"].dropna().to_numpy(dtype=float)
+            if len(known):
+                best = float(known.min()) if best is None else min(best, float(known.min()))
+            newest = np.argsort(number)[-5:]
+            recent.update({int(number[i]): None if np.isnan(time[i]) else float(time[i]) for i in newest})
+            recent = dict(sorted(recent.items())[-5:])
+        state.update((laps, best, list(recent), list(recent.values())))
+        timed = [t for t in recent.values() if t is not None]
+        mean = sum(timed) / len(timed) if timed else None
+        trend = 0.0
+        if len(timed) >= 3:
+            centre = (len(timed) - 1) / 2
+            trend = sum((i - centre) * t for i, t in enumerate(timed)) / sum((i - centre) ** 2 for i in range(len(timed)))
+        yield pd.DataFrame(
+            {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean],
+             "trend": [trend]}
+        )
+
+    return fold
 
 
 def lap_stats(timing: DataFrame) -> DataFrame:
     """Running lap statistics per car with five laps of state (update mode)."""
-    laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(_newest_laps, NEWEST_LAPS)
+    laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(newest_laps(), NEWEST_LAPS)
     return laps.groupBy(*CAR).applyInPandasWithState(
-        _lap_stats, LAP_STATS, LAP_STATE, "update", GroupStateTimeout.NoTimeout
+        lap_fold(), LAP_STATS, LAP_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
