@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "sharding")
+MODULES = ("mixing", "decontamination", "language", "sharding", "exact_dedup")
 
 
 def _loaded():
