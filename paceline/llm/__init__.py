@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "decontamination", "language", "sharding", "exact_dedup")
+MODULES = ("mixing", "decontamination", "language", "sharding", "url_filter", "exact_dedup")
 
 
 def _loaded():
