@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from paceline.llm.rows import landed, locator, text_of
 from paceline.session import new_path
 
-STATE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk, without files that reserve space ahead of their content
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _read(df: DataFrame, text: str, key: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -28,6 +31,11 @@ def _read(df: DataFrame, text: str, key: str, digest: Callable[[Column], Column]
     )
 
 
+def _copies() -> Column:
+    """One row for each copy of something that hits of one digest are compared with."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+
+
 def digest_state(
     spark: SparkSession, path: str, text: str, key: str, digest: Callable[[Column], Column], files_per_batch: int | None
 ) -> DataFrame:
@@ -45,8 +53,9 @@ def digest_state(
     def land(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(STATE)
-    spark.conf.set(STATE, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -57,7 +66,8 @@ def digest_state(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(STATE, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     if not query.lastProgress:  # a table without rows starts no batch
         return spark.createDataFrame([], state.schema)
     # the newest version of a digest is the one that has counted most rows
@@ -109,18 +119,19 @@ def exact_dedup(
     hits = marked.where(hit).withColumn("copies", 1 + F.floor(F.col("size") / rows_per_copy))
     located = (
         hits.where(F.col("at") == F.col("keep.at"))
-        .select("digest", F.col("content").alias("located"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        .select("digest", F.col("content").alias("located"), _copies())
     )
     same = F.col("content") == F.col("located")
     checked = landed(
         hits.withColumn("copy", F.pmod(F.xxhash64("at"), F.col("copies")))
         .join(located, ["digest", "copy"])
-        .select("doc_id", "digest", "at", "keep", "size", "text_sha256", same.alias("same"), F.when(~same, F.col("content")).alias("content")),
+        .select("doc_id", "digest", "copy", "copies", "at", "keep", "size", "text_sha256", same.alias("same"), F.when(~same, F.col("content")).alias("content")),
         "digest-checked",
     )
     odd = checked.where("NOT same")
-    less = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("others"))
-    equal = checked.where("same").join(less, "digest", "left").select(
+    less = odd.groupBy("digest", "copies").agg(F.count(F.lit(1)).alias("others"))
+    less = less.select("digest", "others", _copies())
+    equal = checked.where("same").join(less, ["digest", "copy"], "left").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         (F.col("size") - F.coalesce("others", F.lit(0))).alias("group_size"),
