@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "license_scan", "decontamination", "language", "toxicity", "sharding", "jaccard_join", "url_filter", "exact_dedup")
+MODULES = ("mixing", "license_scan", "decontamination", "language", "toxicity", "repeated_text", "sharding", "jaccard_join", "url_filter", "exact_dedup")
 
 
 def _loaded():
