@@ -15,6 +15,10 @@ partners weigh as much or more. With E_m the race's tail sum of w^m / (1 - w) th
     a/(1-a) (E_1 + sum over m of E_m / (1-a)^m)
 
 so TERMS sums per race give the result to double precision.
+
+One or two entrants may hold all but a trace of the weight. What is left after entrants of the head
+is therefore added up from the others, never taken as a difference from one, and the sums for a
+member of the head leave out its own terms instead of subtracting them.
 """
 
 from __future__ import annotations
@@ -40,57 +44,97 @@ def draw_weights(probs: DataFrame, key: Sequence[str], groups: int | None = None
     return totals.withColumn("weight", weight).drop("_total", "_positive").withColumnRenamed("_n", "field_size")
 
 
+def _heads(weights: DataFrame, key: Sequence[str], entity: str, size: int, groups: int | None, sums: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(races, entrants): per race the ``size`` heaviest (``h``: place, id, weight), the weight ``t`` of the tail and
+    ``sums`` over the tail; every entrant with its ``slot`` in the head from 1, or 0."""
+    ids = weights.select(*key, F.col(entity).alias("id"), "weight")
+    best = top_rows(ids, key, [F.desc("weight"), F.asc("id")], size, "place")
+    heads = fixed(best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "id", "weight"))).alias("h")))
+    rows = weights.join(sized(heads, groups), list(key))
+    # as structs, null ids compare like others
+    slot = F.array_position(F.transform("h", lambda x: F.struct(x["id"].alias("id"))), F.struct(F.col(entity).alias("id")))
+    rows = rows.withColumn("slot", slot)
+    in_tail = F.col("slot") == 0
+    tails = rows.filter(in_tail).groupBy(*key).agg(F.sum("weight").alias("t"), *sums)
+    races = heads.join(sized(tails, groups), list(key), "left")
+    return races.na.fill(0.0, [c for c in tails.columns if c not in key]), rows.drop("h")
+
+
+def _rest(*left_out: str) -> str:
+    """SQL for the weight of all entrants but the given places (from 0) of the head ``w``."""
+    others = " AND ".join(f"k <> {i}" for i in left_out)
+    return f"aggregate(filter(w, (y, k) -> {others}), t, (s, y) -> s + y)"
+
+
 def place_probabilities(
     probs: DataFrame, key: Sequence[str], entity: str = "driver_id", groups: int | None = None
 ) -> DataFrame:
-    """Adds p1, p2, p3 and the podium probability of every entrant; ``groups`` bounds the races."""
-    weights = fixed(
-        draw_weights(probs, key, groups)
-        .withColumn("_ratio", F.expr("CASE WHEN weight < 1 THEN 1 / (1 - weight) ELSE 0D END"))
-        .withColumn("_odds", F.expr("weight * _ratio"))
+    """Adds p1, p2, p3 and the podium probability of every entrant; ``groups`` bounds the races.
+
+    The weights are written once; all other intermediates have a row per race.
+    """
+    weights = fixed(draw_weights(probs, key, groups))
+    powers = [F.expr(f"sum(pow(weight, {m}) / (1 - weight))").alias(f"e{m}") for m in range(1, TERMS + 1)]
+    races, rows = _heads(weights, key, entity, HEAD, groups, powers)
+
+    races = races.withColumn("w", F.expr("transform(h, x -> x.weight)"))
+    races = races.withColumn("ratio", F.expr(f"transform(w, (x, i) -> coalesce(1 / nullif({_rest('i')}, 0D), 0D))"))
+    races = races.withColumn("odds", F.expr("transform(w, (x, i) -> x * ratio[i])"))
+    pair = f"coalesce(x * z * (ratio[i] + ratio[j]) / nullif({_rest('i', 'j')}, 0D), 0D)"
+    races = races.withColumn("g", F.expr(f"transform(w, (x, i) -> transform(w, (z, j) -> CASE WHEN i = j THEN 0D ELSE {pair} END))"))
+
+    def powers_of(ratio: str) -> str:
+        horner = "0D"
+        for m in range(TERMS, 0, -1):
+            horner = f"(({horner} + e{m}) * {ratio})"
+        return f"(e1 + {horner})"
+
+    races = races.withColumn("s", F.expr(f"transform(w, (x, i) -> odds[i] * {powers_of('ratio[i]')})"))
+    # for each head member, and for the tail (last), the sums over the head that leave it out
+    add = "(a, b) -> a + b"
+    left_out = "concat(transform(w, (x, i) -> i), array(-1))"
+    races = races.withColumns(
+        {
+            "odds_of": F.expr(f"transform({left_out}, o -> aggregate(filter(odds, (y, k) -> k <> o), e1, {add}))"),
+            "tails_of": F.expr(f"transform({left_out}, o -> aggregate(filter(s, (y, k) -> k <> o), 0D, {add}))"),
+            "pairs_of": F.expr(
+                f"transform({left_out}, o -> aggregate(transform(filter(sequence(0, size(w) - 1), i -> i <> o), "
+                f"i -> aggregate(filter(g[i], (y, j) -> j > i AND j <> o), 0D, {add})), 0D, {add}))"
+            ),
+        }
     )
-    heads = weights.select(*key, F.col(entity).alias("id"), "weight", "_odds")
-    heads = top_rows(heads, key, [F.desc("weight"), F.asc("id")], HEAD, "_place")
-    heads = heads.groupBy(*key).pivot("_place", list(range(1, HEAD + 1)))
-    heads = fixed(heads.agg(F.first("id").alias("id"), F.first("weight").alias("w"), F.first("_odds").alias("o")))
-    rows = weights.join(sized(heads, groups), list(key))
-    member = " OR ".join(f"{entity} <=> `{h}_id`" for h in range(1, HEAD + 1))
-    rows = rows.withColumn("_tail", ~F.expr(member))
-    # sums over the tail of w^m / (1 - w), and over everybody of w / (1 - w) for the second place
-    sums = [F.expr(f"sum(CASE WHEN _tail THEN pow(weight, {m}) * _ratio ELSE 0D END) AS _e{m}") for m in range(1, TERMS + 1)]
-    summary = fixed(rows.groupBy(*key).agg(F.sum("_odds").alias("_all_odds"), *sums))
-    rows = rows.join(sized(summary, groups), list(key))
-
-    horner = "0D"
-    for m in range(TERMS, 0, -1):
-        horner = f"({horner} + _e{m}) * _ratio"
-    with_tail = f"_odds * (_e1 + {horner})"
-    self_term = "CASE WHEN _tail THEN 2 * weight * _odds / (1 - 2 * weight) ELSE 0D END"
-    with_head = " + ".join(
-        f"CASE WHEN `{h}_w` IS NULL OR {entity} = `{h}_id` THEN 0D "
-        f"ELSE (`{h}_w` * _odds + weight * `{h}_o`) / (1 - weight - `{h}_w`) END"
-        for h in range(1, HEAD + 1)
+    sums = [f"e{m}" for m in range(1, TERMS + 1)]
+    races = fixed(races.select(*key, "w", "ratio", "t", *sums, "odds_of", "tails_of", "pairs_of"))
+    rows = rows.join(sized(races, groups), list(key))
+    # an entrant of the tail leaves its own terms out of the sums by subtraction: they are the smallest
+    own = "(weight / (1 - weight))"
+    with_tail = f"({own} * {powers_of('(1 / (1 - weight))')} - 2 * weight * {own} / (1 - 2 * weight))"
+    with_head = (
+        "aggregate(transform(w, (x, i) -> coalesce(x * weight * (ratio[i] + 1 / (1 - weight)) "
+        "/ nullif(1 / ratio[i] - weight, 0D), 0D)), 0D, (a, b) -> a + b)"
     )
-    partners = F.expr(f"CASE WHEN field_size >= 3 THEN {with_head} + {with_tail} - {self_term} ELSE 0D END AS _r")
-    rows = fixed(rows.select(*probs.columns, "weight", "field_size", "_odds", "_all_odds", partners))
-    rows = with_group_totals(rows, key, groups, _t=F.sum("_r") / 2)
+    rows = rows.withColumn("_r", F.expr(f"CASE WHEN slot = 0 THEN {with_tail} ELSE 0D END"))
+    total = rows.groupBy(*key).agg((F.sum("_r") / 2).alias("_tt"))
+    rows = rows.join(sized(total, groups), list(key))
+    rows = rows.withColumn("_o", F.expr("CASE WHEN slot = 0 THEN size(w) ELSE slot - 1 END").cast("int"))
+    third = f"pairs_of[_o] + tails_of[_o] + _tt - CASE WHEN slot = 0 THEN {with_head} + _r ELSE 0D END"
     places = {
         "p1": F.col("weight"),
-        "p2": F.expr("CASE WHEN field_size >= 2 THEN weight * (_all_odds - _odds) ELSE 0D END"),
-        "p3": F.expr("CASE WHEN field_size >= 3 THEN weight * (_t - _r) ELSE 0D END"),
+        "p2": F.expr(f"CASE WHEN field_size >= 2 THEN weight * (odds_of[_o] - CASE WHEN slot = 0 THEN {own} ELSE 0D END) ELSE 0D END"),
+        "p3": F.expr(f"CASE WHEN field_size >= 3 THEN weight * ({third}) ELSE 0D END"),
     }
     placed = rows.withColumns(places).withColumn("podium_prob", F.expr("p1 + p2 + p3"))
     return placed.select(*probs.columns, *places, "podium_prob")
 
 
-def _orderings(a: Column, b: Column, c: Column) -> Column:
-    """Probability that the three take the podium in any order."""
+def _orderings(a: Column, b: Column, c: Column, left: Column) -> Column:
+    """Probability that the three take the podium in any order, with ``left`` the weight of all others."""
 
-    def first_two(x: Column, y: Column) -> Column:
-        return x * y / (1 - x) + y * x / (1 - y)
+    def first_two(x: Column, y: Column, z: Column) -> Column:
+        return x * y / (y + z + left) + y * x / (x + z + left)
 
     def with_third(x: Column, y: Column, z: Column) -> Column:
-        return first_two(x, y) * F.when(x + y >= 1, 0.0).otherwise(z / (1 - x - y))
+        return first_two(x, y, z) * F.when(z + left > 0, z / (z + left)).otherwise(0.0)
 
     return with_third(a, b, c) + with_third(a, c, b) + with_third(b, c, a)
 
@@ -105,22 +149,23 @@ def top_combinations(
     for one of the other heavier entrants; the k + 2 heaviest are all that can appear, so the
     search is exact.
     """
-    weights = draw_weights(probs, key, groups).select(*key, entity, "weight")
-    best = top_rows(weights, key, [F.desc("weight"), F.asc(entity)], k + 2, "rank")
-    members = F.array_sort(F.collect_list(F.struct("rank", F.col(entity).alias("id"), "weight")))
-    grouped = best.groupBy(*key).agg(members.alias("m"))
+    weights = fixed(draw_weights(probs, key, groups).select(*key, entity, "weight"))
+    races, _ = _heads(weights, key, entity, k + 2, groups, [])
+    grouped = races.select(*key, F.transform("h", lambda x: F.struct(x["place"].alias("rank"), x["id"].alias("id"), x["weight"].alias("weight"))).alias("m"), "t")
     trio_ranks = [(a, b, c) for a in range(k + 2) for b in range(a + 1, k + 2) for c in range(b + 1, k + 2)]
     m = F.col("m")
     trios = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in trio_ranks]
     )
-    exploded = grouped.select(*key, "m", F.explode(F.filter(trios, lambda t: t["c"] < F.size(m))).alias("t"))
+    exploded = grouped.select(*key, "m", F.col("t").alias("tail"), F.explode(F.filter(trios, lambda t: t["c"] < F.size(m))).alias("t"))
     member = [F.get(m, F.col(f"t.{x}")) for x in "abc"]
+    others = F.filter(m, lambda x, i: (i != F.col("t.a")) & (i != F.col("t.b")) & (i != F.col("t.c")))
+    left = F.aggregate(others, F.col("tail"), lambda total, x: total + x["weight"])
     scored = exploded.select(
         *key,
         *[member[i]["id"].alias(f"member_{i + 1}") for i in range(3)],
         F.col("t").alias("_ranks"),
-        _orderings(*[x["weight"] for x in member]).alias("combo_prob"),
+        _orderings(*[x["weight"] for x in member], left).alias("combo_prob"),
     )
     order = [F.desc(F.round("combo_prob", 12)), F.asc("_ranks")]
     return top_rows(scored, key, order, k, "combo_rank").drop("_ranks")

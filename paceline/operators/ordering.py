@@ -42,7 +42,8 @@ def running(
     ``bound`` is a known upper limit on rows per group; without it the largest group is counted.
     Groups within ``limit`` use an ordinary window. Beyond it the rows are range-partitioned on
     (group, order), numbered inside each range and shifted by the totals of the ranges before it,
-    so no task ever holds a whole group. Group columns must not be null.
+    so no task ever holds a whole group. Both ways give the same rows: null groups are groups, and a
+    sum is null until the first value that is not.
     """
     sums = sums or {}
     limit = GROUP_LIMIT if limit is None else limit
@@ -60,24 +61,26 @@ def running(
     ranged = fixed(ranged.withColumns({"_part": F.spark_partition_id(), **{f"_v_{n}": v for n, v in sums.items()}}))
     keys = [*group, "_part"]
     totals = ranged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.count(f"_v_{n}").alias(f"_k_{n}") for n in sums],
     )
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
-        *keys,
+        *[F.col(c).alias(f"_g_{c}") for c in keys],
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums],
+        *[F.coalesce(F.sum(f"_k_{n}").over(earlier), F.lit(0)).alias(f"_k0_{n}") for n in sums],
     )
     rows = Window.partitionBy(*keys).orderBy(*order)
     upto = rows.rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns(
-        {"_rn": F.row_number().over(rows), **{f"_c_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}}
-    )
-    joined = local.join(shifts, keys)
+    local = ranged.withColumns({"_rn": F.row_number().over(rows), **{f"_c_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]
+    joined = local.join(shifts, same)
     out = [F.col(c) for c in df.columns]
-    # a sum is null until the first non-null value, as in the plain window
-    seen = {n: F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.col(f"_s_{n}") for n in sums}
-    out += [value.alias(n) for n, value in seen.items()]
+    for n in sums:
+        seen = F.col(f"_c_{n}").isNotNull() | (F.col(f"_k0_{n}") > 0)
+        out.append(F.when(seen, F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.col(f"_s_{n}")).alias(n))
     if number:
         out.append((F.col("_rn") + F.col("_n0")).cast("long").alias(number))
     return joined.select(*out)

@@ -6,9 +6,11 @@ from paceline.operators.ordering import BROADCAST_ROWS, largest_group, running,
 
 
 def skewed(spark, n=3000):
-    """A third of the rows share one group."""
+    """A third of the rows share one group, some have a null group, and every group begins with null values."""
     pick = random.Random(1)
-    rows = [(0 if i % 3 == 0 else pick.randint(1, 40), pick.randint(0, 50), i, pick.choice([None, 1, 2])) for i in range(n)]
+    groups = [None, *range(1, 40)]
+    rows = [(0 if i % 3 == 0 else pick.choice(groups), pick.randint(0, 50), i, pick.choice([None, 1, 2])) for i in range(n)]
+    rows = [(g, a, i, None if a > 45 else v) for g, a, i, v in rows]
     return spark.createDataFrame(rows, "g long, a long, id long, v long").repartition(5)
 
 
@@ -20,8 +22,15 @@ def test_split_equals_window(spark):
     df = skewed(spark)
     window = running(df, ["g"], order(), number="rn", sums={"total": F.col("v")})
     split = running(df, ["g"], order(), number="rn", sums={"total": F.col("v")}, limit=0)
-    first = {r.id: (r.rn, r.total or 0) for r in window.collect()}
-    assert {r.id: (r.rn, r.total) for r in split.collect()} == first
+    first = {r.id: (r.g, r.rn, r.total) for r in window.collect()}
+    assert {r.id: (r.g, r.rn, r.total) for r in split.collect()} == first
+    assert any(g is None for g, _, _ in first.values()) and any(total is None for _, _, total in first.values())
+
+
+def test_split_keeps_groups_without_any_value(spark):
+    df = skewed(spark).withColumn("v", F.when(F.col("g") == 3, F.lit(None)).otherwise(F.col("v")))
+    split = running(df, ["g"], order(), sums={"total": F.col("v")}, limit=0)
+    assert {r.total for r in split.filter("g = 3").collect()} == {None}
 
 
 def test_split_uses_many_ranges_for_a_hot_group(spark):

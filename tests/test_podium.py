@@ -1,5 +1,6 @@
 import itertools
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -54,6 +55,37 @@ def brute(weights):
     return out, trios
 
 
+def exact_brute(probs):
+    """By definition, in fractions."""
+    whole = {d: Fraction(p) for d, p in probs.items()}
+    total = sum(whole.values())
+    weights = {d: p / total for d, p in whole.items()}
+    out, trios = {d: [Fraction(0)] * 3 for d in weights}, {}
+    for a, b, c in itertools.permutations(weights, 3):
+        rest = sum(w for d, w in weights.items() if d != a)
+        p = weights[a] * weights[b] / rest * weights[c] / (rest - weights[b])
+        for i, d in enumerate((a, b, c)):
+            out[d][i] += p
+        trios[frozenset((a, b, c))] = trios.get(frozenset((a, b, c)), 0) + p
+    return {d: [float(x) for x in ps] for d, ps in out.items()}, sorted(map(float, trios.values()), reverse=True)
+
+
+def test_near_certain_fields(spark):
+    fields = [
+        dict(a=0.5, b=0.5, c=1e-18, d=1e-18),
+        dict(a=1.0, b=1e-18, c=1e-18, d=3e-18),
+        {"a": 1.0, "b": 1e-9, **{f"d{i}": 1e-25 * (1 + i) for i in range(14)}},
+        {f"d{i}": 10.0 ** (-7 * i) for i in range(13)},
+    ]
+    for number, probs in enumerate(fields):
+        want, trios = exact_brute(probs)
+        df = race(spark, probs, number=number)
+        for r in place_probabilities(df, ["ro"]).collect():
+            assert [r.p1, r.p2, r.p3] == pytest.approx(want[r.driver_id], rel=1e-6, abs=1e-12)
+        best = top_combinations(df, ["ro"]).orderBy("combo_rank").collect()
+        assert [r.combo_prob for r in best] == pytest.approx(trios[:5], rel=1e-6, abs=1e-12)
+
+
 def races():
     pick = random.Random(5)
     yield dict(a=0.5, b=0.3, c=0.1, d=0.05, e=0.05)
