@@ -12,6 +12,7 @@ from paceline.session import new_path
 from paceline.sources import documents, landing, merge, schemas, tables
 from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
+from paceline.sources.live_feeds import LandedFeeds
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -180,15 +181,32 @@ def ingest_report(spark, sf_dir):
 
 def live_documents(feeds, feed):
     """Write one live feed as JSON and land it again."""
-    session = F.col("session").cast("string").alias("session_key")
+    return landing.live_feed(feeds.spark, live_path(feeds, feed), feed)
+
+
+def session_number(session):
+    """Key of a session in the feeds: its day as a number."""
+    return F.date_format(session, "yyyyMMdd").cast("long")
+
+
+KEY = "strftime(session, '%Y%m%d')::BIGINT"
+
+
+def live_path(feeds, feed):
+    """Folder of one live feed: places and gaps come twice a lap, and every session has an unreadable line."""
+    session = session_number(F.col("session")).alias("session_key")
     at = F.col("ts").cast("timestamp")
+    later = lambda n: (at + F.make_dt_interval(secs=F.lit(n))).alias("date")
     frames = {
         "laps": lambda: feeds.laps.select(session, "driver_number", "lap_number", "lap_duration", at.alias("date_start")),
         "intervals": lambda: feeds.timing.select(
-            session, "driver_number", "lap_number", "position", F.col("gap_text").alias("gap_to_leader"), "interval",
-            at.alias("date"),
+            session, "driver_number", F.col("gap_text").alias("gap_to_leader"), "interval", at.alias("date")
+        ).union(
+            feeds.timing.select(session, "driver_number", (F.col("k") % 5).cast("string"), "interval", later(2))
+        ),
+        "position": lambda: feeds.timing.select(session, "driver_number", "position", at.alias("date")).union(
+            feeds.timing.select(session, "driver_number", F.col("position") + F.col("k") % 3, later(1))
         ),
-        "position": lambda: feeds.timing.select(session, "driver_number", "position", at.alias("date")),
         "car_data": lambda: feeds.timing.select(
             session, "driver_number", F.col("lap_duration").alias("speed"), at.alias("date")
         ),
@@ -205,36 +223,45 @@ def live_documents(feeds, feed):
             session, F.year("session").cast("long").alias("year"), F.lit("Race").alias("session_type")
         ),
     }
-    path = written(feeds, f"feed_{feed}", lambda p: frames[feed]().write.json(p))
-    return landing.live_feed(feeds.spark, path, feed)
 
+    def write(path):
+        broken = feeds.sessions.select(F.concat(F.lit('{"session_key": '), "session", F.lit(", broken")).alias("value"))
+        frames[feed]().select(F.to_json(F.struct("*")).alias("value")).union(broken).write.text(path)
 
-@check(T + "SELECT session::VARCHAR AS session_key, driver_number, lap_number, lap_duration FROM timing")
+    return written(feeds, f"feed_{feed}", write)
+
+
+def landed_feeds(feeds):
+    names = ["laps", "intervals", "position", "pit", "stints", "race_control", "drivers"]
+    return LandedFeeds(feeds.spark, {name: live_path(feeds, name) for name in names})
+
+
+@check(T + "SELECT strftime(session, '%Y%m%d')::BIGINT AS session_key, driver_number, lap_number, lap_duration FROM timing")
 def landed_laps(spark, sf_dir):
     return live_documents(Feeds(spark, sf_dir), "laps").drop("date_start")
 
 
 @check(
-    T + """SELECT session::VARCHAR AS session_key, driver_number, lap_number, position, gap_text AS gap_to_leader, interval
-    FROM timing"""
+    T + f"""SELECT {KEY} AS session_key, driver_number, gap_text AS gap_to_leader, interval FROM timing
+    UNION ALL SELECT {KEY}, driver_number, (k % 5)::VARCHAR, interval FROM timing"""
 )
 def landed_intervals(spark, sf_dir):
     return live_documents(Feeds(spark, sf_dir), "intervals").drop("date")
 
 
 @check(
-    T + """SELECT session::VARCHAR AS session_key, 'race_control' AS feed, count(*) AS n,
+    T + f"""SELECT {KEY} AS session_key, 'race_control' AS feed, count(*) AS n,
         sum(lap_number)::BIGINT AS total FROM timing WHERE event_type IN ('signup', 'error') GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'pit', count(*), sum(lap_number)::BIGINT FROM timing
+      UNION ALL SELECT {KEY}, 'pit', count(*), sum(lap_number)::BIGINT FROM timing
         WHERE event_type = 'purchase' GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'stints', count(*), sum(k % 4)::BIGINT FROM timing
+      UNION ALL SELECT {KEY}, 'stints', count(*), sum(k % 4)::BIGINT FROM timing
         WHERE event_type = 'purchase' GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'position', count(*), sum(position)::BIGINT FROM timing GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'car_data', count(*), count(lap_duration) FROM timing GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'weather', count(*), sum(k)::BIGINT FROM timing WHERE position = 1 GROUP BY session
-      UNION ALL SELECT session::VARCHAR, 'drivers', count(DISTINCT driver_number),
+      UNION ALL SELECT {KEY}, 'position', 2 * count(*), (sum(position) * 2 + sum(k % 3))::BIGINT FROM timing GROUP BY session
+      UNION ALL SELECT {KEY}, 'car_data', count(*), count(lap_duration) FROM timing GROUP BY session
+      UNION ALL SELECT {KEY}, 'weather', count(*), sum(k)::BIGINT FROM timing WHERE position = 1 GROUP BY session
+      UNION ALL SELECT {KEY}, 'drivers', count(DISTINCT driver_number),
         count(DISTINCT driver_number) FILTER (driver_number % 10 <> 0) FROM timing GROUP BY session
-      UNION ALL SELECT DISTINCT session::VARCHAR, 'sessions', 1, year(session) FROM timing"""
+      UNION ALL SELECT DISTINCT {KEY}, 'sessions', 1, year(session) FROM timing"""
 )
 def landed_feed_totals(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
@@ -256,6 +283,12 @@ def landed_feed_totals(spark, sf_dir):
     return out
 
 
+@check(T + f"""SELECT {KEY} AS session_key, count(*) AS ingested, 0::BIGINT AS failed FROM timing GROUP BY session
+    UNION ALL SELECT NULL, 0, count(DISTINCT session) FROM timing""")
+def feed_quarantine(spark, sf_dir):
+    return landing.feed_report(landing.live_lines(spark, live_path(Feeds(spark, sf_dir), "laps"), "laps"))
+
+
 @check(
     T + """SELECT session::VARCHAR AS session, driver_number, round(min(lap_duration), 6) AS best_lap_sec,
       round(avg(lap_duration), 9) AS avg_lap_sec, count(lap_number) AS lap_count FROM timing GROUP BY ALL"""
@@ -278,12 +311,13 @@ def practice_summary(spark, sf_dir):
     L + """, found AS (
       SELECT a.race_id, min(b.ro) AS session_ro FROM races a JOIN races b ON b.year = a.year
         AND contains(lower(b.country || 'Grand Prix of ' || b.circuit_name), lower(a.country)) GROUP BY a.race_id)
-    SELECT race_id, session_ro::VARCHAR AS session_key FROM found"""
+    SELECT race_id, 9995 + session_ro % 100 AS session_key FROM found"""
 )
 def session_search(spark, sf_dir):
     races = League(spark, sf_dir).races
     sessions = races.select(
-        "year", F.col("ro").cast("string").alias("session_key"), F.col("country").alias("country_name"),
+        "year", (9995 + F.col("ro") % 100).alias("session_key"), F.lit(None).cast("timestamp").alias("date_start"),
+        F.col("country").alias("country_name"),
         F.concat(F.lit("Grand Prix of "), "circuit_name").alias("meeting_name"), F.lit("Race").alias("session_type"),
     )
     return landing.find_session(races, sessions)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.ctes import LEAGUE, TIMING, with_ctes
+from checks.landing import landed_feeds, session_number
 from checks.registry import check
 from paceline.functions.rules import tidy
 from paceline.operators import live as lv
@@ -194,9 +195,7 @@ def entry_list(feeds, league):
     return known.withColumn("prior", (1 + F.col("driver_id") % 9) / F.lit(10.0))
 
 
-@check(
-    with_ctes(LEAGUE, LIVE, ENTRY_LIST)
-    + f""", mapped AS (SELECT l.*, d.driver_id, coalesce(e.prior, 0.05)::DOUBLE AS prior
+PODIUM_SQL = f"""{{ctes}}, mapped AS (SELECT l.*, d.driver_id, coalesce(e.prior, 0.05)::DOUBLE AS prior
       FROM live l JOIN drivers d ON d.code = 'S' || l.driver_number::VARCHAR AND l.driver_number % 10 <> 0
       LEFT JOIN entry_list e ON e.session = l.session AND e.driver_id = d.driver_id WHERE checkpoint = 'last'),
     post AS (SELECT *, prior * {likelihood()} AS posterior FROM mapped),
@@ -207,11 +206,13 @@ def entry_list(feeds, league):
             ON e.session = u.session AND e.driver_id = u.driver_id),
     ranked AS (SELECT *, prob / (sum(prob) OVER (PARTITION BY session) + 1e-9) AS score,
             row_number() OVER (PARTITION BY session ORDER BY prob DESC, driver_id) AS place FROM filled)
-    SELECT session::VARCHAR AS session, driver_id, place AS predicted_position, round(prob, 6) AS probability,
+    SELECT {{session}} AS session, driver_id, place AS predicted_position, round(prob, 6) AS probability,
       round(max(CASE WHEN place = 3 THEN score END) OVER (PARTITION BY session)
         - max(CASE WHEN place = 4 THEN score END) OVER (PARTITION BY session), 6) + 0.0 AS confidence
     FROM ranked QUALIFY place <= 3"""
-)
+
+
+@check(PODIUM_SQL.format(ctes=with_ctes(LEAGUE, LIVE, ENTRY_LIST), session="session::VARCHAR"))
 def live_podium(spark, sf_dir):
     feeds, league = Feeds(spark, sf_dir), League(spark, sf_dir)
     live = lv.feed_features(feeds, lv.latest_checkpoint(feeds.sessions), 1)
@@ -219,6 +220,66 @@ def live_podium(spark, sf_dir):
     return plain(answer.drop("confidence_level"), "probability", "confidence")
 
 
+LANDED = LIVE.replace(
+    "state AS (",
+    """laps_begun AS (SELECT session, driver_number, ts, max(lap_number) AS lap FROM timing GROUP BY ALL),
+places AS (
+  SELECT p.*, l.lap FROM (
+    SELECT session, driver_number, ts  AS tm, position FROM timing
+    UNION ALL SELECT session, driver_number, ts + INTERVAL 1 SECOND, position + k % 3 FROM timing WHERE k IS NOT NULL) p
+  ASOF JOIN laps_begun l ON l.session = p.session AND l.driver_number = p.driver_number AND p.tm >= l.ts
+),
+gaps AS (
+  SELECT g.*, l.lap FROM (
+    SELECT session, driver_number, ts  AS tm, gap_text, interval FROM timing
+    UNION ALL SELECT session, driver_number, ts + INTERVAL 2 SECOND, (k % 5)::VARCHAR, interval FROM timing) g
+  ASOF JOIN laps_begun l ON l.session = g.session AND l.driver_number = g.driver_number AND g.tm >= l.ts
+),
+place_state AS (
+  SELECT a.session, driver_number, checkpoint, last(a.position ORDER BY tm, a.position) AS now_place,
+         first(a.position ORDER BY tm, a.position) AS start_place
+  FROM places a JOIN points p ON p.session = a.session AND a.lap <= p.lap GROUP BY ALL
+),
+gap_state AS (
+  SELECT a.session, driver_number, checkpoint, last(gap_text ORDER BY tm, gap_text NULLS FIRST, interval NULLS FIRST) AS gap_text,
+         last(interval ORDER BY tm, gap_text NULLS FIRST, interval NULLS FIRST) AS interval
+  FROM gaps a JOIN points p ON p.session = a.session AND a.lap <= p.lap GROUP BY ALL
+),
+state AS (SELECT s.* REPLACE (now_place AS current_position, TRY_CAST(gap_text AS DOUBLE) AS gap_to_leader,
+         coalesce(g.interval, 'none') AS ahead_text, start_place AS start_position)
+  FROM lap_rows s JOIN place_state p USING (session, driver_number, checkpoint)
+  JOIN gap_state g USING (session, driver_number, checkpoint)),
+lap_rows AS (""",
+)
+# the rows by lap come first, then the states that replace their places and gaps
+_state = LANDED[LANDED.index("state AS (SELECT s.* REPLACE") : LANDED.index("lap_rows AS (")]
+LANDED = LANDED.replace(_state, "").replace("last5 AS (", _state + "last5 AS (", 1)
+D = with_ctes(LANDED)
+DAY = "strftime(session, '%Y%m%d')"
+
+
+@check(
+    D + f"""SELECT {DAY} AS session, * EXCLUDE (session, {', '.join(DOUBLES)}),
+      {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in DOUBLES)} FROM live"""
+)
+def landed_live_features(spark, sf_dir):
+    """Live features from landed feeds with several place and gap rows per lap."""
+    feeds = landed_feeds(Feeds(spark, sf_dir))
+    points = lv.checkpoints(feeds.sessions, [5, 10], [1, 0])
+    return plain(lv.feed_features(feeds, points, 4), *DOUBLES)
+
+
+@check(PODIUM_SQL.format(ctes=with_ctes(LEAGUE, LANDED, ENTRY_LIST), session=DAY))
+def landed_live_podium(spark, sf_dir):
+    """From landed documents to the live answer."""
+    synthetic, league = Feeds(spark, sf_dir), League(spark, sf_dir)
+    feeds = landed_feeds(synthetic)
+    priors = entry_list(synthetic, league).withColumn("session", session_number(F.col("session")))
+    live = lv.feed_features(feeds, lv.latest_checkpoint(feeds.sessions), 1)
+    answer = up.live_podium(live, lv.map_cars(feeds.cars, league.drivers), priors, ["session"], feeds.session_count)
+    return plain(answer.drop("confidence_level"), "probability", "confidence")
+
+
 SCENARIOS = f""",
 sweep AS (
   SELECT 'baseline' AS scenario, session, driver_number, prior * {likelihood()} AS v, true AS active

@@ -37,15 +37,16 @@ def latest_checkpoint(sessions: DataFrame) -> DataFrame:
 
 def _upto(feed: DataFrame, points: DataFrame, lap: str) -> DataFrame:
     cut = points.select("session", "checkpoint", "lap").withColumnRenamed("lap", "_at")
-    return feed.join(cut, "session").filter(F.coalesce(F.col(lap), F.lit(0)) <= F.col("_at"))
+    return feed.join(cut, "session").filter(F.col(lap) <= F.col("_at"))
 
 
 def interval_state(intervals: DataFrame, points: DataFrame) -> DataFrame:
-    """Latest gaps and place, and the first place."""
+    """Latest gaps and place, and the first place, by time; a lap may have any number of rows."""
     rows = _upto(intervals, points, "lap_number")
+    seq = F.struct("ts", "event_id")
     state = rows.groupBy(*CAR).agg(
-        F.max_by(F.struct("position", "gap_to_leader", "interval"), "lap_number").alias("now"),
-        F.min_by("position", "lap_number").alias("start"),
+        F.max_by(F.struct("position", "gap_to_leader", "interval"), seq).alias("now"),
+        F.min_by("position", F.when(F.col("position").isNotNull(), seq)).alias("start"),
     )
     place = F.coalesce("now.position", F.lit(C.DEFAULT_POSITION))
     return state.select(

@@ -51,8 +51,9 @@ class Feeds:
     @property
     def intervals(self) -> DataFrame:
         return self.timing.select(
-            "session", "driver_number", "lap_number", "position", F.col("gap_text").alias("gap_to_leader"), "interval"
-        )
+            "session", "driver_number", "lap_number", "position", F.col("gap_text").alias("gap_to_leader"), "interval",
+            "ts", "event_id",
+        )
 
     @property
     def pit(self) -> DataFrame:

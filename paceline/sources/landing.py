@@ -218,9 +218,21 @@ def forecasts(documents: DataFrame, circuits: DataFrame) -> DataFrame:
 
 
 def live_feed(spark: SparkSession, path: str, feed: str, stream: bool = False) -> DataFrame:
-    """One live feed, as a batch or as a file stream."""
+    """The readable rows of one live feed, as a batch or as a file stream."""
+    return good(live_lines(spark, path, feed, stream))
+
+
+def live_lines(spark: SparkSession, path: str, feed: str, stream: bool = False) -> DataFrame:
+    """All lines of one live feed; unreadable ones keep their text in ``_corrupt_record``."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(schemas.LIVE_FEEDS[feed]).json(path)
+    schema = f"{schemas.LIVE_FEEDS[feed]}, {CORRUPT} string"
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def feed_report(lines: DataFrame) -> DataFrame:
+    """Lines read and quarantined per session; unreadable lines have no session."""
+    broken = F.col(CORRUPT).isNotNull()
+    return lines.groupBy("session_key").agg(F.count_if(~broken).alias("ingested"), F.count_if(broken).alias("failed"))
 
 
 def practice_summary(laps: DataFrame, key: list[str]) -> DataFrame:
@@ -234,14 +246,15 @@ def practice_summary(laps: DataFrame, key: list[str]) -> DataFrame:
 def find_session(races: DataFrame, sessions: DataFrame, session_type: str = "Race") -> DataFrame:
     """First session of the year whose country and meeting name contain the race's search text.
 
-    The text is the race's country, or its circuit name where the country is empty. Races meet only
-    the sessions of their year, a few dozen by the calendar.
+    The text is the race's country, or its circuit name where the country is empty. The first is the
+    earliest by start, then by number of its key. Races meet only the sessions of their year, a few
+    dozen by the calendar.
     """
     kind = sessions.filter(F.col("session_type") == session_type)
     where = F.lower(F.concat(F.coalesce("country_name", F.lit("")), F.coalesce("meeting_name", F.lit(""))))
     text = F.lower(F.when(F.coalesce("country", F.lit("")) != "", F.col("country")).otherwise(F.col("circuit_name")))
     candidates = races.select("race_id", "year", text.alias("_text")).join(
-        kind.select("year", "session_key", where.alias("_where")), "year"
+        kind.select("year", F.struct(F.col("date_start").isNull(), "date_start", "session_key").alias("_first"), where.alias("_where")), "year"
     )
     found = candidates.filter(F.col("_where").contains(F.col("_text")))
-    return found.groupBy("race_id").agg(F.min("session_key").alias("session_key"))
+    return found.groupBy("race_id").agg(F.min("_first")["session_key"].alias("session_key"))

@@ -38,19 +38,19 @@ FORECAST_DOC = (
 
 # one schema per live feed; the gap is text because it mixes numbers with "+1 LAP"
 LIVE_FEEDS = {
-    "sessions": "session_key string, year bigint, country_name string, meeting_name string, session_type string",
-    "drivers": "session_key string, driver_number bigint, name_acronym string, team_name string",
-    "laps": "session_key string, driver_number bigint, lap_number bigint, lap_duration double, date_start timestamp",
-    "intervals": "session_key string, driver_number bigint, lap_number bigint, position bigint, gap_to_leader string, "
-    "interval string, date timestamp",
-    "position": "session_key string, driver_number bigint, position bigint, date timestamp",
-    "car_data": "session_key string, driver_number bigint, speed double, throttle double, brake double, rpm double, "
+    "sessions": "session_key bigint, year bigint, country_name string, meeting_name string, session_type string, "
+    "date_start timestamp",
+    "drivers": "session_key bigint, driver_number bigint, name_acronym string, team_name string",
+    "laps": "session_key bigint, driver_number bigint, lap_number bigint, lap_duration double, date_start timestamp",
+    "intervals": "session_key bigint, driver_number bigint, gap_to_leader string, interval string, date timestamp",
+    "position": "session_key bigint, driver_number bigint, position bigint, date timestamp",
+    "car_data": "session_key bigint, driver_number bigint, speed double, throttle double, brake double, rpm double, "
     "n_gear bigint, drs bigint, date timestamp",
-    "pit": "session_key string, driver_number bigint, lap_number bigint, pit_duration double, date timestamp",
-    "stints": "session_key string, driver_number bigint, stint_number bigint, compound string, "
+    "pit": "session_key bigint, driver_number bigint, lap_number bigint, pit_duration double, date timestamp",
+    "stints": "session_key bigint, driver_number bigint, stint_number bigint, compound string, "
     "tyre_age_at_start bigint, lap_start bigint, lap_end bigint",
-    "race_control": "session_key string, category string, message string, lap_number bigint, date timestamp",
-    "weather": "session_key string, air_temperature double, track_temperature double, humidity double, "
+    "race_control": "session_key bigint, category string, message string, lap_number bigint, date timestamp",
+    "weather": "session_key bigint, air_temperature double, track_temperature double, humidity double, "
     "rainfall double, wind_speed double, date timestamp",
 }
 

@@ -108,7 +108,7 @@ def car_state(timing: DataFrame) -> DataFrame:
     seq = F.when(flag.isNotNull(), F.struct("ts", "event_id"))
     return timing.groupBy(*CAR).agg(
         F.max("lap_number").alias("last_lap"),
-        F.max_by(F.struct("position", "gap_text"), "lap_number").alias("now"),
+        F.max_by(F.struct("position", "gap_text"), F.struct("ts", "event_id")).alias("now"),
         F.max(F.when(pit, F.col("lap_number"))).alias("last_pit"),
         F.max_by(F.when(pit, F.col("k")), F.when(pit, F.col("lap_number"))).alias("pit_k"),
         F.max(F.when(flag.isNotNull(), F.struct("ts", "event_id", flag.alias("flag")))).alias("message"),
