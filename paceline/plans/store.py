@@ -45,7 +45,11 @@ class Store:
         return rows if end_year is None else rows.filter(F.col("year") <= end_year)
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """Insert or replace by key. Missing columns become null; race order and year follow the race id."""
+        """Insert or replace by key. Missing columns become null; race order and year follow the race id.
+
+        Of several versions of a key in ``rows`` the last landed wins (``_order``), or without an
+        order the greatest, so the result never depends on task timing.
+        """
         key = merge.TABLE_KEYS[name]
         if self._partition(name) == "bucket":
             rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key[0]), F.lit(BUCKETS)))
@@ -58,9 +62,12 @@ class Store:
             *[
                 (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in fields
-            ]
+            ],
+            *[c for c in (landing.ORDER,) if c in rows.columns],
         )
         partition = self._partition(name)
+        order = [landing.ORDER] if landing.ORDER in typed.columns else [f.name for f in fields if f.name not in (*key, partition)]
+        typed = merge.latest_by_key(typed, [*key, partition], order).drop(landing.ORDER)
         try:
             self.table(name)
         except AnalysisException:
@@ -73,30 +80,54 @@ class Store:
         qualifying: str | None = None,
         standings: str | None = None,
         pit_stops: str | None = None,
+        calendar: str | None = None,
+        forecasts: str | None = None,
+        practice: str | None = None,
+        circuits: DataFrame | None = None,
     ) -> DataFrame | None:
-        """Land document folders into the tables; returns read and failed result documents per season.
+        """Land document folders into the tables; returns read and failed documents per kind and season.
 
         Documents that cannot be read are left out and counted, so one bad race does not stop a load.
+        Races come from calendar, qualifying and result documents, so that a race without results is
+        known too. ``practice`` is a Parquet folder of laps (race_id, driver_id, session_type,
+        LapNumber, LapTime); ``circuits`` are those whose forecasts are kept (default the built-in).
         """
-        report = None
-        if results:
-            # parsed once to columns: four tables and the report each read a few of them
-            parsed = new_path(self.spark, "parsed-results")
-            landing.read_documents(self.spark, results, schemas.RESULTS_DOC).write.parquet(parsed)
-            documents = self.spark.read.parquet(parsed)
-            self.save("races", landing.races(documents))
-            self.save("drivers", landing.drivers(documents))
-            self.save("constructors", landing.constructors(documents))
-            self.save("results", landing.results(documents))
-            report = landing.ingest_report(documents)
-        for name, path, schema, land in (
-            ("qualifying", qualifying, schemas.QUALIFYING_DOC, landing.qualifying),
-            ("standings_snapshot", standings, schemas.STANDINGS_DOC, landing.standings),
-            ("pit_stops", pit_stops, schemas.PIT_STOPS_DOC, landing.pit_stops),
-        ):
+        reports = []
+        for kind, path, schema, lists, land in (
+            ("calendar", calendar, schemas.CALENDAR_DOC, "RaceTable.Races", {"races": landing.races}),
+            (
+                "qualifying", qualifying, schemas.QUALIFYING_DOC, "RaceTable.Races",
+                {"races": landing.races, "qualifying": landing.qualifying},
+            ),
+            (
+                "results", results, schemas.RESULTS_DOC, "RaceTable.Races",
+                {
+                    "races": landing.races, "drivers": landing.drivers, "constructors": landing.constructors,
+                    "results": landing.results,
+                },
+            ),
+            (
+                "standings", standings, schemas.STANDINGS_DOC, "StandingsTable.StandingsLists",
+                {"standings_snapshot": landing.standings},
+            ),
+            ("pit_stops", pit_stops, schemas.PIT_STOPS_DOC, "RaceTable.Races", {"pit_stops": landing.pit_stops}),
+        ):
             if path:
-                self.save(name, land(landing.read_documents(self.spark, path, schema)))
-        return report
+                # parsed once to columns: the tables and the report each read a few of them
+                parsed = new_path(self.spark, f"parsed-{kind}")
+                landing.read_documents(self.spark, path, schema, ordered=True).write.parquet(parsed)
+                documents = self.spark.read.parquet(parsed)
+                for name, rows_of in land.items():
+                    self.save(name, rows_of(documents))
+                reports.append(landing.ingest_report(documents, lists).withColumn("kind", F.lit(kind)))
+        if forecasts:
+            documents = landing.read_documents(self.spark, forecasts, schemas.FORECAST_DOC)
+            known = landing.known_circuits(self.spark) if circuits is None else circuits
+            self.save("weather", landing.forecasts(landing.good(documents), known))
+        if practice:
+            summary = landing.practice_summary(self.spark.read.parquet(practice), merge.TABLE_KEYS["practice_sessions"])
+            self.save("practice_sessions", summary.withColumnRenamed("lap_count", "laps_completed"))
+        return reduce(DataFrame.unionByName, reports) if reports else None
 
     def matrix(
         self,
@@ -121,17 +152,27 @@ class Store:
         return rows if start_year is None else rows.filter(F.col("year") >= start_year)
 
     def quality(self) -> DataFrame:
-        """Duplicate keys, orphans and missing required values per table, one row each."""
+        """Duplicate keys, orphans and missing required values of all tables, one row each.
+
+        A table that was never loaded counts as empty.
+        """
+        tables = {}
+        for name in merge.TABLE_KEYS:
+            try:
+                tables[name] = self.table(name)
+            except AnalysisException:
+                tables[name] = self.spark.createDataFrame([], schemas.TABLES[name])
         frames = []
-        for name in ("results", "qualifying", "standings_snapshot"):
-            rows = self.table(name)
+        for name, rows in tables.items():
             found = [merge.duplicate_keys(rows, merge.TABLE_KEYS[name]).agg(F.count(F.lit(1)).alias("duplicates"))]
-            for column, parent in merge.REFERENCES[name]:
-                lost = merge.orphans(rows, self.table(parent), column)
+            for column, parent in merge.REFERENCES.get(name, []):
+                lost = merge.orphans(rows, tables[parent], column)
                 found.append(lost.agg(F.count(F.lit(1)).alias("orphans")))
-            missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in merge.REQUIRED[name]])
-            found.append(rows.agg(missing.alias("missing")))
+            missing = [F.count_if(F.col(c).isNull()) for c in merge.REQUIRED.get(name, [])]
+            found.append(rows.agg(reduce(lambda a, b: a + b, missing, F.lit(0).cast("long")).alias("missing")))
             stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+            if "orphans" not in stacked.columns:
+                stacked = stacked.withColumn("orphans", F.lit(0).cast("long"))
             totals = [F.sum(c).alias(c) for c in ("duplicates", "orphans", "missing")]
             frames.append(stacked.agg(*totals).withColumn("table_name", F.lit(name)))
         return reduce(DataFrame.unionByName, frames)

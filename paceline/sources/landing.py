@@ -12,24 +12,47 @@ from paceline.functions import rules
 from paceline.sources import schemas
 
 CORRUPT = "_corrupt_record"
+# When a document was landed and where it stands: later versions of a key win
+ORDER = "_order"
 
 
-def read_documents(spark: SparkSession, path: str, schema: str, whole_file: bool = False) -> DataFrame:
-    """JSON lines, or one document per file; unreadable ones keep their text in ``_corrupt_record``."""
-    return spark.read.schema(f"{schema}, {CORRUPT} string").json(
+def read_documents(
+    spark: SparkSession, path: str, schema: str, whole_file: bool = False, ordered: bool = False
+) -> DataFrame:
+    """JSON lines, or one document per file; unreadable ones keep their text in ``_corrupt_record``.
+
+    With ``ordered`` rows carry ``_order``: modification time of the file, its name and the place in it.
+    """
+    rows = spark.read.schema(f"{schema}, {CORRUPT} string").json(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=whole_file
     )
+    if not ordered:
+        return rows
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return rows.withColumn(ORDER, place)
+
+
+def _order(rows: DataFrame, *inner: str) -> list[Column]:
+    """The document's order extended by places inside it, where documents are ordered."""
+    if ORDER not in rows.columns:
+        return []
+    return [F.struct(F.col(ORDER).alias("document"), *[F.col(c) for c in inner]).alias(ORDER)]
 
 
 def good(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def ingest_report(documents: DataFrame) -> DataFrame:
+def ingest_report(documents: DataFrame, items: str = "RaceTable.Races") -> DataFrame:
     """Documents read and quarantined per season; the season of a broken one is taken from its text."""
     broken = F.col(CORRUPT).isNotNull()
     season = F.when(broken, F.regexp_extract(CORRUPT, r'"season"\s*:\s*"(\d+)"', 1)).otherwise(
-        F.get(F.col("MRData.RaceTable.Races"), F.lit(0))["season"]
+        F.get(F.col(f"MRData.{items}"), F.lit(0))["season"]
     )
     return documents.groupBy(rules.safe_int(season).alias("year")).agg(
         F.count_if(~broken).alias("ingested"), F.count_if(broken).alias("failed")
@@ -37,7 +60,8 @@ def ingest_report(documents: DataFrame) -> DataFrame:
 
 
 def _races(documents: DataFrame) -> DataFrame:
-    return good(documents).select(F.explode("MRData.RaceTable.Races").alias("race"))
+    rows = good(documents)
+    return rows.select(*_order(rows), F.posexplode("MRData.RaceTable.Races").alias("race_at", "race"))
 
 
 def _race_keys() -> list[Column]:
@@ -52,7 +76,8 @@ def _race_keys() -> list[Column]:
 
 def _entries(documents: DataFrame, items: str) -> DataFrame:
     """One row per element of the race's list, with the race keys."""
-    return _races(documents).select(*_race_keys(), F.explode(f"race.{items}").alias("item"))
+    rows = _races(documents).select("*", F.posexplode(f"race.{items}").alias("item_at", "item"))
+    return rows.select(*_race_keys(), "item", *_order(rows, "race_at", "item_at"))
 
 
 def circuit_key(circuit: Column) -> Column:
@@ -62,22 +87,35 @@ def circuit_key(circuit: Column) -> Column:
 
 
 def races(documents: DataFrame) -> DataFrame:
-    """Race rows of result or calendar documents; a race split over pages yields one row."""
+    """Race rows of result, qualifying or calendar documents; a race split over pages yields one row.
+
+    Of several versions the last landed wins, or without an order the greatest.
+    """
     text = {
         "circuit_id": circuit_key(F.coalesce("race.Circuit.circuitId", F.lit(""))),
         "circuit_name": F.coalesce("race.Circuit.circuitName", F.lit("")),
         "country": F.coalesce("race.Circuit.Location.country", F.lit("")),
         "race_date": F.col("race.date").try_cast("date"),
     }
-    rows = _races(documents).select(
-        *_race_keys(), *[c.alias(n) for n, c in text.items()], F.lit(None).cast("long").alias("total_laps")
-    )
-    return rows.dropDuplicates(["race_id"])
+    rows = _races(documents)
+    rows = rows.select(
+        *_race_keys(), *[c.alias(n) for n, c in text.items()], F.lit(None).cast("long").alias("total_laps"),
+        *_order(rows, "race_at"),
+    )
+    fields = [c for c in rows.columns if c not in ("race_id", ORDER)]
+    by = ORDER if ORDER in rows.columns else F.struct(*fields)
+    last = rows.groupBy("race_id").agg(F.max_by(F.struct(*fields), by).alias("last"))
+    return last.select("race_id", *[f"last.{f}" for f in fields])
+
+
+def _kept(rows: DataFrame) -> list[str]:
+    return [ORDER] if ORDER in rows.columns else []
 
 
 def results(documents: DataFrame) -> DataFrame:
     position = rules.safe_int(F.col("item.position"))
-    return _entries(documents, "Results").select(
+    rows = _entries(documents, "Results")
+    return rows.select(
         "race_id", "ro", "year", "round",
         F.coalesce("item.Driver.driverId", F.lit("")).alias("driver_id"),
         F.coalesce("item.Constructor.constructorId", F.lit("")).alias("constructor_id"),
@@ -89,6 +127,7 @@ def results(documents: DataFrame) -> DataFrame:
         rules.safe_int(F.col("item.laps")).alias("laps_completed"),
         rules.safe_int(F.col("item.FastestLap.rank")).alias("fastest_lap_rank"),
         rules.podium_flag(position).alias("is_podium"),
+        *_kept(rows),
     )
 
 
@@ -106,46 +145,55 @@ def _driver_fields(driver: Column) -> list[Column]:
 
 
 def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Last version of every entity; hot entities are reduced before the shuffle."""
-    fields = [c for c in rows.columns if c not in (key, order)]
-    return (
-        rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("last")).select(key, *[f"last.{f}" for f in fields])
-    )
+    """Last version of every entity; hot entities are reduced before the shuffle.
+
+    Versions of the same race are ordered as they were landed, or else by their values.
+    """
+    fields = [c for c in rows.columns if c not in (key, order, ORDER)]
+    by = F.struct(order, *_kept(rows), *fields)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), by).alias("last")).select(key, *[f"last.{f}" for f in fields])
 
 
 def drivers(documents: DataFrame) -> DataFrame:
-    rows = _entries(documents, "Results").select("ro", *_driver_fields(F.col("item.Driver")))
+    rows = _entries(documents, "Results")
+    rows = rows.select("ro", *_driver_fields(F.col("item.Driver")), *_kept(rows))
     return _latest(rows, "driver_id", "ro")
 
 
 def constructors(documents: DataFrame) -> DataFrame:
     team = F.col("item.Constructor")
-    rows = _entries(documents, "Results").select(
+    rows = _entries(documents, "Results")
+    rows = rows.select(
         "ro",
         F.coalesce(team["constructorId"], F.lit("")).alias("constructor_id"),
         F.coalesce(team["name"], F.lit("")).alias("name"),
         F.coalesce(team["nationality"], F.lit("")).alias("nationality"),
+        *_kept(rows),
     )
     return _latest(rows, "constructor_id", "ro")
 
 
 def qualifying(documents: DataFrame) -> DataFrame:
-    return _entries(documents, "QualifyingResults").select(
+    rows = _entries(documents, "QualifyingResults")
+    return rows.select(
         "race_id", "ro",
         F.coalesce("item.Driver.driverId", F.lit("")).alias("driver_id"),
         F.coalesce("item.Constructor.constructorId", F.lit("")).alias("constructor_id"),
         rules.safe_int(F.col("item.position")).alias("position"),
         *[rules.lap_seconds(F.col(f"item.Q{i}")).alias(f"q{i}_sec") for i in (1, 2, 3)],
+        *_kept(rows),
     )
 
 
 def pit_stops(documents: DataFrame) -> DataFrame:
-    return _entries(documents, "PitStops").select(
+    rows = _entries(documents, "PitStops")
+    return rows.select(
         "race_id",
         F.coalesce("item.driverId", F.lit("")).alias("driver_id"),
         rules.safe_int(F.col("item.stop")).alias("stop_number"),
         rules.safe_int(F.col("item.lap")).alias("lap"),
         rules.safe_float(F.col("item.duration")).alias("duration_sec"),
+        *_kept(rows),
     )
 
 
@@ -154,7 +202,8 @@ def standings(documents: DataFrame) -> DataFrame:
 
     Drivers take the first team of their list; a team missing from its table leaves nulls.
     """
-    lists = good(documents).select(F.explode("MRData.StandingsTable.StandingsLists").alias("list"))
+    rows = good(documents)
+    lists = rows.select(*_order(rows), F.explode("MRData.StandingsTable.StandingsLists").alias("list"))
     year, round_ = rules.safe_int(F.col("list.season")), rules.safe_int(F.col("list.round")) + 1
     keys = [year.alias("year"), round_.alias("round")]
     teams = lists.select(*keys, F.explode("list.ConstructorStandings").alias("item")).select(
@@ -164,13 +213,14 @@ def standings(documents: DataFrame) -> DataFrame:
         rules.safe_int(F.col("item.position")).alias("constructor_pos"),
     )
     first_team = F.get(F.col("item.Constructors"), F.lit(0))["constructorId"]
-    drivers = lists.select(*keys, F.explode("list.DriverStandings").alias("item")).select(
+    drivers = lists.select(*keys, F.explode("list.DriverStandings").alias("item"), *_kept(lists)).select(
         rules.race_id(F.col("year"), F.col("round")).alias("race_id"),
         "year", "round",
         F.col("item.Driver.driverId").alias("driver_id"),
         rules.safe_float(F.col("item.points")).alias("points"),
         rules.safe_int(F.col("item.position")).alias("position"),
         F.coalesce(first_team, F.lit("")).alias("constructor_id"),
+        *_kept(lists),
     )
     return drivers.join(teams, ["year", "round", "constructor_id"], "left")
 

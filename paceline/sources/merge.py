@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.session import fixed
+from paceline.session import new_path
 
 # Keys, references and required columns of the stored tables
 TABLE_KEYS = {
@@ -58,12 +58,23 @@ def upsert(
     """Merge into a Parquet table, rewriting only the partitions ``new`` touches.
 
     ``partition`` must be a function of the key, so that no older version sits elsewhere.
-    Repeating an upsert changes nothing, so a retried job or micro-batch is safe.
+    Repeating an upsert changes nothing, so a retried job or micro-batch is safe. The new rows and
+    the merged partitions are each staged once as Parquet, because the write replaces what it read;
+    rows are balanced by partition before the write, so files are few and none grows beyond a task.
     """
-    old = spark.read.schema(new.schema).parquet(path)
-    touched = old.join(new.select(partition).distinct(), partition, "left_semi")
-    merged = fixed(merge(touched, new, key, order))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    staged = _staged(new, "upsert-new")
+    old = spark.read.schema(new.drop(*order).schema).parquet(path)
+    touched = old.join(staged.select(partition).distinct(), partition, "left_semi")
+    merged = _staged(merge(touched, staged, key, order).hint("rebalance", partition), "upsert-merged")
+    columns = [c for c in merged.columns if c not in order]
+    rows = merged.select(*columns).hint("rebalance", partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def _staged(rows: DataFrame, name: str) -> DataFrame:
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def create_table(rows: DataFrame, path: str, partition: str) -> None:
