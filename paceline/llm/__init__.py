@@ -1,7 +1,13 @@
 """Operators for preparing training data at scale, each with its registered query."""
 
+import sys
 from importlib import import_module
 
+from pyspark import cloudpickle
+
+# executors need not have this package installed: its functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODULES = ("mixing", "license_scan", "decontamination", "language", "toxicity", "repeated_text", "sharding", "jaccard_join", "url_filter", "exact_dedup")
 
 

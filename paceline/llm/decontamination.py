@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm import words
-from paceline.llm.rows import table
+from paceline.llm.rows import shared, table
 
 # Fixed values of the contract: words of a window; and words of a shingle
 WINDOW = 10
@@ -102,20 +102,21 @@ def _count_shingles(docs: DataFrame, text: str, windows: Windows) -> dict[tuple[
     wanted = {}
     for n, _, grams in windows.shingles():
         wanted[n] = np.union1d(wanted.get(n, np.zeros(0, np.uint64)), grams)
-    shared = docs.sparkSession.sparkContext.broadcast([(n, g, _filter(g)) for n, g in wanted.items()])
+    sought = shared(docs.sparkSession, [(n, g, _filter(g)) for n, g in wanted.items()])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(grams), np.int64) for _, grams, _ in shared.value]
+        mine = sought()
+        totals = [np.zeros(len(grams), np.int64) for _, grams, _ in mine]
         for batch in batches:
             for _, _, data, offsets in words.texts(batch.column(0)):
                 starts, ends, _ = words.spans(data, offsets, words.ALNUM)
                 prints = words.word_prints(data, starts, ends)
-                for total, (n, grams, bits) in zip(totals, shared.value, strict=True):
+                for total, (n, grams, bits) in zip(totals, mine, strict=True):
                     found = words.gram_prints(prints, n)
                     found = found[_sought(found, bits)]
                     at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
                     np.add.at(total, at[grams[at] == found], 1)
-        for total, (n, grams, _) in zip(totals, shared.value, strict=True):
+        for total, (n, grams, _) in zip(totals, mine, strict=True):
             some = np.flatnonzero(total)
             yield pa.record_batch(
                 {"n": np.full(len(some), n, np.int32), "gram": grams[some].view(np.int64), "places": total[some]}
@@ -170,11 +171,11 @@ def _hits(windows: Windows, data, offsets):
     return bounds, doc, at, windows.length[window], windows.item[window]
 
 
-def _marker(shared, last: bool, names: list[str]):
+def _marker(block, last: bool, names: list[str]):
     """Adds the found word spans (flat pairs) and item names of one block to each row."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
+        windows = block()
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
             spans = batch.column(1).to_pylist()
@@ -260,7 +261,7 @@ def contamination(
     for number, windows in enumerate(blocks, 1):
         windows.choose(_count_shingles(docs, text, windows))
         last = number == len(blocks)
-        mark = _marker(spark.sparkContext.broadcast(windows), last, ["n_words" if last else "text", "spans", "items", "record"])
+        mark = _marker(shared(spark, windows), last, ["n_words" if last else "text", "spans", "items", "record"])
         rows = rows.mapInArrow(mark, rows.schema if not last else f"n_words long, spans array<long>, items array<string>, record {kind}")
     return rows.mapInArrow(
         _merged, f"n_words long, spans array<long>, items array<string>, n_hit long, items_sha256 string, record {kind}"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm import words
 from paceline.llm.components import components
-from paceline.llm.rows import landed, locatable, locator, table
+from paceline.llm.rows import landed, locatable, locator, shared, table
 
 # Words of a shingle, and the coefficient in hundredths
 SHINGLE = 3
@@ -107,9 +107,9 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def _prefix_scan(shared):
+def _prefix_scan(order_of):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_class, gram_class = shared.value
+        word_class, gram_class = order_of()
         for batch in batches:
             for _, _, data, offsets in words.texts(batch.column(0)):
                 bounds, gram, trio = _sets(data, offsets)
@@ -274,12 +274,11 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between different sets that connect whatever is connected."""
-    sc = docs.sparkSession.sparkContext
-    order = sc.broadcast(_rarity(docs))
+    order = shared(docs.sparkSession, _rarity(docs))
     tokens = docs.select("text").mapInArrow(_prefix_scan(order), "token long, sid long, n long")
-    shared = tokens.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("rows"))
-    shared = landed(shared.where("low <> high").select("token", "rows"), "shared-shingles")
-    members = landed(tokens.join(shared, "token").distinct(), "shingle-members")
+    met = tokens.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("rows"))
+    met = landed(met.where("low <> high").select("token", "rows"), "shared-shingles")
+    members = landed(tokens.join(met, "token").distinct(), "shingle-members")
 
     # the sets that meet any other, with their most shared prefix shingles and their sorted shingles
     best = F.slice(F.sort_array(F.collect_list(F.struct("rows", "token")), asc=False), 1, ROUNDS)

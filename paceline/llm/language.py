@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm import words
-from paceline.llm.rows import table
+from paceline.llm.rows import shared, table
 
 ORDER = 3
 FOLDS = 5
@@ -158,9 +158,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return build_trees([tuple(r) for r in counted.groupBy("lang", "gram").agg(F.sum("n")).collect()])
 
 
-def _scorer(shared):
+def _scorer(frozen):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: Trees = shared.value
+        trees: Trees = frozen()
         for batch in batches:
             names, scores, per_byte = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for low, high, data, offsets in words.texts(batch.column(0)):
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", carry: list[str]
     # a text without letters is not scored at all
     rows = docs.select(F.when(letters, F.col(f"`{text}`")).alias("text"), F.struct(letters.alias("letters"), record.alias("row")).alias("record"))
     kind = rows.schema["record"].dataType.simpleString()
-    found = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(trees)), f"lang_pred string, score double, bits_per_byte double, record {kind}")
+    found = rows.mapInArrow(_scorer(shared(docs.sparkSession, trees)), f"lang_pred string, score double, bits_per_byte double, record {kind}")
     known = F.col("record.letters") & F.col("lang_pred").isNotNull()
     return found.select(
         F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,12 @@ def locatable(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Sends ``value`` to every executor once; the function returned reads it there."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def text_of(column: str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))

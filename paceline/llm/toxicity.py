@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm import words
 from paceline.llm.language import training_row
-from paceline.llm.rows import table
+from paceline.llm.rows import shared, table
 
 # Words of a window and distance between windows
 WIDTH = 32
@@ -309,9 +309,9 @@ def train(
     return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], float), counts[1] / (counts[0] + counts[1]))
 
 
-def _scorer(shared):
+def _scorer(trained):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network | None = shared.value
+        net: Network | None = trained()
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if net is not None:
@@ -330,7 +330,7 @@ def score(docs: DataFrame, network: Network | None, text: str = "text", carry: l
     record = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("record")
     rows = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), record)
     kind = rows.schema["record"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(network)), f"score double, record {kind}")
+    return rows.mapInArrow(_scorer(shared(docs.sparkSession, network)), f"score double, record {kind}")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

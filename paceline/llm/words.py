@@ -12,7 +12,27 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class _Powers:
+    """Powers of the base and its inverse, made where they are used."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            grown = [np.full(max(n, PIECE + 1), base, np.uint64) for base in (BASE, _INVERSE)]
+            for powers in grown:
+                powers[0] = 1
+            self.up, self.down = (np.multiply.accumulate(powers) for powers in grown)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BYTES = np.arange(256)
@@ -57,15 +77,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((BASE, _INVERSE)):
-            grown = np.full(max(n, 2 * PIECE), base, np.uint64)
-            grown[0] = 1
-            _POWERS[i] = np.multiply.accumulate(grown)
-    return _POWERS[0], _POWERS[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -75,7 +86,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums from which the fingerprint of every byte span follows."""
-    _, inverse = _powers(len(data) + 1)
+    _, inverse = _POWERS.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse[: len(data)], out=sums[1:])
     return sums
@@ -83,7 +94,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def span_prints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprints of byte spans: equal spans have equal ones wherever they stand."""
-    power, _ = _powers(len(sums))
+    power, _ = _POWERS.upto(len(sums))
     return mixed((sums[ends] - sums[starts]) * power[starts] + (ends - starts).astype(np.uint64))
 
 
