@@ -438,3 +438,63 @@ def feature_cache(spark, sf_dir):
 def telemetry_threshold(spark, sf_dir):
     fast = Feeds(spark, sf_dir).telemetry.filter(F.col("speed") >= 50)
     return fast.groupBy("driver_number").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("speed"), 9).alias("mean_speed"))
+
+
+def session_rows(league, kind, rows):
+    """One session table landed as Parquet, with a column that the table does not know."""
+    path = written(league, f"session_{kind}", lambda p: rows.withColumn("Unknown", F.lit(1)).write.parquet(p))
+    return landing.session_table(league.spark.read.parquet(path), kind, ["race_id"])
+
+
+def interval_of(seconds):
+    return F.make_dt_interval(secs=F.col(seconds).cast("decimal(18,6)"))
+
+
+@check(
+    L + """SELECT race_id, driver_id::VARCHAR AS "DriverNumber", position AS "Position", round(q1_sec, 6) AS "Q1",
+      round(q2_sec, 6) AS "Q2", round(q3_sec, 6) AS "Q3" FROM qualifying"""
+)
+def qualifying_session(spark, sf_dir):
+    league = League(spark, sf_dir)
+    rows = league.qualifying.select(
+        "race_id", F.col("driver_id").cast("string").alias("DriverNumber"), F.col("position").alias("Position"),
+        *[interval_of(f"q{i}_sec").alias(f"Q{i}") for i in (1, 2, 3)],
+    )
+    out = session_rows(league, "qualifying", rows)
+    return out.withColumns({q: tidy(F.col(q)) for q in ("Q1", "Q2", "Q3")})
+
+
+@check(
+    T + """SELECT session::VARCHAR AS race_id, driver_number AS "DriverNumber", lap_number AS "LapNumber", position AS "Position",
+      round(lap_duration, 6) AS "LapTimeSec" FROM timing"""
+)
+def race_laps_session(spark, sf_dir):
+    feeds = Feeds(spark, sf_dir)
+    rows = feeds.timing.select(
+        F.col("session").cast("string").alias("race_id"), F.col("driver_number").alias("DriverNumber"),
+        F.col("lap_number").alias("LapNumber"), interval_of("lap_duration").alias("LapTime"), F.col("position").alias("Position"),
+    )
+    out = session_rows(feeds, "race_laps", rows)
+    return out.drop("LapTime").withColumn("LapTimeSec", tidy(F.col("LapTimeSec")))
+
+
+@check(
+    L + """SELECT race_id, driver_id::VARCHAR AS "DriverNumber", position AS "Position", grid AS "GridPosition",
+      status AS "Status", points AS "Points" FROM results"""
+)
+def race_results_session(spark, sf_dir):
+    league = League(spark, sf_dir)
+    rows = league.results.select(
+        "race_id", F.col("driver_id").cast("string").alias("DriverNumber"), F.col("position").alias("Position"),
+        F.col("grid").alias("GridPosition"), F.col("status").alias("Status"), F.col("points").alias("Points"),
+    )
+    return session_rows(league, "race_results", rows)
+
+
+@check(L + """SELECT race_id, round AS "RoundNumber", circuit_name AS "EventName", country AS "Country" FROM races""")
+def schedule_session(spark, sf_dir):
+    league = League(spark, sf_dir)
+    rows = league.races.select(
+        "race_id", F.col("round").alias("RoundNumber"), F.col("circuit_name").alias("EventName"), F.col("country").alias("Country")
+    )
+    return session_rows(league, "schedule", rows)

@@ -182,7 +182,7 @@ rates AS (
 def race_card(spark, sf_dir):
     league = League(spark, sf_dir)
     return serving.race_card(
-        scored_of(league), league.results, league.constructors, league.field_bound, league.race_count
+        scored_of(league), league.results, league.constructors, league.field_bound, league.race_count, league.team_count
     )
 
 
@@ -246,10 +246,10 @@ def probability_leaders(spark, sf_dir):
 @check(
     L + """SELECT race_id, driver_id, CASE WHEN q3_sec IS NULL THEN NULL ELSE
       printf('%d:%02d.%03d', round(q3_sec * 1000)::BIGINT // 60000, round(q3_sec * 1000)::BIGINT % 60000 // 1000,
-             round(q3_sec * 1000)::BIGINT % 1000) END AS lap FROM qualifying WHERE q3_sec IS NOT NULL"""
+             round(q3_sec * 1000)::BIGINT % 1000) END AS lap FROM qualifying"""
 )
 def lap_labels(spark, sf_dir):
-    rows = League(spark, sf_dir).qualifying.filter("q3_sec IS NOT NULL")
+    rows = League(spark, sf_dir).qualifying
     return rows.select("race_id", "driver_id", rules.lap_text(F.col("q3_sec")).alias("lap"))
 
 
@@ -301,3 +301,22 @@ def feature_target_split(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count("finish_position").alias("labelled"), F.sum("is_podium").alias("podiums"),
         F.lit(len(names)).cast("long").alias("n_features"),
     )
+
+
+@check(
+    L + """SELECT driver_id, race_id, ro, year, round, position, grid, is_podium, status, recent FROM (
+      SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY ro DESC) AS recent FROM results WHERE ro < 199707)
+    WHERE recent <= 5"""
+)
+def driver_recent_results(spark, sf_dir):
+    return serving.driver_recent_results(League(spark, sf_dir).results, 5, 199707)
+
+
+@check(
+    L + """SELECT driver_id, circuit_id, r.race_id, r.year, r.position, r.grid, r.is_podium,
+      row_number() OVER (PARTITION BY driver_id, circuit_id ORDER BY r.ro) AS visit
+    FROM results r JOIN races a ON a.race_id = r.race_id"""
+)
+def driver_circuit_results(spark, sf_dir):
+    league = League(spark, sf_dir)
+    return serving.driver_circuit_results(league.results, league.races, league.race_count)

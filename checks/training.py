@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from checks.features import MATRIX
 from checks.registry import check
 from paceline.functions.rules import tidy
 from paceline.operators import metrics
 from paceline.operators.features import league_matrix
 from paceline.plans import training as tr
+from paceline.plans.backtest import race_records
 from paceline.session import new_path
 from paceline.sources.league import League
 
@@ -39,6 +41,29 @@ def model_scores(spark, sf_dir):
     return scored.select("race_id", "driver_id", "is_podium", "prob", "predicted_place")
 
 
+@check(
+    "WITH " + MATRIX + """ SELECT race_id, driver_id, is_podium, true AS is_probability, true AS has_place FROM matrix"""
+)
+def model_score_rows(spark, sf_dir):
+    """What SQL can know of the scores: every entrant once, with its label, a probability and a place."""
+    league = League(spark, sf_dir)
+    scored = final_model(league).score(league_matrix(league))
+    valid = (F.col("prob") >= 0) & (F.col("prob") <= 1)
+    return scored.select("race_id", "driver_id", "is_podium", valid.alias("is_probability"),
+                         F.col("predicted_place").isNotNull().alias("has_place"))
+
+
+@check(
+    "WITH " + MATRIX + """ SELECT fold, count(*) FILTER (year < fold - 1) AS train_size,
+      count(*) FILTER (year = fold - 1) AS calibrate_size, count(*) FILTER (year = fold) AS validate_size
+    FROM matrix, (SELECT unnest([1997, 1998, 1999])::BIGINT AS fold) GROUP BY fold
+    HAVING train_size > 0 AND calibrate_size > 0 AND validate_size > 0"""
+)
+def model_fold_sizes(spark, sf_dir):
+    report = tr.temporal_cv(league_matrix(League(spark, sf_dir)), TRAIN_END, ROLLING, ROLLING)
+    return report.select("fold", "train_size", "calibrate_size", "validate_size")
+
+
 @check()
 def model_importance(spark, sf_dir):
     return final_model(League(spark, sf_dir)).importance(spark)
@@ -77,6 +102,20 @@ def model_rolling_backtest(spark, sf_dir):
                          "predicted_place")
 
 
+@check(
+    "WITH " + MATRIX + """ SELECT race_id, ro, sum(is_podium)::BIGINT AS podiums, true AS is_scored FROM matrix
+    WHERE year = 2001 GROUP BY ALL"""
+)
+def model_rolling_records(spark, sf_dir):
+    """Record of every race of a rolling season: podium hits and Brier score from models of earlier races."""
+    league = League(spark, sf_dir)
+    scored = tr.rolling_backtest(league_matrix(league), 2001, ROLLING, ROLLING)
+    records = race_records(scored, "predicted_place", league.field_bound)
+    good = F.col("correct").between(0, 3) & F.col("brier").between(0, 1)
+    podiums = scored.groupBy("race_id").agg(F.sum("is_podium").alias("podiums"))
+    return records.join(podiums, "race_id").select("race_id", "ro", "podiums", good.alias("is_scored"))
+
+
 @check()
 def model_search(spark, sf_dir):
     candidates = [tr.Params(trees=3, depth=3), tr.Params(trees=3, depth=5, step=0.2)]

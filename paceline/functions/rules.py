@@ -118,9 +118,10 @@ def percent(value: Column, digits: int = 1) -> Column:
 
 
 def lap_text(seconds: Column) -> Column:
-    """Seconds to ``m:ss.mmm``."""
+    """Seconds to ``m:ss.mmm``; null without a time."""
     millis = F.round(seconds * 1000).cast("long")
-    return F.format_string("%d:%02d.%03d", F.floor(millis / 60000), F.floor(millis % 60000 / 1000), millis % 1000)
+    text = F.format_string("%d:%02d.%03d", F.floor(millis / 60000), F.floor(millis % 60000 / 1000), millis % 1000)
+    return F.when(seconds.isNotNull(), text)
 
 
 def dnf_note(team: Column, reliability: Column) -> Column:

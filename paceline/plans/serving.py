@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import constants as C
@@ -36,6 +36,21 @@ def race_listing(results: DataFrame, races: DataFrame, drivers: DataFrame, n_rac
     )
 
 
+def driver_recent_results(results: DataFrame, n: int = 5, before: int | None = None) -> DataFrame:
+    """Each driver's last ``n`` results, newest first, before the race order ``before`` where it is given."""
+    rows = results if before is None else results.filter(F.col("ro") < before)
+    last = top_rows(rows, ["driver_id"], [F.desc("ro")], n, "recent")
+    return last.select("driver_id", *RACE, "position", "grid", "is_podium", "status", "recent")
+
+
+def driver_circuit_results(results: DataFrame, races: DataFrame, n_races: int | None = None) -> DataFrame:
+    """Each driver's results at each circuit, numbered from the first visit."""
+    at = sized(races.select("race_id", "circuit_id"), n_races)
+    visits = Window.partitionBy("driver_id", "circuit_id").orderBy("ro")
+    rows = results.join(at, "race_id").withColumn("visit", F.row_number().over(visits))
+    return rows.select("driver_id", "circuit_id", "race_id", "year", "position", "grid", "is_podium", "visit")
+
+
 def season_points(results: DataFrame, entities: DataFrame, entity: str, labels: list[str]) -> DataFrame:
     """Championship by points per season; points are summed per entity before names are joined."""
     totals = results.groupBy("year", entity).agg(F.sum("points").alias("points"))
@@ -133,12 +148,16 @@ def race_card(
     constructors: DataFrame,
     bound: int | None = None,
     groups: int | None = None,
+    n_teams: int | None = None,
 ) -> DataFrame:
-    """Entrants in predicted order with place probabilities, lap estimate and retirement risk."""
+    """Entrants in predicted order with place probabilities, lap estimate and retirement risk.
+
+    ``n_teams`` bounds the constructors: few teams hold all entrants, and are broadcast to them.
+    """
     placed = place_probabilities(scored, ["race_id"], groups=groups)
     ordered = running(placed, ["race_id"], [F.asc("predicted_place"), F.asc("driver_id")], number="position", bound=bound)
     reliability = latest_team_reliability(results).join(constructors, "constructor_id", "left")
-    joined = ordered.join(reliability, "constructor_id", "left")
+    joined = ordered.join(sized(reliability, n_teams), "constructor_id", "left")
     rate = F.coalesce("reliability", F.lit(C.FEATURE_DEFAULTS["constructor_reliability"]))
     return joined.select(
         "race_id", "position", "driver_id", "constructor_id",

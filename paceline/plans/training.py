@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.classification import GBTClassifier
@@ -20,7 +20,7 @@ from paceline.functions import constants as C
 from paceline.operators import metrics
 from paceline.plans import splits
 from paceline.plans.backtest import race_records
-from paceline.session import fixed
+from paceline.session import fixed, shared_dir
 
 # Columns that can be null in the matrix; the others have defaults
 NULLABLE = ["quali_gap_to_pole", "quali_consistency"]
@@ -40,14 +40,17 @@ class Params:
     seed: int = 42
 
 
+# Default settings of the two heads
 CLASSIFIER = Params(trees=300, depth=6)
 REGRESSOR = Params(trees=400, depth=8, min_rows=10)
 
 
-def _vectors(features: Sequence[str], nullable: Sequence[str]) -> list:
-    filled = [f"{c}_filled" for c in nullable]
-    inputs = [f"{c}_filled" if c in nullable else c for c in features]
-    stages = [Imputer(strategy="median", inputCols=list(nullable), outputCols=filled)] if nullable else []
+def _vectors(rows: DataFrame, features: Sequence[str]) -> list:
+    """Imputation by the exact medians of the training rows, kept in the fitted pipeline, and assembly."""
+    medians = {m.feature: m.median for m in splits.exact_medians(rows, NULLABLE).collect()}
+    inputs = [f"{c}_filled" if c in medians else c for c in features]
+    filled = ", ".join(["*", *(f"coalesce({c}, {m!r}D) AS {c}_filled" for c, m in medians.items())])
+    stages = [SQLTransformer(statement=f"SELECT {filled} FROM __THIS__")] if medians else []
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
 
 
@@ -67,12 +70,6 @@ def _numeric(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def nullable_columns(rows: DataFrame) -> list[str]:
-    """Nullable features that have at least one value (the imputer needs one)."""
-    seen = rows.agg(*[F.count(c).alias(c) for c in NULLABLE]).first()
-    return [c for c in NULLABLE if seen[c]]
-
-
 @dataclass
 class PodiumModel:
     """Fitted heads: classifier, place regressor and an optional isotonic calibration."""
@@ -119,30 +116,35 @@ class PodiumModel:
 
 
 def fit_classifier(rows: DataFrame, params: Params = CLASSIFIER) -> PipelineModel:
-    """Boosted trees with positive rows weighted by the class ratio."""
+    """Boosted trees with positive rows weighted by the class ratio.
+
+    Boosting cuts its lineage every few rounds in the shared folder, which is therefore set first.
+    """
+    shared_dir(rows.sparkSession)
     balance = rows.agg(metrics.class_balance()["pos_weight"].alias("w")).first().w
     weight = F.when(F.col("is_podium") == 1, F.lit(float(balance))).otherwise(1.0)
     data = _numeric(rows, C.FEATURES).withColumns({"label": F.col("is_podium").cast("double"), "weight": weight})
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **_settings(params))
-    return Pipeline(stages=[*_vectors(C.FEATURES, nullable_columns(rows)), trees]).fit(data)
+    return Pipeline(stages=[*_vectors(rows, C.FEATURES), trees]).fit(data)
 
 
 def fit_regressor(rows: DataFrame, params: Params = REGRESSOR) -> PipelineModel:
     """Boosted trees on rows with a finishing position."""
+    shared_dir(rows.sparkSession)
     placed = rows.filter("finish_position IS NOT NULL")
     data = _numeric(placed, C.FEATURES).withColumn("label", F.col("finish_position").cast("double"))
     trees = GBTRegressor(featuresCol="features", labelCol="label", lossType="squared", **_settings(params))
-    return Pipeline(stages=[*_vectors(C.FEATURES, nullable_columns(placed)), trees]).fit(data)
+    return Pipeline(stages=[*_vectors(placed, C.FEATURES), trees]).fit(data)
 
 
 def fit_calibration(classifier: PipelineModel, rows: DataFrame) -> IsotonicRegressionModel:
     """Isotonic fit of outcome on raw probability over a later year.
 
-    Rows are first grouped by raw probability, which leaves the fit unchanged and bounds its input
-    by the number of distinct scores.
+    Rows are first grouped by raw probability rounded to six digits, so the fit, which ends on the
+    driver, has a million input rows at most, whatever the number of rows.
     """
     scored = classifier.transform(_numeric(rows, C.FEATURES))
-    raw = scored.select(vector_to_array("probability")[1].alias("raw_prob"), "is_podium")
+    raw = scored.select(F.round(vector_to_array("probability")[1], 6).alias("raw_prob"), "is_podium")
     grouped = raw.groupBy("raw_prob").agg(F.avg("is_podium").alias("rate"), F.count(F.lit(1)).cast("double").alias("n"))
     fit = IsotonicRegression(
         featuresCol="raw_prob", labelCol="rate", weightCol="n", predictionCol="prob", isotonic=True

@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local"):
+    on_cluster = not sc.master.startswith("local") or sc.master.startswith("local-cluster")
+    if named is None and sc.getCheckpointDir() is None and on_cluster:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="paceline-"))

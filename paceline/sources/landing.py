@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paceline.functions import constants as C
 from paceline.functions import rules
 from paceline.sources import schemas
+from paceline.sources.tables import known_columns
 
 CORRUPT = "_corrupt_record"
 # When a document was landed and where it stands: later versions of a key win
@@ -285,6 +286,29 @@ def feed_report(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_key").agg(F.count_if(~broken).alias("ingested"), F.count_if(broken).alias("failed"))
 
 
+# Columns of the session tables, each kept where the source has it
+SESSION_COLUMNS = {
+    "qualifying": ["DriverNumber", "Abbreviation", "TeamName", "Position", "Q1", "Q2", "Q3"],
+    "race_laps": [
+        "DriverNumber", "Driver", "Team", "LapNumber", "LapTime", "Position", "Compound", "TyreLife", "Stint",
+    ],
+    "race_results": ["DriverNumber", "Abbreviation", "TeamName", "Position", "GridPosition", "Status", "Points"],
+    "schedule": ["RoundNumber", "EventName", "Country", "Location", "EventDate", "EventFormat"],
+}
+
+
+def session_table(rows: DataFrame, kind: str, key: list[str]) -> DataFrame:
+    """A session table: known columns only, times (day-time intervals) in seconds.
+
+    Race laps keep the interval and gain ``LapTimeSec``; qualifying times are replaced.
+    """
+    out = known_columns(rows, [*key, *SESSION_COLUMNS[kind]])
+    if kind == "race_laps" and "LapTime" in out.columns:
+        return out.withColumn("LapTimeSec", rules.interval_seconds(F.col("LapTime")))
+    times = [c for c in ("Q1", "Q2", "Q3") if kind == "qualifying" and c in out.columns]
+    return out.withColumns({c: rules.interval_seconds(F.col(c)) for c in times})
+
+
 def practice_summary(laps: DataFrame, key: list[str]) -> DataFrame:
     """Best and mean lap in seconds and lap count; lap times are day-time intervals."""
     seconds = rules.interval_seconds(F.col("LapTime"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paceline.functions import rules
+from paceline.operators.ordering import sized
 from paceline.operators.update import bayesian_update, with_prior
 from paceline.sources.feeds import TYRES
 
@@ -122,7 +123,7 @@ def posterior(state: DataFrame, priors: DataFrame, n_sessions: int | None = None
     )
     tyres = F.get(F.array(*[F.lit(t) for t in TYRES]), (F.col("pit_k") % 6).cast("int"))
     stopped = F.col("last_pit").isNotNull()
-    rows = state.join(sessions, "session").select(
+    rows = state.join(sized(sessions, n_sessions), "session").select(
         *CAR, "lap", F.col("lap").alias("total_laps"), "safety_car_active",
         F.col("now.position").alias("current_position"),
         rules.gap_seconds(F.col("now.gap_text")).alias("gap_to_leader"),
