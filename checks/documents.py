@@ -1,4 +1,4 @@
-"""Writers of landing documents from tables: the export side of ``landing``.
+"""Writers of landing documents from tables, for the checks of ``landing``.
 
 Documents are paged by key range (at most ``PAGE`` entrants each), as the history feed pages its
 answers, so that no task builds a document that grows with the field.

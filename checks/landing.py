@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.ctes import LS, LEAGUE, L, T, with_ctes
+from checks import documents
 from checks.features import MATRIX, rounded, sql_rounded
 from checks.registry import check
 from paceline.functions.constants import FEATURES
 from paceline.functions.rules import tidy
 from paceline.operators import features, ordering
 from paceline.session import new_path
-from paceline.sources import documents, landing, merge, schemas, tables
+from paceline.sources import landing, merge, schemas, tables
 from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
 from paceline.sources.live_feeds import LandedFeeds

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from checks.ctes import LEAGUE, with_ctes
+from checks import documents
 from checks.features import CIRCUIT_COLUMNS, FORM_COLUMNS, MATRIX, rounded, sql_rounded
 from checks.landing import written
 from checks.registry import check
 from paceline.operators import features
 from paceline.plans.store import Store
 from paceline.session import new_path
-from paceline.sources import documents
 from paceline.sources.league import League
 
 _STORES: dict[tuple, str] = {}

@@ -12,6 +12,8 @@ from paceline.sources.league import League
 from paceline.streaming import jobs, sinks
 
 CAR = ["session", "driver_number"]
+# The files of a season are read in any order, so sessions stay open for all of it
+KEEP = "400 days"
 
 
 @check(
@@ -20,7 +22,7 @@ CAR = ["session", "driver_number"]
     FROM timing GROUP BY session, driver_number"""
 )
 def stream_latest_state(spark, sf_dir):
-    stream = jobs.latest_state(Feeds(spark, sf_dir).timing_stream())
+    stream = jobs.latest_state(Feeds(spark, sf_dir).timing_stream(), KEEP)
     return plain(sinks.keyed_stream(stream, "latest", CAR), "gap_to_leader")
 
 
@@ -37,7 +39,7 @@ def stream_latest_state(spark, sf_dir):
     GROUP BY t.session, t.driver_number"""
 )
 def stream_lap_stats(spark, sf_dir):
-    stream = jobs.lap_stats(Feeds(spark, sf_dir).timing_stream())
+    stream = jobs.lap_stats(Feeds(spark, sf_dir).timing_stream(), KEEP)
     return plain(sinks.keyed_stream(stream, "lap_stats", CAR), "best_lap", "last5_mean", "trend")
 
 
@@ -48,7 +50,7 @@ def stream_lap_stats(spark, sf_dir):
 def stream_safety_car(spark, sf_dir):
     message = F.when(F.col("event_type") == "signup", "SAFETY CAR DEPLOYED").otherwise("SAFETY CAR IN THIS LAP")
     rows = Feeds(spark, sf_dir).timing_stream().filter(F.col("event_type").isin("signup", "error"))
-    stream = jobs.safety_car(rows.select("session", "ts", "event_id", message.alias("message")))
+    stream = jobs.safety_car(rows.select("session", "ts", "event_id", message.alias("message")), KEEP)
     return plain(sinks.keyed_stream(stream, "safety_car", ["session"]))
 
 
@@ -59,7 +61,7 @@ def stream_safety_car(spark, sf_dir):
 def stream_posterior(spark, sf_dir):
     feeds = Feeds(spark, sf_dir)
     rows = sinks.merged_stream(
-        jobs.car_state(feeds.timing_stream()), "posterior", CAR, "session",
+        jobs.car_state(feeds.timing_stream(), KEEP), "posterior", CAR, "session",
         lambda state: jobs.posterior(state, feeds.priors, feeds.session_count),
     )
     return plain(rows.select(*CAR, "prior", "posterior", "prob"), "prior", "posterior", "prob")

@@ -18,10 +18,23 @@ from paceline.sources.feeds import TYRES
 CAR = ["session", "driver_number"]
 
 
-def latest_state(timing: DataFrame) -> DataFrame:
+def closing(rows: DataFrame, keep: str | None) -> tuple[DataFrame, list[str]]:
+    """Rows whose state ends with their session, and the key that says so.
+
+    A row's event time is the day of its session. Once a session begins that is more than ``keep``
+    later than another, the other is closed: its state is removed, and rows that still come for it
+    are dropped and counted by Spark as late. Without ``keep`` state stays for ever.
+    """
+    if keep is None:
+        return rows, []
+    return rows.withColumn("session_time", F.col("session").cast("timestamp")).withWatermark("session_time", keep), ["session_time"]
+
+
+def latest_state(timing: DataFrame, keep: str | None = None) -> DataFrame:
     """Newest place, gap and lap of every car (update mode)."""
     newest = F.max_by(F.struct("lap_number", "position", "gap_text", "total"), F.struct("ts", "event_id"))
-    return timing.groupBy(*CAR).agg(newest.alias("now"), F.count(F.lit(1)).alias("seen")).select(
+    timing, ends = closing(timing, keep)
+    return timing.groupBy(*ends, *CAR).agg(newest.alias("now"), F.count(F.lit(1)).alias("seen")).select(
         *CAR, "now.lap_number", "now.position", rules.gap_seconds(F.col("now.gap_text")).alias("gap_to_leader"), "seen"
     )
 
@@ -50,11 +63,14 @@ LAP_STATS = "session date, driver_number long, laps long, best_lap double, last5
 LAP_STATE = "laps long, best double, numbers array<long>, times array<double>"
 
 
-def lap_fold():
+def lap_fold(ends: bool = False):
     """State step of ``lap_stats``; made here so that it travels to workers by value."""
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Fold new laps into the last five and the best; rows may come in any order."""
+        if state.hasTimedOut:
+            state.remove()
+            return
         laps, best, numbers, times = state.get if state.exists else (0, None, [], [])
         recent = dict(zip(numbers, times))
         for chunk in chunks:
@@ -67,53 +83,58 @@ def lap_fold():
             recent.update({int(number[i]): None if np.isnan(time[i]) else float(time[i]) for i in newest})
             recent = dict(sorted(recent.items())[-5:])
         state.update((laps, best, list(recent), list(recent.values())))
+        if ends:
+            # the day of the session, after which the watermark closes it
+            state.setTimeoutTimestamp(int(pd.Timestamp(key[0]).timestamp() * 1000) + 1)
         timed = [t for t in recent.values() if t is not None]
         mean = sum(timed) / len(timed) if timed else None
         trend = 0.0
         if len(timed) >= 3:
             centre = (len(timed) - 1) / 2
             trend = sum((i - centre) * t for i, t in enumerate(timed)) / sum((i - centre) ** 2 for i in range(len(timed)))
-        yield pd.DataFrame(
-            {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean],
-             "trend": [trend]}
-        )
+        out = {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean]}
+        yield pd.DataFrame(out | {"trend": [trend]}).astype({"best_lap": "float64", "last5_mean": "float64"})
 
     return fold
 
 
-def lap_stats(timing: DataFrame) -> DataFrame:
+def lap_stats(timing: DataFrame, keep: str | None = None) -> DataFrame:
     """Running lap statistics per car with five laps of state (update mode)."""
     laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(newest_laps(), NEWEST_LAPS)
-    return laps.groupBy(*CAR).applyInPandasWithState(
-        lap_fold(), LAP_STATS, LAP_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    laps, ends = closing(laps, keep)
+    timeout = GroupStateTimeout.EventTimeTimeout if ends else GroupStateTimeout.NoTimeout
+    return laps.groupBy(*CAR).applyInPandasWithState(lap_fold(bool(ends)), LAP_STATS, LAP_STATE, "update", timeout)
 
 
-def safety_car(race_control: DataFrame) -> DataFrame:
+def safety_car(race_control: DataFrame, keep: str | None = None) -> DataFrame:
     """Current regime per session: the newest deploy or end message (update mode)."""
     text = F.upper(F.col("message"))
     flag = F.when(text.contains("SAFETY CAR DEPLOYED"), 1).when(
         text.contains("SAFETY CAR IN") | text.contains("VIRTUAL SAFETY CAR ENDING"), 0
     )
     seq = F.when(flag.isNotNull(), F.struct("ts", "event_id"))
-    return race_control.groupBy("session").agg(
+    race_control, ends = closing(race_control, keep)
+    found = race_control.groupBy(*ends, "session").agg(
         F.coalesce(F.max_by(flag, seq), F.lit(0)).cast("long").alias("safety_car_active"),
         F.count(F.lit(1)).alias("messages"),
     )
+    return found.drop(*ends)
 
 
-def car_state(timing: DataFrame) -> DataFrame:
+def car_state(timing: DataFrame, keep: str | None = None) -> DataFrame:
     """Everything the live update needs, one row per car (update mode)."""
     pit = F.col("event_type") == "purchase"
     flag = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 0)
     seq = F.when(flag.isNotNull(), F.struct("ts", "event_id"))
-    return timing.groupBy(*CAR).agg(
+    timing, ends = closing(timing, keep)
+    found = timing.groupBy(*ends, *CAR).agg(
         F.max("lap_number").alias("last_lap"),
         F.max_by(F.struct("position", "gap_text"), F.struct("ts", "event_id")).alias("now"),
         F.max(F.when(pit, F.col("lap_number"))).alias("last_pit"),
         F.max_by(F.when(pit, F.col("k")), F.when(pit, F.col("lap_number"))).alias("pit_k"),
         F.max(F.when(flag.isNotNull(), F.struct("ts", "event_id", flag.alias("flag")))).alias("message"),
     )
+    return found.drop(*ends)
 
 
 def posterior(state: DataFrame, priors: DataFrame, n_sessions: int | None = None) -> DataFrame:

@@ -75,3 +75,22 @@ def test_late_rows_are_dropped(spark, tmp_path):
     path = sinks.append_stream(jobs.speed_windows(stream, "1 hour", "1 hour"), "late")
     starts = [r.start.hour for r in spark.read.parquet(path).orderBy("start").collect()]
     assert 1 in starts and 12 in starts and 2 not in starts
+
+
+@pytest.mark.parametrize("job", [jobs.latest_state, jobs.lap_stats, jobs.car_state])
+def test_state_ends_with_its_session(spark, feeds, tmp_path, job):
+    """State of a closed session is removed; rows that still come for it are dropped and counted."""
+    one = feeds.timing.limit(40).withColumn("session", F.lit("2024-01-01").cast("date"))
+    for i, day in enumerate(["2024-01-01", "2024-04-01", "2024-04-02", "2024-01-01"]):
+        one.withColumn("session", F.lit(day).cast("date")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    cars = one.select("driver_number").distinct().count()
+    stream = spark.readStream.schema(feeds.timing.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = (
+        job(stream, "14 days").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c"))
+        .foreachBatch(lambda batch, _: batch.collect()).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert states[0]["numRowsTotal"] == cars
+    assert states[-1]["numRowsTotal"] == 2 * cars
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) > 0
