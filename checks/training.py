@@ -2,14 +2,21 @@
 
 from pyspark.sql import functions as F
 
+from checks.ctes import LEAGUE, TIMING, with_ctes
 from checks.features import MATRIX
+from checks.live import plain
 from checks.registry import check
+from paceline.functions.constants import DEFAULT_PRIOR
 from paceline.functions.rules import tidy
+from paceline.operators import live as lv
 from paceline.operators import metrics
+from paceline.operators import update as up
 from paceline.operators.features import league_matrix
+from paceline.plans import serving
 from paceline.plans import training as tr
 from paceline.plans.backtest import race_records
-from paceline.session import new_path
+from paceline.session import new_path, staged
+from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
 
 # Small trees keep the checks short; the library defaults are larger
@@ -120,3 +127,59 @@ def model_rolling_records(spark, sf_dir):
 def model_search(spark, sf_dir):
     candidates = [tr.Params(trees=3, depth=3), tr.Params(trees=3, depth=5, step=0.2)]
     return tr.search(league_matrix(League(spark, sf_dir)), candidates)
+
+
+def model_scored(league):
+    """Entrants of the test season and later as the final model scores them, staged."""
+
+    def build():
+        return final_model(league).score(league_matrix(league).filter(F.col("year") >= TEST_YEAR))
+
+    return staged(league.spark, ("model-scored", league.sf_dir), build)
+
+
+@check(
+    "WITH " + MATRIX + f""" SELECT race_id, driver_id, row_number() OVER (PARTITION BY race_id) > 0 AS is_placed,
+      true AS is_probability FROM matrix WHERE year >= {TEST_YEAR}"""
+)
+def model_race_card(spark, sf_dir):
+    """The race card on the trained model's scores."""
+    league = League(spark, sf_dir)
+    card = serving.race_card(
+        model_scored(league), league.results, league.constructors, league.field_bound, league.race_count, league.team_count
+    )
+    parts = F.col("p1") + F.col("p2") + F.col("p3") - F.col("podium_prob")
+    valid = F.col("podium_prob").between(0, 1.0001) & (F.abs(parts) < 0.001)
+    return card.select("race_id", "driver_id", (F.col("position") > 0).alias("is_placed"), valid.alias("is_probability"))
+
+
+@check(
+    "WITH " + MATRIX + f""", n AS (SELECT race_id, count(*) AS n FROM matrix WHERE year >= {TEST_YEAR} GROUP BY race_id)
+    SELECT race_id, unnest(range(1, least(n, 3) + 1)) AS predicted_position, true AS is_probability FROM n"""
+)
+def model_pre_race_answer(spark, sf_dir):
+    """The pre-race answer on the trained model's scores."""
+    league = League(spark, sf_dir)
+    answer = serving.pre_race_answer(model_scored(league), league.races, "predicted_place", league.race_count)
+    return answer.select(
+        "race_id", F.col("predicted_position").cast("long").alias("predicted_position"), F.col("probability").between(0, 1).alias("is_probability")
+    )
+
+
+@check(
+    with_ctes(LEAGUE, TIMING) + """, known AS (
+      SELECT DISTINCT session, driver_id FROM timing t JOIN drivers d ON d.driver_id = t.driver_number),
+    n AS (SELECT session, count(*) AS n FROM known GROUP BY session)
+    SELECT session::VARCHAR AS session, unnest(range(1, least(n, 3) + 1)) AS predicted_position, true AS is_probability FROM n"""
+)
+def model_live_podium(spark, sf_dir):
+    """The live answer with the trained model's latest probability of each driver as prior."""
+    feeds, league = Feeds(spark, sf_dir), League(spark, sf_dir)
+    live = lv.feed_features(feeds, lv.latest_checkpoint(feeds.sessions), 1)
+    known = feeds.cars.select("session", F.col("driver_number").alias("driver_id")).join(league.drivers.select("driver_id"), "driver_id")
+    priors = known.join(tr.latest_priors(model_scored(league)), "driver_id", "left")
+    priors = priors.select("session", "driver_id", F.coalesce("prior", F.lit(DEFAULT_PRIOR)).alias("prior"))
+    answer = up.live_podium(live, lv.map_cars(feeds.cars, league.drivers), priors, ["session"], feeds.session_count)
+    return plain(answer).select(
+        "session", F.col("predicted_position").cast("long").alias("predicted_position"), F.col("probability").between(0, 1).alias("is_probability")
+    )

@@ -330,3 +330,8 @@ def rolling_backtest(
 def season_report(model: PodiumModel, matrix: DataFrame, year: int, bound: int | None = None) -> DataFrame:
     """Race records of one season under a fitted model."""
     return race_records(fixed(model.score(matrix.filter(F.col("year") == year))), "predicted_place", bound)
+
+
+def latest_priors(scored: DataFrame) -> DataFrame:
+    """(driver_id, prior): each driver's probability in its latest scored race, for live updates."""
+    return scored.groupBy("driver_id").agg(F.max_by("prob", "ro").alias("prior"))
