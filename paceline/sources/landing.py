@@ -326,9 +326,10 @@ def find_session(races: DataFrame, sessions: DataFrame, session_type: str = "Rac
     """
     kind = sessions.filter(F.col("session_type") == session_type)
     where = F.lower(F.concat(F.coalesce("country_name", F.lit("")), F.coalesce("meeting_name", F.lit(""))))
+    start = F.col("date_start") if "date_start" in sessions.columns else F.lit(None).cast("timestamp")
     text = F.lower(F.when(F.coalesce("country", F.lit("")) != "", F.col("country")).otherwise(F.col("circuit_name")))
     candidates = races.select("race_id", "year", text.alias("_text")).join(
-        kind.select("year", F.struct(F.col("date_start").isNull(), "date_start", "session_key").alias("_first"), where.alias("_where")), "year"
+        kind.select("year", F.struct(start.isNull(), start, "session_key").alias("_first"), where.alias("_where")), "year"
     )
     found = candidates.filter(F.col("_where").contains(F.col("_text")))
     return found.groupBy("race_id").agg(F.min("_first")["session_key"].alias("session_key"))

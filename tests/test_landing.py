@@ -136,7 +136,8 @@ def test_store_ingests_twice_without_copies(spark, tmp_path):
     store = Store(spark, str(tmp_path / "tables"))
     for _ in range(2):
         report = store.ingest(**paths).orderBy("ingested").collect()
-        assert sum(r.ingested for r in report) == 1 and sum(r.failed for r in report) == 1
+        assert sum(r.ingested for r in report) == 3 and sum(r.failed for r in report) == 1
+        assert {r.kind for r in report if r.failed} == {"results"}
     assert store.table("results").count() == 2 and store.table("drivers").count() == 2
     store.save("weather", spark.createDataFrame([("2024_3", 20.5, "dry")], "race_id string, temperature double, condition string"))
     assert store.table("weather", 2024, 2024).first().temperature == 20.5
@@ -145,3 +146,43 @@ def test_store_ingests_twice_without_copies(spark, tmp_path):
     assert (rows["a"].driver_championship_pts, rows["a"].grid_position, rows["z"].is_podium) == (7.0, 1, 0)
     assert (rows["b"].grid_position, rows["a"].circuit_overtake_difficulty) == (20, 0.35)
     assert {r.duplicates for r in store.quality().collect()} == {0}
+
+
+def test_first_session_by_start_then_number(spark):
+    races = spark.createDataFrame([("r", 2024, "Italy", "Monza")], "race_id string, year long, country string, circuit_name string")
+    schema = "session_key long, year long, country_name string, meeting_name string, session_type string, date_start string"
+    rows = [(10014, 2024, "Italy", "A", "Race", None), (9998, 2024, "Italy", "B", "Race", None)]
+    sessions = spark.createDataFrame(rows, schema).withColumn("date_start", F.to_timestamp("date_start"))
+    assert landing.find_session(races, sessions).first().session_key == 9998
+    earlier = spark.createDataFrame([(20000, 2024, "Italy", "C", "Race", "2024-05-01")], schema)
+    earlier = earlier.withColumn("date_start", F.to_timestamp("date_start"))
+    assert landing.find_session(races, sessions.union(earlier)).first().session_key == 20000
+
+
+def test_several_rows_per_lap(spark):
+    """Start and current place are by time, whatever order the rows come in."""
+    from paceline.operators.live import interval_state
+
+    rows = [("s", 1, 1, p, str(p), None, i, i) for i, p in enumerate([9, 8, 7, 3])] + [("s", 1, None, 20, "0", None, 9, 9)]
+    points = spark.createDataFrame([("s", "last", 5)], "session string, checkpoint string, lap long")
+    schema = "session string, driver_number long, lap_number long, position long, gap_to_leader string, interval string, ts long, event_id long"
+    for given in (rows, rows[::-1]):
+        state = interval_state(spark.createDataFrame(given, schema), points).first()
+        assert (state.current_position, state.positions_gained, state.gap_to_leader) == (3, 6, 3.0)
+
+
+def test_upcoming_race_has_features(spark, tmp_path):
+    """A race known from the calendar and qualifying only is in the matrix."""
+    from paceline.plans.store import Store
+
+    quali = [{"position": "1", "Q1": "1:23.456", "Driver": {"driverId": "a"}, "Constructor": {"constructorId": "t"}}]
+    upcoming = json.loads(json.dumps(race(QualifyingResults=quali)))
+    upcoming["MRData"]["RaceTable"]["Races"][0]["round"] = "9"
+    store = Store(spark, str(tmp_path / "tables"))
+    store.ingest(
+        results=write(tmp_path / "r", race(Results=RESULTS)), qualifying=write(tmp_path / "q", upcoming),
+        standings=write(tmp_path / "s", {"MRData": {"StandingsTable": {"StandingsLists": []}}}),
+    )
+    assert {r.race_id for r in store.matrix().collect()} == {"2024_3", "2024_9"}
+    quality = {r.table_name: r for r in store.quality().collect()}
+    assert len(quality) == 9 and quality["qualifying"].orphans == 0
