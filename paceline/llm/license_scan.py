@@ -117,7 +117,8 @@ def _scanner(templates, least: float):
             last = np.append(first[1:], len(starts))
             size = last - first - 1
             # distinct bigrams are no more than bigrams, and those of templates no more than the hits
-            inside = hits[np.maximum(last - 1, first)] - hits[first]
+            # a passage without words may begin after the last word
+            inside = hits[np.maximum(last - 1, 0)] - hits[np.minimum(first, len(hits) - 1)]
             # twice the overlap is at least this share of both sizes together
             can = (size >= low) & (2 * inside >= least * (low + smallest))
             for i in np.flatnonzero(can):
