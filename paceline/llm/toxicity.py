@@ -61,7 +61,7 @@ class Features:
         stop = np.minimum(at + 4, np.repeat(ends, n))
 
         def bucket(a, b):
-            return (words.span_prints(sums, a, b) >> np.uint64(20)).astype(np.int64) % BUCKETS
+            return (words.span_prints(sums, a, b) >> np.uint64(46)).astype(np.int32) % BUCKETS
 
         return cls(bucket(starts, ends), bucket(starts, np.minimum(starts + 5, ends)), bucket(at, stop), np.append(first, n.sum()), bounds)
 
@@ -216,58 +216,78 @@ class Network:
         return float(-(weight * np.log(np.where(label > 0, p, 1 - p) + 1e-9)).sum() / weight.sum())
 
 
-def _log_odds(features: Features, label: np.ndarray) -> list[np.ndarray]:
-    """Shrunken log-odds of a text being labelled, for each bucket of each kind."""
-    text = words.owners(features.bounds)
-    kinds = ((features.word, text), (features.prefix, text), (features.gram, np.repeat(text, np.diff(features.gram_bounds))))
-    out = []
-    for bucket, owner in kinds:
-        pair = np.unique(owner * BUCKETS + bucket)
-        bucket, y = pair % BUCKETS, label[pair // BUCKETS]
-        with_, without = np.bincount(bucket, y, BUCKETS), np.bincount(bucket, 1 - y, BUCKETS)
-        odds = np.log((with_ + 0.5) / (label.sum() + 1)) - np.log((without + 0.5) / ((1 - label).sum() + 1))
-        seen = with_ + without
-        out.append((np.clip(odds, -3, 6) * seen / (seen + 8)).astype(np.float32))
-    return out
+def _pieces(texts: list[str], label: np.ndarray) -> Iterator[tuple[Features, np.ndarray]]:
+    """Features and labels of the texts, a few at a time."""
+    done = 0
+    for low, high, data, offsets in words.texts(pa.array(texts, pa.large_string())):
+        done = high
+        yield Features.of(data, offsets), label[low:high]
+    assert done == len(texts)
 
 
-def _features(texts: list[str]) -> Features:
-    raw = [t.encode().translate(words.LOWER) for t in texts]
-    return Features.of(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64))
+def _log_odds(pieces: Iterator[tuple[Features, np.ndarray]]) -> list[np.ndarray]:
+    """Shrunken log-odds of a text being labelled, for each bucket of each kind."""
+    with_, without, texts = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS)), np.zeros(2)
+    for f, label in pieces:
+        text = words.owners(f.bounds)
+        texts += [label.sum(), (1 - label).sum()]
+        kinds = ((f.word, text), (f.prefix, text), (f.gram, np.repeat(text, np.diff(f.gram_bounds))))
+        for i, (bucket, owner) in enumerate(kinds):
+            pair = np.unique(owner.astype(np.int64) * BUCKETS + bucket)
+            bucket, y = pair % BUCKETS, label[pair // BUCKETS]
+            with_[i] += np.bincount(bucket, y, BUCKETS)
+            without[i] += np.bincount(bucket, 1 - y, BUCKETS)
+    odds = np.log((with_ + 0.5) / (texts[0] + 1)) - np.log((without + 0.5) / (texts[1] + 1))
+    seen = with_ + without
+    return list((np.clip(odds, -3, 6) * seen / (seen + 8)).astype(np.float32))
+
+
+def _first_guess(net: Network, f: Features) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the window with the largest sum of word and prefix log-odds: first word and size."""
+    odds = np.append(0, np.cumsum(net.vectors[0][f.word, 0] + net.vectors[1][f.prefix, 0]))
+    text, first, size = f.windows()
+    at, n = np.zeros(len(f.bounds) - 1, np.int64), np.zeros(len(f.bounds) - 1, np.int64)
+    if len(text):
+        order = np.lexsort((odds[first + size] - odds[first], text))
+        last = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]
+        at[text[last]], n[text[last]] = first[last], size[last]
+    return at, n
 
 
 def fit(texts: list[str], label: np.ndarray, prior: float, seed: int = 11, rounds: int = 4, batch: int = 256) -> Network:
     """Network from labelled texts; ``prior`` is the share of label 1 that the scale is set to."""
-    third = np.arange(len(texts)) % 5
-    parts = [np.flatnonzero(third <= 1), np.flatnonzero((third == 2) | (third == 3)), np.flatnonzero(third == 4)]
-    first_part = _features([texts[i] for i in parts[0]])
-    net = Network.fresh(_log_odds(first_part, label[parts[0]]), seed)
-    f, y = _features([texts[i] for i in parts[1]]), label[parts[1]]
-    draw, memory = np.random.default_rng(seed), {}
-    # at first the window with the largest sum of word and prefix log-odds stands for its text
-    odds = np.append(0, np.cumsum(net.vectors[0][f.word, 0] + net.vectors[1][f.prefix, 0]))
-    text, first, size = f.windows()
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    for number in range(rounds if len(text) else 0):
-        if number:
-            _, at, n = net.score_texts(f)
-        else:
-            order = np.lexsort((odds[first + size] - odds[first], text))
-            last = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]
-            at, n = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
-            at[text[last]], n[text[last]] = first[last], size[last]
-        # other windows of texts without the label are examples too
-        other = draw.permutation(np.flatnonzero(y[text] == 0))[: len(y)]
-        used = np.flatnonzero(n > 0)
-        a, m = np.append(at[used], first[other]), np.append(n[used], size[other])
-        t, w = np.append(y[used], y[text[other]]), np.append(weight[used], 0.5 * weight[text[other]])
-        for _ in range(3):
-            mixed = draw.permutation(len(a))
-            for low in range(0, len(a), batch):
-                pick = mixed[low : low + batch]
-                net.learn(f, a[pick], m[pick], t[pick], w[pick], memory, 0.01 / (1 + number))
+    fifth = np.arange(len(texts)) % 5
+
+    def part(*numbers: int) -> Iterator[tuple[Features, np.ndarray]]:
+        mine = np.flatnonzero(np.isin(fifth, numbers))
+        return _pieces([texts[i] for i in mine], label[mine])
+
+    net = Network.fresh(_log_odds(part(0, 1)), seed)
+    draw, memory, pieces = np.random.default_rng(seed), {}, list(part(2, 3))
+    positive = sum(y.sum() for _, y in pieces)
+    total = sum(len(y) for _, y in pieces)
+    for number in range(rounds):
+        for k in draw.permutation(len(pieces)):
+            f, y = pieces[k]
+            if number:
+                _, at, n = net.score_texts(f)
+            else:
+                at, n = _first_guess(net, f)
+            text, first, size = f.windows()
+            weight = np.where(y > 0, 0.5 / max(positive, 1), 0.5 / max(total - positive, 1)) * total
+            # other windows of texts without the label are examples too
+            other = draw.permutation(np.flatnonzero(y[text] == 0))[: len(y)]
+            used = np.flatnonzero(n > 0)
+            a, m = np.append(at[used], first[other]), np.append(n[used], size[other])
+            t, w = np.append(y[used], y[text[other]]), np.append(weight[used], 0.5 * weight[text[other]])
+            for _ in range(3):
+                mixed = draw.permutation(len(a))
+                for low in range(0, len(a), batch):
+                    pick = mixed[low : low + batch]
+                    net.learn(f, a[pick], m[pick], t[pick], w[pick], memory, 0.01 / (1 + number))
     # two numbers that map the worst logit to a probability, by Newton's method
-    logit, y = net.score_texts(_features([texts[i] for i in parts[2]]))[0], label[parts[2]]
+    scored = [(net.score_texts(f)[0], y) for f, y in part(4)]
+    logit, y = (np.concatenate(x) for x in zip(*scored, strict=True)) if scored else (np.zeros(0), np.zeros(0))
     keep = np.isfinite(logit)
     logit, y = logit[keep], y[keep]
     if len(y) and 0 < y.sum() < len(y):
@@ -282,7 +302,7 @@ def fit(texts: list[str], label: np.ndarray, prior: float, seed: int = 11, round
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_label: int = 4000, most_bytes: int = 100_000
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_label: int = 2500, most_bytes: int = 100_000
 ) -> Network:
     """Network fitted on about ``rows_per_label`` labelled texts of each label, chosen by a seeded hash.
 

@@ -302,9 +302,9 @@ def test_network_gradients():
     import numpy as np
 
     rows = ["good day to all", "you vile thing indeed", "fine words here"]
-    f = toxicity._features(rows)
-    _, first, size = f.windows()
     y, w = np.array([0.0, 1.0, 0.0]), np.ones(3)
+    f, _ = next(toxicity._pieces(rows, y))
+    _, first, size = f.windows()
 
     def loss(net):
         p = toxicity.sigmoid(net.score_windows(net.inputs(f), first, size).astype(float))
@@ -357,11 +357,12 @@ def test_licences(spark):
         (5, "word"),
         (6, "Prose first. Licensed under CC BY-NC 4.0. Prose last."),
         (7, "Licensed under the Apache License, Version 2.0.\n\nReleased under the MIT License."),
+        (8, "Some prose. More!\n\n!!! \n"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dice", F.lit("other"))
     found = {r.record.doc_id: (r.licences, r.dice) for r in license_scan.scan_licences(docs).collect()}
     assert found[1] == (["MIT"], 1.0) and found[3] == (["ISC"], 1.0) and found[6] == (["CC-BY-NC-4.0"], 1.0)
-    assert found[2] == found[4] == found[5] == ([], None)
+    assert found[2] == found[4] == found[5] == found[8] == ([], None)
     assert found[7] == (["Apache-2.0", "MIT"], 1.0)
 
 
