@@ -2,9 +2,10 @@
 
 Equal sets are folded first. A set's shingles are put in one order for the whole corpus, rare ones first, and the
 prefix filter says that two sets with a Jaccard coefficient of at least 0.9 share one of the first n - ceil(0.9 n) + 1
-shingles of each. Tiles hold the sets that share such a shingle. Inside a tile, sets are ordered by size, sizes bound
-who can meet whom, and hashed bitmap signatures bound the overlap from above: the bits of one set that the other lacks
-are shingles that it lacks. What passes is decided on the sorted arrays of shingles.
+shingles of each; the place of that shingle bounds the sizes of the sets that it can link. Tiles hold the sets that
+share such a shingle. Inside a tile, sets are ordered by size, sizes bound who can meet whom, and hashed bitmap
+signatures bound the overlap from above: the bits of one set that the other lacks are shingles that it lacks. What
+passes is decided on the sorted arrays of shingles.
 
 Groups are wanted, so a tile only looks for links that join two groups. Two rounds over the tiles of every set's most
 shared prefix shingles settle families of near copies; a last round takes all prefix shingles, in tiles by
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ GRAM_BUCKETS = 1 << 20
 # Rounds before the last, and sets taken together in a tile
 ROUNDS = 2
 TILE = 1000
+# Pairs looked at together, and count above the average from which a shingle's bucket is reported
+PAIRS = 400_000
 MARGIN = 16
 
 
@@ -42,35 +46,37 @@ def linked(common, n_a, n_b):
     return (100 + LEVEL) * common >= LEVEL * (n_a + n_b)
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, fingerprints of its words) of every shingle, one per place."""
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text, shingle, buckets of its words) of every shingle, one per place."""
     starts, ends, bounds = words.spans(data, offsets, words.NOT_SPACE)
     prints = words.word_prints(data, starts, ends)
     n = np.diff(bounds)
     grams = words.gram_prints(prints, SHINGLE)
     doc = words.owners(bounds)
+    bucket = (prints % np.uint64(WORD_BUCKETS)).astype(np.uint16)
     at = np.flatnonzero(doc[: len(grams)] == doc[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
     text, gram = doc[at], grams[at]
-    trio = np.stack([prints[at + i] for i in range(SHINGLE)]) if len(at) else np.zeros((SHINGLE, 0), np.uint64)
+    trio = [bucket[at + i] for i in range(SHINGLE)]
     # texts of fewer words are one shingle as a whole
     for size in range(1, SHINGLE):
         few = np.flatnonzero(n == size)
         if len(few):
             own = words.gram_prints(prints, size)[bounds[few]] + np.uint64(size)
             text, gram = np.append(text, few), np.append(gram, own)
-            trio = np.concatenate([trio, np.stack([prints[bounds[few] + min(i, size - 1)] for i in range(SHINGLE)])], axis=1)
+            trio = [np.append(w, bucket[bounds[few] + min(i, size - 1)]) for i, w in enumerate(trio)]
     return text, gram, trio
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray):
     """(bounds, shingles, their words): distinct shingles of each text, ascending."""
     text, gram, trio = _shingles(data, offsets)
-    order = np.lexsort((gram, text))
-    text, gram, trio = text[order], gram[order], trio[:, order]
+    order = np.argsort(gram)
+    order = order[np.argsort(text[order], kind="stable")]
+    text, gram = text[order], gram[order]
     fresh = np.ones(len(text), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
-    text, gram, trio = text[fresh], gram[fresh], trio[:, fresh]
-    return np.searchsorted(text, np.arange(len(offsets))), gram, trio
+    text, gram = text[fresh], gram[fresh]
+    return np.searchsorted(text, np.arange(len(offsets))), gram, [w[order[fresh]] for w in trio]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in words.texts(batch.column(0)):
             _, gram, trio = _sets(data, offsets)
-            totals[0] += np.bincount((trio[0] % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+            totals[0] += np.bincount(trio[0], minlength=WORD_BUCKETS)
             totals[1] += np.bincount((gram % np.uint64(GRAM_BUCKETS)).astype(np.int64), minlength=GRAM_BUCKETS)
     for kind, total in enumerate(totals):
         some = np.flatnonzero(total > kind * (MARGIN + 4 * total.mean()))
@@ -117,14 +123,21 @@ def _prefix_scan(order_of):
                 sums = np.append(np.uint64(0), np.cumsum(words.mixed(gram ^ words.BASE)))
                 sid = words.mixed((sums[bounds[1:]] - sums[bounds[:-1]]) + n.astype(np.uint64))
                 text = words.owners(bounds)
-                rare = word_class[trio % np.uint64(WORD_BUCKETS)].min(axis=0) if len(gram) else np.zeros(0, np.uint8)
-                order = np.lexsort((words.mixed(gram), rare, gram_class[gram % np.uint64(GRAM_BUCKETS)], text))
+                rare = np.minimum.reduce([word_class[w] for w in trio])
+                # one key: class of the shingle, class of its rarest word, hash; equal hashes fall back on the order in the set
+                key = gram_class[gram % np.uint64(GRAM_BUCKETS)].astype(np.uint64) << np.uint64(58) | rare.astype(np.uint64) << np.uint64(52)
+                key |= words.mixed(gram) >> np.uint64(12)
+                order = np.argsort(key, kind="stable")
+                order = order[np.argsort(text[order], kind="stable")]
                 place = np.arange(len(gram)) - bounds[text]
                 # ceil(n * LEVEL / 100) shingles may be missing from the prefix, less one
                 length = n - (LEVEL * n + 99) // 100 + 1
                 pick = place < length[text]
-                token, owner = gram[order][pick], text[pick]
-                yield pa.record_batch({"token": token.view(np.int64), "sid": sid[owner].view(np.int64), "n": n[owner]})
+                token, owner, place = gram[order][pick], text[pick], place[pick]
+                # sets that share no shingle before this place can only meet sets up to a size
+                most = np.maximum((100 + LEVEL) * (n[owner] - place) // LEVEL - n[owner], 0)
+                size = n[owner] << np.int64(32) | most
+                yield pa.record_batch({"token": token.view(np.int64), "sid": sid[owner].view(np.int64), "size": size})
 
     return scan
 
@@ -235,26 +248,64 @@ def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _bounds_of_pairs(marks: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of pairs (i, j) of sets."""
+    width = np.array([len(m) for m in marks])
+    flat, begin = np.concatenate(marks), np.cumsum(width) - width
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+
+    def at_width(rows: np.ndarray, w: int) -> np.ndarray:
+        folds = np.zeros((len(rows), w), np.uint64)
+        for k in range(int(width[rows].max()) // w):
+            some = np.flatnonzero(width[rows] > k * w)
+            folds[some] |= flat[begin[rows[some], None] + k * w + np.arange(w)]
+        return folds
+
+    for w in np.unique(least):
+        of = np.flatnonzero(least == w)
+        for low in range(0, len(of), PAIRS // 20):
+            pick = of[low : low + PAIRS // 20]
+            a, b = at_width(i[pick], w), at_width(j[pick], w)
+            lacks = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            lacked = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            out[pick] = np.minimum(n[i[pick]] - lacks, n[j[pick]] - lacked)
+    return out
+
+
+def _block_pairs(blocks: list[pa.Table]) -> pa.RecordBatch:
+    """Pairs of sets of different groups in the blocks that their signatures do not rule out."""
+    rows = pa.concat_tables(blocks)
+    size = np.array([b.num_rows for b in blocks])
+    n, most, sid, group, own, part, one, two = (rows[c].to_numpy() for c in ("n", "most", "sid", "c", "own", "part", "one", "two"))
+    # every row with all later rows of its block
+    later = np.repeat(np.cumsum(size), size) - np.arange(len(n)) - 1
+    i = np.repeat(np.arange(len(n)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    # a pair is met in the band of its larger set, and across the two parts of its block
+    keep = (group[i] != group[j]) & (own[i] | own[j]) & ((one[i] == two[i]) | (part[i] != part[j]))
+    keep &= linked(np.minimum(n[i], n[j]), n[i], n[j]) & (n[j] <= most[i]) & (n[i] <= most[j])
+    i, j = i[keep], j[keep]
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if len(used):
+        marks = [np.frombuffer(x, np.uint64) for x in rows["marks"].take(pa.array(used)).to_pylist()]
+        a, b = place[: len(i)], place[len(i) :]
+        keep = linked(_bounds_of_pairs(marks, n[used], a, b), n[i], n[j])
+        i, j = i[keep], j[keep]
+    pairs = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]), axis=1)
+    return pa.record_batch({"a": pairs[0], "b": pairs[1]})
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different groups in a block that their signatures do not rule out."""
+    waiting, pairs = [], 0
     for block in groups_of(batches, ["token", "band", "one", "two"]):
-        n, sid, group = (block[c].to_numpy() for c in ("n", "sid", "c"))
-        # a pair is met in the band of its larger set, and across the two parts of its block
-        own, part, one, two = (block[c].to_numpy() for c in ("own", "part", "one", "two"))
-        if len(n) < 2 or (group == group[0]).all():
-            continue
-        marks = folded([np.frombuffer(x, np.uint64) for x in block["marks"].to_pylist()])
-        a, b = [], []
-        for i in range(len(n) - 1):
-            rest = np.arange(i + 1, len(n))
-            rest = rest[(group[rest] != group[i]) & (own[rest] | own[i])]
-            if one[0] != two[0]:
-                rest = rest[part[rest] != part[i]]
-            rest = rest[linked(np.minimum(n[i], n[rest]), n[i], n[rest])]
-            rest = rest[linked(overlap_bound(marks[i], n[i], marks[rest], n[rest]), n[i], n[rest])]
-            a.append(np.minimum(sid[rest], sid[i]))
-            b.append(np.maximum(sid[rest], sid[i]))
-        yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+        if block.num_rows > 1:
+            waiting.append(block)
+            pairs += block.num_rows * (block.num_rows - 1) // 2
+        if pairs >= PAIRS:
+            yield _block_pairs(waiting)
+            waiting, pairs = [], 0
+    if waiting:
+        yield _block_pairs(waiting)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,13 +323,33 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["sid", "marks"])
 
 
+def _banded(rows: DataFrame) -> DataFrame:
+    """Rows in the size band of their set (``own``) and in the next one, where larger sets may link to it.
+
+    A shingle too late in a set's order to meet a set of the next band (``most``) stays in its own.
+    """
+    band = lambda size: F.floor(F.log(F.col(size).cast("double")) / math.log(100 / LEVEL)).cast("int")
+    last = F.greatest(F.least(band("most"), F.col("home") + 1), F.col("home"))
+    rows = rows.withColumn("home", band("n"))
+    # log of no size is null, which the own band stands for
+    rows = rows.withColumn("band", F.explode(F.sequence("home", F.coalesce(last, "home"))))
+    return rows.withColumn("own", F.col("home") == F.col("band")).drop("home")
+
+
 def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between different sets that connect whatever is connected."""
     order = shared(docs.sparkSession, _rarity(docs))
-    tokens = docs.select("text").mapInArrow(_prefix_scan(order), "token long, sid long, n long")
+    tokens = docs.select("text").mapInArrow(_prefix_scan(order), "token long, sid long, size long")
     met = tokens.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("rows"))
     met = landed(met.where("low <> high").select("token", "rows"), "shared-shingles")
-    members = landed(tokens.join(met, "token").distinct(), "shingle-members")
+    members = tokens.join(met, "token").distinct()
+    members = members.select("token", "sid", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("most"), "rows")
+    members = landed(members, "shingle-members")
+    # sets of sizes too far apart do not meet: a shingle counts where a size band holds another set too
+    banded = _banded(members)
+    bands = banded.groupBy("token", "band").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("own").alias("own"))
+    bands = bands.where("own AND low <> high").select("token", "band")
+    members = landed(banded.join(bands, ["token", "band"]).select("token", "sid", "n", "most", "rows").distinct(), "shingle-members")
 
     # the sets that meet any other, with their most shared prefix shingles and their sorted shingles
     best = F.slice(F.sort_array(F.collect_list(F.struct("rows", "token")), asc=False), 1, ROUNDS)
@@ -287,23 +358,19 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     kind = active.schema["best"].dataType.simpleString()
     active = landed(active.mapInArrow(_arrays, f"grams binary, sid long, best {kind}"), "shingle-sets")
 
-    edges = None
+    edges = []
     for number in range(ROUNDS):
         tiles = active.where(F.size("best") > number).select("sid", "grams", F.col("best")[number]["token"].alias("tile"), F.col("best")[number]["rows"].alias("rows"))
         part = F.pmod(F.xxhash64(F.lit(number), "sid"), 1 + F.floor(F.col("rows") / TILE))
         tiles = tiles.select("tile", part.alias("part"), "sid", "grams").repartition("tile", "part").sortWithinPartitions("tile", "part", "sid")
-        found = tiles.mapInArrow(_link_tiles, "a long, b long")
-        edges = found if edges is None else edges.union(found)
-    edges = landed(edges, "tile-links")
+        edges.append(landed(tiles.mapInArrow(_link_tiles, "a long, b long"), "tile-links"))
+    edges = reduce(DataFrame.union, edges)
     label = components(edges)
 
     # what is left: prefix shingles that are shared between groups
-    grouped = members.join(label, members["sid"] == label["v"], "left").select("token", "sid", "n", F.coalesce("c", "sid").alias("c"))
+    grouped = members.join(label, members["sid"] == label["v"], "left").select("token", "sid", "n", "most", F.coalesce("c", "sid").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / LEVEL)).cast("int")
-    left = landed(
-        grouped.join(mixed, "token").withColumn("home", band).withColumn("band", F.explode(F.array("home", F.col("home") + 1))), "mixed-shingles"
-    )
+    left = landed(_banded(grouped.join(mixed, "token")), "mixed-shingles")
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     sizes = sizes.select("token", "band", (1 + F.floor(F.col("rows") / TILE)).alias("parts"))
     left = left.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
@@ -313,8 +380,7 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         left.withColumn("other", other)
         .join(marks, "sid")
         .select(
-            "token", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sid", "n", "c", "marks",
-            (F.col("home") == F.col("band")).alias("own"),
+            "token", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sid", "n", "most", "c", "marks", "own"
         )
     )
     keys = ["token", "band", "one", "two"]
