@@ -20,11 +20,12 @@ from paceline.llm.decontamination import clean_rows
 from paceline.llm.jaccard_join import first_of_groups
 from paceline.llm.language import recognised_rows
 from paceline.llm.mixing import mixed_rows
-from paceline.llm.rows import landed, table
+from paceline.llm.rows import landed, small_batches, table
 from paceline.llm.sharding import external_shuffle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return recognised_rows(docs)
 
 
@@ -33,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 

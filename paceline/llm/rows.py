@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.session import new_path
 
+# While a table is landed: nothing reads its shuffles again, and long texts go to Python a few at a time
+LANDING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -20,9 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, name), {key: spark.conf.get(key) for key in LANDING}
+    for key, value in LANDING.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def locator(df: DataFrame) -> Column:
@@ -41,9 +53,28 @@ def locatable(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Sends ``value`` to every executor once; the function returned reads it there."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+    """Sends ``value`` to every executor once; the function returned reads it there.
+
+    Objects are sent as their fields, which workers hold once, and put together where they are used.
+    """
+    kind = type(value) if hasattr(value, "__dict__") else None
+    sent = spark.sparkContext.broadcast(vars(value) if kind else value)
+
+    def read() -> object:
+        if kind is None:
+            return sent.value
+        whole = kind.__new__(kind)
+        whole.__dict__.update(sent.value)
+        return whole
+
+    return read
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts go to Python a few at a time, also in results that are computed later."""
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        name = f"spark.sql.execution.arrow.{key}"
+        spark.conf.set(name, LANDING[name])
 
 
 def text_of(column: str) -> Column:
