@@ -140,11 +140,11 @@ def fit_regressor(rows: DataFrame, params: Params = REGRESSOR) -> PipelineModel:
 def fit_calibration(classifier: PipelineModel, rows: DataFrame) -> IsotonicRegressionModel:
     """Isotonic fit of outcome on raw probability over a later year.
 
-    Rows are first grouped by raw probability rounded to six digits, so the fit, which ends on the
-    driver, has a million input rows at most, whatever the number of rows.
+    Rows are first grouped by raw probability, which leaves the fit unchanged. The fit ends on the
+    driver over the distinct scores; trees give few of them, a head with continuous scores would not.
     """
     scored = classifier.transform(_numeric(rows, C.FEATURES))
-    raw = scored.select(F.round(vector_to_array("probability")[1], 6).alias("raw_prob"), "is_podium")
+    raw = scored.select(vector_to_array("probability")[1].alias("raw_prob"), "is_podium")
     grouped = raw.groupBy("raw_prob").agg(F.avg("is_podium").alias("rate"), F.count(F.lit(1)).cast("double").alias("n"))
     fit = IsotonicRegression(
         featuresCol="raw_prob", labelCol="rate", weightCol="n", predictionCol="prob", isotonic=True
