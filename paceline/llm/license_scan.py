@@ -1,6 +1,9 @@
 """Licence scan: passages of normalised text compared with licence templates by the Dice coefficient.
 
-Passages are the whole text, its blocks between blank lines, its lines, and its sentences. A passage of a distinct word
+Passages are the whole text, its blocks, its lines and its sentences, once with every line break as an end and once with
+wrapped lines joined, so that only lines without words (blank, spaces, CR, comment marks) end a block. Besides, spans of
+words are compared wherever they stand: for each template, those that begin with one of its bigrams, hold at least its
+words and are no longer than its size bound, whatever line breaks and marks lie between. A passage of a distinct word
 bigrams and a template of b agree with at least ``least`` only if a lies between b * least / (2 - least) and
 b * (2 - least) / least, so most templates drop out by size; a count of the passage's bigrams that occur in any template
 then bounds the overlap from above. What remains is compared exactly, on the words themselves.
@@ -8,6 +11,7 @@ then bounds the overlap from above. What remains is compared exactly, on the wor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +68,8 @@ LEAST = 0.8
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 FILTER = 16
+# Starts times lengths of spans that are compared together
+CELLS = 1 << 20
 
 
 def normal_words(text: str) -> list[str]:
@@ -83,13 +89,38 @@ def size_bounds(n: int, least: float) -> tuple[float, float]:
     return n * least / (2 - least), n * (2 - least) / least
 
 
-def _breaks(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Byte places where sentences, lines, blocks and texts begin."""
+def _breaks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Byte places where sentences, lines, blocks and texts begin; lines without words end blocks, too."""
     line = np.flatnonzero(data == 10)
     sentence = np.flatnonzero(STOP[data[:-1]] & SPACE[data[1:]]) + 1 if len(data) else line
     block = line[1:][np.diff(line) == 1] if len(line) else line
+    wordless = line[1:][np.diff(np.searchsorted(starts, line)) == 0] if len(line) else line
     text = offsets[:-1]
-    return [np.union1d(part, text) for part in (np.union1d(sentence, line), line, block)] + [text]
+    parts = (np.union1d(sentence, line), line, block, np.union1d(sentence, wordless), wordless)
+    return [np.union1d(part, text) for part in parts] + [text]
+
+
+def best_span(own: list, starts: np.ndarray, theirs: set, shortest: int, longest: int) -> float:
+    """Best coefficient with ``theirs`` of the spans of ``own`` from ``starts`` with ``shortest`` to ``longest`` bigrams."""
+    last: dict = {}
+    before = np.empty(len(own), np.int64)
+    for i, pair in enumerate(own):
+        before[i] = last.get(pair, -1)
+        last[pair] = i
+    inside = np.array([pair in theirs for pair in own], bool)
+    best, step = 0.0, max(1, CELLS // longest)
+    for low in range(0, len(starts), step):
+        first = starts[low : low + step, None]
+        at = first + np.arange(longest)
+        # a bigram counts where it comes first in the span; nothing comes after the end
+        fresh = at < len(own)
+        at = np.minimum(at, len(own) - 1)
+        fresh &= before[at] < first
+        dice = 2 * np.cumsum(fresh & inside[at], 1) / (np.cumsum(fresh, 1) + len(theirs))
+        best = max(best, float(dice[:, shortest - 1 :].max()))
+        if best == 1.0:
+            break
+    return best
 
 
 def _scanner(templates, least: float):
@@ -98,21 +129,52 @@ def _scanner(templates, least: float):
     low = size_bounds(smallest, least)[0]
     high = max(size_bounds(len(s), least)[1] for _, s in sets)
     known = np.zeros(1 << FILTER, bool)
+    prints = []
     for _, text in templates:
         data = np.frombuffer(text.encode().translate(words.LOWER), np.uint8)
         starts, ends, _ = words.spans(data, np.array([0, len(data)]), words.ALNUM)
         pairs = words.gram_prints(words.word_prints(data, starts, ends), 2)
         known[pairs & np.uint64((1 << FILTER) - 1)] = True
+        prints.append(pairs)
+    vocabulary = np.unique(np.concatenate(prints))
+    member = [np.isin(vocabulary, pairs) for pairs in prints]
+    # (bigrams, fewest that a span shares, most bigrams of a span) of each template
+    reach = []
+    for (_, theirs), pairs in zip(sets, prints, strict=True):
+        fewest, most = size_bounds(len(theirs), least)
+        reach.append((len(pairs), max(1, math.ceil(fewest - 1e-9)), len(pairs) + int(most + 1e-9) - len(theirs)))
+
+    def spans(pairs, bounds):
+        """(text, template, starts, end) of the runs of bigrams that hold enough of a template's in its reach."""
+        at = np.flatnonzero(known[pairs & np.uint64((1 << FILTER) - 1)])
+        which = np.minimum(np.searchsorted(vocabulary, pairs[at]), len(vocabulary) - 1)
+        text = np.searchsorted(bounds, at, "right") - 1
+        real = (vocabulary[which] == pairs[at]) & (at + 1 < bounds[text + 1])
+        at, which, text = at[real], which[real], text[real]
+        for number, (shortest, fewest, longest) in enumerate(reach):
+            mine = member[number][which]
+            own, doc = at[mine], text[mine]
+            ahead = slice(fewest - 1, None)
+            k = np.flatnonzero((own[ahead] - own[: len(own[ahead])] < longest) & (doc[ahead] == doc[: len(own[ahead])]))
+            if not len(k):
+                continue
+            own, doc = own[k], doc[k]
+            end = bounds[doc + 1] - 1
+            first = np.maximum(np.minimum(own, end - shortest), bounds[doc])
+            cuts = np.flatnonzero((np.diff(first) > longest) | (np.diff(doc) > 0)) + 1
+            for run in np.split(np.arange(len(k)), cuts):
+                places = np.unique(first[run])
+                yield int(doc[run[0]]), number, places, min(int(places[-1]) + longest, int(end[run[0]]))
 
     def passages(data, offsets):
-        """(text, first word, last word + 1) of the passages that can reach ``least`` with some template."""
-        starts, ends, _ = words.spans(data, offsets, words.ALNUM)
+        """Words, (text, first word, last word + 1) of the passages that can reach ``least`` with some template, and spans."""
+        starts, ends, bounds = words.spans(data, offsets, words.ALNUM)
         if len(starts) < 2:
-            return starts, ends, []
+            return starts, ends, [], []
         pairs = words.gram_prints(words.word_prints(data, starts, ends), 2)
         hits = np.concatenate([[0], np.cumsum(known[pairs & np.uint64((1 << FILTER) - 1)])])
         found = set()
-        for places in _breaks(data, offsets):
+        for places in _breaks(data, offsets, starts):
             first = np.searchsorted(starts, places)
             last = np.append(first[1:], len(starts))
             size = last - first - 1
@@ -123,13 +185,13 @@ def _scanner(templates, least: float):
             can = (size >= low) & (2 * inside >= least * (low + smallest))
             for i in np.flatnonzero(can):
                 found.add((int(np.searchsorted(offsets, places[i], "right")) - 1, int(first[i]), int(last[i])))
-        return starts, ends, sorted(found)
+        return starts, ends, sorted(found), spans(pairs, bounds)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: list[dict] = [{} for _ in range(batch.num_rows)]
             for base, _, data, offsets in words.texts(batch.column(0)):
-                starts, ends, found = passages(data, offsets)
+                starts, ends, found, runs = passages(data, offsets)
                 raw = data.tobytes()
                 for text, first, last in found:
                     own = bigrams([raw[starts[i] : ends[i]] for i in range(first, last)])
@@ -142,6 +204,15 @@ def _scanner(templates, least: float):
                             if dice >= least:
                                 row = best[base + text]
                                 row[name] = max(row.get(name, 0.0), dice)
+                for text, number, places, end in runs:
+                    (name, theirs), row = sets[number], best[base + text]
+                    if row.get(name) == 1.0:
+                        continue
+                    tokens = [raw[starts[i] : ends[i]] for i in range(places[0], end + 1)]
+                    own = list(zip(tokens, tokens[1:]))
+                    dice = best_span(own, places - places[0], theirs, reach[number][0], reach[number][2])
+                    if dice >= least:
+                        row[name] = max(row.get(name, 0.0), dice)
             names = [sorted(row) for row in best]
             scores = [max(row.values(), default=None) for row in best]
             yield pa.RecordBatch.from_arrays(

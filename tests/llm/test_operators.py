@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,6 +367,30 @@ def test_licences(spark):
     assert found[7] == (["Apache-2.0", "MIT"], 1.0)
 
 
+def test_wrapped_licences(spark):
+    """Notices wrapped over lines, with other line ends, comment marks and neighbours on their lines."""
+    texts = dict(license_scan.TEMPLATES)
+    mit, gpl = texts["MIT"], texts["GPL-3.0"]
+    lines = textwrap.wrap(mit, 76)
+    extra = mit.replace("any person", "any natural or legal person").split()
+    rows = [
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n".join(lines) + "\n\nThe above notice.",
+        "MIT License\r\n\r\nCopyright (c) 2020 A\r\n\r\n" + "\r\n".join(lines) + "\r\n\r\nThe above notice.",
+        "// MIT License\n//\n// Copyright (c) 2020 A\n//\n" + "".join(f"// {x}\n" for x in lines) + "//\n// The above notice.\nint x;",
+        "Title\n  \n" + "\n".join(lines) + "\n \t\nMore words here",
+        "#!/bin/sh\n# tool, copyright 2020 by A B C D E F\n" + "".join(f"# {x}\n" for x in textwrap.wrap(gpl, 60)) + "# see the file\nexit 0",
+        "a b c " * 40 + mit + " d e f" * 40,
+        "a b c " * 40 + " ".join(extra) + " d e f" * 40,
+        "a b c " * 40 + " ".join(mit.split()[:30]) + " d e f" * 40,
+        "Licensed under CC BY-SA 3.0. Not free.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.record.doc_id: (r.licences, r.dice) for r in license_scan.scan_licences(docs).collect()}
+    assert all(found[i] == (["MIT"], 1.0) for i in (0, 1, 2, 3, 5)) and found[4] == (["GPL-3.0"], 1.0)
+    b = len(license_scan.bigrams(license_scan.normal_words(mit)))
+    assert found[6] == (["MIT"], 2 * (b - 1) / (2 * b + 3)) and found[7] == found[8] == ([], None)
+
+
 def test_pipeline_stages(spark, hard, tmp_path):
     """Each stage against a plain version on its own input; the run equals its stages."""
     docs = documents(spark, hard)
