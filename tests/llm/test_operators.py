@@ -1,6 +1,7 @@
 """Every operator on the hard tables against brute force, on empty tables, and against its SQL."""
 
 import hashlib
+import inspect
 import re
 import textwrap
 import zlib
@@ -289,6 +290,10 @@ def test_toxicity(spark, hard):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
 
 
+def test_toxicity_sample_size():
+    assert inspect.signature(toxicity.train).parameters["rows_per_label"].default == 4000
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
