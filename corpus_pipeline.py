@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 one's ``docs``. All stages but the last return the columns of ``documents`` as they came.
 
 1. language: texts that are in no learnt language go (operator 4, learnt on the stage's own input).
-2. near duplicates: one document of each group of linked documents stays (operator 8).
+2. near duplicates: one document of each group of linked documents stays (operator 8, on 5-word shingles from 0.8).
 3. decontamination: documents that hold a benchmark window go (operator 3).
 4. mixing: every document comes as often as the mix of sources to target weights begins it (operator 1), so documents
    of sources above their target may go and others repeat.
@@ -23,6 +23,10 @@ from paceline.llm.mixing import mixed_rows
 from paceline.llm.rows import landed, small_batches, table
 from paceline.llm.sharding import external_shuffle
 
+# Near duplicates: words of a shingle, and the coefficient in hundredths
+NEAR_SHINGLE = 5
+NEAR_LEVEL = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
@@ -30,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return first_of_groups(docs)
+    return first_of_groups(docs, NEAR_SHINGLE, NEAR_LEVEL)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word shingles, as groups of linked documents.
 
 Equal sets are folded first. A set's shingles are put in one order for the whole corpus, rare ones first, and the
-prefix filter says that two sets with a Jaccard coefficient of at least 0.9 share one of the first n - ceil(0.9 n) + 1
+prefix filter says that two sets with a Jaccard coefficient of at least j share one of the first n - ceil(j n) + 1
 shingles of each; the place of that shingle bounds the sizes of the sets that it can link. Tiles hold the sets that
 share such a shingle. Inside a tile, sets are ordered by size, sizes bound who can meet whom, and hashed bitmap
 signatures bound the overlap from above: the bits of one set that the other lacks are shingles that it lacks. What
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from paceline.llm import words
 from paceline.llm.components import components
 from paceline.llm.rows import landed, locatable, locator, shared, table
 
-# Words of a shingle, and the coefficient in hundredths
+# Contract of op8: words of a shingle, and the coefficient in hundredths
 SHINGLE = 3
 LEVEL = 90
 # Buckets of the counts that order shingles by rarity (words, shingles); their noise only costs time
@@ -41,24 +41,24 @@ PAIRS = 400_000
 MARGIN = 16
 
 
-def linked(common, n_a, n_b):
+def linked(common, n_a, n_b, level=LEVEL):
     """Whether sets of these sizes with so many common shingles are linked."""
-    return (100 + LEVEL) * common >= LEVEL * (n_a + n_b)
+    return (100 + level) * common >= level * (n_a + n_b)
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(text, shingle, buckets of its words) of every shingle, one per place."""
     starts, ends, bounds = words.spans(data, offsets, words.NOT_SPACE)
     prints = words.word_prints(data, starts, ends)
     n = np.diff(bounds)
-    grams = words.gram_prints(prints, SHINGLE)
+    grams = words.gram_prints(prints, shingle)
     doc = words.owners(bounds)
     bucket = (prints % np.uint64(WORD_BUCKETS)).astype(np.uint16)
-    at = np.flatnonzero(doc[: len(grams)] == doc[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
+    at = np.flatnonzero(doc[: len(grams)] == doc[shingle - 1 :]) if len(grams) else np.zeros(0, np.int64)
     text, gram = doc[at], grams[at]
-    trio = [bucket[at + i] for i in range(SHINGLE)]
+    trio = [bucket[at + i] for i in range(shingle)]
     # texts of fewer words are one shingle as a whole
-    for size in range(1, SHINGLE):
+    for size in range(1, shingle):
         few = np.flatnonzero(n == size)
         if len(few):
             own = words.gram_prints(prints, size)[bounds[few]] + np.uint64(size)
@@ -67,9 +67,9 @@ def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return text, gram, trio
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray):
+def _sets(data: np.ndarray, offsets: np.ndarray, shingle: int):
     """(bounds, shingles, their words): distinct shingles of each text, ascending."""
-    text, gram, trio = _shingles(data, offsets)
+    text, gram, trio = _shingles(data, offsets, shingle)
     order = np.argsort(gram)
     order = order[np.argsort(text[order], kind="stable")]
     text, gram = text[order], gram[order]
@@ -79,24 +79,24 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
     return np.searchsorted(text, np.arange(len(offsets))), gram, [w[order[fresh]] for w in trio]
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Set id (null without shingles) and size of every text."""
     for batch in batches:
         n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
         for low, high, data, offsets in words.texts(batch.column(0)):
-            bounds, gram, _ = _sets(data, offsets)
+            bounds, gram, _ = _sets(data, offsets, shingle)
             n[low:high] = np.diff(bounds)
             sums = np.append(np.uint64(0), np.cumsum(words.mixed(gram ^ words.BASE)))
             sid[low:high] = words.mixed((sums[bounds[1:]] - sums[bounds[:-1]]) + n[low:high].astype(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64), mask=n == 0), pa.array(n), batch.column(1)], ["sid", "n", "row"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Counts per bucket of words (kind 0) and of shingles well above the average bucket (kind 1)."""
     totals = [np.zeros(WORD_BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.int64)]
     for batch in batches:
         for _, _, data, offsets in words.texts(batch.column(0)):
-            _, gram, trio = _sets(data, offsets)
+            _, gram, trio = _sets(data, offsets, shingle)
             totals[0] += np.bincount(trio[0], minlength=WORD_BUCKETS)
             totals[1] += np.bincount((gram % np.uint64(GRAM_BUCKETS)).astype(np.int64), minlength=GRAM_BUCKETS)
     for kind, total in enumerate(totals):
@@ -104,21 +104,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"kind": np.full(len(some), kind, np.int32), "bucket": some, "n": total[some]})
 
 
-def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Size classes of word and shingle buckets: two arrays of fixed length."""
     out = (np.zeros(WORD_BUCKETS, np.uint8), np.zeros(GRAM_BUCKETS, np.uint8))
-    counted = docs.select("text").mapInArrow(_count, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(partial(_count, shingle=shingle), "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     for kind, bucket, n in counted.toLocalIterator():
         out[kind][bucket] = int(math.log2(n + 1))
     return out
 
 
-def _prefix_scan(order_of):
+def _prefix_scan(order_of, shingle: int, level: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_class, gram_class = order_of()
         for batch in batches:
             for _, _, data, offsets in words.texts(batch.column(0)):
-                bounds, gram, trio = _sets(data, offsets)
+                bounds, gram, trio = _sets(data, offsets, shingle)
                 n = np.diff(bounds)
                 sums = np.append(np.uint64(0), np.cumsum(words.mixed(gram ^ words.BASE)))
                 sid = words.mixed((sums[bounds[1:]] - sums[bounds[:-1]]) + n.astype(np.uint64))
@@ -130,24 +130,24 @@ def _prefix_scan(order_of):
                 order = np.argsort(key, kind="stable")
                 order = order[np.argsort(text[order], kind="stable")]
                 place = np.arange(len(gram)) - bounds[text]
-                # ceil(n * LEVEL / 100) shingles may be missing from the prefix, less one
-                length = n - (LEVEL * n + 99) // 100 + 1
+                # ceil(n * level / 100) shingles may be missing from the prefix, less one
+                length = n - (level * n + 99) // 100 + 1
                 pick = place < length[text]
                 token, owner, place = gram[order][pick], text[pick], place[pick]
                 # sets that share no shingle before this place can only meet sets up to a size
-                most = np.maximum((100 + LEVEL) * (n[owner] - place) // LEVEL - n[owner], 0)
+                most = np.maximum((100 + level) * (n[owner] - place) // level - n[owner], 0)
                 size = n[owner] << np.int64(32) | most
                 yield pa.record_batch({"token": token.view(np.int64), "sid": sid[owner].view(np.int64), "size": size})
 
     return scan
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arrays(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Sorted shingles of each text as bytes."""
     for batch in batches:
         grams: list[bytes] = []
         for _, _, data, offsets in words.texts(batch.column(0)):
-            bounds, gram, _ = _sets(data, offsets)
+            bounds, gram, _ = _sets(data, offsets, shingle)
             grams += [gram[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.large_binary()).cast(pa.binary()), *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
 
@@ -183,7 +183,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tile_groups(sets: list[np.ndarray]) -> np.ndarray:
+def tile_groups(sets: list[np.ndarray], level: int = LEVEL) -> np.ndarray:
     """Group number of each set of a tile, by all links inside the tile."""
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
@@ -197,13 +197,13 @@ def tile_groups(sets: list[np.ndarray]) -> np.ndarray:
         group[order[root]] = order[root]
         while queue:
             i = queue.pop()
-            low = np.searchsorted(sizes, (LEVEL * sizes[i] + 99) // 100)
-            high = np.searchsorted(sizes, 100 * sizes[i] // LEVEL, "right")
+            low = np.searchsorted(sizes, (level * sizes[i] + 99) // 100)
+            high = np.searchsorted(sizes, 100 * sizes[i] // level, "right")
             near = low + np.flatnonzero(left[low:high])
             bits = folded([marks[i], *(marks[j] for j in near)])
-            near = near[linked(overlap_bound(bits[0], sizes[i], bits[1:], sizes[near]), sizes[i], sizes[near])]
+            near = near[linked(overlap_bound(bits[0], sizes[i], bits[1:], sizes[near]), sizes[i], sizes[near], level)]
             for j in near:
-                if linked(common(sets[order[i]], sets[order[j]]), sizes[i], sizes[j]):
+                if linked(common(sets[order[i]], sets[order[j]]), sizes[i], sizes[j], level):
                     left[j] = False
                     group[order[j]] = order[root]
                     queue.append(j)
@@ -233,14 +233,14 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(waiting)
 
 
-def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_tiles(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     """(a, b): each set of a tile with the first of its group there."""
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     for tile in groups_of(batches, ["tile", "part"]):
         if tile.num_rows > 1:
             sid = tile["sid"].to_numpy()
-            group = tile_groups([np.frombuffer(x, np.uint64) for x in tile["grams"].to_pylist()])
+            group = tile_groups([np.frombuffer(x, np.uint64) for x in tile["grams"].to_pylist()], level)
             joined = np.flatnonzero(group != np.arange(len(group)))
             a.append(sid[joined])
             b.append(sid[group[joined]])
@@ -272,7 +272,7 @@ def _bounds_of_pairs(marks: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: n
     return out
 
 
-def _block_pairs(blocks: list[pa.Table]) -> pa.RecordBatch:
+def _block_pairs(blocks: list[pa.Table], level: int) -> pa.RecordBatch:
     """Pairs of sets of different groups in the blocks that their signatures do not rule out."""
     rows = pa.concat_tables(blocks)
     size = np.array([b.num_rows for b in blocks])
@@ -283,36 +283,36 @@ def _block_pairs(blocks: list[pa.Table]) -> pa.RecordBatch:
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
     # a pair is met in the band of its larger set, and across the two parts of its block
     keep = (group[i] != group[j]) & (own[i] | own[j]) & ((one[i] == two[i]) | (part[i] != part[j]))
-    keep &= linked(np.minimum(n[i], n[j]), n[i], n[j]) & (n[j] <= most[i]) & (n[i] <= most[j])
+    keep &= linked(np.minimum(n[i], n[j]), n[i], n[j], level) & (n[j] <= most[i]) & (n[i] <= most[j])
     i, j = i[keep], j[keep]
     used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
     if len(used):
         marks = [np.frombuffer(x, np.uint64) for x in rows["marks"].take(pa.array(used)).to_pylist()]
         a, b = place[: len(i)], place[len(i) :]
-        keep = linked(_bounds_of_pairs(marks, n[used], a, b), n[i], n[j])
+        keep = linked(_bounds_of_pairs(marks, n[used], a, b), n[i], n[j], level)
         i, j = i[keep], j[keep]
     pairs = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]), axis=1)
     return pa.record_batch({"a": pairs[0], "b": pairs[1]})
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     waiting, pairs = [], 0
     for block in groups_of(batches, ["token", "band", "one", "two"]):
         if block.num_rows > 1:
             waiting.append(block)
             pairs += block.num_rows * (block.num_rows - 1) // 2
         if pairs >= PAIRS:
-            yield _block_pairs(waiting)
+            yield _block_pairs(waiting, level)
             waiting, pairs = [], 0
     if waiting:
-        yield _block_pairs(waiting)
+        yield _block_pairs(waiting, level)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
         sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
-        good = pa.array([bool(linked(common(x, y), len(x), len(y))) for x, y in sets], pa.bool_())
+        good = pa.array([bool(linked(common(x, y), len(x), len(y), level)) for x, y in sets], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
 
@@ -323,12 +323,12 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["sid", "marks"])
 
 
-def _banded(rows: DataFrame) -> DataFrame:
+def _banded(rows: DataFrame, level: int) -> DataFrame:
     """Rows in the size band of their set (``own``) and in the next one, where larger sets may link to it.
 
     A shingle too late in a set's order to meet a set of the next band (``most``) stays in its own.
     """
-    band = lambda size: F.floor(F.log(F.col(size).cast("double")) / math.log(100 / LEVEL)).cast("int")
+    band = lambda size: F.floor(F.log(F.col(size).cast("double")) / math.log(100 / level)).cast("int")
     last = F.greatest(F.least(band("most"), F.col("home") + 1), F.col("home"))
     rows = rows.withColumn("home", band("n"))
     # log of no size is null, which the own band stands for
@@ -336,17 +336,17 @@ def _banded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("own", F.col("home") == F.col("band")).drop("home")
 
 
-def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, shingle: int, level: int) -> DataFrame:
     """(a, b): links between different sets that connect whatever is connected."""
-    order = shared(docs.sparkSession, _rarity(docs))
-    tokens = docs.select("text").mapInArrow(_prefix_scan(order), "token long, sid long, size long")
+    order = shared(docs.sparkSession, _rarity(docs, shingle))
+    tokens = docs.select("text").mapInArrow(_prefix_scan(order, shingle, level), "token long, sid long, size long")
     met = tokens.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("rows"))
     met = landed(met.where("low <> high").select("token", "rows"), "shared-shingles")
     members = tokens.join(met, "token").distinct()
     members = members.select("token", "sid", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("most"), "rows")
     members = landed(members, "shingle-members")
     # sets of sizes too far apart do not meet: a shingle counts where a size band holds another set too
-    banded = _banded(members)
+    banded = _banded(members, level)
     bands = banded.groupBy("token", "band").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("own").alias("own"))
     bands = bands.where("own AND low <> high").select("token", "band")
     members = landed(banded.join(bands, ["token", "band"]).select("token", "sid", "n", "most", "rows").distinct(), "shingle-members")
@@ -356,21 +356,21 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     active = members.groupBy("sid").agg(best.alias("best")).join(sets.select("sid", F.col("first.at").alias("at")), "sid")
     active = docs.select("text", "at").join(active, "at").select("text", "sid", "best")
     kind = active.schema["best"].dataType.simpleString()
-    active = landed(active.mapInArrow(_arrays, f"grams binary, sid long, best {kind}"), "shingle-sets")
+    active = landed(active.mapInArrow(partial(_arrays, shingle=shingle), f"grams binary, sid long, best {kind}"), "shingle-sets")
 
     edges = []
     for number in range(ROUNDS):
         tiles = active.where(F.size("best") > number).select("sid", "grams", F.col("best")[number]["token"].alias("tile"), F.col("best")[number]["rows"].alias("rows"))
         part = F.pmod(F.xxhash64(F.lit(number), "sid"), 1 + F.floor(F.col("rows") / TILE))
         tiles = tiles.select("tile", part.alias("part"), "sid", "grams").repartition("tile", "part").sortWithinPartitions("tile", "part", "sid")
-        edges.append(landed(tiles.mapInArrow(_link_tiles, "a long, b long"), "tile-links"))
+        edges.append(landed(tiles.mapInArrow(partial(_link_tiles, level=level), "a long, b long"), "tile-links"))
     edges = reduce(DataFrame.union, edges)
     label = components(edges)
 
     # what is left: prefix shingles that are shared between groups
     grouped = members.join(label, members["sid"] == label["v"], "left").select("token", "sid", "n", "most", F.coalesce("c", "sid").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    left = landed(_banded(grouped.join(mixed, "token")), "mixed-shingles")
+    left = landed(_banded(grouped.join(mixed, "token"), level), "mixed-shingles")
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     sizes = sizes.select("token", "band", (1 + F.floor(F.col("rows") / TILE)).alias("parts"))
     left = left.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
@@ -384,7 +384,7 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         )
     )
     keys = ["token", "band", "one", "two"]
-    pairs = blocks.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(_meet, "a long, b long").distinct()
+    pairs = blocks.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(partial(_meet, level=level), "a long, b long").distinct()
     pairs = landed(pairs, "shingle-pairs")
     side = active.select("sid", "grams")
     both = (
@@ -392,15 +392,16 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         .join(side.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return edges.union(both.mapInArrow(_verify, "a long, b long"))
+    return edges.union(both.mapInArrow(partial(_verify, level=level), "a long, b long"))
 
 
-def link_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def link_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """(at, doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
-    Rows are linked when 100 * common >= 90 * all of their distinct 3-word shingles; ``component_id`` is the smallest id
+    Rows are linked when 100 * common >= ``level`` * all of their distinct ``shingle``-word shingles (3 and 90 are the
+    contract of op8); ``component_id`` is the smallest id
     reachable by links, and ``kept`` is true for one row of each group, the one with the smallest id (and locator).
-    A text of one or two words is one shingle; null, empty and blank texts have none, are linked with nothing and each
+    A text of fewer words is one shingle; null, empty and blank texts have none, are linked with nothing and each
     kept. Null ids come after all others. Repeated rows fall into one group; an empty table gives no rows; only the
     two named columns are read. Shingles and sets are known by 64-bit fingerprints.
     """
@@ -408,11 +409,11 @@ def link_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     docs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), locator(docs).alias("at"), F.col(f"`{key}`").alias("doc_id"))
     row = F.struct("doc_id", "at").alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    rows = docs.select("text", row).mapInArrow(_describe, f"sid long, n long, row {kind}")
+    rows = docs.select("text", row).mapInArrow(partial(_describe, shingle=shingle), f"sid long, n long, row {kind}")
     rows = landed(rows.select("sid", "n", "row.doc_id", "row.at"), "set-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("first")
     sets = landed(rows.where("sid IS NOT NULL").groupBy("sid").agg(first), "sets")
-    label = components(_links(docs, sets))
+    label = components(_links(docs, sets, shingle, level))
     group = sets.join(label, sets["sid"] == label["v"], "left").select("sid", "first", F.coalesce("c", "sid").alias("c"))
     heads = group.groupBy("c").agg(F.min("first").alias("head"))
     heads = group.join(heads, "c").select("sid", "head")
@@ -425,10 +426,10 @@ def link_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     )
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to a kept row's group."""
+def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, level: int = LEVEL) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a kept row's group, by the rule of ``link_groups``."""
     docs = locatable(docs, "join-input")
-    kept = link_groups(docs).where("kept").select(F.col("at").alias("_at"))
+    kept = link_groups(docs, shingle=shingle, level=level).where("kept").select(F.col("at").alias("_at"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), locator(docs).alias("at"))
     return rows.join(kept, F.col("at") == F.col("_at"), "left_semi").select("record.*")
 

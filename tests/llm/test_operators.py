@@ -396,6 +396,18 @@ def test_wrapped_licences(spark):
     assert found[6] == (["MIT"], 2 * (b - 1) / (2 * b + 3)) and found[7] == found[8] == ([], None)
 
 
+def test_near_duplicates_stage(spark, tmp_path):
+    """Four spaced substitutions in 200 words: near copies by 5-word shingles from 0.8, not by op8's contract."""
+    base = [f"w{i}" for i in range(200)]
+    changed = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)]
+    far = [f"y{i}" if i in (20, 40, 80, 120, 160) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(far)), (4, "a b c d"), (5, "a  b c d"), (6, "a b c"), (7, None), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = documents(spark, tmp_path)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 6, 7, 8]
+    assert sorted(r.doc_id for r in jaccard_join.first_of_groups(docs).collect()) == [1, 2, 3, 4, 6, 7, 8]
+
+
 def test_pipeline_stages(spark, hard, tmp_path):
     """Each stage against a plain version on its own input; the run equals its stages."""
     docs = documents(spark, hard)
