@@ -11,6 +11,8 @@ strings, one row for thousands of copies. For the rest, two suffix arrays combin
 dictionary's phrase beginnings (read backwards from the trigger), one of the parse (the text from the trigger on), each
 with the common lengths of neighbours. For every distance r between start and trigger, strings are equal where both
 arrays agree, over r bytes to the left and 400 - r to the right. No pair of strings is ever formed.
+
+A bucket of very many distinct phrases is never gathered: its strings are counted by bucket, distance and fingerprint.
 """
 
 from __future__ import annotations
@@ -33,10 +35,9 @@ TRIGGER = 16
 WINDOW = 160
 # Text after the trigger that all strings of a phrase cover
 COMMON = LENGTH - WINDOW + 1
-# Phrases sorted together; larger buckets are split by distance into cells of CELL
+# Phrases sorted together; larger buckets are split into their strings
 TOGETHER = 20_000
 SPLIT = 5_000
-CELL = 8
 PHRASE = "bucket long, phrase long, tid long, low int, at int, high int"
 
 
@@ -95,35 +96,57 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of listed phrases: (bucket, tid, at, left, right, least, most, single); split buckets by cell."""
+    """The bytes of listed phrases of buckets that are not split: (bucket, tid, at, left, right, least, most, single)."""
     for batch in batches:
         out: list[tuple] = []
         listed = batch.column(2).to_pylist()
         for base, high_row, data, offsets in words.texts(batch.column(0), lower=False):
-            sums = words.prefix_sums(data)
             raw = data.tobytes()
             tids = batch.column(1).slice(base, high_row - base).to_pylist()
             for tid, rows, o in zip(tids, listed[base:high_row], offsets[:-1].tolist(), strict=True):
                 for row in rows:
                     low, at, high = o + row["low"], o + row["at"], o + row["high"]
                     least, most = at - high, at - low
-                    common = (tid, row["at"], row["single"])
                     if not row["split"]:
-                        out.append((row["bucket"], *common, raw[low:at], raw[at : high + LENGTH], least, most))
-                        continue
-                    for cell in range(least // CELL, most // CELL + 1):
-                        # all strings of a cell cover this text
-                        r = cell * CELL
-                        print_ = words.span_prints(sums, np.array([at - r]), np.array([at - r + LENGTH - CELL + 1]))
-                        bucket = int(words.mixed(print_ + np.uint64(cell)).view(np.int64)[0])
-                        a, b = max(least, r), min(most, r + CELL - 1)
-                        out.append((bucket, *common, raw[at - b : at], raw[at : at + LENGTH - a], a, b))
+                        out.append((row["bucket"], tid, row["at"], row["single"], raw[low:at], raw[at : high + LENGTH], least, most))
         names = ["bucket", "tid", "at", "single", "left", "right", "least", "most"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         columns = zip(*out, strict=True) if out else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, distance, print, tid, start, single): the strings of listed phrases of split buckets."""
+    for batch in batches:
+        listed = batch.column(2).to_pylist()
+        for base, high_row, data, offsets in words.texts(batch.column(0), lower=False):
+            tids = batch.column(1).slice(base, high_row - base).to_pylist()
+            found = [
+                (row["bucket"], tid, o, row["low"], row["at"], row["high"], row["single"])
+                for tid, rows, o in zip(tids, listed[base:high_row], offsets[:-1].tolist(), strict=True)
+                for row in rows
+                if row["split"]
+            ]
+            if not found:
+                continue
+            bucket, tid, begin, low, at, high, single = (np.array(c) for c in zip(*found, strict=True))
+            many = high - low + 1
+            of = np.repeat(np.arange(len(found)), many)
+            start = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            place = begin[of] + start
+            prints = words.span_prints(words.prefix_sums(data), place, place + LENGTH)
+            yield pa.record_batch(
+                {
+                    "bucket": bucket[of],
+                    "distance": (at[of] - start).astype(np.int32),
+                    "print": prints.view(np.int64),
+                    "tid": tid[of],
+                    "start": start.astype(np.int32),
+                    "single": single[of],
+                }
+            )
+
+
 def _suffix_array(group: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): strings sorted inside their group, and the common length of each with the one before."""
     size = np.array([len(s) for s in strings], np.int64)
@@ -217,8 +240,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spl
     that also starts anywhere else in the corpus, overlaps and the same row included. ``kept`` holds the remaining bytes
     where something was removed, else it is null and the whole text stays. Texts are bytes in UTF-8, so a cut may split
     a character. Null and empty texts and texts under 400 bytes lose nothing; repeated rows and copies of 400 bytes or
-    more are removed whole; an empty table gives no rows; only the two named columns are read. Texts, buckets and
-    phrases that occur as a whole are known by 64-bit fingerprints; all else is compared byte by byte.
+    more are removed whole; an empty table gives no rows; only the two named columns are read. Texts, buckets, phrases that
+    occur as a whole and the strings of a bucket of more than ``split`` phrases are known by 64-bit fingerprints; all else
+    is compared byte by byte.
     """
     docs = locatable(docs, "repeats-input")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -251,7 +275,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spl
         _contexts, "bucket long, tid long, at int, single boolean, left binary, right binary, least int, most int"
     )
     resolved = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "tid long, low int, high int")
-    starts = landed(whole.unionByName(resolved), "repeats-starts").groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
+    # a bucket of any size is only counted here
+    strings = active.where(F.exists("phrases", lambda p: p["split"])).mapInArrow(
+        _strings, "bucket long, distance int, print long, tid long, start int, single boolean"
+    )
+    strings, same = landed(strings, "repeats-strings"), ["bucket", "distance", "print"]
+    twice = strings.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*same)
+    counted = strings.where("single").join(twice, same, "left_semi").select("tid", F.col("start").alias("low"), F.col("start").alias("high"))
+    starts = landed(whole.unionByName(resolved).unionByName(counted), "repeats-starts").groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
     cut = active.join(starts, "tid").select("text", "tid", "starts").mapInArrow(_cut, "tid long, spans array<long>, kept binary")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = F.array().cast("array<long>")

@@ -408,6 +408,25 @@ def test_near_duplicates_stage(spark, tmp_path):
     assert sorted(r.doc_id for r in jaccard_join.first_of_groups(docs).collect()) == [1, 2, 3, 4, 6, 7, 8]
 
 
+def test_split_buckets_are_not_gathered():
+    """Phrases of a split bucket reach no task as bytes; their strings are counted."""
+    import pyarrow as pa
+
+    passage = prose(3, 400)[:600]
+    texts = pa.array([prose(1000 + i, 60)[:200] + passage for i in range(50)])
+    tids = pa.array(range(50))
+    parsed = [b.to_pylist() for b in repeated_text._parse(iter([pa.RecordBatch.from_arrays([texts, tids], ["text", "tid"])]))][0]
+    listed = [[{**p, "single": True, "split": True} for p in parsed if p["tid"] == i] for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([texts, tids, pa.array(listed)], ["text", "tid", "phrases"])
+    assert sum(b.num_rows for b in repeated_text._contexts(iter([batch]))) == 0
+    rows = [r for b in repeated_text._strings(iter([batch])) for r in b.to_pylist()]
+    same = Counter((r["bucket"], r["distance"], r["print"]) for r in rows)
+    found = {i: sorted(r["start"] for r in rows if r["tid"] == i and same[r["bucket"], r["distance"], r["print"]] > 1) for i in range(50)}
+    data = [t.encode() for t in texts.to_pylist()]
+    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    assert found == {k: [i for i in range(len(d) - 399) if seen[d[i : i + 400]] > 1] for k, d in enumerate(data)} and all(map(len, found.values()))
+
+
 def test_pipeline_stages(spark, hard, tmp_path):
     """Each stage against a plain version on its own input; the run equals its stages."""
     docs = documents(spark, hard)
