@@ -2,8 +2,8 @@
 
 A word enters the network with three learnt vectors: one of the word, one of its first characters, and the mean over
 its character 4-grams (all by hashed bucket). A forward and a backward recurrent layer read a window of words, attention
-pools their states and a logistic unit scores the window. Every overlapping window of a text is scored and the text's
-score is that of its worst window, on a calibrated scale.
+pools their states and a logistic unit scores the window. Windows of 32 words overlap by half (one starts every 16 words);
+the text's score is that of its worst window, on a calibrated scale. A passage of 18 to 32 words can lie in no window whole.
 
 Only texts are labelled, so training alternates: the worst window of each labelled text under the current network
 stands for it, and the network is fitted to those windows. Vectors start from the log-odds of their bucket in one part of
