@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 # executors need not have this package installed: its functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("mixing", "license_scan", "decontamination", "language", "toxicity", "repeated_text", "sharding", "jaccard_join", "url_filter", "exact_dedup", "collocations", "substrings")
+MODULES = ("mixing", "license_scan", "decontamination", "language", "toxicity", "repeated_text", "sharding", "jaccard_join", "url_filter", "exact_dedup", "collocations", "substrings", "whitening")
 
 
 def _loaded():
