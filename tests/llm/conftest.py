@@ -33,6 +33,10 @@ def hard(spark, tmp_path_factory):
     save([(i, i % 2) for i in range(20)] + [(None, 1), (3, None), (5, 0)], "doc_id long, toxic int", "labels")
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/1?x", "http://example.org/en/12", "http://notexample.org/es/1", "ftp://x.com/fr/", "http://com/de/a#b"]
     save([(i, u, "<p>") for i, u in enumerate([*urls, urls[4]])], "page_id long, url string, html string", "pages")
+    nan, inf = float("nan"), float("inf")
+    vectors = [[0.5, -0.25, 1.0 + i % 3, 0.1 * (i % 7) ** 2] for i in range(30)]
+    vectors += [None, [], [1.0, None, 0.0, 0.0], [nan, 0.0, 0.0, 0.0], [0.0, inf, 0.0, 0.0], [0.0, -inf, 1.0, 0.0], [-0.01, 3.0, 2.0, -8.5], vectors[4]]
+    save([(None if i == 3 else i % 36, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>", "embeddings")
     return path
 
 
@@ -40,6 +44,6 @@ def hard(spark, tmp_path_factory):
 def bare(spark, hard, tmp_path_factory):
     """The same tables without rows."""
     path = str(tmp_path_factory.mktemp("bare"))
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{hard}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
