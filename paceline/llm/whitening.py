@@ -272,8 +272,8 @@ def components_of(rows: DataFrame, components: int = COMPONENTS, vector: str = "
     model = fit(rows, vector)
     kind = rows.schema[key].dataType
     if model is None:
-        schema = T.StructType().add("vec_id", kind).add("component", "int").add("n", "long").add("deviation", T.DecimalType(38, 0))
-        return spark.createDataFrame([], schema.add("whitened", "double").add("explained", "double").add("identity_error", "double"))
+        rest = "component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
+        return spark.createDataFrame([], f"vec_id {kind.simpleString()}, {rest}")
     whole, held = min(components, len(model.values)), min(components, model.rank)
     out = whiten(rows, model, components, vector, key)
     error = F.lit(identity_error(out, held, model.n) if held else None).cast("double")
