@@ -6,10 +6,11 @@ from checks.ctes import LEAGUE, TIMING, with_ctes
 from checks.landing import landed_feeds, session_number
 from checks.registry import check
 from paceline.functions.rules import tidy
+from paceline.operators import laps as lp
 from paceline.operators import live as lv
 from paceline.operators import update as up
 from paceline.plans import convergence as cv
-from paceline.session import staged
+from paceline.session import fixed, staged
 from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
 
@@ -280,6 +281,35 @@ def landed_live_podium(spark, sf_dir):
     return plain(answer.drop("confidence_level"), "probability", "confidence")
 
 
+def at_every_lap(ctes):
+    """The same CTEs with all laps of a session as its checkpoints."""
+    start, end = ctes.index("points AS ("), ctes.index("cut AS (")
+    points = """points AS (SELECT session, total_laps, 'lap_' || lap AS checkpoint, lap FROM (
+      SELECT session, total_laps, unnest(generate_series(1, total_laps)) AS lap FROM sessions)),
+"""
+    return ctes[:start] + points + ctes[end:]
+
+
+LAP_DOUBLES = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in DOUBLES)
+
+
+@check(
+    with_ctes(at_every_lap(LIVE)) + f"""SELECT session::VARCHAR AS session, * EXCLUDE (session, checkpoint, {', '.join(DOUBLES)}),
+      {LAP_DOUBLES} FROM live"""
+)
+def live_every_lap(spark, sf_dir):
+    """Live features at every lap of every session, in one pass over the feeds."""
+    return plain(lp.feed_features_by_lap(Feeds(spark, sf_dir)), *DOUBLES)
+
+
+@check(
+    with_ctes(at_every_lap(LANDED)) + f"""SELECT {DAY} AS session, * EXCLUDE (session, checkpoint, {', '.join(DOUBLES)}),
+      {LAP_DOUBLES} FROM live"""
+)
+def landed_every_lap(spark, sf_dir):
+    return plain(lp.feed_features_by_lap(landed_feeds(Feeds(spark, sf_dir))), *DOUBLES)
+
+
 SCENARIOS = f""",
 sweep AS (
   SELECT 'baseline' AS scenario, session, driver_number, prior * {likelihood()} AS v, true AS active
@@ -420,3 +450,18 @@ def lap_convergence(spark, sf_dir):
 def convergence_verdict(spark, sf_dir):
     out = cv.convergence_verdict(convergence_of(Feeds(spark, sf_dir)), CHECKPOINTS)
     return out.withColumns({c: tidy(F.col(c)) for c in CHECKPOINTS})
+
+
+@check(
+    with_ctes(at_every_lap(UPDATED)) + """, """ + CONVERGENCE[CONVERGENCE.index("finishers AS") : CONVERGENCE.index("checked AS")] + """
+    per_lap AS (
+      SELECT u.session, u.lap, avg((u.prob - coalesce(f.place <= 3, FALSE)::INT) ** 2) AS brier, count(*) AS cars
+      FROM updated u LEFT JOIN finishers f ON f.session = u.session AND f.driver_number = u.driver_number GROUP BY ALL)
+    SELECT session::VARCHAR AS session, lap, cars, round(brier, 6) AS brier FROM per_lap"""
+)
+def brier_every_lap(spark, sf_dir):
+    """How far the live probabilities are from the outcome at every lap."""
+    feeds = Feeds(spark, sf_dir)
+    live = up.with_prior(lp.feed_features_by_lap(feeds), feeds.priors, ["driver_number"])
+    updated = up.bayesian_update(fixed(live), ["session", "lap"])
+    return plain(cv.lap_briers(updated, cv.final_podium(feeds.timing)), "brier")

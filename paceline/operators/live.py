@@ -80,17 +80,22 @@ def stint_state(stints: DataFrame, points: DataFrame) -> DataFrame:
     return rows.groupBy(*CAR).agg(F.max_by(stint, "lap_start").alias("stint"))
 
 
+def safety_car_flag() -> tuple[Column, Column]:
+    """Whether a message deploys (1) or ends (0) the regime, else null; and whether it is about the safety car."""
+    text = F.upper(F.coalesce("message", F.lit("")))
+    flag = F.when(text.contains("SAFETY CAR DEPLOYED"), 1).when(
+        text.contains("SAFETY CAR IN") | text.contains("VIRTUAL SAFETY CAR ENDING"), 0
+    )
+    return flag, (F.coalesce("category", F.lit("")) == "SafetyCar") | text.contains("SAFETY CAR")
+
+
 def safety_car_state(race_control: DataFrame, points: DataFrame, n_points: int | None = None) -> DataFrame:
     """Regime and count per (session, checkpoint).
 
     Messages are read in time order up to the first one beyond the lap; the last deploy or end
     among them decides.
     """
-    text = F.upper(F.coalesce("message", F.lit("")))
-    flag = F.when(text.contains("SAFETY CAR DEPLOYED"), 1).when(
-        text.contains("SAFETY CAR IN") | text.contains("VIRTUAL SAFETY CAR ENDING"), 0
-    )
-    about = (F.coalesce("category", F.lit("")) == "SafetyCar") | text.contains("SAFETY CAR")
+    flag, about = safety_car_flag()
     messages = race_control.select(
         "session", F.struct("ts", "event_id").alias("seq"), "lap_number", flag.alias("flag"), about.alias("about")
     )
@@ -109,32 +114,8 @@ def safety_car_state(race_control: DataFrame, points: DataFrame, n_points: int |
     )
 
 
-def live_features(
-    cars: DataFrame,
-    laps: DataFrame,
-    intervals: DataFrame,
-    pit: DataFrame,
-    stints: DataFrame,
-    race_control: DataFrame,
-    points: DataFrame,
-    n_points: int | None = None,
-) -> DataFrame:
-    """The live feature rows of every car at every checkpoint.
-
-    ``n_points`` bounds the rows of ``points``; when small they are broadcast to the feeds.
-    """
-    points = sized(points, n_points)
-    spine = cars.select("session", "driver_number").join(points, "session")
-    for state in (
-        interval_state(intervals, points),
-        lap_state(laps, points),
-        pit_state(pit, points),
-        stint_state(stints, points),
-    ):
-        spine = spine.join(state, CAR, "left")
-    spine = spine.join(
-        sized(safety_car_state(race_control, points, n_points), n_points), ["session", "checkpoint"], "left"
-    )
+def finished(spine: DataFrame, key: list[str]) -> DataFrame:
+    """Feature columns from a car's state at a lap, with their defaults."""
 
     def known(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default))
@@ -146,7 +127,7 @@ def live_features(
     stops = F.when((remaining > 30) & (age > 15), 1).when(remaining > 50, 2).otherwise(0)
     near_pit = F.coalesce(F.abs(lap - F.col("last_pit")) <= 1, F.lit(False))
     return spine.select(
-        *CAR, "lap", "total_laps",
+        *key, "total_laps",
         known("current_position", C.DEFAULT_POSITION).alias("current_position"),
         "gap_to_leader", "gap_to_driver_ahead",
         known("positions_gained", 0).alias("positions_gained"),
@@ -165,6 +146,35 @@ def live_features(
     )
 
 
+def live_features(
+    cars: DataFrame,
+    laps: DataFrame,
+    intervals: DataFrame,
+    pit: DataFrame,
+    stints: DataFrame,
+    race_control: DataFrame,
+    points: DataFrame,
+    n_points: int | None = None,
+) -> DataFrame:
+    """The live feature rows of every car at every checkpoint.
+
+    ``n_points`` bounds the rows of ``points``; when small they are broadcast to the feeds.
+    """
+    points = sized(points, n_points)
+    spine = cars.select("session", "driver_number").join(points, "session")
+    for state in (
+        interval_state(intervals, points),
+        lap_state(laps, points),
+        pit_state(pit, points),
+        stint_state(stints, points),
+    ):
+        spine = spine.join(state, CAR, "left")
+    spine = spine.join(
+        sized(safety_car_state(race_control, points, n_points), n_points), ["session", "checkpoint"], "left"
+    )
+    return finished(spine, [*CAR, "lap"])
+
+
 def feed_features(feeds, points: DataFrame, per_session: int) -> DataFrame:
     """Live features of the timing feeds at ``per_session`` checkpoints or fewer."""
     return live_features(

@@ -17,11 +17,19 @@ def final_podium(timing: DataFrame) -> DataFrame:
     return top_rows(last, ["session"], [F.desc("laps"), F.asc("total"), F.asc("driver_number")], 3, "position")
 
 
+def _labelled(probs: DataFrame, outcome: DataFrame) -> DataFrame:
+    won = outcome.select("session", "driver_number", F.lit(1).alias("_won"))
+    return probs.join(won, ["session", "driver_number"], "left").withColumn("is_podium", F.coalesce("_won", F.lit(0)))
+
+
 def checkpoint_briers(probs: DataFrame, outcome: DataFrame) -> DataFrame:
     """Brier score per session and checkpoint; the prior is the checkpoint of lap zero."""
-    won = outcome.select("session", "driver_number", F.lit(1).alias("_won"))
-    labelled = probs.join(won, ["session", "driver_number"], "left").withColumn("is_podium", F.coalesce("_won", F.lit(0)))
-    return labelled.groupBy("session", "checkpoint").agg(brier().alias("brier"))
+    return _labelled(probs, outcome).groupBy("session", "checkpoint").agg(brier().alias("brier"))
+
+
+def lap_briers(probs: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Brier score and cars per session and lap, from probabilities at every lap."""
+    return _labelled(probs, outcome).groupBy("session", "lap").agg(brier().alias("brier"), F.count(F.lit(1)).alias("cars"))
 
 
 def convergence_table(briers: DataFrame, names: list[str]) -> DataFrame:
