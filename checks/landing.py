@@ -193,8 +193,11 @@ def session_number(session):
 KEY = "strftime(session, '%Y%m%d')::BIGINT"
 
 
-def live_path(feeds, feed):
-    """Folder of one live feed: places and gaps come twice a lap, and every session has an unreadable line."""
+LIVE_TIMES = {"laps": "date_start", "intervals": "date", "position": "date", "race_control": "date"}
+
+
+def live_frame(feeds, feed):
+    """Lines of one live feed as columns: places and gaps come twice a lap."""
     session = session_number(F.col("session")).alias("session_key")
     at = F.col("ts").cast("timestamp")
     later = lambda n: (at + F.make_dt_interval(secs=F.lit(n))).alias("date")
@@ -224,12 +227,55 @@ def live_path(feeds, feed):
             session, F.year("session").cast("long").alias("year"), F.lit("Race").alias("session_type")
         ),
     }
+    return frames[feed]()
+
+
+def write_live(feeds, feed, rows, path):
+    """JSON lines of one feed; every session has an unreadable one."""
+    broken = feeds.sessions.select(F.concat(F.lit('{"session_key": '), "session", F.lit(", broken")).alias("value"))
+    rows.select(F.to_json(F.struct("*")).alias("value")).union(broken).write.mode("append").text(path)
 
-    def write(path):
-        broken = feeds.sessions.select(F.concat(F.lit('{"session_key": '), "session", F.lit(", broken")).alias("value"))
-        frames[feed]().select(F.to_json(F.struct("*")).alias("value")).union(broken).write.text(path)
 
-    return written(feeds, f"feed_{feed}", write)
+def live_path(feeds, feed):
+    """Folder of one live feed, landed at once."""
+    return written(feeds, f"feed_{feed}", lambda path: write_live(feeds, feed, live_frame(feeds, feed), path))
+
+
+def live_drops(feeds):
+    """The live feeds in three drops: (paths, function that lands the next drop and says whether there was one).
+
+    The first drop ends within a session and lacks late lines of its last hours; the second has those, repeats the last
+    day before it, and goes to the end; the third is the heartbeat. Feeds without a time are dropped by session.
+    """
+    names = ["laps", "intervals", "position", "pit", "stints", "race_control", "drivers"]
+    root = new_path(feeds.spark, "drops")
+    paths = {name: f"{root}/{name}" for name in names}
+    days = [r.session for r in feeds.sessions.select("session").orderBy("session").collect()]  # weeks of the calendar
+    middle = F.lit(days[len(days) // 2]).cast("timestamp") + F.expr("INTERVAL 84 HOURS")
+    middle_session = session_number(F.lit(days[len(days) // 2]))
+    state = {"drop": 0}
+
+    def land():
+        drop = state["drop"] = state["drop"] + 1
+        if drop > 3:
+            return False
+        for name in names:
+            rows, at = live_frame(feeds, name), LIVE_TIMES.get(name)
+            if drop == 3:
+                if at is None:
+                    continue
+                beat = F.lit(days[-1]).cast("timestamp") + F.expr("INTERVAL 100 DAYS")
+                rows = feeds.spark.range(1).select(F.lit(0).alias("session_key"), F.lit(0).alias("driver_number"), F.lit(1).alias("lap_number"), F.lit(1).alias("position"), beat.alias(at))
+            elif at is None:
+                rows = rows.filter(F.col("session_key") <= middle_session) if drop == 1 else rows.filter(F.col("session_key") >= middle_session)
+            else:
+                late = F.pmod(F.xxhash64(at), F.lit(7)) == 3
+                late = late & (F.col(at) >= middle - F.expr("INTERVAL 12 HOURS"))
+                rows = rows.filter((F.col(at) < middle) & ~late) if drop == 1 else rows.filter(F.col(at) >= middle - F.expr("INTERVAL 1 DAY"))
+            write_live(feeds, name, rows, paths[name])
+        return True
+
+    return paths, land
 
 
 def landed_feeds(feeds):

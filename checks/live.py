@@ -3,16 +3,17 @@
 from pyspark.sql import functions as F
 
 from checks.ctes import LEAGUE, TIMING, with_ctes
-from checks.landing import landed_feeds, session_number
+from checks.landing import landed_feeds, live_drops, session_number
 from checks.registry import check
 from paceline.functions.rules import tidy
 from paceline.operators import laps as lp
 from paceline.operators import live as lv
 from paceline.operators import update as up
 from paceline.plans import convergence as cv
-from paceline.session import fixed, staged
+from paceline.session import fixed, new_path, staged
 from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
+from paceline.streaming.landed import LandedStream
 
 LIVE = TIMING + """,
 sessions AS (SELECT session, max(lap_number) AS total_laps FROM timing GROUP BY session),
@@ -310,6 +311,36 @@ def landed_every_lap(spark, sf_dir):
     return plain(lp.feed_features_by_lap(landed_feeds(Feeds(spark, sf_dir))), *DOUBLES)
 
 
+def landed_stream(feeds, after):
+    """The feeds landed in drops and followed by a new reader after each; ``after`` is called with it every time."""
+    paths, land = live_drops(feeds)
+    root = new_path(feeds.spark, "followed")
+    out = None
+    while land():
+        follower = LandedStream(feeds.spark, paths, root, longest="1 hour", delay="2 days")
+        out = after(follower)
+    return follower, out
+
+
+@check(PODIUM_SQL.format(ctes=with_ctes(LEAGUE, LANDED, ENTRY_LIST), session=DAY))
+def stream_landed_podium(spark, sf_dir):
+    """The live answer from feeds landed in drops, with late and repeated lines, by streams that start anew each time."""
+    synthetic, league = Feeds(spark, sf_dir), League(spark, sf_dir)
+    priors = entry_list(synthetic, league).withColumn("session", session_number(F.col("session")))
+    _, answers = landed_stream(synthetic, lambda follower: follower.answer(league.drivers, priors))
+    return plain(answers.drop("confidence_level"), "probability", "confidence")
+
+
+@check(
+    with_ctes(at_every_lap(LANDED)) + f"""SELECT {DAY} AS session, * EXCLUDE (session, checkpoint, {', '.join(DOUBLES)}),
+      {LAP_DOUBLES} FROM live"""
+)
+def stream_landed_laps(spark, sf_dir):
+    """Features at every lap from the streamed feeds: each reading was put on its lap by a join of streams."""
+    follower, _ = landed_stream(Feeds(spark, sf_dir), lambda f: f.poll())
+    return plain(follower.features(every=True), *DOUBLES)
+
+
 SCENARIOS = f""",
 sweep AS (
   SELECT 'baseline' AS scenario, session, driver_number, prior * {likelihood()} AS v, true AS active

@@ -61,3 +61,9 @@ def fixed(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and pins values such as partition ids."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote and no reader needs any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

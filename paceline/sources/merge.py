@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.session import new_path
+from paceline.session import discard, new_path
 
 # Keys, references and required columns of the stored tables
 TABLE_KEYS = {
@@ -62,17 +62,35 @@ def upsert(
     the merged partitions are each staged once as Parquet, because the write replaces what it read;
     rows are balanced by partition before the write, so files are few and none grows beyond a task.
     """
-    staged = _staged(new, "upsert-new")
-    old = spark.read.schema(new.drop(*order).schema).parquet(path)
+    combine = lambda old, rows: merge(old, rows, key, order)
+    rewrite(spark, path, new, partition, combine, leave=order)
+
+
+def rewrite(
+    spark: SparkSession,
+    path: str,
+    new: DataFrame,
+    partition: str,
+    combine: Callable[[DataFrame, DataFrame], DataFrame],
+    leave: Sequence[str] = (),
+) -> None:
+    """Replace the partitions of a Parquet table that ``new`` touches by ``combine(old rows, new rows)``.
+
+    Columns in ``leave`` only order versions and are not stored. What was staged is deleted once the table holds it.
+    """
+    kept = [c for c in new.columns if c not in leave]
+    fresh, both = new_path(spark, "rewrite-new"), new_path(spark, "rewrite-both")
+    staged = _staged(new, fresh)
+    old = spark.read.schema(new.select(*kept).schema).parquet(path)
     touched = old.join(staged.select(partition).distinct(), partition, "left_semi")
-    merged = _staged(merge(touched, staged, key, order).hint("rebalance", partition), "upsert-merged")
-    columns = [c for c in merged.columns if c not in order]
-    rows = merged.select(*columns).hint("rebalance", partition)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    merged = _staged(combine(touched, staged).select(*kept).hint("rebalance", partition), both)
+    rows = merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy(partition).parquet(path)
+    for staging in (fresh, both):
+        discard(spark, staging)
 
 
-def _staged(rows: DataFrame, name: str) -> DataFrame:
-    path = new_path(rows.sparkSession, name)
+def _staged(rows: DataFrame, path: str) -> DataFrame:
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
