@@ -94,9 +94,13 @@ def write_qualifying(league, path: str) -> None:
     _race_pages(rows, league.races, item, "QualifyingResults", path)
 
 
-def write_standings(league, path: str) -> None:
-    """Tables after each round: the snapshot of round r is the table after round r - 1."""
-    rows = _named(league.standings, league.drivers, league.constructors)
+def write_standings(league, path: str, factor: int = 1, only: Column | None = None, lists=("drivers", "teams")) -> None:
+    """Tables after each round: the snapshot of round r is the table after round r - 1.
+
+    ``factor`` multiplies points and ``only`` selects rows, for tables that are sent again with corrections.
+    """
+    rows = _named(league.standings if only is None else league.standings.filter(only), league.drivers, league.constructors)
+    rows = rows.withColumns({c: F.col(c) * factor for c in ("points", "constructor_pts")})
     driver = F.struct(
         _text("points").alias("points"), _text("position").alias("position"),
         _driver().alias("Driver"), F.array(_team()).alias("Constructors"),
@@ -116,8 +120,10 @@ def write_standings(league, path: str) -> None:
         )
         return F.struct(F.struct(F.array(table).alias("StandingsLists")).alias("StandingsTable")).alias("MRData")
 
-    _write_lines(pages.select(document("DriverStandings")), f"{path}/drivers")
-    _write_lines(team_pages.select(document("ConstructorStandings")), f"{path}/teams")
+    if "drivers" in lists:
+        _write_lines(pages.select(document("DriverStandings")), f"{path}/drivers")
+    if "teams" in lists:
+        _write_lines(team_pages.select(document("ConstructorStandings")), f"{path}/teams")
 
 
 def write_calendar(league, path: str) -> None:

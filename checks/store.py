@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.ctes import LEAGUE, with_ctes
+from checks.ctes import LEAGUE, LS, with_ctes
 from checks import documents
 from checks.features import CIRCUIT_COLUMNS, FORM_COLUMNS, MATRIX, rounded, sql_rounded
 from checks.landing import written
@@ -10,6 +10,7 @@ from checks.registry import check
 from paceline.operators import features
 from paceline.plans.store import Store
 from paceline.session import new_path
+from paceline.sources import landing, schemas
 from paceline.sources.league import League
 
 _STORES: dict[tuple, str] = {}
@@ -85,3 +86,40 @@ def stored_last_version(spark, sf_dir):
     store = Store(spark, new_path(spark, "store"))
     store.ingest(results=written(league, "sent-twice", write))
     return store.table("results").select("race_id", "driver_id", "points")
+
+
+CORRECTED = LS + """, sent AS (
+      SELECT race_id, driver_id::VARCHAR AS driver_id, points * CASE WHEN year % 3 = 0 THEN 2 ELSE 1 END AS points, position,
+        constructor_id::VARCHAR AS constructor_id, constructor_pos,
+        constructor_pts * CASE WHEN year % 3 = 0 THEN 2 WHEN year % 3 = 1 THEN 5 ELSE 1 END AS constructor_pts FROM standings)
+    SELECT * FROM sent"""
+
+
+def _corrections(league):
+    """Standings, then tables sent again: both lists of some seasons, the team list alone of others."""
+    season = lambda rest: F.col("year") % 3 == rest
+    return [
+        written(league, "standings", lambda p: documents.write_standings(league, p)) + "/*",
+        written(league, "standings-both", lambda p: documents.write_standings(league, p, 2, season(0))) + "/*",
+        written(league, "standings-teams", lambda p: documents.write_standings(league, p, 5, season(1), ["teams"])) + "/*",
+    ]
+
+
+SNAPSHOT = ["race_id", "driver_id", "points", "position", "constructor_id", "constructor_pts", "constructor_pos"]
+
+
+@check(CORRECTED)
+def corrected_standings(spark, sf_dir):
+    """Tables landed again in one load: the last version of either list counts."""
+    rows = [landing.read_documents(spark, path, schemas.STANDINGS_DOC, ordered=True) for path in _corrections(League(spark, sf_dir))]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return landing.standings(both).select(*SNAPSHOT)
+
+
+@check(CORRECTED)
+def stored_corrections(spark, sf_dir):
+    """The same tables in three loads: stored rows take what came alone."""
+    store = Store(spark, new_path(spark, "store"))
+    for path in _corrections(League(spark, sf_dir)):
+        store.ingest(standings=path)
+    return store.table("standings_snapshot").select(*SNAPSHOT)

@@ -108,7 +108,7 @@ class Store:
             ),
             (
                 "standings", standings, schemas.STANDINGS_DOC, "StandingsTable.StandingsLists",
-                {"standings_snapshot": landing.standings},
+                {"standings_snapshot": self._standings},
             ),
             ("pit_stops", pit_stops, schemas.PIT_STOPS_DOC, "RaceTable.Races", {"pit_stops": landing.pit_stops}),
         ):
@@ -129,6 +129,12 @@ class Store:
             self.save("practice_sessions", summary.withColumnRenamed("lap_count", "laps_completed"))
         return reduce(DataFrame.unionByName, reports) if reports else None
 
+    def _standings(self, documents: DataFrame) -> DataFrame:
+        try:
+            return landing.corrected_standings(documents, self.table("standings_snapshot"))
+        except AnalysisException:  # the first load
+            return landing.standings(documents)
+
     def matrix(
         self,
         start_year: int | None = None,

@@ -198,32 +198,73 @@ def pit_stops(documents: DataFrame) -> DataFrame:
     )
 
 
-def standings(documents: DataFrame) -> DataFrame:
-    """Snapshot before round r from the table after round r - 1, with team points looked up.
+def _last(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Last landed version of every key; where documents are not ordered, the greatest."""
+    fields = [c for c in rows.columns if c not in (*key, ORDER)]
+    by = F.struct(*_kept(rows), *fields)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*fields), by).alias("last"))
+    return last.select(*key, *[f"last.{f}" for f in fields])
+
 
-    Drivers take the first team of their list; a team missing from its table leaves nulls.
+def standing_lists(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Driver and team rows of the snapshots before round r, from the tables after round r - 1.
+
+    Each list is reduced to the last version of its rows by itself, so a table sent again, whole or in part, never meets
+    rows of an earlier version. Drivers take the first team of their list.
     """
     rows = good(documents)
-    lists = rows.select(*_order(rows), F.explode("MRData.StandingsTable.StandingsLists").alias("list"))
+    lists = rows.select(*_order(rows), F.posexplode("MRData.StandingsTable.StandingsLists").alias("list_at", "list"))
     year, round_ = rules.safe_int(F.col("list.season")), rules.safe_int(F.col("list.round")) + 1
-    keys = [year.alias("year"), round_.alias("round")]
-    teams = lists.select(*keys, F.explode("list.ConstructorStandings").alias("item")).select(
+    lists = lists.select(year.alias("year"), round_.alias("round"), "list", "list_at", *_kept(lists))
+
+    def items(name: str) -> DataFrame:
+        entries = lists.select("*", F.posexplode(f"list.{name}").alias("item_at", "item"))
+        return entries.select("year", "round", "item", *_order(entries, "list_at", "item_at"))
+
+    teams = items("ConstructorStandings")
+    teams = teams.select(
         "year", "round",
         F.col("item.Constructor.constructorId").alias("constructor_id"),
         rules.safe_float(F.col("item.points")).alias("constructor_pts"),
         rules.safe_int(F.col("item.position")).alias("constructor_pos"),
+        *_kept(teams),
     )
-    first_team = F.get(F.col("item.Constructors"), F.lit(0))["constructorId"]
-    drivers = lists.select(*keys, F.explode("list.DriverStandings").alias("item"), *_kept(lists)).select(
-        rules.race_id(F.col("year"), F.col("round")).alias("race_id"),
+    drivers = items("DriverStandings")
+    drivers = drivers.select(
         "year", "round",
         F.col("item.Driver.driverId").alias("driver_id"),
         rules.safe_float(F.col("item.points")).alias("points"),
         rules.safe_int(F.col("item.position")).alias("position"),
-        F.coalesce(first_team, F.lit("")).alias("constructor_id"),
-        *_kept(lists),
+        F.coalesce(F.get(F.col("item.Constructors"), F.lit(0))["constructorId"], F.lit("")).alias("constructor_id"),
+        *_kept(drivers),
     )
-    return drivers.join(teams, ["year", "round", "constructor_id"], "left")
+    return _last(drivers, ["year", "round", "driver_id"]), _last(teams, ["year", "round", "constructor_id"])
+
+
+def with_teams(drivers: DataFrame, teams: DataFrame) -> DataFrame:
+    """Snapshot rows; a team missing from its table leaves nulls."""
+    rows = drivers.join(teams, ["year", "round", "constructor_id"], "left")
+    return rows.withColumn("race_id", rules.race_id(F.col("year"), F.col("round")))
+
+
+def standings(documents: DataFrame) -> DataFrame:
+    """Snapshot before round r from the last version of the table after round r - 1, with team points looked up."""
+    return with_teams(*standing_lists(documents))
+
+
+def corrected_standings(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Snapshot rows that a load changes: its own, and stored ones of the same rounds where either list came alone.
+
+    Stored drivers whose round got new team points take them, and new driver rows find the team points stored before.
+    """
+    drivers, teams = standing_lists(documents)
+    rounds = drivers.select("year", "round").union(teams.select("year", "round")).distinct()
+    old = stored.withColumn("round", F.col("ro") % 100).join(rounds, ["year", "round"], "left_semi")
+    fields = [c for c in drivers.columns if c not in ("year", "round", "driver_id")]
+    kept = old.select("year", "round", "driver_id", *fields).join(drivers, ["year", "round", "driver_id"], "left_anti")
+    known = old.filter("constructor_pts IS NOT NULL OR constructor_pos IS NOT NULL").select(*teams.columns).distinct()
+    known = known.join(teams, ["year", "round", "constructor_id"], "left_anti")
+    return with_teams(drivers.unionByName(kept), teams.unionByName(known))
 
 
 def driver_list(documents: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from paceline.plans.store import Store
 from paceline.sources import landing, merge, schemas, tables
 
 
@@ -75,6 +76,38 @@ def test_standings_shift_and_lookup(spark, tmp_path):
     assert got == {"a": ("2024_4", "t", 12.0), "b": ("2024_4", "", None)}
 
 
+def test_standings_sent_again(spark, tmp_path):
+    """Both lists corrected, then either alone; the store keeps the last of both."""
+
+    def doc(name, drivers=(), teams=()):
+        lists = {"season": "2024", "round": "3",
+                 "DriverStandings": [{"points": p, "position": "1", "Driver": {"driverId": d}, "Constructors": [{"constructorId": t}]} for d, t, p in drivers],
+                 "ConstructorStandings": [{"points": p, "position": "1", "Constructor": {"constructorId": t}} for t, p in teams]}
+        return write(tmp_path / name, {"MRData": {"StandingsTable": {"StandingsLists": [lists]}}})
+
+    loads = [
+        doc("1", [("a", "t", "10"), ("b", "t", "4")], [("t", "100"), ("u", "9")]),
+        doc("2", [("a", "t", "20")], [("t", "200")]),
+        doc("3", teams=[("t", "300")]),
+        doc("4", drivers=[("a", "u", "30")]),
+    ]
+    want = [
+        {"a": ("t", 10.0, 100.0), "b": ("t", 4.0, 100.0)},
+        {"a": ("t", 20.0, 200.0), "b": ("t", 4.0, 200.0)},
+        {"a": ("t", 20.0, 300.0), "b": ("t", 4.0, 300.0)},
+        # the points of a team that no stored driver was in are not known any more
+        {"a": ("u", 30.0, None), "b": ("t", 4.0, 300.0)},
+    ]
+    store = Store(spark, str(tmp_path / "tables"))
+    for load, expected in zip(loads, want, strict=True):
+        store.ingest(standings=load)
+        rows = store.table("standings_snapshot").collect()
+        assert {r.driver_id: (r.constructor_id, r.points, r.constructor_pts) for r in rows} == expected and len(rows) == 2
+    docs = landing.read_documents(spark, str(tmp_path / "[12]"), schemas.STANDINGS_DOC, ordered=True)
+    rows = landing.standings(docs).collect()
+    assert {r.driver_id: (r.constructor_id, r.points, r.constructor_pts) for r in rows} == want[1] and len(rows) == 2
+
+
 def test_forecast(spark, tmp_path):
     daily = {"temperature_2m_max": [21.5, 30.0], "precipitation_probability_max": [], "weathercode": [61]}
     path = write(tmp_path / "f", {"race_id": "x", "circuit_id": "monza", "daily": daily},
