@@ -9,7 +9,7 @@ from paceline.functions.rules import tidy
 from paceline.operators import live as lv
 from paceline.sources.feeds import Feeds
 from paceline.sources.league import League
-from paceline.streaming import jobs, sinks
+from paceline.streaming import jobs, sinks, stateful
 
 CAR = ["session", "driver_number"]
 # The files of a season are read in any order, so sessions stay open for all of it
@@ -26,7 +26,7 @@ def stream_latest_state(spark, sf_dir):
     return plain(sinks.keyed_stream(stream, "latest", CAR), "gap_to_leader")
 
 
-@check(
+LAP_STATS = (
     with_ctes(TIMING) + """, last5 AS (
       SELECT session, driver_number, lap_duration, row_number() OVER (PARTITION BY session, driver_number ORDER BY lap_number) AS i
       FROM (SELECT *, row_number() OVER (PARTITION BY session, driver_number ORDER BY lap_number DESC) AS r FROM timing)
@@ -38,11 +38,23 @@ def stream_latest_state(spark, sf_dir):
     FROM timing t LEFT JOIN pace p ON p.session = t.session AND p.driver_number = t.driver_number
     GROUP BY t.session, t.driver_number"""
 )
+
+
+@check(LAP_STATS)
 def stream_lap_stats(spark, sf_dir):
     stream = jobs.lap_stats(Feeds(spark, sf_dir).timing_stream(), KEEP)
     return plain(sinks.keyed_stream(stream, "lap_stats", CAR), "best_lap", "last5_mean", "trend")
 
 
+@check(LAP_STATS)
+def stream_lap_state(spark, sf_dir):
+    """The same statistics with typed state that timers end."""
+    stream = stateful.lap_state(Feeds(spark, sf_dir).timing_stream(), KEEP)
+    with stateful.rocksdb(spark):
+        rows = sinks.keyed_stream(stream, "lap_state", CAR)
+    return plain(rows, "best_lap", "last5_mean", "trend")
+
+
 @check(
     T + """SELECT session::VARCHAR AS session, arg_max(CASE event_type WHEN 'signup' THEN 1 ELSE 0 END, (ts, event_id))::BIGINT
       AS safety_car_active, count(*) AS messages FROM timing WHERE event_type IN ('signup', 'error') GROUP BY session"""

@@ -1,12 +1,14 @@
 """Several micro-batches give the batch result."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import live as lv
 from paceline.operators import update as up
 from paceline.sources.feeds import Feeds
-from paceline.streaming import jobs, sinks
+from paceline.streaming import jobs, sinks, stateful
 
 CAR = ["session", "driver_number"]
 
@@ -94,3 +96,65 @@ def test_state_ends_with_its_session(spark, feeds, tmp_path, job):
     assert states[0]["numRowsTotal"] == cars
     assert states[-1]["numRowsTotal"] == 2 * cars
     assert sum(s["numRowsDroppedByWatermark"] for s in states) > 0
+
+
+LAP_COLUMNS = [*CAR, "laps", "best_lap", "last5_mean", "trend"]
+
+
+def drained(stream, folder, by_the_clock=False):
+    """Newest row of every key after one drain into ``folder``, with the stream's progress.
+
+    A stream that counts by the clock always has another batch to run, so it is stopped when its input is done.
+    """
+    with stateful.rocksdb(stream.sparkSession):
+        query = (
+            stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/c")
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+            .trigger(**({"processingTime": "1 second"} if by_the_clock else {"availableNow": True})).start()
+        )
+        deadline = time.time() + 40
+        while by_the_clock and not any(p["numInputRows"] for p in query.recentProgress) and time.time() < deadline:
+            time.sleep(0.2)
+        query.stop() if by_the_clock else query.awaitTermination()
+    out = sinks.latest_by_key(stream.sparkSession.read.parquet(f"{folder}/out"), CAR, ["batch"])
+    return out, [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_lap_state_over_batches_and_restarts(spark, feeds, tmp_path):
+    """Files landed in two parts around a restart give the batch result."""
+    parts = feeds.timing.randomSplit([1.0, 1.0, 1.0], 7)
+    stream = lambda: spark.readStream.schema(feeds.timing.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    parts[0].union(parts[1]).repartition(2).write.parquet(str(tmp_path / "in/0"))
+    drained(stateful.lap_state(stream()), tmp_path)
+    parts[2].coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    got, _ = drained(stateful.lap_state(stream()), tmp_path)
+    want = sinks.keyed_stream(jobs.lap_stats(feeds.timing_stream()), "stats", CAR)
+    assert rows(got, *LAP_COLUMNS) == rows(want, *LAP_COLUMNS)
+
+
+def test_timers_end_lap_state(spark, feeds, tmp_path):
+    one = feeds.timing.limit(40).withColumn("session", F.lit("2024-01-01").cast("date"))
+    for i, day in enumerate(["2024-01-01", "2024-04-01", "2024-04-02", "2024-01-01"]):
+        one.withColumn("session", F.lit(day).cast("date")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    cars = one.select("driver_number").distinct().count()
+    stream = spark.readStream.schema(feeds.timing.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out, states = drained(stateful.lap_state(stream, "14 days"), tmp_path)
+    # a value and up to five list entries per open car, timers aside: those of the first session are gone
+    removed = [s["customMetrics"].get("numDeletedTimers", 0) for s in states]
+    assert sum(removed) == cars
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) > 0
+    assert out.filter("session = '2024-01-01'").agg(F.max("laps")).first()[0] == out.filter("session = '2024-04-01'").agg(F.max("laps")).first()[0]
+
+
+def test_idle_lap_state_ends_by_the_clock(spark, feeds, tmp_path):
+    """State that nothing changed for the given time is gone: a later lap starts the count again."""
+    one = feeds.timing.filter("lap_number <= 3")
+    stream = lambda: spark.readStream.schema(feeds.timing.schema).parquet(str(tmp_path / "in/*"))
+    one.coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    first, _ = drained(stateful.lap_state(stream(), idle="1 second"), tmp_path, True)
+    most = first.agg(F.max("laps")).first()[0]
+    one.coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    second, _ = drained(stateful.lap_state(stream(), idle="1 second"), tmp_path, True)
+    assert second.agg(F.max("laps")).first()[0] == most
+    with pytest.raises(ValueError, match="not by both"):
+        stateful.lap_state(stream(), "1 day", "1 day")
