@@ -8,11 +8,12 @@ from checks.live import plain
 from checks.registry import check
 from paceline.functions.constants import DEFAULT_PRIOR
 from paceline.functions.rules import tidy
+from paceline.operators import isotonic
 from paceline.operators import live as lv
 from paceline.operators import metrics
 from paceline.operators import update as up
 from paceline.operators.features import league_matrix
-from paceline.plans import serving
+from paceline.plans import search, serving
 from paceline.plans import training as tr
 from paceline.plans.backtest import race_records
 from paceline.session import new_path, staged
@@ -129,6 +130,39 @@ def model_search(spark, sf_dir):
     return tr.search(league_matrix(League(spark, sf_dir)), candidates)
 
 
+# Short ranges of trees keep the study short; the other settings have their full ranges
+STUDY = {"trees": (4, 12, False), "depth": (3, 6, False)}
+
+
+@check()
+def model_study(spark, sf_dir):
+    """Both heads searched with a sampler that learns and halving over folds and trees; ten trials each."""
+    matrix = league_matrix(League(spark, sf_dir))
+    heads = [("classifier", tr.CLASSIFIER_RANGES), ("regressor", tr.REGRESSOR_RANGES)]
+    found = [search.optimise(matrix, head, 10, ranges | STUDY, width=5, rungs=2, startup=5) for head, ranges in heads]
+    return found[0].unionByName(found[1])
+
+
+@check(
+    with_ctes(LEAGUE) + """, points AS (
+      SELECT -grid AS score, count(*) AS w, sum(is_podium) AS s FROM results WHERE grid IS NOT NULL GROUP BY grid),
+    upto AS (SELECT score, sum(w) OVER o AS w, sum(s) OVER o AS s, row_number() OVER o AS i, w AS own FROM points WINDOW o AS (ORDER BY score)),
+    means AS (SELECT j.i AS j, k.i AS k, (k.s - coalesce(p.s, 0)) / (k.w - coalesce(p.w, 0)) AS mean
+      FROM upto j JOIN upto k ON k.i >= j.i LEFT JOIN upto p ON p.i = j.i - 1),
+    least AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS v FROM means),
+    fit AS (SELECT i, max(v) AS value FROM least GROUP BY i)
+    SELECT score::DOUBLE AS score, own AS n, round(value, 6) AS value FROM fit JOIN upto USING (i)"""
+)
+def isotonic_calibration(spark, sf_dir):
+    """Chance of a podium by grid place, made to rise towards the front."""
+    league = League(spark, sf_dir)
+    rows = league.results.filter("grid IS NOT NULL").select((-F.col("grid")).cast("double").alias("score"), "is_podium")
+    blocks = isotonic.isotonic_blocks(rows, "score", F.col("is_podium"))
+    counts = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("score") >= F.col("low")) & (F.col("score") <= F.col("high"))
+    return rounded(counts.join(F.broadcast(blocks), inside).select("score", "n", "value"), "value")
+
+
 def model_scored(league):
     """Entrants of the test season and later as the final model scores them, staged."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import constants as C
 from paceline.operators import metrics
+from paceline.operators.isotonic import boundaries, isotonic_blocks
 from paceline.plans import splits
 from paceline.plans.backtest import race_records
 from paceline.session import fixed, shared_dir
@@ -140,16 +141,16 @@ def fit_regressor(rows: DataFrame, params: Params = REGRESSOR) -> PipelineModel:
 def fit_calibration(classifier: PipelineModel, rows: DataFrame) -> IsotonicRegressionModel:
     """Isotonic fit of outcome on raw probability over a later year.
 
-    Rows are first grouped by raw probability, which leaves the fit unchanged. The fit ends on the
-    driver over the distinct scores; trees give few of them, a head with continuous scores would not.
+    Scores are pooled to blocks on the cluster; the stored model is fitted to the ends of the blocks, which are in order
+    already, so the driver holds blocks and never scores, however many a head gives.
     """
     scored = classifier.transform(_numeric(rows, C.FEATURES))
     raw = scored.select(vector_to_array("probability")[1].alias("raw_prob"), "is_podium")
-    grouped = raw.groupBy("raw_prob").agg(F.avg("is_podium").alias("rate"), F.count(F.lit(1)).cast("double").alias("n"))
+    ends = boundaries(isotonic_blocks(raw, "raw_prob", F.col("is_podium"))).withColumnRenamed("score", "raw_prob")
     fit = IsotonicRegression(
-        featuresCol="raw_prob", labelCol="rate", weightCol="n", predictionCol="prob", isotonic=True
+        featuresCol="raw_prob", labelCol="value", weightCol="weight", predictionCol="prob", isotonic=True
     )
-    return fit.fit(grouped)
+    return fit.fit(ends)
 
 
 def fit_model(
