@@ -74,14 +74,15 @@ def _named(rows: DataFrame, drivers: DataFrame, teams: DataFrame) -> DataFrame:
     return rows.join(names, "driver_id").join(teams.select("constructor_id", F.col("name").alias("team_name")), "constructor_id")
 
 
-def write_results(league, path: str, broken: Column | None = None) -> None:
+def write_results(league, path: str, broken: Column | None = None, rows: DataFrame | None = None) -> None:
     item = F.struct(
         _text("position").alias("position"), F.col("position_text").alias("positionText"), _text("grid").alias("grid"),
         _text("points").alias("points"), _text("laps_completed").alias("laps"), "status",
         F.struct(_text("grid").alias("rank")).alias("FastestLap"),
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
-    _race_pages(_named(league.results, league.drivers, league.constructors), league.races, item, "Results", path, broken)
+    rows = _named(league.results if rows is None else rows, league.drivers, league.constructors)
+    _race_pages(rows, league.races, item, "Results", path, broken)
 
 
 def write_qualifying(league, path: str) -> None:

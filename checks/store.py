@@ -123,3 +123,45 @@ def stored_corrections(spark, sf_dir):
     for path in _corrections(League(spark, sf_dir)):
         store.ingest(standings=path)
     return store.table("standings_snapshot").select(*SNAPSHOT)
+
+
+_FOLLOWED: dict[tuple, str] = {}
+
+
+def followed(league) -> Store:
+    """Results landed in three drops, each followed by a new reader: the second sends some seasons again and breaks
+    documents of others, which the third brings whole."""
+    key = (league.spark.sparkContext.applicationId, league.sf_dir)
+    if key not in _FOLLOWED:
+        root, folder = new_path(league.spark, "followed-store"), new_path(league.spark, "drops")
+        season = lambda *rest: league.results.filter((F.col("year") % 3).isin(*rest))
+        again = season(1).withColumn("points", F.col("points") + 1000)
+        drops = [
+            (season(1, 2), None),
+            (again.unionByName(season(0)), (F.col("ro") % 7 == 0) & (F.floor(F.col("ro") / 100) % 3 == 0)),
+            (season(0).filter("ro % 7 = 0"), None),
+        ]
+        for number, (rows, broken) in enumerate(drops):
+            documents.write_results(league, f"{folder}/{number}", broken, rows)
+            Store(league.spark, root).follow(results=f"{folder}/*")
+        _FOLLOWED[key] = root
+    return Store(league.spark, _FOLLOWED[key])
+
+
+@check(
+    with_ctes(LEAGUE) + """SELECT race_id, driver_id::VARCHAR AS driver_id, position, status,
+      points + CASE WHEN year % 3 = 1 THEN 1000 ELSE 0 END AS points FROM results"""
+)
+def followed_results(spark, sf_dir):
+    """Stored results after drops of files of which only new ones were read."""
+    return followed(League(spark, sf_dir)).table("results").select("race_id", "driver_id", "position", "status", "points")
+
+
+@check(
+    with_ctes(LEAGUE) + """, doc AS (SELECT DISTINCT ro, year, driver_id // 100 AS page FROM results),
+    sent AS (SELECT year, CASE WHEN year % 3 = 1 THEN 2 ELSE 1 END AS read, (year % 3 = 0 AND ro % 7 = 0)::INT AS broken FROM doc)
+    SELECT 'results' AS kind, year, sum(read)::BIGINT AS ingested, sum(broken)::BIGINT AS failed FROM sent GROUP BY year"""
+)
+def followed_report(spark, sf_dir):
+    """Documents read and failed over all drops: a file is counted once."""
+    return followed(League(spark, sf_dir)).report()

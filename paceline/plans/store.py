@@ -12,12 +12,25 @@ from pyspark.sql import types as T
 from paceline.functions import constants as C
 from paceline.functions import rules
 from paceline.operators.features import feature_matrix
-from paceline.session import new_path
+from paceline.session import discard, new_path
 from paceline.sources import landing, merge, schemas
 
 BUCKETS = 32  # partitions of the two entity tables, by key hash
 
 
+# Schema of each kind of landed documents, where its races stand, and the tables it fills, in the order of loading
+DOCUMENTS = {
+    "calendar": (schemas.CALENDAR_DOC, "RaceTable.Races", {"races": landing.races}),
+    "qualifying": (schemas.QUALIFYING_DOC, "RaceTable.Races", {"races": landing.races, "qualifying": landing.qualifying}),
+    "results": (
+        schemas.RESULTS_DOC, "RaceTable.Races",
+        {"races": landing.races, "drivers": landing.drivers, "constructors": landing.constructors, "results": landing.results},
+    ),
+    "standings": (schemas.STANDINGS_DOC, "StandingsTable.StandingsLists", {"standings_snapshot": landing.standings}),
+    "pit_stops": (schemas.PIT_STOPS_DOC, "RaceTable.Races", {"pit_stops": landing.pit_stops}),
+}
+
+
 def home_circuits(spark: SparkSession) -> DataFrame:
     """Built-in nationality and home circuit pairs."""
     pairs = [(nation, circuit) for nation, circuits in C.HOME_CIRCUITS.items() for circuit in circuits]
@@ -29,6 +42,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.progress: dict[str, list] = {}
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -93,33 +107,10 @@ class Store:
         LapNumber, LapTime); ``circuits`` are those whose forecasts are kept (default the built-in).
         """
         reports = []
-        for kind, path, schema, lists, land in (
-            ("calendar", calendar, schemas.CALENDAR_DOC, "RaceTable.Races", {"races": landing.races}),
-            (
-                "qualifying", qualifying, schemas.QUALIFYING_DOC, "RaceTable.Races",
-                {"races": landing.races, "qualifying": landing.qualifying},
-            ),
-            (
-                "results", results, schemas.RESULTS_DOC, "RaceTable.Races",
-                {
-                    "races": landing.races, "drivers": landing.drivers, "constructors": landing.constructors,
-                    "results": landing.results,
-                },
-            ),
-            (
-                "standings", standings, schemas.STANDINGS_DOC, "StandingsTable.StandingsLists",
-                {"standings_snapshot": self._standings},
-            ),
-            ("pit_stops", pit_stops, schemas.PIT_STOPS_DOC, "RaceTable.Races", {"pit_stops": landing.pit_stops}),
-        ):
+        for kind, path in zip(DOCUMENTS, (calendar, qualifying, results, standings, pit_stops), strict=True):
             if path:
-                # parsed once to columns: the tables and the report each read a few of them
-                parsed = new_path(self.spark, f"parsed-{kind}")
-                landing.read_documents(self.spark, path, schema, ordered=True).write.parquet(parsed)
-                documents = self.spark.read.parquet(parsed)
-                for name, rows_of in land.items():
-                    self.save(name, rows_of(documents))
-                reports.append(landing.ingest_report(documents, lists).withColumn("kind", F.lit(kind)))
+                documents = landing.read_documents(self.spark, path, DOCUMENTS[kind][0], ordered=True)
+                reports.append(self._land(kind, documents))
         if forecasts:
             documents = landing.read_documents(self.spark, forecasts, schemas.FORECAST_DOC)
             known = landing.known_circuits(self.spark) if circuits is None else circuits
@@ -129,6 +120,57 @@ class Store:
             self.save("practice_sessions", summary.withColumnRenamed("lap_count", "laps_completed"))
         return reduce(DataFrame.unionByName, reports) if reports else None
 
+    def _land(self, kind: str, documents: DataFrame) -> DataFrame:
+        """Fill the tables of one kind of documents; parsed once to columns, of which tables and report read a few."""
+        parsed = new_path(self.spark, f"parsed-{kind}")
+        documents.write.parquet(parsed)
+        documents = self.spark.read.schema(documents.schema).parquet(parsed)
+        _, lists, tables = DOCUMENTS[kind]
+        for name, rows_of in tables.items():
+            self.save(name, self._standings(documents) if kind == "standings" else rows_of(documents))
+        report = landing.ingest_report(documents, lists).withColumn("kind", F.lit(kind))
+        report = self.spark.createDataFrame(report.collect(), report.schema)  # one row per season
+        discard(self.spark, parsed)
+        return report
+
+    def follow(self, **folders: str) -> DataFrame:
+        """Land only what is new in document folders since the last call; returns the report of all calls so far.
+
+        Folders are named like those of ``ingest``. Each kind is a file stream with its own progress under the store, so
+        a file is read once, also by a later process. Files of one call are one load, ordered as in ``ingest``; a later
+        call wins over an earlier one. A load that is run again after a failure upserts the same rows and replaces its
+        own part of the report.
+        """
+        unknown = set(folders) - set(DOCUMENTS)
+        if unknown:
+            raise ValueError(f"no documents of kind {sorted(unknown)}")
+        for kind in (k for k in DOCUMENTS if k in folders):
+            reports = f"{self.root}/_reports/{kind}"
+
+            def land(batch: DataFrame, number: int, kind: str = kind, reports: str = reports) -> None:
+                report = self._land(kind, landing.placed(batch))
+                report.coalesce(1).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+
+            query = (
+                landing.document_stream(self.spark, folders[kind], DOCUMENTS[kind][0])
+                .writeStream.option("checkpointLocation", f"{self.root}/_progress/{kind}")
+                .foreachBatch(land)
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
+            self.progress[kind] = query.recentProgress
+        return self.report()
+
+    def report(self) -> DataFrame:
+        """Documents read and failed per kind and season over all calls of ``follow``."""
+        schema = "year long, ingested long, failed long, kind string"
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/_reports/*/*")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], schema)
+        return rows.groupBy("kind", "year").agg(F.sum("ingested").alias("ingested"), F.sum("failed").alias("failed"))
+
     def _standings(self, documents: DataFrame) -> DataFrame:
         try:
             return landing.corrected_standings(documents, self.table("standings_snapshot"))

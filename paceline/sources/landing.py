@@ -27,15 +27,26 @@ def read_documents(
     rows = spark.read.schema(f"{schema}, {CORRUPT} string").json(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=whole_file
     )
-    if not ordered:
-        return rows
-    place = F.struct(
+    return placed(rows.withColumn(ORDER, _file())) if ordered else rows
+
+
+def document_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of new files, with what is known of each file; ``placed`` completes the order of a micro-batch."""
+    reader = spark.readStream.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path).withColumn(ORDER, _file())
+
+
+def _file() -> Column:
+    return F.struct(
         F.col("_metadata.file_modification_time").alias("time"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
     )
-    return rows.withColumn(ORDER, place)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The order of documents extended by their place in the file."""
+    return rows.withColumn(ORDER, F.struct(f"{ORDER}.*", F.monotonically_increasing_id().alias("line")))
 
 
 def _order(rows: DataFrame, *inner: str) -> list[Column]:

@@ -219,3 +219,51 @@ def test_upcoming_race_has_features(spark, tmp_path):
     assert {r.race_id for r in store.matrix().collect()} == {"2024_3", "2024_9"}
     quality = {r.table_name: r for r in store.quality().collect()}
     assert len(quality) == 9 and quality["qualifying"].orphans == 0
+
+
+def result_document(points, season="2024"):
+    entry = {"position": "1", "points": points, "Driver": {"driverId": "a"}, "Constructor": {"constructorId": "t"}}
+    return {"MRData": {"RaceTable": {"Races": [{"season": season, "round": "1", "Results": [entry]}]}}}
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    root, folder = str(tmp_path / "tables"), tmp_path / "in"
+    folder.mkdir()
+    store = Store(spark, root)
+    assert store.report().collect() == []
+    write(folder / "1", result_document("10"), '{"MRData": {"RaceTable": {"Races": [{"season": "2024", bro')
+    store.follow(results=f"{folder}/*")
+    assert store.table("results").first().points == 10.0
+    # a new process on the same store: the old file is not read again
+    write(folder / "2", result_document("25"), result_document("7", "2025"))
+    later = Store(spark, root)
+    report = {r.year: (r.ingested, r.failed) for r in later.follow(results=f"{folder}/*").collect()}
+    assert report == {2024: (2, 1), 2025: (1, 0)}
+    assert sum(p["numInputRows"] for p in later.progress["results"]) == 2
+    assert {r.year: r.points for r in later.table("results").collect()} == {2024: 25.0, 2025: 7.0}
+    again = Store(spark, root)
+    again.follow(results=f"{folder}/*")
+    assert not sum(p["numInputRows"] for p in again.progress["results"]) and again.report().count() == 2
+    with pytest.raises(ValueError, match="news"):
+        again.follow(news=str(folder))
+
+
+def test_failed_load_is_run_again(spark, tmp_path, monkeypatch):
+    """A load that fails between its tables is taken up by the next call and counted once."""
+    root, folder = str(tmp_path / "tables"), tmp_path / "in"
+    folder.mkdir()
+    write(folder / "1", result_document("10"))
+    save = Store.save
+
+    def broken(self, name, rows):
+        if name == "results":
+            raise RuntimeError("lost")
+        save(self, name, rows)
+
+    monkeypatch.setattr(Store, "save", broken)
+    with pytest.raises(Exception, match="lost"):
+        Store(spark, root).follow(results=f"{folder}/*")
+    monkeypatch.setattr(Store, "save", save)
+    store = Store(spark, root)
+    assert [(r.year, r.ingested, r.failed) for r in store.follow(results=f"{folder}/*").collect()] == [(2024, 1, 0)]
+    assert store.table("results").first().points == 10.0 and store.table("drivers").count() == 1
