@@ -7,6 +7,7 @@ from checks import documents
 from checks.features import MATRIX, rounded, sql_rounded
 from checks.registry import check
 from paceline.functions.constants import FEATURES
+from paceline.functions import rules
 from paceline.functions.rules import tidy
 from paceline.operators import features, ordering
 from paceline.session import new_path
@@ -296,6 +297,26 @@ def landed_intervals(spark, sf_dir):
     return live_documents(Feeds(spark, sf_dir), "intervals").drop("date")
 
 
+@check(
+    T + f"""SELECT {KEY} AS session_key, driver_number, lap_number,
+      CASE k % 6 WHEN 0 THEN total::DOUBLE WHEN 1 THEN total::DOUBLE WHEN 2 THEN 180.0 END AS gap,
+      CASE k % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'text' WHEN 4 THEN 'other' WHEN 5 THEN 'other' END AS kind
+    FROM timing WHERE k IS NOT NULL"""
+)
+def landed_mixed_gaps(spark, sf_dir):
+    """A gap as number, numeric text, laps, null, object or truth value, each landed as it is; no line is lost."""
+    feeds = Feeds(spark, sf_dir)
+    total = F.col("total")
+    gaps = [total, total.cast("string"), F.lit("+2 LAPS"), F.lit(None).cast("string"), F.struct(total), F.lit(True)]
+    head = [session_number(F.col("session")).alias("session_key"), "driver_number", F.timestamp_seconds("lap_number").alias("date")]
+    line = F.coalesce(*[F.when(F.col("k") % 6 == i, F.to_json(F.struct(*head, gap.alias("gap_to_leader")))) for i, gap in enumerate(gaps)])
+    path = written(feeds, "mixed_gaps", lambda p: feeds.timing.filter("k IS NOT NULL").select(line.alias("value")).write.text(p))
+    schema = schemas.LIVE_FEEDS["intervals"]
+    kinds = spark.read.schema(schema).json(path).select("session_key", "driver_number", F.unix_seconds("date").alias("lap_number"), landing.variant_kind(F.col("gap_to_leader")).alias("kind"))
+    gap = landing.live_feed(spark, path, "intervals").select("session_key", "driver_number", F.unix_seconds("date").alias("lap_number"), rules.gap_seconds(F.col("gap_to_leader")).alias("gap"))
+    return gap.join(kinds, ["session_key", "driver_number", "lap_number"])
+
+
 @check(
     T + f"""SELECT {KEY} AS session_key, 'race_control' AS feed, count(*) AS n,
         sum(lap_number)::BIGINT AS total FROM timing WHERE event_type IN ('signup', 'error') GROUP BY session

@@ -165,3 +165,19 @@ def followed_results(spark, sf_dir):
 def followed_report(spark, sf_dir):
     """Documents read and failed over all drops: a file is counted once."""
     return followed(League(spark, sf_dir)).report()
+
+
+@check(
+    with_ctes(LEAGUE) + """SELECT 'races' AS table_name, count(*) AS n_rows, 0::BIGINT AS missing FROM races
+      UNION ALL SELECT 'qualifying', count(*), 0 FROM qualifying
+      UNION ALL SELECT 'pit_stops', count(*), count(*) FILTER (position IS NULL) FROM results"""
+)
+def load_quality(spark, sf_dir):
+    """Counts of a load as its own writes observe them, missing required values included."""
+    league = League(spark, sf_dir)
+    store = Store(spark, new_path(spark, "store"))
+    store.ingest(calendar=written(league, "calendar", lambda p: documents.write_calendar(league, p)))
+    store.save("qualifying", league.qualifying.withColumn("driver_id", F.col("driver_id").cast("string")))
+    stops = league.results.select("race_id", F.col("driver_id").cast("string").alias("driver_id"), F.col("position").alias("stop_number"))
+    store.save("pit_stops", stops)
+    return store.load_quality()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.progress: dict[str, list] = {}
+        self.loaded: dict[str, tuple[int, int]] = {}
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -86,7 +87,20 @@ class Store:
             self.table(name)
         except AnalysisException:
             merge.create_table(typed, self._path(name), partition)
-        merge.upsert(self.spark, self._path(name), typed, [*key, partition], partition)
+        seen = Observation()
+        missing = [F.count_if(F.col(c).isNull()) for c in merge.REQUIRED.get(name, [])]
+        counted = typed.observe(seen, F.count(F.lit(1)).alias("n_rows"), reduce(lambda a, b: a + b, missing, F.lit(0)).alias("missing"))
+        merge.upsert(self.spark, self._path(name), counted, [*key, partition], partition)
+        before = self.loaded.get(name, (0, 0))
+        self.loaded[name] = (before[0] + seen.get["n_rows"], before[1] + seen.get["missing"])
+
+    def load_quality(self) -> DataFrame:
+        """Rows written and required values missing in them, per table, over the loads of this reader.
+
+        Both are counted by the writes themselves; no table is read for them.
+        """
+        rows = [(name, *counts) for name, counts in self.loaded.items()]
+        return self.spark.createDataFrame(rows, "table_name string, n_rows long, missing long")
 
     def ingest(
         self,

@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceline.functions import constants as C
 from paceline.functions import rules
@@ -329,7 +330,21 @@ def live_lines(spark: SparkSession, path: str, feed: str, stream: bool = False)
     """All lines of one live feed; unreadable ones keep their text in ``_corrupt_record``."""
     reader = spark.readStream if stream else spark.read
     schema = f"{schemas.LIVE_FEEDS[feed]}, {CORRUPT} string"
-    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    mixed = [f.name for f in lines.schema if isinstance(f.dataType, T.VariantType)]
+    return lines.withColumns({c: scalar_text(F.col(c)) for c in mixed})
+
+
+def variant_kind(value: Column) -> Column:
+    """``number``, ``text``, ``other`` (truth values, lists and objects) or null."""
+    kind = F.schema_of_variant(value)
+    number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(number, "number").when(kind == "STRING", "text").when(kind != "VOID", "other")
+
+
+def scalar_text(value: Column) -> Column:
+    """Numbers and text of a variant as text; what is neither says nothing."""
+    return F.when(variant_kind(value).isin("number", "text"), F.try_variant_get(value, "$", "string"))
 
 
 def feed_report(lines: DataFrame) -> DataFrame:

@@ -36,13 +36,13 @@ FORECAST_DOC = (
     "relative_humidity_2m_max:array<double>, weathercode:array<bigint>>"
 )
 
-# one schema per live feed; the gap is text because it mixes numbers with "+1 LAP"
+# one schema per live feed; a gap is a variant because it is a number, numeric text or "+1 LAP"
 LIVE_FEEDS = {
     "sessions": "session_key bigint, year bigint, country_name string, meeting_name string, session_type string, "
     "date_start timestamp",
     "drivers": "session_key bigint, driver_number bigint, name_acronym string, team_name string",
     "laps": "session_key bigint, driver_number bigint, lap_number bigint, lap_duration double, date_start timestamp",
-    "intervals": "session_key bigint, driver_number bigint, gap_to_leader string, interval string, date timestamp",
+    "intervals": "session_key bigint, driver_number bigint, gap_to_leader variant, interval variant, date timestamp",
     "position": "session_key bigint, driver_number bigint, position bigint, date timestamp",
     "car_data": "session_key bigint, driver_number bigint, speed double, throttle double, brake double, rpm double, "
     "n_gear bigint, drs bigint, date timestamp",
