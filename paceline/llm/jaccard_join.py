@@ -1,11 +1,12 @@
 """Exact Jaccard join of documents on word shingles, as groups of linked documents.
 
 Equal sets are folded first. A set's shingles are put in one order for the whole corpus, rare ones first, and the
-prefix filter says that two sets with a Jaccard coefficient of at least j share one of the first n - ceil(j n) + 1
-shingles of each; the place of that shingle bounds the sizes of the sets that it can link. Tiles hold the sets that
-share such a shingle. Inside a tile, sets are ordered by size, sizes bound who can meet whom, and hashed bitmap
-signatures bound the overlap from above: the bits of one set that the other lacks are shingles that it lacks. What
-passes is decided on the sorted arrays of shingles.
+prefix filter says that two different sets with a Jaccard coefficient of at least j share m of the first
+n - ceil(j n) + m shingles of each (m is three from j = 2/3, see ``needed``), so a set that shares fewer with all others
+together is done with. The place of such a shingle bounds the sizes of the sets that it can link. Tiles hold the sets
+that share one. Inside a tile, sets are ordered by size, sizes bound who can meet whom, and hashed bitmap signatures
+bound the overlap from above: the bits of one set that the other lacks are shingles that it lacks. What passes is
+decided on the sorted arrays of shingles.
 
 Groups are wanted, so a tile only looks for links that join two groups. Two rounds over the tiles of every set's most
 shared prefix shingles settle families of near copies; a last round takes all prefix shingles, in tiles by
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm import words
 from paceline.llm.components import components
-from paceline.llm.rows import landed, locatable, locator, shared, table
+from paceline.llm.rows import landed, locatable, locator, release, shared, table
 
 # Contract of op8: words of a shingle, and the coefficient in hundredths
 SHINGLE = 3
@@ -36,11 +37,22 @@ GRAM_BUCKETS = 1 << 20
 # Rounds before the last, and sets taken together in a tile
 ROUNDS = 2
 TILE = 1000
+# Bytes of text that a scan turns into shingles together
+PIECE = 1 << 18
 # Pairs looked at together, and count above the average from which a shingle's bucket is reported
 PAIRS = 400_000
 MARGIN = 16
 
 
+def needed(level: int) -> int:
+    """Prefix shingles that different linked sets have in common at the least.
+
+    The union of linked sets that differ has a shingle beyond their overlap, which is thus level / (100 - level) or more.
+    More than three are not asked for, because each makes prefixes longer.
+    """
+    return 3 if level >= 100 else min(3, -(-level // (100 - level)))
+
+
 def linked(common, n_a, n_b, level=LEVEL):
     """Whether sets of these sizes with so many common shingles are linked."""
     return (100 + level) * common >= level * (n_a + n_b)
@@ -83,7 +95,7 @@ def _describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
     """Set id (null without shingles) and size of every text."""
     for batch in batches:
         n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-        for low, high, data, offsets in words.texts(batch.column(0)):
+        for low, high, data, offsets in words.texts(batch.column(0), piece=PIECE):
             bounds, gram, _ = _sets(data, offsets, shingle)
             n[low:high] = np.diff(bounds)
             sums = np.append(np.uint64(0), np.cumsum(words.mixed(gram ^ words.BASE)))
@@ -95,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
     """Counts per bucket of words (kind 0) and of shingles well above the average bucket (kind 1)."""
     totals = [np.zeros(WORD_BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.int64)]
     for batch in batches:
-        for _, _, data, offsets in words.texts(batch.column(0)):
+        for _, _, data, offsets in words.texts(batch.column(0), piece=PIECE):
             _, gram, trio = _sets(data, offsets, shingle)
             totals[0] += np.bincount(trio[0], minlength=WORD_BUCKETS)
             totals[1] += np.bincount((gram % np.uint64(GRAM_BUCKETS)).astype(np.int64), minlength=GRAM_BUCKETS)
@@ -117,7 +129,7 @@ def _prefix_scan(order_of, shingle: int, level: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_class, gram_class = order_of()
         for batch in batches:
-            for _, _, data, offsets in words.texts(batch.column(0)):
+            for _, _, data, offsets in words.texts(batch.column(0), piece=PIECE):
                 bounds, gram, trio = _sets(data, offsets, shingle)
                 n = np.diff(bounds)
                 sums = np.append(np.uint64(0), np.cumsum(words.mixed(gram ^ words.BASE)))
@@ -130,12 +142,12 @@ def _prefix_scan(order_of, shingle: int, level: int):
                 order = np.argsort(key, kind="stable")
                 order = order[np.argsort(text[order], kind="stable")]
                 place = np.arange(len(gram)) - bounds[text]
-                # ceil(n * level / 100) shingles may be missing from the prefix, less one
-                length = n - (level * n + 99) // 100 + 1
+                # ceil(n * level / 100) shingles may be missing from the prefix, less those that are needed
+                length = n - (level * n + 99) // 100 + needed(level)
                 pick = place < length[text]
                 token, owner, place = gram[order][pick], text[pick], place[pick]
-                # sets that share no shingle before this place can only meet sets up to a size
-                most = np.maximum((100 + level) * (n[owner] - place) // level - n[owner], 0)
+                # sets that share fewer than are needed before this place can only meet sets up to a size
+                most = np.maximum((100 + level) * (n[owner] - place + needed(level) - 1) // level - n[owner], 0)
                 size = n[owner] << np.int64(32) | most
                 yield pa.record_batch({"token": token.view(np.int64), "sid": sid[owner].view(np.int64), "size": size})
 
@@ -146,7 +158,7 @@ def _arrays(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
     """Sorted shingles of each text as bytes."""
     for batch in batches:
         grams: list[bytes] = []
-        for _, _, data, offsets in words.texts(batch.column(0)):
+        for _, _, data, offsets in words.texts(batch.column(0), piece=PIECE):
             bounds, gram, _ = _sets(data, offsets, shingle)
             grams += [gram[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.large_binary()).cast(pa.binary()), *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
@@ -345,11 +357,18 @@ def _links(docs: DataFrame, sets: DataFrame, shingle: int, level: int) -> DataFr
     members = tokens.join(met, "token").distinct()
     members = members.select("token", "sid", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("most"), "rows")
     members = landed(members, "shingle-members")
-    # sets of sizes too far apart do not meet: a shingle counts where a size band holds another set too
-    banded = _banded(members, level)
-    bands = banded.groupBy("token", "band").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("own").alias("own"))
-    bands = bands.where("own AND low <> high").select("token", "band")
-    members = landed(banded.join(bands, ["token", "band"]).select("token", "sid", "n", "most", "rows").distinct(), "shingle-members")
+    release(met)
+    for _ in range(2):
+        # sets of sizes too far apart do not meet: a shingle counts where a size band holds another set too
+        banded = _banded(members, level)
+        bands = banded.groupBy("token", "band").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("own").alias("own"))
+        bands = bands.where("own AND low <> high").select("token", "band")
+        kept = banded.join(bands, ["token", "band"]).select("token", "sid", "n", "most", "rows").distinct()
+        # a set that has too few such shingles is linked to nothing, and others may then have too few in turn
+        many = kept.groupBy("sid").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= needed(level)).select("sid")
+        kept = landed(kept.join(many, "sid"), "shingle-members")
+        release(members)
+        members = kept
 
     # the sets that meet any other, with their most shared prefix shingles and their sorted shingles
     best = F.slice(F.sort_array(F.collect_list(F.struct("rows", "token")), asc=False), 1, ROUNDS)
@@ -364,13 +383,13 @@ def _links(docs: DataFrame, sets: DataFrame, shingle: int, level: int) -> DataFr
         part = F.pmod(F.xxhash64(F.lit(number), "sid"), 1 + F.floor(F.col("rows") / TILE))
         tiles = tiles.select("tile", part.alias("part"), "sid", "grams").repartition("tile", "part").sortWithinPartitions("tile", "part", "sid")
         edges.append(landed(tiles.mapInArrow(partial(_link_tiles, level=level), "a long, b long"), "tile-links"))
-    edges = reduce(DataFrame.union, edges)
+    links, edges = edges, reduce(DataFrame.union, edges)
     label = components(edges)
 
     # what is left: prefix shingles that are shared between groups
     grouped = members.join(label, members["sid"] == label["v"], "left").select("token", "sid", "n", "most", F.coalesce("c", "sid").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    left = landed(_banded(grouped.join(mixed, "token"), level), "mixed-shingles")
+    left_ = left = landed(_banded(grouped.join(mixed, "token"), level), "mixed-shingles")
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     sizes = sizes.select("token", "band", (1 + F.floor(F.col("rows") / TILE)).alias("parts"))
     left = left.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
@@ -392,7 +411,9 @@ def _links(docs: DataFrame, sets: DataFrame, shingle: int, level: int) -> DataFr
         .join(side.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return edges.union(both.mapInArrow(partial(_verify, level=level), "a long, b long"))
+    out = landed(edges.union(both.mapInArrow(partial(_verify, level=level), "a long, b long")), "links")
+    release(members, active, left_, pairs, *links)
+    return out
 
 
 def link_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, level: int = LEVEL) -> DataFrame:

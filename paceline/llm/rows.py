@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.session import new_path
+from paceline.session import discard, new_path
 
 # While a table is landed: nothing reads its shuffles again, and long texts go to Python a few at a time
 LANDING = {
@@ -34,7 +34,15 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._landed = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete landed tables once everything that is computed from them has landed, too."""
+    for table_ in tables:
+        discard(table_.sparkSession, table_._landed)
 
 
 def locator(df: DataFrame) -> Column:

@@ -42,7 +42,7 @@ ALNUM = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) &
 NOT_SPACE = (_BYTES != 32) & ((_BYTES < 9) | (_BYTES > 13))
 
 
-def texts(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array | pa.ChunkedArray, lower: bool = True, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) in pieces; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -55,7 +55,7 @@ def texts(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[tu
     data = b"" if data is None else memoryview(data)
     low = 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + piece, "right")) - 1)
         raw = bytes(data[offsets[low] : offsets[high]])
         if lower:
             raw = raw.translate(LOWER)
