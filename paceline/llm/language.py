@@ -25,6 +25,10 @@ ORDER = 3
 FOLDS = 5
 
 
+# Bytes of text that are scored together: a worker holds some tens of times as much
+PIECE = 1 << 18
+
+
 def training_row(key: Column) -> Column:
     """Rows that may be learnt from: CRC-32 of the id as text is no multiple of five."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % FOLDS != 0
@@ -56,7 +60,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (context, byte) of each language: four bytes packed in a number."""
     for batch in batches:
         languages = np.array(batch.column(1).to_pylist(), object)
-        for low, high, data, offsets in words.texts(batch.column(0)):
+        for low, high, data, offsets in words.texts(batch.column(0), piece=PIECE):
             before = _windows(_folded(data).astype(np.int64), offsets, 0)
             gram = before[0] << 24 | before[1] << 16 | before[2] << 8 | _folded(data)
             name = np.repeat(languages[low:high], np.diff(offsets))
@@ -163,7 +167,7 @@ def _scorer(frozen):
         trees: Trees = frozen()
         for batch in batches:
             names, scores, per_byte = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for low, high, data, offsets in words.texts(batch.column(0)):
+            for low, high, data, offsets in words.texts(batch.column(0), piece=PIECE):
                 bits = trees.code_lengths(data, offsets)
                 if not trees.languages:
                     names += [None] * len(bits)
