@@ -39,8 +39,9 @@ ROUNDS = 2
 TILE = 1000
 # Bytes of text that a scan turns into shingles together
 PIECE = 1 << 18
-# Pairs looked at together, and count above the average from which a shingle's bucket is reported
+# Pairs and rows looked at together, and count above the average from which a shingle's bucket is reported
 PAIRS = 400_000
+ROWS = 16_000
 MARGIN = 16
 
 
@@ -308,14 +309,16 @@ def _block_pairs(blocks: list[pa.Table], level: int) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    waiting, pairs = [], 0
+    waiting, pairs, rows = [], 0, 0
     for block in groups_of(batches, ["token", "band", "one", "two"]):
         if block.num_rows > 1:
             waiting.append(block)
             pairs += block.num_rows * (block.num_rows - 1) // 2
-        if pairs >= PAIRS:
+            rows += block.num_rows
+        # most blocks are of two sets: their signatures and tables weigh more than their pairs
+        if pairs >= PAIRS or rows >= ROWS:
             yield _block_pairs(waiting, level)
-            waiting, pairs = [], 0
+            waiting, pairs, rows = [], 0, 0
     if waiting:
         yield _block_pairs(waiting, level)
 
