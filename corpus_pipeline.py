@@ -23,33 +23,39 @@ from paceline.llm.mixing import mixed_rows
 from paceline.llm.rows import landed, small_batches, table
 from paceline.llm.sharding import external_shuffle
 
+# Bytes of text that a task of the last stage shuffles at once, beside the workers of the stages before
+BUCKET = 4 << 20
 # Near duplicates: words of a shingle, and the coefficient in hundredths
 NEAR_SHINGLE = 5
 NEAR_LEVEL = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter go, too; repeated rows share their fate; no rows give no rows."""
     small_batches(spark)
     return recognised_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of a group stays, null ids last; rows without words all stay."""
     return first_of_groups(docs, NEAR_SHINGLE, NEAR_LEVEL)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no window and stay; repeated rows share their fate."""
     small_batches(spark)
     return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words are never begun by the mix; a null source is a source of its own."""
     return mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """An input column named like one of the two that are added gives way to it."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return external_shuffle(docs).select(*[F.col(f"record.`{c}`") for c in kept], F.col("shard").cast("int").alias("shard"), "slot")
+    return external_shuffle(docs, bucket_bytes=BUCKET).select(*[F.col(f"record.`{c}`") for c in kept], F.col("shard").cast("int").alias("shard"), "slot")
 
 
 STAGES = [
