@@ -24,6 +24,7 @@ HEADLINE = [
     "median_imputation",
     "timing_laps",
     "live_features",
+    "live_every_lap",
     "bayesian_update",
     "live_podium",
     "scenario_effects",
@@ -36,7 +37,9 @@ HEADLINE = [
     "duplicate_keys",
     "stream_latest_state",
     "stream_lap_stats",
+    "stream_lap_state",
     "stream_posterior",
+    "stream_landed_podium",
     "stream_speed_by_day",
     "model_temporal_cv",
 ]
