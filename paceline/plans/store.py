@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from paceline.functions import constants as C
 from paceline.functions import rules
 from paceline.operators.features import feature_matrix
-from paceline.session import discard, new_path
+from paceline.session import discard, exists, new_path
 from paceline.sources import landing, merge, schemas
 
 BUCKETS = 32  # partitions of the two entity tables, by key hash
@@ -83,14 +83,13 @@ class Store:
         partition = self._partition(name)
         order = [landing.ORDER] if landing.ORDER in typed.columns else [f.name for f in fields if f.name not in (*key, partition)]
         typed = merge.latest_by_key(typed, [*key, partition], order).drop(landing.ORDER)
-        try:
-            self.table(name)
-        except AnalysisException:
-            merge.create_table(typed, self._path(name), partition)
         seen = Observation()
         missing = [F.count_if(F.col(c).isNull()) for c in merge.REQUIRED.get(name, [])]
         counted = typed.observe(seen, F.count(F.lit(1)).alias("n_rows"), reduce(lambda a, b: a + b, missing, F.lit(0)).alias("missing"))
-        merge.upsert(self.spark, self._path(name), counted, [*key, partition], partition)
+        if exists(self.spark, self._path(name)):
+            merge.upsert(self.spark, self._path(name), counted, [*key, partition], partition, unique=True)
+        else:
+            merge.first_load(counted, self._path(name), partition)
         before = self.loaded.get(name, (0, 0))
         self.loaded[name] = (before[0] + seen.get["n_rows"], before[1] + seen.get["missing"])
 

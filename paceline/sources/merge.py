@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.operators.ordering import sized
 from paceline.session import discard, new_path
 
+# Touched partitions up to which they are read by name, and files per partition up to which stored rows are not moved
+PARTITIONS = 1_000
+FILES = 8
+
 # Keys, references and required columns of the stored tables
 TABLE_KEYS = {
     "races": ["race_id"],
@@ -53,41 +61,65 @@ def merge(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[st
 
 
 def upsert(
-    spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str, order: Sequence[str] = ()
+    spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str, order: Sequence[str] = (), unique: bool = False
 ) -> None:
     """Merge into a Parquet table, rewriting only the partitions ``new`` touches.
 
-    ``partition`` must be a function of the key, so that no older version sits elsewhere.
-    Repeating an upsert changes nothing, so a retried job or micro-batch is safe. The new rows and
-    the merged partitions are each staged once as Parquet, because the write replaces what it read;
-    rows are balanced by partition before the write, so files are few and none grows beyond a task.
+    ``partition`` must be a part of the key or a function of it, so that no older version sits elsewhere.
+    Repeating an upsert changes nothing, so a retried job or micro-batch is safe. Stored rows stay in the tasks that
+    read them: those with a new version are left out by a join with the new keys, which are sent to every task if they
+    are few, and only new rows are shuffled. ``unique`` says that no key comes twice in ``new``.
     """
-    combine = lambda old, rows: merge(old, rows, key, order)
-    rewrite(spark, path, new, partition, combine, leave=order)
 
+    def combine(old: DataFrame, rows: DataFrame, n: int | None) -> DataFrame:
+        kept = [c for c in rows.columns if c not in order]
+        rows = rows if unique else latest_by_key(rows, key, order or [c for c in kept if c not in key])
+        rows = rows.select(*kept)
+        keys = rows.select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+        return old.join(sized(keys, n), same, "left_anti").unionByName(rows.hint("rebalance", partition))
+
+    _replace(spark, path, new, partition, combine, order)
+
+
+def rewrite(spark: SparkSession, path: str, new: DataFrame, partition: str, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Replace the partitions of a Parquet table that ``new`` touches by ``combine(old rows, new rows)``."""
+    _replace(spark, path, new, partition, lambda old, rows, n: combine(old, rows).hint("rebalance", partition))
 
-def rewrite(
+
+def _replace(
     spark: SparkSession,
     path: str,
     new: DataFrame,
     partition: str,
-    combine: Callable[[DataFrame, DataFrame], DataFrame],
+    combine: Callable[[DataFrame, DataFrame, int | None], DataFrame],
     leave: Sequence[str] = (),
 ) -> None:
-    """Replace the partitions of a Parquet table that ``new`` touches by ``combine(old rows, new rows)``.
+    """``combine`` gets the stored rows of the touched partitions, the new rows and, if partitions are few, the number of new rows.
 
-    Columns in ``leave`` only order versions and are not stored. What was staged is deleted once the table holds it.
+    The new rows are staged once, because they may come from the table itself. The write keeps what it replaces until
+    all its tasks are done, so it may read it. Where a partition has come to many files, all its rows are balanced anew.
     """
-    kept = [c for c in new.columns if c not in leave]
-    fresh, both = new_path(spark, "rewrite-new"), new_path(spark, "rewrite-both")
+    fresh = new_path(spark, "rewrite-new")
     staged = _staged(new, fresh)
-    old = spark.read.schema(new.select(*kept).schema).parquet(path)
-    touched = old.join(staged.select(partition).distinct(), partition, "left_semi")
-    merged = _staged(combine(touched, staged).select(*kept).hint("rebalance", partition), both)
-    rows = merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    rows.partitionBy(partition).parquet(path)
-    for staging in (fresh, both):
-        discard(spark, staging)
+    old = spark.read.schema(new.drop(*leave).schema).parquet(path)
+    counts = staged.groupBy(partition).agg(F.count(F.lit(1)).alias("n")).limit(PARTITIONS + 1).collect()
+    if counts and len(counts) <= PARTITIONS:
+        # as literals, so that only these folders are read
+        values = [row[0] for row in counts]
+        touched = F.col(partition).isin([v for v in values if v is not None])
+        touched = old.filter(touched | F.col(partition).isNull() if None in values else touched)
+        folders = Counter(unquote(file.rsplit("/", 2)[-2]) for file in old.inputFiles())
+        crowded = any(folders[f"{partition}={v}"] > FILES for v in values)
+        n = sum(row[1] for row in counts)
+    else:
+        touched, crowded, n = old.join(staged.select(partition).distinct(), partition, "left_semi"), True, None
+    if counts:
+        merged = combine(touched, staged, n)
+        merged = merged.hint("rebalance", partition) if crowded else merged
+        rows = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy(partition).parquet(path)
+    discard(spark, fresh)
 
 
 def _staged(rows: DataFrame, path: str) -> DataFrame:
@@ -100,6 +132,11 @@ def create_table(rows: DataFrame, path: str, partition: str) -> None:
     rows.sparkSession.createDataFrame([], rows.schema).write.partitionBy(partition).parquet(path)
 
 
+def first_load(rows: DataFrame, path: str, partition: str) -> None:
+    """Table of ``rows``, whose keys are unique; balanced by partition, so that files are few and none outgrows a task."""
+    rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
 def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 

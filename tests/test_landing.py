@@ -141,6 +141,41 @@ def test_upsert_is_repeatable_and_partitioned(spark, tmp_path):
     assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "p=2").iterdir()}
 
 
+def test_upsert_of_null_keys_doubled_rows_and_new_partitions(spark, tmp_path):
+    path, kinds = str(tmp_path / "t"), "p long, k string, v long"
+    spark.createDataFrame([(1, None, 1), (1, "a", 1), (2, "a", 1)], kinds).write.partitionBy("p").parquet(path)
+    new = spark.createDataFrame([(1, None, 7, 1), (1, "b", 8, 2), (1, "b", 9, 1), (3, "a", 4, 1)], kinds + ", at long")
+    merge.upsert(spark, path, new, ["p", "k"], "p", ["at"])
+    got = sorted((r.p, r.k or "", r.v) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "", 7), (1, "a", 1), (1, "b", 8), (2, "a", 1), (3, "a", 4)]
+    merge.upsert(spark, path, new.limit(0), ["p", "k"], "p", ["at"])
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_upsert_moves_stored_rows_only_where_files_are_many(spark, tmp_path, monkeypatch):
+    path, kinds, seen = str(tmp_path / "t"), "p long, k long, v long", []
+    spark.range(40).selectExpr("id % 2 AS p", "id AS k", "0L AS v").coalesce(1).write.partitionBy("p").parquet(path)
+    replace = merge._replace
+
+    def watched(spark, path, new, partition, combine, leave=()):
+        def keep(old, rows, n):
+            merged = combine(old, rows, n)
+            seen.append(merged._jdf.queryExecution().executedPlan().toString())
+            return merged
+
+        replace(spark, path, new, partition, keep, leave)
+
+    monkeypatch.setattr(merge, "_replace", watched)
+    for number in range(1, 13):
+        merge.upsert(spark, path, spark.createDataFrame([(1, 1, number), (1, 100 + number, number)], kinds), ["p", "k"], "p")
+        assert len(list((tmp_path / "t" / "p=1").glob("*.parquet"))) <= merge.FILES + 2
+    rows = {r.k: r.v for r in spark.read.parquet(path).filter("p = 1").collect()}
+    assert rows == {k: 0 for k in range(3, 40, 2)} | {1: 12} | {100 + n: n for n in range(1, 13)}
+    # the only exchange below the stored side is that of new keys
+    stored = [plan.split("Union")[1].split("LeftAnti")[0] for plan in seen]
+    assert all("Exchange" not in part and "BroadcastHashJoin" in part for part in stored)
+
+
 def test_known_columns_and_query(spark):
     df = spark.createDataFrame([(1, 2)], "a long, b long")
     assert tables.known_columns(df, ["b", "z"]).columns == ["b"]
