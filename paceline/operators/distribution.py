@@ -60,6 +60,19 @@ def _heads(weights: DataFrame, key: Sequence[str], entity: str, size: int, group
     return races.na.fill(0.0, [c for c in tails.columns if c not in key]), rows.drop("h")
 
 
+def _tails(weights: DataFrame, best: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, tail): the weight of all entrants but the ``best``, without a join with the entrants.
+
+    Weights are added up by power of two, and the best are taken out of the sum of their own power. What is left there
+    weighs at least half as much a head as they do, so little is lost to rounding; where a count says that nothing is left, it is zero.
+    """
+    power = F.coalesce(F.floor(F.log2("weight")), F.lit(0)).alias("power")
+    added = weights.groupBy(*key, power).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    taken = best.groupBy(*key, power).agg((-F.count(F.lit(1))).alias("n"), (-F.sum("weight")).alias("w"))
+    left = added.unionByName(taken).groupBy(*key, "power").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    return left.groupBy(*key).agg(F.sum(F.when(F.col("n") > 0, F.col("w")).otherwise(0.0)).alias("tail"))
+
+
 def _rest(*left_out: str) -> str:
     """SQL for the weight of all entrants but the given places (from 0) of the head ``w``."""
     others = " AND ".join(f"k <> {i}" for i in left_out)
@@ -149,15 +162,16 @@ def top_combinations(
     for one of the other heavier entrants; the k + 2 heaviest are all that can appear, so the
     search is exact.
     """
-    weights = fixed(draw_weights(probs, key, groups).select(*key, entity, "weight"))
-    races, _ = _heads(weights, key, entity, k + 2, groups, [])
-    grouped = races.select(*key, F.transform("h", lambda x: F.struct(x["place"].alias("rank"), x["id"].alias("id"), x["weight"].alias("weight"))).alias("m"), "t")
+    weights = fixed(draw_weights(probs, key, groups).select(*key, F.col(entity).alias("id"), "weight"))
+    best = top_rows(weights, key, [F.desc("weight"), F.asc("id")], k + 2, "rank")
+    heads = best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "weight"))).alias("m"))
+    grouped = heads.join(_tails(weights, best, key), list(key))
     trio_ranks = [(a, b, c) for a in range(k + 2) for b in range(a + 1, k + 2) for c in range(b + 1, k + 2)]
     m = F.col("m")
     trios = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in trio_ranks]
     )
-    exploded = grouped.select(*key, "m", F.col("t").alias("tail"), F.explode(F.filter(trios, lambda t: t["c"] < F.size(m))).alias("t"))
+    exploded = grouped.select(*key, "m", "tail", F.explode(F.filter(trios, lambda t: t["c"] < F.size(m))).alias("t"))
     member = [F.get(m, F.col(f"t.{x}")) for x in "abc"]
     others = F.filter(m, lambda x, i: (i != F.col("t.a")) & (i != F.col("t.b")) & (i != F.col("t.c")))
     left = F.aggregate(others, F.col("tail"), lambda total, x: total + x["weight"])
