@@ -6,6 +6,8 @@ answers, so that no task builds a document that grows with the field.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ def _write_lines(documents: DataFrame, path: str, broken: Column | None = None)
     documents.select(line.alias("value")).write.text(path)
 
 
-def _driver(full_name: str = "full_name") -> Column:
+def _driver(given: Column | None = None, family: Column | None = None) -> Column:
     return F.struct(
         _text("driver_id").alias("driverId"),
         F.col("code"),
-        F.col(full_name).alias("givenName"),
-        F.lit("").alias("familyName"),
+        (F.col("full_name") if given is None else given).alias("givenName"),
+        (F.lit("") if family is None else family).alias("familyName"),
         F.col("nationality"),
     )
 
@@ -85,26 +87,31 @@ def write_results(league, path: str, broken: Column | None = None, rows: DataFra
     _race_pages(rows, league.races, item, "Results", path, broken)
 
 
-def write_qualifying(league, path: str) -> None:
+def write_qualifying(league, path: str, spoil: Callable[[Column], Column] = lambda text: text) -> None:
+    """``spoil`` changes the text of every lap time."""
     item = F.struct(
         _text("position").alias("position"),
-        *[rules.lap_text(F.col(f"q{i}_sec")).alias(f"Q{i}") for i in (1, 2, 3)],
+        *[spoil(rules.lap_text(F.col(f"q{i}_sec"))).alias(f"Q{i}") for i in (1, 2, 3)],
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
     rows = _named(league.qualifying, league.drivers, league.constructors)
     _race_pages(rows, league.races, item, "QualifyingResults", path)
 
 
-def write_standings(league, path: str, factor: int = 1, only: Column | None = None, lists=("drivers", "teams")) -> None:
+def write_standings(
+    league, path: str, factor: int = 1, only: Column | None = None, lists=("drivers", "teams"),
+    of: Callable[[Column], Column] = F.array,
+) -> None:
     """Tables after each round: the snapshot of round r is the table after round r - 1.
 
-    ``factor`` multiplies points and ``only`` selects rows, for tables that are sent again with corrections.
+    ``factor`` multiplies points and ``only`` selects rows, for tables that are sent again with corrections; ``of`` makes
+    a driver's list of teams from the driver's team.
     """
     rows = _named(league.standings if only is None else league.standings.filter(only), league.drivers, league.constructors)
     rows = rows.withColumns({c: F.col(c) * factor for c in ("points", "constructor_pts")})
     driver = F.struct(
         _text("points").alias("points"), _text("position").alias("position"),
-        _driver().alias("Driver"), F.array(_team()).alias("Constructors"),
+        _driver().alias("Driver"), of(_team()).alias("Constructors"),
     )
     pages = rows.groupBy("year", "round", _page("driver_id").alias("page")).agg(F.collect_list(driver).alias("items"))
     teams = rows.select("year", "round", "constructor_id", "team_name", "constructor_pts", "constructor_pos").distinct()
@@ -127,12 +134,12 @@ def write_standings(league, path: str, factor: int = 1, only: Column | None = No
         _write_lines(team_pages.select(document("ConstructorStandings")), f"{path}/teams")
 
 
-def write_calendar(league, path: str) -> None:
-    _write_lines(league.races.select(_race()), path)
+def write_calendar(league, path: str, races: DataFrame | None = None) -> None:
+    _write_lines((league.races if races is None else races).select(_race()), path)
 
 
-def write_drivers(league, path: str) -> None:
-    pages = league.drivers.groupBy(_page("driver_id")).agg(F.collect_list(_driver()).alias("Drivers"))
+def write_drivers(league, path: str, given: Column | None = None, family: Column | None = None) -> None:
+    pages = league.drivers.groupBy(_page("driver_id")).agg(F.collect_list(_driver(given, family)).alias("Drivers"))
     _write_lines(pages.select(F.struct(F.struct("Drivers").alias("DriverTable")).alias("MRData")), path)
 
 

@@ -132,6 +132,84 @@ def landed_constructor_list(spark, sf_dir):
     return landing.constructor_list(landing.read_documents(spark, path, schemas.TEAMS_DOC))
 
 
+# Circuit ids as the feed spells them, by round; the last two have no other spelling
+SPELLED = ["villeneuve", "catalunya", "red_bull_ring", "marina_bay", "americas", "rodriguez", "losail", "monza", "c9"]
+
+
+@check(
+    L + """SELECT race_id, ro, year, round,
+      CASE round % 9 WHEN 0 THEN 'montreal' WHEN 1 THEN 'barcelona' WHEN 2 THEN 'spielberg' WHEN 3 THEN 'singapore'
+        WHEN 4 THEN 'cota' WHEN 5 THEN 'mexico_city' WHEN 6 THEN 'lusail' WHEN 7 THEN 'monza' ELSE 'c9' END AS circuit_id,
+      circuit_name, country, race_date::VARCHAR AS race_date, NULL AS total_laps FROM races"""
+)
+def landed_spelled_circuits(spark, sf_dir):
+    """Races whose documents name circuits as the feed does."""
+    league = League(spark, sf_dir)
+    spelled = F.element_at(F.array(*map(F.lit, SPELLED)), (F.col("round") % len(SPELLED) + 1).cast("int"))
+    races = league.races.withColumn("circuit_id", spelled)
+    path = written(league, "spelled-calendar", lambda p: documents.write_calendar(league, p, races))
+    rows = landing.races(landing.read_documents(spark, path, schemas.CALENDAR_DOC))
+    return rows.withColumn("race_date", F.col("race_date").cast("string"))
+
+
+@check(
+    L + """SELECT driver_id::VARCHAR AS driver_id, code, CASE driver_id % 5 WHEN 1 THEN split_part(full_name, '#', 2)
+      WHEN 2 THEN split_part(full_name, '#', 1) WHEN 3 THEN '' ELSE replace(full_name, '#', ' ') END AS full_name, nationality
+    FROM drivers"""
+)
+def landed_full_names(spark, sf_dir):
+    """Names in two parts, of which one, the other or both may be missing, or padded."""
+    league = League(spark, sf_dir)
+    part, kind = F.split("full_name", "#"), F.col("driver_id") % 5
+    given = F.when(kind == 4, F.concat(F.lit("  "), part[0])).when(~kind.isin(1, 3), part[0])
+    family = F.when(kind == 4, F.concat(part[1], F.lit(" "))).when(~kind.isin(2, 3), part[1])
+    path = written(league, "two-part-names", lambda p: documents.write_drivers(league, p, given, family))
+    return landing.driver_list(landing.read_documents(spark, path, schemas.DRIVERS_DOC))
+
+
+@check(
+    L + """, spoiled AS (SELECT race_id, driver_id::VARCHAR AS driver_id, ro, unnest([1, 2, 3]) AS i,
+        unnest([q1_sec, q2_sec, q3_sec]) AS sec, (ro + driver_id) % 6 AS kind FROM qualifying),
+      landed AS (SELECT race_id, ro, driver_id, i, CASE WHEN kind IN (0, 1) THEN sec WHEN kind = 2 THEN floor(sec % 60) + 60 END AS sec FROM spoiled)
+    SELECT race_id, ro, driver_id, round(max(sec) FILTER (i = 1), 3) AS q1_sec, round(max(sec) FILTER (i = 2), 3) AS q2_sec,
+      round(max(sec) FILTER (i = 3), 3) AS q3_sec FROM landed GROUP BY ALL"""
+)
+def landed_spoiled_laps(spark, sf_dir):
+    """Lap times as the feed may send them: followed by a note, cut to tenths, without minutes, as words or empty."""
+    league = League(spark, sf_dir)
+    kind = (F.col("ro") + F.col("driver_id")) % 6
+
+    def spoil(text):
+        tenths = F.concat(F.lit("1:"), F.substring(F.split(text, ":")[1], 1, 2), F.lit(".0"))
+        cases = {1: F.concat(text, F.lit(" (deleted)")), 2: tenths, 3: F.split(text, ":")[1], 4: F.lit("DNF"), 5: F.lit("")}
+        out = F.when(kind == 0, text)
+        for number, value in cases.items():
+            out = out.when((kind == number) & text.isNotNull(), value)
+        return out
+
+    path = written(league, "spoiled-laps", lambda p: documents.write_qualifying(league, p, spoil))
+    rows = landing.qualifying(landing.read_documents(spark, path, schemas.QUALIFYING_DOC))
+    return rows.select("race_id", "ro", "driver_id", *[F.round(f"q{i}_sec", 3).alias(f"q{i}_sec") for i in (1, 2, 3)])
+
+
+@check(
+    LS + """SELECT race_id, year, round, driver_id::VARCHAR AS driver_id, points, position,
+      CASE WHEN driver_id % 3 < 2 THEN constructor_id::VARCHAR ELSE '' END AS constructor_id,
+      CASE WHEN driver_id % 3 < 2 THEN constructor_pts END AS constructor_pts,
+      CASE WHEN driver_id % 3 < 2 THEN constructor_pos END AS constructor_pos FROM standings"""
+)
+def landed_several_teams(spark, sf_dir):
+    """Standings of drivers with one team, with a second one behind it, and with none."""
+    league = League(spark, sf_dir)
+
+    def of(team):
+        kind, other = F.col("driver_id") % 3, team.withField("constructorId", F.lit("another"))
+        return F.when(kind == 0, F.array(team)).when(kind == 1, F.array(team, other)).otherwise(F.slice(F.array(team), 1, 0))
+
+    path = written(league, "standings-several", lambda p: documents.write_standings(league, p, of=of))
+    return landing.standings(landing.read_documents(spark, path + "/*", schemas.STANDINGS_DOC))
+
+
 FORECAST = """
 forecast AS (
   SELECT r.race_id, r.circuit_id, CASE WHEN c.type IS NOT NULL THEN 10.0 + round END::DOUBLE AS temperature,

@@ -40,6 +40,43 @@ def test_latest_state(feeds, stream):
     assert rows(got, *columns) == rows(jobs.latest_state(feeds.timing), *columns)
 
 
+def test_folders_of_batches_are_folded(spark, feeds, stream):
+    columns = [*CAR, "lap_number", "position", "gap_to_leader", "seen"]
+    want = rows(jobs.latest_state(feeds.timing), *columns)
+    got = sinks.keyed_stream(jobs.latest_state(stream()), "folded", CAR, folders=2)
+    assert rows(got, *columns) == want
+    # five batches: four of them twice folded, one left
+    folders = {f.rsplit("/", 1)[0].split("/level=")[1] for f in got.inputFiles()}
+    assert folders == {"2/batch=0", "0/batch=4"}
+
+
+def test_folding_again_after_a_failure(spark, monkeypatch):
+    """A batch that stops between two folders that it removes is run again, with the same result."""
+    batches = [spark.createDataFrame([(i % 3, i)], "k long, v long") for i in range(8)]
+    calls, removed = [], []
+
+    def drive(stream, name, mode, handle):
+        for number, batch in enumerate(batches):
+            while True:
+                try:
+                    handle(batch, number)
+                    break
+                except OSError:
+                    calls.append(number)
+
+    def stops(session, path):
+        removed.append(path)
+        if len(removed) in (3, 6, 8, 14):
+            raise OSError
+        keep(session, path)
+
+    keep = sinks.discard
+    monkeypatch.setattr(sinks, "batch_stream", drive)
+    monkeypatch.setattr(sinks, "discard", stops)
+    got = sinks.keyed_stream(batches[0], "again", ["k"], folders=2)
+    assert rows(got, "k", "v") == [(0, 6), (1, 7), (2, 5)] and len(calls) == 4
+
+
 def test_lap_stats(feeds, stream):
     got = sinks.keyed_stream(jobs.lap_stats(stream()), "stats", CAR)
     points = lv.latest_checkpoint(feeds.sessions)
