@@ -7,6 +7,7 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,42 @@ def test_shuffle(spark, hard):
     assert order != sorted(order, key=lambda x: (x is None, x))
 
 
+def test_shuffle_of_equal_rows(spark, tmp_path):
+    """Rows without a key and with one text fill more than a bucket; others stay where they were."""
+    rows = [(None, "same text")] * 5000 + [(i, f"text {i}") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    shuffled = sharding.external_shuffle(docs, shards=4, bucket_bytes=1 << 14)
+    found = shuffled.collect()
+    assert Counter((r.record.doc_id, r.record.text) for r in found) == Counter(rows)
+    assert sorted((r.shard, r.slot) for r in found) == [(s, i) for s in range(4) for i in range(1375)]
+    again = sharding.external_shuffle(docs, shards=4, bucket_bytes=1 << 14).collect()
+    assert {(r.record.doc_id, r.shard, r.slot) for r in again} == {(r.record.doc_id, r.shard, r.slot) for r in found}
+    # 25 buckets of about 220 rows each: other rows lie between the equal ones everywhere
+    order = [r.record.doc_id for r in sorted(found, key=lambda r: (r.slot, r.shard))]
+    between = [i for i, key in enumerate(order) if key is not None]
+    assert max(b - a for a, b in zip(between, between[1:])) < 500
+
+
+def test_shuffle_against_two_plain_passes(spark, hard):
+    """The same places from a dictionary of buckets and a swap at a time."""
+    docs, shards, limit = documents(spark, hard), 4, 1 << 10
+    marks = docs.select("doc_id", "text", F.xxhash64(F.lit(20261), "doc_id", F.crc32(F.coalesce("text", F.lit("")))).alias("mark"),
+                        F.xxhash64(F.lit(20261), *docs.columns).alias("tie")).collect()
+    n = 1 + sum(len((r.text or "").encode()) + 64 for r in marks) // limit
+    buckets = {}
+    for r in marks:
+        buckets.setdefault(((r.mark % 2**64) >> 8) % n, []).append(r)
+    want, place = [], 0
+    for number in sorted(buckets):
+        rows = sorted(buckets[number], key=lambda r: (r.mark, r.tie))
+        for i in np.random.Generator(np.random.PCG64([20261, number])).permutation(len(rows)):
+            want.append((rows[i].doc_id, rows[i].text, place % shards, place // shards))
+            place += 1
+    found = sharding.external_shuffle(docs, shards=shards, bucket_bytes=limit).collect()
+    assert Counter((r.record.doc_id, r.record.text, r.shard, r.slot) for r in found) == Counter(want)
+
+
 def test_write_shards(spark, hard, tmp_path):
     sharding.write_shards(sharding.external_shuffle(documents(spark, hard), shards=4), f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
