@@ -38,6 +38,8 @@ COMMON = LENGTH - WINDOW + 1
 # Phrases sorted together; larger buckets are split into their strings
 TOGETHER = 20_000
 SPLIT = 5_000
+# Numbers shared by unlike texts up to which they are sent to all tasks
+SENT = 200_000
 PHRASE = "bucket long, phrase long, tid long, low int, at int, high int"
 
 
@@ -233,25 +235,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["tid", "spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", split: int = SPLIT) -> DataFrame:
+def _identified(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with a number ``tid`` of the text, its rows without text, and (tid, at, copies) of the texts.
+
+    The number is a hash of ``bits`` bits. Texts that share it are told apart by SHA-256 and numbered anew.
+    """
+    whole = F.sha2("text", 256)
+    docs = docs.withColumn("tid", F.shiftrightunsigned(F.xxhash64("text", F.octet_length("text")), 64 - bits))
+    rows = landed(docs.select("at", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "tid", whole.alias("whole_sha256")), "repeats-rows")
+    texts, unlike = _texts(rows)
+    n = unlike.count()
+    if n:
+        unlike = unlike.withColumn("unlike", F.lit(True))
+        unlike = F.broadcast(unlike) if n <= SENT else unlike
+
+        def anew(df, digest):
+            tid = F.when(F.col("unlike"), F.xxhash64(F.lit("unlike"), digest)).otherwise(F.col("tid"))
+            return df.join(unlike, "tid", "left").withColumn("tid", tid).drop("unlike")
+
+        docs, rows = anew(docs, whole), landed(anew(rows, F.col("whole_sha256")), "repeats-rows")
+        texts, unlike = _texts(rows)
+        if unlike.count():
+            raise RuntimeError("unlike texts share a number twice")
+    return docs, rows, texts
+
+
+def _texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts by number, numbers that unlike texts share)."""
+    digests = [F.min("whole_sha256").alias("one"), F.max("whole_sha256").alias("two")]
+    texts = landed(rows.groupBy("tid").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), *digests), "repeats-numbers")
+    return texts.drop("one", "two"), texts.where("one <> two").select("tid")
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", split: int = SPLIT, id_bits: int = 64) -> DataFrame:
     """(at, doc_id, n_bytes, spans, kept, whole_sha256) of every row of ``docs``.
 
     ``spans`` holds begin and end of the byte runs to remove, flat and in order: every byte covered by a 400-byte string
     that also starts anywhere else in the corpus, overlaps and the same row included. ``kept`` holds the remaining bytes
     where something was removed, else it is null and the whole text stays. Texts are bytes in UTF-8, so a cut may split
     a character. Null and empty texts and texts under 400 bytes lose nothing; repeated rows and copies of 400 bytes or
-    more are removed whole; an empty table gives no rows; only the two named columns are read. Texts, buckets, phrases that
-    occur as a whole and the strings of a bucket of more than ``split`` phrases are known by 64-bit fingerprints; all else
-    is compared byte by byte.
+    more are removed whole; an empty table gives no rows; only the two named columns are read. Texts are told apart by
+    SHA-256 wherever their numbers of ``id_bits`` bits agree. Phrases that occur as a whole and the strings of a bucket of
+    more than ``split`` phrases are known by two 64-bit fingerprints, that of the bucket and their own; all else is
+    compared byte by byte.
     """
     docs = locatable(docs, "repeats-input")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = docs.select(content.alias("text"), locator(docs).alias("at"), F.col(f"`{key}`").alias("doc_id"))
-    tid = F.xxhash64("text", F.octet_length("text")).alias("tid")
-    rows = landed(docs.select("at", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), tid, F.sha2("text", 256).alias("whole_sha256")), "repeats-rows")
-    texts = rows.groupBy("tid").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
+    docs, rows, texts = _identified(docs, id_bits)
 
-    parsed = docs.select("text", tid).mapInArrow(_parse, PHRASE)
+    parsed = docs.select("text", "tid").mapInArrow(_parse, PHRASE)
     occurrence = F.xxhash64("tid", "at")
     buckets = parsed.groupBy("bucket").agg(F.min(occurrence).alias("one"), F.max(occurrence).alias("two")).where("one <> two").select("bucket")
     found = landed(parsed.join(landed(buckets, "repeats-buckets"), "bucket").distinct(), "repeats-phrases")
@@ -270,7 +303,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spl
 
     # one copy of every text that shares a bucket
     active = found.select("tid").distinct().join(texts, "tid").join(listed, "tid", "left").withColumnRenamed("at", "place")
-    active = landed(docs.join(active, docs["at"] == active["place"]).select("text", "tid", "phrases"), "repeats-texts")
+    places = docs.select("text", "at")
+    active = landed(places.join(active, F.col("at") == F.col("place")).select("text", "tid", "phrases"), "repeats-texts")
     contexts = active.where("phrases IS NOT NULL").mapInArrow(
         _contexts, "bucket long, tid long, at int, single boolean, left binary, right binary, least int, most int"
     )

@@ -122,11 +122,12 @@ def brute_repeats(texts, size=400):
     return out
 
 
-@pytest.mark.parametrize("split", [repeated_text.SPLIT, 0])
-def test_repeated_text(spark, hard, split):
+@pytest.mark.parametrize("split, id_bits", [(repeated_text.SPLIT, 64), (0, 64), (repeated_text.SPLIT, 2)])
+def test_repeated_text(spark, hard, split, id_bits):
+    """With numbers of two bits nearly all texts share theirs with unlike ones."""
     rows = hard_rows()
     want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([r[1] for r in rows]), strict=True))
-    found = repeated_text.repeated_spans(documents(spark, hard), split=split).collect()
+    found = repeated_text.repeated_spans(documents(spark, hard), split=split, id_bits=id_bits).collect()
     got = Counter(
         (r.doc_id, r.n_bytes, sum(r.spans[1::2]) - sum(r.spans[::2]), len(r.spans) // 2, sha(bytes(r.kept)) if r.kept is not None else r.whole_sha256) for r in found
     )
