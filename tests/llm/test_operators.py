@@ -35,6 +35,10 @@ def test_empty_tables(spark, bare, name):
     assert llm.queries()[name](spark, bare).collect() == []
 
 
+def test_empty_pipeline(spark, bare):
+    assert corpus_pipeline.run(spark, bare).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, small, name):
     ok, message = compare(spark, connect(small), small, name, llm.queries()[name], llm.oracle_sql()[name])
