@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions import rules
+from paceline.operators.ordering import sized
 
 PAGE = 100
 
@@ -71,9 +72,11 @@ def _race_pages(rows: DataFrame, races: DataFrame, item: Column, name: str, path
     _write_lines(documents, path, broken)
 
 
-def _named(rows: DataFrame, drivers: DataFrame, teams: DataFrame) -> DataFrame:
-    names = drivers.select("driver_id", "code", "full_name", "nationality")
-    return rows.join(names, "driver_id").join(teams.select("constructor_id", F.col("name").alias("team_name")), "constructor_id")
+def _named(rows: DataFrame, league) -> DataFrame:
+    """Rows with the names of driver and team; the names are sent to tasks or merged, never the rows."""
+    names = league.drivers.select("driver_id", "code", "full_name", "nationality")
+    teams = league.constructors.select("constructor_id", F.col("name").alias("team_name"))
+    return rows.join(sized(names, league.field_bound), "driver_id").join(sized(teams, league.team_count), "constructor_id")
 
 
 def write_results(league, path: str, broken: Column | None = None, rows: DataFrame | None = None) -> None:
@@ -83,7 +86,7 @@ def write_results(league, path: str, broken: Column | None = None, rows: DataFra
         F.struct(_text("grid").alias("rank")).alias("FastestLap"),
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
-    rows = _named(league.results if rows is None else rows, league.drivers, league.constructors)
+    rows = _named(league.results if rows is None else rows, league)
     _race_pages(rows, league.races, item, "Results", path, broken)
 
 
@@ -94,7 +97,7 @@ def write_qualifying(league, path: str, spoil: Callable[[Column], Column] = lamb
         *[spoil(rules.lap_text(F.col(f"q{i}_sec"))).alias(f"Q{i}") for i in (1, 2, 3)],
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
-    rows = _named(league.qualifying, league.drivers, league.constructors)
+    rows = _named(league.qualifying, league)
     _race_pages(rows, league.races, item, "QualifyingResults", path)
 
 
@@ -107,7 +110,7 @@ def write_standings(
     ``factor`` multiplies points and ``only`` selects rows, for tables that are sent again with corrections; ``of`` makes
     a driver's list of teams from the driver's team.
     """
-    rows = _named(league.standings if only is None else league.standings.filter(only), league.drivers, league.constructors)
+    rows = _named(league.standings if only is None else league.standings.filter(only), league)
     rows = rows.withColumns({c: F.col(c) * factor for c in ("points", "constructor_pts")})
     driver = F.struct(
         _text("points").alias("points"), _text("position").alias("position"),
