@@ -273,7 +273,8 @@ def corrected_standings(documents: DataFrame, stored: DataFrame) -> DataFrame:
     rounds = drivers.select("year", "round").union(teams.select("year", "round")).distinct()
     old = stored.withColumn("round", F.col("ro") % 100).join(rounds, ["year", "round"], "left_semi")
     fields = [c for c in drivers.columns if c not in ("year", "round", "driver_id")]
-    kept = old.select("year", "round", "driver_id", *fields).join(drivers, ["year", "round", "driver_id"], "left_anti")
+    # as many rows as stored ones: merged, whatever the size of their files
+    kept = old.select("year", "round", "driver_id", *fields).join(drivers.hint("merge"), ["year", "round", "driver_id"], "left_anti")
     known = old.filter("constructor_pts IS NOT NULL OR constructor_pos IS NOT NULL").select(*teams.columns).distinct()
     known = known.join(teams, ["year", "round", "constructor_id"], "left_anti")
     return with_teams(drivers.unionByName(kept), teams.unionByName(known))

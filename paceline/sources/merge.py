@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -68,7 +69,7 @@ def upsert(
     ``partition`` must be a part of the key or a function of it, so that no older version sits elsewhere.
     Repeating an upsert changes nothing, so a retried job or micro-batch is safe. Stored rows stay in the tasks that
     read them: those with a new version are left out by a join with the new keys, which are sent to every task if they
-    are few, and only new rows are shuffled. ``unique`` says that no key comes twice in ``new``.
+    are few and else merged, and only then are stored rows shuffled. ``unique`` says that no key comes twice in ``new``.
     """
 
     def combine(old: DataFrame, rows: DataFrame, n: int | None) -> DataFrame:
@@ -77,7 +78,7 @@ def upsert(
         rows = rows.select(*kept)
         keys = rows.select(*[F.col(k).alias(f"_{k}") for k in key])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
-        return old.join(sized(keys, n), same, "left_anti").unionByName(rows.hint("rebalance", partition))
+        return old.join(sized(keys, math.inf if n is None else n), same, "left_anti").unionByName(rows.hint("rebalance", partition))
 
     _replace(spark, path, new, partition, combine, order)
 
