@@ -66,8 +66,10 @@ def _race(items: Column | None = None, name: str | None = None) -> Column:
 RACE_FIELDS = ["ro", "year", "round", "race_date", "circuit_id", "circuit_name", "country"]
 
 
-def _race_pages(rows: DataFrame, races: DataFrame, item: Column, name: str, path: str, broken: Column | None = None):
-    pages = rows.groupBy("ro", _page("driver_id").alias("page")).agg(F.collect_list(item).alias("items"))
+def _race_pages(rows: DataFrame, races: DataFrame, item: Column, name: str, place: str, path: str, broken: Column | None = None):
+    """Items stand by driver; of a driver with several rows the one of the first place stands last, however rows were joined."""
+    ordered = F.sort_array(F.collect_list(F.struct("driver_id", (-F.col(place)).alias("place"), item.alias("item"))))
+    pages = rows.groupBy("ro", _page("driver_id").alias("page")).agg(ordered["item"].alias("items"))
     documents = pages.join(races.select(*RACE_FIELDS), "ro").select("ro", _race(F.col("items"), name))
     _write_lines(documents, path, broken)
 
@@ -87,7 +89,7 @@ def write_results(league, path: str, broken: Column | None = None, rows: DataFra
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
     rows = _named(league.results if rows is None else rows, league)
-    _race_pages(rows, league.races, item, "Results", path, broken)
+    _race_pages(rows, league.races, item, "Results", "grid", path, broken)
 
 
 def write_qualifying(league, path: str, spoil: Callable[[Column], Column] = lambda text: text) -> None:
@@ -98,7 +100,7 @@ def write_qualifying(league, path: str, spoil: Callable[[Column], Column] = lamb
         _driver().alias("Driver"), _team().alias("Constructor"),
     )
     rows = _named(league.qualifying, league)
-    _race_pages(rows, league.races, item, "QualifyingResults", path)
+    _race_pages(rows, league.races, item, "QualifyingResults", "position", path)
 
 
 def write_standings(

@@ -80,3 +80,14 @@ def test_corrections_merge_driver_rows(spark, tmp_path):
     assert anti and all("SortMergeJoin" in line for line in anti)
     found = {r.driver_id: (r.points, r.constructor_pts) for r in rows.collect()}
     assert found == {"a": (7.0, 9.0), "b": (1.0, 9.0)}
+
+
+def test_order_of_a_page_does_not_depend_on_the_join(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(200001, 7, 2), (200001, 7, 1), (200001, 3, 3)], "ro long, driver_id long, grid long")
+    race = (200001, 2000, 1, "2000-01-01", "c1", "Circuit 1", "Country 1")
+    races = spark.createDataFrame([race], documents.RACE_FIELDS)
+    read = []
+    for n, some in enumerate((rows, rows.orderBy("grid"), rows.orderBy(F.desc("grid")))):
+        documents._race_pages(some.coalesce(1), races, F.struct("driver_id", "grid"), "Results", "grid", f"{tmp_path}/{n}")
+        read.append(spark.read.json(f"{tmp_path}/{n}").selectExpr("MRData.RaceTable.Races[0].Results r").first().r)
+    assert read[0] == read[1] == read[2] == [(3, 3), (7, 2), (7, 1)]
