@@ -103,3 +103,18 @@ def test_study_of_the_matrix(spark, small):
         assert all(len(r.fold_scores) == (2 if r.rung else 1) for r in rows)
         best = search.best_params(found)
         assert 2 <= best.trees <= 4 and best.depth <= 3
+
+
+def test_fits_of_a_fold_share_medians_and_class_weight(spark, small, monkeypatch):
+    matrix = league_matrix(League(spark, small)).filter("year < 1996 AND finish_position IS NOT NULL")
+    calls, exact = [], tr.splits.exact_medians
+    monkeypatch.setattr(tr.splits, "exact_medians", lambda *given: calls.append(given) or exact(*given))
+    rows = tr.splits.time_folds(matrix, 2).persist()
+    for head in ("classifier", "regressor"):
+        judge, tried = search.matrix_judge(rows, head), [tr.Params(2, 2), tr.Params(2, 3)]
+        calls.clear()
+        shared = [judge(p, fold) for p in tried for fold in (1, 2)]
+        assert len(calls) == 2
+        alone = [search.matrix_judge(rows, head)(p, fold) for p in tried for fold in (1, 2)]
+        assert len(calls) == 6 and shared == alone
+    rows.unpersist()
