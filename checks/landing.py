@@ -272,6 +272,8 @@ def session_number(session):
 KEY = "strftime(session, '%Y%m%d')::BIGINT"
 
 
+# A compressed file is read by one task
+FILE_LINES = 1_000_000
 LIVE_TIMES = {"laps": "date_start", "intervals": "date", "position": "date", "race_control": "date"}
 
 
@@ -310,9 +312,10 @@ def live_frame(feeds, feed):
 
 
 def write_live(feeds, feed, rows, path):
-    """JSON lines of one feed; every session has an unreadable one."""
+    """JSON lines of one feed, compressed and in files that one task can read; every session has an unreadable one."""
     broken = feeds.sessions.select(F.concat(F.lit('{"session_key": '), "session", F.lit(", broken")).alias("value"))
-    rows.select(F.to_json(F.struct("*")).alias("value")).union(broken).write.mode("append").text(path)
+    lines = rows.select(F.to_json(F.struct("*")).alias("value")).union(broken)
+    lines.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 def live_path(feeds, feed):

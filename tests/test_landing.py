@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import landing as documents_of
 from paceline.plans.store import Store
 from paceline.sources import landing, merge, schemas, tables
+from paceline.sources.feeds import Feeds
 
 
 def write(path, *documents):
@@ -302,3 +304,22 @@ def test_failed_load_is_run_again(spark, tmp_path, monkeypatch):
     store = Store(spark, root)
     assert [(r.year, r.ingested, r.failed) for r in store.follow(results=f"{folder}/*").collect()] == [(2024, 1, 0)]
     assert store.table("results").first().points == 10.0 and store.table("drivers").count() == 1
+
+
+def test_landed_feeds_take_little_room(spark, small, tmp_path, monkeypatch):
+    """Lines of a feed are landed compressed, a bounded number to a file, and read back as they were."""
+    monkeypatch.setattr(documents_of, "FILE_LINES", 50, raising=False)
+    feeds, path = Feeds(spark, small), str(tmp_path / "feed")
+    rows = documents_of.live_frame(feeds, "position")
+    documents_of.write_live(feeds, "position", rows, path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    files = list((tmp_path / "feed").glob("part-*"))
+    assert len(lines) == rows.count() + feeds.session_count
+    assert all(spark.read.text(str(f)).count() <= 50 for f in files[:5]) and len(files) >= len(lines) / 50
+    whole = str(tmp_path / "whole")
+    monkeypatch.setattr(documents_of, "FILE_LINES", 1_000_000, raising=False)
+    documents_of.write_live(feeds, "position", rows.coalesce(1), whole)
+    assert 3 * sum(f.stat().st_size for f in (tmp_path / "whole").glob("part-*")) < sum(map(len, lines))
+    names = ["session_key", "driver_number", "position"]
+    got = sorted(map(tuple, landing.live_feed(spark, path, "position").select(*names).collect()))
+    assert got == sorted(map(tuple, rows.select(*names).collect()))
