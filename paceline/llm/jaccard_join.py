@@ -121,8 +121,11 @@ def _rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Size classes of word and shingle buckets: two arrays of fixed length."""
     out = (np.zeros(WORD_BUCKETS, np.uint8), np.zeros(GRAM_BUCKETS, np.uint8))
     counted = docs.select("text").mapInArrow(partial(_count, shingle=shingle), "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    for kind, bucket, n in counted.toLocalIterator():
-        out[kind][bucket] = int(math.log2(n + 1))
+    # one job for all parts; a row per bucket at most
+    found = counted.toArrow()
+    kinds, buckets, n = (found[c].to_numpy() for c in ("kind", "bucket", "n"))
+    for kind, classes in enumerate(out):
+        classes[buckets[kinds == kind]] = np.log2(n[kinds == kind] + 1).astype(np.uint8)
     return out
 
 

@@ -105,14 +105,18 @@ def _probabilities(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(seen, found, np.where(full, 1e-12, escape * shorter / np.where(full, 1, left)))
 
 
-def build_trees(rows: list[tuple[str, int, int]]) -> Trees:
+def build_trees(rows: list[tuple[str, int, int]] | pa.Table) -> Trees:
     """Trees from (language, packed context and byte, count)."""
-    trees = Trees(sorted({r[0] for r in rows}))
-    if not rows:
+    if not isinstance(rows, pa.Table):
+        rows = pa.table(dict(zip(("lang", "gram", "n"), zip(*rows, strict=True), strict=True))) if rows else pa.table({"lang": []})
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    found = names.dictionary.to_pylist()
+    trees = Trees(sorted(found))
+    if not found:
         return trees
-    gram = np.array([r[1] for r in rows], np.int64)
-    n = np.array([r[2] for r in rows], np.float64)
-    language = np.searchsorted(trees.languages, [r[0] for r in rows])
+    gram = rows["gram"].to_numpy().astype(np.int64)
+    n = rows["n"].to_numpy().astype(np.float64)
+    language = np.array([trees.languages.index(x) for x in found])[names.indices.to_numpy()]
     known = np.unique(np.concatenate([gram >> s & 255 for s in (24, 16, 8, 0)] + [[0]]))
     # symbol 0 is the padding, the last one any byte that training never saw
     trees.symbol = np.full(256, len(known), np.int32)
@@ -159,7 +163,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     limit = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("trees"), "key"), F.lit(span)) < limit)
     counted = chosen.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long")
-    return build_trees([tuple(r) for r in counted.groupBy("lang", "gram").agg(F.sum("n")).collect()])
+    # some hundred thousand counts, which weigh a multiple as rows
+    return build_trees(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
 
 
 def _scorer(frozen):

@@ -2,12 +2,14 @@
 
 import hashlib
 import inspect
+import math
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +309,23 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
 
 
+def test_counts_reach_the_driver_as_columns(spark, hard, monkeypatch):
+    """The driver holds neither a row object per count of the trees nor a job per part of the counts of the join."""
+    frames, collected = type(spark.range(1)), []
+    langs = len({r[2] for r in hard_rows()})
+    monkeypatch.setattr(frames, "collect", lambda self, f=frames.collect: collected.append(f(self)) or collected[-1])
+    monkeypatch.setattr(frames, "toLocalIterator", lambda self, *given: pytest.fail("a job per part"))
+    trees = language.train(documents(spark, hard))
+    assert trees.languages and max(map(len, collected)) <= langs
+    order = jaccard_join._rarity(documents(spark, hard), 3)
+    batch = pa.record_batch({"text": [r[1] for r in documents(spark, hard).select("doc_id", "text").collect()]})
+    want = [np.zeros_like(x) for x in order]
+    for kind, found in enumerate(jaccard_join._count(iter([batch]), 3)):
+        for bucket, n in zip(found["bucket"].to_pylist(), found["n"].to_pylist()):
+            want[kind][bucket] = int(math.log2(n + 1))
+    assert (order[0] == want[0]).all() and order[0].any()
+
+
 def test_code_lengths_are_exact():
     """The probabilities of all bytes after any context add up to one, so code lengths are those of a real code."""
     import numpy as np
