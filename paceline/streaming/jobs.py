@@ -60,50 +60,104 @@ def newest_laps():
 
 
 LAP_STATS = "session date, driver_number long, laps long, best_lap double, last5_mean double, trend double"
-LAP_STATE = "laps long, best double, numbers array<long>, times array<double>"
+LAP_STATE = "cars array<long>, laps array<long>, best array<double>, owners array<long>, numbers array<long>, times array<double>"
+RECENT = 5
+# Cars of a session share this many states, so that calls and state rows do not grow with the cars
+BLOCKS = 4096
+
+
+def blocked(laps: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Laps with the block of their car; a session's cars are dealt to blocks by hash."""
+    return laps.withColumn("block", F.pmod(F.xxhash64("driver_number"), F.lit(blocks)))
+
+
+def block_fold():
+    """Fold and report of a block of cars as arrays; made here so that they travel to workers by value.
+
+    ``cars``, ``laps`` and ``best`` have an entry per car; ``owners``, ``numbers`` and ``times`` one per recent lap, by car
+    and lap number. Missing times are NaN.
+    """
+
+    def fold(state: tuple, chunk: pd.DataFrame) -> tuple:
+        """Fold new laps into the last five and the best of each car; rows may come in any order, later ones win."""
+        cars, laps, best, owners, numbers, times = state
+        car, found = chunk["driver_number"].to_numpy(dtype=np.int64), chunk["best"].to_numpy(dtype=float)
+        known, at = np.unique(np.concatenate([cars, car]), return_inverse=True)
+        count, least = np.zeros(len(known), np.int64), np.full(len(known), np.nan)
+        np.add.at(count, at, np.concatenate([laps, chunk["seen"].to_numpy(dtype=np.int64)]))
+        np.fmin.at(least, at, np.concatenate([best, found]))
+        owners = np.concatenate([owners, car])
+        numbers = np.concatenate([numbers, chunk["lap_number"].to_numpy(dtype=np.int64)])
+        times = np.concatenate([times, chunk["lap_duration"].to_numpy(dtype=float)])
+        order = np.lexsort((numbers, owners))
+        owners, numbers, times = owners[order], numbers[order], times[order]
+        last = np.ones(len(owners), bool)
+        last[:-1] = (owners[1:] != owners[:-1]) | (numbers[1:] != numbers[:-1])
+        owners, numbers, times = owners[last], numbers[last], times[last]
+        newest = np.searchsorted(owners, owners, side="right") - np.arange(len(owners)) <= RECENT
+        return known, count, least, owners[newest], numbers[newest], times[newest]
+
+    def report(session, state: tuple, touched: np.ndarray) -> pd.DataFrame:
+        """A row of statistics for each touched car."""
+        cars, laps, best, owners, _, times = state
+        timed = ~np.isnan(times)
+        owners, times = owners[timed], times[timed]
+        place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+        at = np.searchsorted(cars, owners)
+        n = np.bincount(at, minlength=len(cars))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.bincount(at, times, len(cars)) / n
+            off = place - (n[at] - 1) / 2
+            slope = np.bincount(at, off * times, len(cars)) / np.bincount(at, off**2, len(cars))
+        rows = pd.DataFrame(
+            {"session": session, "driver_number": cars, "laps": laps, "best_lap": best, "last5_mean": mean, "trend": np.where(n >= 3, slope, 0.0)}
+        )
+        return rows[np.isin(cars, touched)]
+
+    return fold, report
+
+
+def no_laps() -> tuple:
+    whole, real = np.zeros(0, np.int64), np.zeros(0)
+    return whole, whole, real, whole, whole, real
 
 
 def lap_fold(ends: bool = False):
     """State step of ``lap_stats``; made here so that it travels to workers by value."""
+    fold_block, report = block_fold()
+    types = [np.int64, np.int64, float, np.int64, np.int64, float]
+    nothing = no_laps()
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Fold new laps into the last five and the best; rows may come in any order."""
+        """Fold new laps of a block of cars into its state; a row comes out for each car that had any."""
         if state.hasTimedOut:
             state.remove()
             return
-        laps, best, numbers, times = state.get if state.exists else (0, None, [], [])
-        recent = dict(zip(numbers, times))
+        block, touched = nothing, []
+        if state.exists:
+            block = tuple(np.array(v, t) for v, t in zip(state.get, types))
         for chunk in chunks:
-            number, time = chunk["lap_number"].to_numpy(), chunk["lap_duration"].to_numpy(dtype=float)
-            laps += int(chunk["seen"].sum())
-            known = chunk["best"].dropna().to_numpy(dtype=float)
-            if len(known):
-                best = float(known.min()) if best is None else min(best, float(known.min()))
-            newest = np.argsort(number)[-5:]
-            recent.update({int(number[i]): None if np.isnan(time[i]) else float(time[i]) for i in newest})
-            recent = dict(sorted(recent.items())[-5:])
-        state.update((laps, best, list(recent), list(recent.values())))
+            block = fold_block(block, chunk)
+            touched.append(np.unique(chunk["driver_number"].to_numpy(dtype=np.int64)))
+        state.update(tuple(v.tolist() for v in block))
         if ends:
             # the day of the session, after which the watermark closes it
             state.setTimeoutTimestamp(int(pd.Timestamp(key[0]).timestamp() * 1000) + 1)
-        timed = [t for t in recent.values() if t is not None]
-        mean = sum(timed) / len(timed) if timed else None
-        trend = 0.0
-        if len(timed) >= 3:
-            centre = (len(timed) - 1) / 2
-            trend = sum((i - centre) * t for i, t in enumerate(timed)) / sum((i - centre) ** 2 for i in range(len(timed)))
-        out = {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean]}
-        yield pd.DataFrame(out | {"trend": [trend]}).astype({"best_lap": "float64", "last5_mean": "float64"})
+        yield report(key[0], block, np.concatenate(touched))
 
     return fold
 
 
 def lap_stats(timing: DataFrame, keep: str | None = None) -> DataFrame:
-    """Running lap statistics per car with five laps of state (update mode)."""
-    laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(newest_laps(), NEWEST_LAPS)
+    """Running lap statistics per car with five laps of state (update mode).
+
+    Cars of a session share the states of ``BLOCKS`` blocks, each folded by array operations, so a car costs a few
+    array entries and no call of its own.
+    """
+    laps = blocked(timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(newest_laps(), NEWEST_LAPS))
     laps, ends = closing(laps, keep)
     timeout = GroupStateTimeout.EventTimeTimeout if ends else GroupStateTimeout.NoTimeout
-    return laps.groupBy(*CAR).applyInPandasWithState(lap_fold(bool(ends)), LAP_STATS, LAP_STATE, "update", timeout)
+    return laps.groupBy("session", "block").applyInPandasWithState(lap_fold(bool(ends)), LAP_STATS, LAP_STATE, "update", timeout)
 
 
 def safety_car(race_control: DataFrame, keep: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lap statistics on the state operator with typed state, timers and time to live (RocksDB state).
 
-A car's state is a value (laps seen, best time, newest lap) and a list (the newest five laps). The map-side step of
-``jobs`` still reduces every batch first, so a car with most of the rows reaches its task as a few per batch.
+The state of a block of cars is a value (laps seen and best time of each) and a list (the newest five laps of each). The
+map-side step of ``jobs`` still reduces every batch first, so a car with most of the rows reaches its task as a few per batch.
 """
 
 from __future__ import annotations
@@ -15,48 +15,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from paceline.streaming.jobs import CAR, LAP_STATS, NEWEST_LAPS, newest_laps
+from paceline.streaming.jobs import BLOCKS, CAR, LAP_STATS, NEWEST_LAPS, block_fold, blocked, newest_laps, no_laps
 
-RECENT = 5
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def lap_processor(closes: bool, ttl_ms: int | None):
     """The state step; made here so that it travels to workers by value."""
+    fold_block, report = block_fold()
+    nothing = no_laps()
 
     class LapProcessor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.totals = handle.getValueState("totals", "laps long, best double", ttl_ms)
-            self.recent = handle.getListState("recent", "lap_number long, lap_duration double", ttl_ms)
+            self.totals = handle.getValueState("totals", "cars array<long>, laps array<long>, best array<double>", ttl_ms)
+            self.recent = handle.getListState("recent", "driver_number long, lap_number long, lap_duration double", ttl_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            laps, best = self.totals.get() if self.totals.exists() else (0, None)
-            recent = {int(n): t for n, t in self.recent.get()} if self.recent.exists() else {}
+            totals = self.totals.get()
+            block, touched = nothing, []
+            if totals is not None:
+                cars, laps, best = totals
+                owners, numbers, times = zip(*self.recent.get())
+                whole, real = (lambda v: np.array(v, np.int64)), (lambda v: np.array(v, float))
+                block = whole(cars), whole(laps), real(best), whole(owners), whole(numbers), real(times)
             for chunk in rows:
-                laps += int(chunk["seen"].sum())
-                known = chunk["best"].dropna()
-                if len(known):
-                    best = float(known.min()) if best is None else min(best, float(known.min()))
-                chunk = chunk.nlargest(RECENT, "lap_number")
-                for number, time in zip(chunk["lap_number"], chunk["lap_duration"]):
-                    recent[int(number)] = None if pd.isna(time) else float(time)
-                recent = dict(sorted(recent.items())[-RECENT:])
-            self.totals.update((laps, best))
-            self.recent.put(list(recent.items()))
-            if closes:
-                # once the watermark passes the day of the session, the car is done
-                end = int(pd.Timestamp(key[0]).timestamp() * 1000) + 1
-                if end not in set(self.handle.listTimers()):
-                    self.handle.registerTimer(end)
-            timed = np.array([t for t in recent.values() if t is not None], float)
-            mean = float(timed.mean()) if len(timed) else np.nan
-            trend = 0.0
-            if len(timed) >= 3:
-                centred = np.arange(len(timed)) - (len(timed) - 1) / 2
-                trend = float((centred * timed).sum() / (centred**2).sum())
-            out = {"session": [key[0]], "driver_number": [key[1]], "laps": [laps], "best_lap": [best], "last5_mean": [mean], "trend": [trend]}
-            yield pd.DataFrame(out).astype({"best_lap": "float64"})
+                block = fold_block(block, chunk)
+                touched.append(np.unique(chunk["driver_number"].to_numpy(dtype=np.int64)))
+            self.totals.update(tuple(v.tolist() for v in block[:3]))
+            self.recent.put(list(zip(*(v.tolist() for v in block[3:]))))
+            if closes and totals is None:
+                # once the watermark passes the day of the session, its cars are done
+                self.handle.registerTimer(int(pd.Timestamp(key[0]).timestamp() * 1000) + 1)
+            yield report(key[0], block, np.concatenate(touched))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.totals.clear()
@@ -74,16 +65,18 @@ def lap_state(timing: DataFrame, keep: str | None = None, idle: str | None = Non
 
     With ``keep`` a session that begins more than that later closes a session: a timer in event time removes its state
     and rows that still come for it are dropped. With ``idle`` state instead lives that long after its last change by
-    the clock, whatever the sessions. The session needs the RocksDB state store (``rocksdb``).
+    the clock, whatever the sessions; then every car has a state of its own. The session needs the RocksDB state store
+    (``rocksdb``).
     """
     if keep and idle:
         raise ValueError("state ends by event time or by the clock, not by both")
     laps = timing.select(*CAR, "lap_number", "lap_duration").mapInPandas(newest_laps(), NEWEST_LAPS)
+    laps = laps.withColumn("block", F.col("driver_number")) if idle else blocked(laps, BLOCKS)
     if keep:
         laps = laps.withColumn("session_time", F.col("session").cast("timestamp")).withWatermark("session_time", keep)
     ttl = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     mode = "EventTime" if keep else "ProcessingTime" if idle else "None"
-    return laps.groupBy(*CAR).transformWithStateInPandas(lap_processor(bool(keep), ttl), LAP_STATS, "update", mode)
+    return laps.groupBy("session", "block").transformWithStateInPandas(lap_processor(bool(keep), ttl), LAP_STATS, "update", mode)
 
 
 @contextmanager

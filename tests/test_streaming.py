@@ -195,3 +195,42 @@ def test_idle_lap_state_ends_by_the_clock(spark, feeds, tmp_path):
     assert second.agg(F.max("laps")).first()[0] == most
     with pytest.raises(ValueError, match="not by both"):
         stateful.lap_state(stream(), "1 day", "1 day")
+
+
+def many_cars(spark, folder):
+    """Forty cars of a session in five files: each car has laps in all of them, some without a time."""
+    cars = spark.range(40).crossJoin(spark.range(1, 16).withColumnRenamed("id", "lap_number"))
+    time = F.when((F.col("id") + F.col("lap_number")) % 4 != 0, 80.0 + (F.col("id") * 7 + F.col("lap_number") * 5) % 11)
+    laps = cars.select(
+        F.lit("2024-01-01").cast("date").alias("session"), F.col("id").alias("driver_number"), "lap_number", time.alias("lap_duration")
+    )
+    laps.repartition(5, "lap_number").write.parquet(folder)
+    return laps, spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def expected_laps(laps):
+    want = {}
+    for car, _ in enumerate(range(40)):
+        times = dict(laps.filter(F.col("driver_number") == car).select("lap_number", "lap_duration").collect())
+        timed = [times[n] for n in sorted(times)[-5:] if times[n] is not None]
+        centre = (len(timed) - 1) / 2
+        trend = sum((i - centre) * t for i, t in enumerate(timed)) / sum((i - centre) ** 2 for i in range(len(timed)))
+        want[car] = (15, min(t for t in times.values() if t is not None), sum(timed) / len(timed), trend)
+    return want
+
+
+@pytest.mark.parametrize("typed", [False, True])
+def test_cars_share_states_in_blocks(spark, tmp_path, monkeypatch, typed):
+    """State rows and calls follow the blocks, not the cars; every car still has its own statistics."""
+    monkeypatch.setattr(jobs, "BLOCKS", 3)
+    monkeypatch.setattr(jobs.blocked, "__defaults__", (3,))
+    monkeypatch.setattr(stateful, "BLOCKS", 3)
+    laps, stream = many_cars(spark, str(tmp_path / "in"))
+    got, states = drained(stateful.lap_state(stream, "14 days") if typed else jobs.lap_stats(stream, "14 days"), tmp_path)
+    found = {r.driver_number: (r.laps, r.best_lap, r.last5_mean, r.trend) for r in got.collect()}
+    want = expected_laps(laps)
+    assert found.keys() == want.keys()
+    for car, values in want.items():
+        assert found[car] == pytest.approx(values, abs=1e-9)
+    if not typed:
+        assert max(s["numRowsTotal"] for s in states) == 3
