@@ -210,7 +210,7 @@ def many_cars(spark, folder):
 
 def expected_laps(laps):
     want = {}
-    for car, _ in enumerate(range(40)):
+    for car in range(40):
         times = dict(laps.filter(F.col("driver_number") == car).select("lap_number", "lap_duration").collect())
         timed = [times[n] for n in sorted(times)[-5:] if times[n] is not None]
         centre = (len(timed) - 1) / 2
