@@ -32,6 +32,49 @@ def test_exact_medians(spark):
     assert got == pytest.approx(want.asDict())
 
 
+def test_medians_where_the_sketch_is_wrong(spark, monkeypatch):
+    """Bounds of the sketch save work only: medians outside them are found as well, and absent columns stay absent."""
+    df = spark.createDataFrame([(float(i % 7), None) for i in range(100)] + [(None, None)], "a double, b double")
+    want = [("a", 3.0)]
+    assert [tuple(r) for r in splits.exact_medians(df, ["a", "b"]).collect()] == want
+    for ends in ([5.0, 6.0], [-2.0, -1.0], [3.0, 3.0]):
+        monkeypatch.setattr(splits, "middle_bounds", lambda rows, columns, ends=ends: {"a": ends, "b": None})
+        assert [tuple(r) for r in splits.exact_medians(df, ["a", "b"]).collect()] == want
+    grouped = splits.exact_medians(df.withColumn("g", F.lit(1)), ["a"], ["g"])
+    assert [r.median for r in grouped.collect()] == [3.0]
+
+
+def test_medians_count_values_near_the_middle_only(spark):
+    """Of 20,000 different values the counts that are shuffled hold a few hundred."""
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("a"))
+    bounds = splits.middle_bounds(df, ["a"])
+    long = df.select(F.lit("a").alias("feature"), F.col("a").alias("value"))
+    assert splits._counts(splits._near(long, bounds), ["feature"]).count() < 400
+    assert splits.exact_medians(df, ["a"]).first().median == 9999.5
+
+
+def test_folds_of_many_rows_are_dealt_to_tasks(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = [(pick.choice([None, *range(12)]), i) for i in pick.sample(range(1000), 1000)]
+    df = spark.createDataFrame(rows, "ro long, driver_id long")
+    want = sorted(map(str, splits.time_folds(df).collect()))
+    monkeypatch.setattr(splits, "TASK_ROWS", 250)
+    monkeypatch.setattr(splits, "parts_of", lambda n: -(-n // 250))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        folds = splits.time_folds(df)
+        assert 1 < folds.rdd.getNumPartitions() <= 4
+    finally:
+        spark.conf.unset(merging)
+    assert sorted(map(str, folds.collect())) == want
+
+
+def test_fits_at_once():
+    assert tr.at_once(5_000_000, 3) == 3 and tr.at_once(0, 4) == 4
+    assert tr.at_once(6_000_000, 4) == 2 and tr.at_once(30_000_000, 4) == 1
+
+
 def test_auc_and_reports(spark):
     pick = random.Random(4)
     rows = [(1, round(pick.random(), 1), int(pick.random() < 0.4)) for _ in range(200)] + [(2, 0.5, 0), (2, 0.6, 0)]
