@@ -161,3 +161,32 @@ def test_stored_backtest_document(spark, tmp_path):
     assert probs == {("2025_1", "a"): 0.5, ("2025_1", "b"): 0.25}
     named = serving.backtest_predictions(docs, backtest.probabilities_of(docs)).orderBy("race_id", "predicted_position").collect()
     assert [r.probability for r in named] == [0.5, 0.25, 0.5, 0.5, 0.5, 0.5] and {r.confidence for r in named} == {1.0}
+
+
+def test_rolling_queries_fit_models_of_full_size(spark, small, monkeypatch):
+    """The rolling season is scored by models of the library's default size, one for each of its races."""
+    from checks import training
+
+    asked = []
+
+    def fit(train, calibrate, classifier, regressor):
+        asked.append((classifier, regressor))
+        return known
+
+    league = League(spark, small)
+    known = training.final_model(league)
+    monkeypatch.setattr(tr, "fit_model", fit)
+    monkeypatch.setattr(training, "staged", lambda spark, key, build: build())
+    n_races = league_matrix(league).filter("year = 2001").select("ro").distinct().count()
+    for query in (training.model_rolling_backtest, training.model_rolling_records):
+        asked.clear()
+        assert query(spark, small).count() > 0
+        assert asked == [(tr.CLASSIFIER, tr.REGRESSOR)] * n_races
+    assert (tr.CLASSIFIER.trees, tr.CLASSIFIER.depth, tr.REGRESSOR.trees, tr.REGRESSOR.depth) == (300, 6, 400, 8)
+
+
+def test_fits_fill_the_cores(spark):
+    rows = spark.range(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert tr.fits_of(rows, 1000) == cores and tr.fits_of(rows, 2 * tr.parts_of(1) * 250_000) == cores // 2
+    assert tr.fits_of(rows, 30_000_000) == 1
