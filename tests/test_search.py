@@ -118,3 +118,25 @@ def test_fits_of_a_fold_share_medians_and_class_weight(spark, small, monkeypatch
         alone = [search.matrix_judge(rows, head)(p, fold) for p in tried for fold in (1, 2)]
         assert len(calls) == 6 and shared == alone
     rows.unpersist()
+
+
+def test_study_query_has_the_whole_search(spark, small, monkeypatch):
+    """Fifty trials of each head in the full ranges, the survivors fitted with all their trees on all folds."""
+    from checks import training
+
+    asked = {"classifier": [], "regressor": []}
+
+    def judged(rows, head):
+        return lambda params, fold: asked[head].append((params, fold)) or surface(params)
+
+    monkeypatch.setattr(search, "matrix_judge", judged)
+    table = training.model_study(spark, small).collect()
+    for head, ranges in (("classifier", tr.CLASSIFIER_RANGES), ("regressor", tr.REGRESSOR_RANGES)):
+        mine = [r for r in table if r["head"] == head]
+        assert len(mine) == 50 and {f for _, f in asked[head]} == {1, 2, 3}
+        for name, (low, high, _) in ranges.items():
+            values = [r[name] for r in mine]
+            assert low <= min(values) and max(values) <= high
+            assert max(values) - min(values) > (high - low) / 2
+        best = [r for r in mine if not r.pruned]
+        assert all(len(r.fold_scores) == 3 and {(p.trees, f) for p, f in asked[head]} >= {(r.trees, f) for f in (1, 2, 3)} for r in best)
